@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.byte_bpe import BytePairCoder, encode_documents, read_ranks
 from quire.llm.exact_dedup import exact_duplicates
+from quire.llm.fingerprints import fingerprint_documents
+from quire.llm.language_id import identify
 from quire.llm.ngram_join import jaccard_components
 from quire.llm.packing import pack
+from quire.llm.pii import mask_documents
+from quire.llm.repeats import repeated_spans
 from quire.llm.token_count import count_tokens
 from quire.llm.url_filter import judge_urls
 
 #: The rules of op2: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
+#: The key of op8's pseudonyms; who runs it on real data passes a secret one.
+PII_KEY = b"quire sample key"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -43,11 +50,27 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir), least=50)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_documents(documents(spark, sf_dir), PII_KEY)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_packing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_packing, op6_fingerprints, op7_suffix_array, op8_pii, op9_language_id, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""

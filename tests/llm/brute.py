@@ -74,3 +74,34 @@ def components(rows, k, percent):
     for x, (i, _) in enumerate(rows):
         least[find(x)] = min(least.get(find(x), i), i)
     return {i: (len(sets[x]), least[find(x)]) for x, (i, _) in enumerate(rows)}
+
+
+def repeats(rows, least):
+    """doc_id -> list of [start, end) of words that lie in a window of ``least`` words which another document has too."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) for i, t in table(rows)}
+    where = {}
+    for i, w in words.items():
+        for x in range(len(w) - least + 1):
+            where.setdefault(hash(tuple(w[x : x + least])), set()).add(i)
+    out = {}
+    for i, w in words.items():
+        spans = []
+        for x in range(len(w) - least + 1):
+            if len(where[hash(tuple(w[x : x + least]))]) > 1:
+                if spans and x <= spans[-1][1]:
+                    spans[-1][1] = x + least
+                else:
+                    spans.append([x, x + least])
+        if spans:
+            out[i] = spans
+    return out
+
+
+def edited(rows):
+    """doc_id -> (next id, edited text), the next being the next smaller id, after the last the first."""
+    rows = sorted(table(rows), reverse=True)
+    out = {}
+    for (i, t), (j, u) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        out[i] = (j, t[: len(t) - half] + u[:half])
+    return out
