@@ -1,4 +1,4 @@
-"""Arrow batches cut by bytes, and texts cut at places where no token of a word tokenizer can cross."""
+"""Arrow batches cut by bytes, and sums and indices over texts of different lengths."""
 
 from __future__ import annotations
 
@@ -8,13 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A space or line feed right after a character that is no white space in any of the regex dialects in use. The
-#: tokenizers here never let a token run over that place, so both sides can be encoded apart.
-SAFE_CUT = r"([^\s\x0b\x1c-\x1f\x{85}\pZ])([ \n])"
-UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\pZ][ \n]"
-MARKS = [chr(c) for c in (*range(1, 9), *range(0x0E, 0x1C), 0x7F, *range(0xE000, 0xE020))]
-
-
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of ``column``; a longer text stands alone."""
     for batch in batches:
@@ -32,31 +25,6 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(pc.cast(batch.column(column), pa.large_string()), "")
 
 
-def chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Cut every text at its safe places. Returns the different pieces, the piece number of each place in turn, and the
-    place where each text's pieces begin (one more at the end). Joined in order, a text's pieces are the text."""
-    rough = pc.match_substring_regex(texts, UNSAFE)
-    some = pc.any(rough).as_py() if len(texts) else False
-    mark = next((m for m in MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None) if len(texts) else "\x01"
-    if mark is None:
-        import re
-
-        cut = re.compile(r"(?<=\S)(?=[ \n])")
-        rows = [cut.split(t) for t in texts.to_pylist()]
-        lists = pa.array(rows, pa.large_list(pa.large_string()))
-    else:
-        plain = pc.replace_substring(pc.replace_substring(texts, " ", mark + " "), "\n", mark + "\n")
-        if some:
-            odd = pc.replace_substring_regex(texts.filter(rough), pattern=SAFE_CUT, replacement=f"\\1{mark}\\2")
-            plain = pc.replace_with_mask(plain, rough, odd)
-        lists = pc.split_pattern(plain, mark)
-    flat = lists.flatten()
-    coded = flat.dictionary_encode()
-    starts = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), out=starts[1:])
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), starts
-
-
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... for each (start, length) in turn."""
     total = int(lengths.sum())
