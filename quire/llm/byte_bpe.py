@@ -14,11 +14,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.batches import by_bytes, chunks, ragged, texts_of
+from quire.llm.batches import by_bytes, texts_of
+from quire.llm.units import UnitCoder
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pieces and pre-tokens whose ids a worker remembers; beyond that it forgets them all.
-REMEMBERED = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,12 +88,10 @@ class BytePairCoder:
                 if left is not None and right is not None:
                     self.merged[left, right] = rank
         self.single = [ranks.get(bytes([b])) for b in range(256)]
-        self._words: dict[str, tuple[int, ...]] = {}
-        self._pieces: dict[str, np.ndarray] = {}
-        self._find = None
+        self._units = self._find = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_words": {}, "_pieces": {}, "_find": None}
+        return self.__dict__ | {"_units": None, "_find": None}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word that is no token: its bytes are a linked list, and a heap yields the pair of lowest rank, the
@@ -121,43 +118,27 @@ class BytePairCoder:
                 heappush(heap, (r, h, ids[h], rank))
         return [x for x in ids if x >= 0]
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of a text by its pre-tokens."""
+    def encode_text(self, text: str) -> list[int]:
+        """Ids of a text, by its pre-tokens."""
         if self._find is None:
             self._find = regex.compile(self.pattern).findall
         out: list[int] = []
-        words = self._words
-        for word in self._find(piece):
-            ids = words.get(word)
-            if ids is None:
-                raw = word.encode()
-                whole = self.table.get(raw)
-                ids = (whole,) if whole is not None else tuple(self.merge(raw))
-                if len(words) >= REMEMBERED:
-                    words.clear()
-                words[word] = ids
-            out += ids
+        for word in self._find(text):
+            raw = word.encode()
+            whole = self.table.get(raw)
+            if whole is not None:
+                out.append(whole)
+            else:
+                out += self.merge(raw)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in turn, and where each text's begin (one more at the end)."""
-        pieces, place, starts = chunks(texts)
-        known = self._pieces
-        if len(known) > REMEMBERED:
-            known.clear()
-        coded = []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = np.array(self.encode_piece(piece), "<u4").tobytes()
-            coded.append(ids)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        first = np.cumsum(sizes) - sizes
-        ids = flat[ragged(first[place], sizes[place])]
-        ends = np.zeros(len(place) + 1, np.int64)
-        np.cumsum(sizes[place], out=ends[1:])
-        return ids, ends[starts]
+        """All ids in turn, and where each text's begin (one more at the end). Texts are cut into units that no pre-token
+        of the usual patterns crosses; a unit met before is not encoded again."""
+        if self._units is None:
+            self._units = UnitCoder(lambda units: [np.array(self.encode_text(u), "<u4").tobytes() for u in units])
+        ids, starts, _, _ = self._units.ids(texts)
+        return ids, starts
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_of.__getitem__, ids.tolist()))
