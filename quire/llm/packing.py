@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
@@ -13,49 +14,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.batches import by_bytes, chunks, ragged, texts_of
+from quire.llm.batches import by_bytes, ragged, texts_of
+from quire.llm.token_count import cuttable
+from quire.llm.units import UnitCoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: What a cut costs, in padding tokens: after a document, after a sentence, elsewhere.
 AT_DOCUMENT, AT_SENTENCE, ELSEWHERE = 0, 24, 200
 #: Tokens that are planned together; the last window of a plan is taken on into the next one.
 PLANNED = 1 << 19
-REMEMBERED = 250_000
-_loaded: dict[str, tuple] = {}
+#: By byte: what a sentence ends with.
+CLOSING = np.zeros(256, bool)
+CLOSING[list(b".!?:\n")] = True
+_loaded: dict[str, UnitCoder] = {}
 
 
-def _coder(path: str):
+def _coder(path: str) -> UnitCoder:
+    """A tokenizer file's coder of units; loaded once in each Python worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
+        if not cuttable(model):
+            raise ValueError(f"{path} does not split texts into words first")
         model.no_truncation()
         model.no_padding()
-        _loaded[path] = (lambda texts: [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(texts, add_special_tokens=False)], {})
+        encode = lambda units: [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(units, add_special_tokens=False)]
+        lower = any(x.get("type") == "Lowercase" for x in ((json.loads(model.to_str())["normalizer"] or {}).get("normalizers") or []))
+        _loaded[path] = UnitCoder(encode, fold=lower, special=tuple(x.content for x in model.get_added_tokens_decoder().values()))
     return _loaded[path]
 
 
 def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids in turn, where each text's begin (one more at the end), and where sentences end (a place after an id)."""
-    encode, known = _coder(path)
-    pieces, place, starts = chunks(texts)
-    missing = [p for p in pieces if p not in known]
-    if len(known) + len(missing) > REMEMBERED:
-        known.clear()
-        missing = pieces
-    for at in range(0, len(missing), 4096):
-        part = missing[at : at + 4096]
-        known.update(zip(part, encode(part)))
-    coded = list(map(known.__getitem__, pieces))
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    closing = np.fromiter((p != "" and p[-1] in ".!?:\n" for p in pieces), bool, len(pieces))
-    flat = np.frombuffer(b"".join(coded), "<u4")
-    first = np.cumsum(sizes) - sizes
-    each = sizes[place]
-    ends = np.zeros(len(place) + 1, np.int64)
-    np.cumsum(each, out=ends[1:])
-    return flat[ragged(first[place], each)], ends[starts], ends[1:][closing[place]]
+    ids, starts, after, last = _coder(path).ids(texts)
+    return ids, starts, after[CLOSING[last]]
 
 
 def cut_plan(places: np.ndarray, prices: np.ndarray, total: int, window: int) -> list[int]:
