@@ -19,8 +19,10 @@ from quire.llm.token_count import cuttable
 from quire.llm.units import UnitCoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: What a cut costs, in padding tokens: after a document, after a sentence, elsewhere.
-AT_DOCUMENT, AT_SENTENCE, ELSEWHERE = 0, 24, 200
+#: What a cut costs, in padding tokens: after a document, after a sentence, elsewhere at a word's end.
+AT_DOCUMENT, AT_SENTENCE, ELSEWHERE = 0, 8, 48
+#: A cut elsewhere may be at the first word end of each so many tokens.
+STEP = 32
 #: Tokens that are planned together; the last window of a plan is taken on into the next one.
 PLANNED = 1 << 19
 #: By byte: what a sentence ends with.
@@ -46,10 +48,16 @@ def _coder(path: str) -> UnitCoder:
     return _loaded[path]
 
 
-def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids in turn, where each text's begin (one more at the end), and where sentences end (a place after an id)."""
+def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All ids in turn, where each text's begin (one more at the end), where cuts may be (places after an id, rising), and
+    whether a sentence ends there."""
     ids, starts, after, last = _coder(path).ids(texts)
-    return ids, starts, after[CLOSING[last]]
+    sentence = CLOSING[last]
+    word = np.zeros(len(after), bool)
+    if len(after):
+        word[1:] = after[1:] // STEP > after[:-1] // STEP
+    some = np.flatnonzero(sentence | word)
+    return ids, starts, after[some], sentence[some]
 
 
 def cut_plan(places: np.ndarray, prices: np.ndarray, total: int, window: int) -> list[int]:
@@ -112,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, i
     Documents keep the order in which their partition is read, and every id lies in exactly one piece. Each partition is
     packed on its own, in plans of about half a million tokens whose last window goes on into the next, so only the last
     window of a partition is short; there is no shuffle, and sequence ids are the partition's number and a counter. Within a
-    plan the cuts minimise padding plus the price of each cut (none after a document, 24 tokens after a sentence, 200
+    plan the cuts minimise padding plus the price of each cut (none after a document, 8 tokens after a sentence, 48
     elsewhere). Rows: doc_id, start (its ids before the piece), length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one id (``end_id``), in one piece. A text of any length is cut into as many windows as it needs.
@@ -122,16 +130,18 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         # what waits: ids, each document's (id, start in ids, ids before, tokens in all), places of sentence ends
-        ids, held, marks = np.zeros(0, "<u4"), [], np.zeros(0, np.int64)
+        ids, held, marks, costs = np.zeros(0, "<u4"), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def planned(last: bool):
-            nonlocal number, ids, held, marks
+            nonlocal number, ids, held, marks, costs
             total = len(ids)
             bounds = np.array([start for _, start, _, _ in held] + [total], np.int64)
             places = np.concatenate((bounds, marks))
-            prices = np.concatenate((np.full(len(bounds), AT_DOCUMENT), np.full(len(marks), AT_SENTENCE)))
-            places, first = np.unique(places, return_index=True)
-            ends = cut_plan(places, prices[first], total, window)
+            prices = np.concatenate((np.full(len(bounds), AT_DOCUMENT), costs))
+            order = np.lexsort((prices, places))
+            places, prices = places[order], prices[order]
+            first = np.concatenate(([True], places[1:] != places[:-1]))
+            ends = cut_plan(places[first], prices[first], total, window)
             if ends:
                 ends = ends[:-1] + (tail_plan(ends[-2] if len(ends) > 1 else 0, total, window) if last else [])
             rows, d, at = [], 0, 0
@@ -147,20 +157,21 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, i
                         d += 1
                 number += 1
             held = [(i, max(0, s - at), b + max(0, at - s), n) for i, s, b, n in held[d:]]
-            ids, marks = ids[at:].copy(), marks[marks > at] - at
+            ids, marks, costs = ids[at:].copy(), marks[marks > at] - at, costs[marks > at]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 7, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in by_bytes(batches, "text", 2 << 20):
-            new, starts, closing = tokenize(texts_of(batch), tokenizer)
+            new, starts, cuts, sentence = tokenize(texts_of(batch), tokenizer)
             n = np.diff(starts)
             # an end_id after each document's ids
             own = starts[:-1] + np.arange(len(n))
             every = np.full(len(new) + len(n), end_id, "<u4")
             every[ragged(own, n)] = new
-            closing = closing + np.searchsorted(starts[1:], closing, side="left")
+            cuts = cuts + np.searchsorted(starts[1:], cuts, side="left")
             base = len(ids)
             held += zip(batch.column("doc_id").to_pylist(), (own + base).tolist(), [0] * len(n), (n + 1).tolist())
-            marks = np.concatenate((marks, closing + base))
+            marks = np.concatenate((marks, cuts + base))
+            costs = np.concatenate((costs, np.where(sentence, AT_SENTENCE, ELSEWHERE)))
             ids = np.concatenate((ids, every))
             if len(ids) >= PLANNED:
                 yield planned(False)
