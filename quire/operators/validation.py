@@ -25,7 +25,7 @@ def issue_rows(df: DataFrame, code: str, detail: Column) -> DataFrame:
 def validate(t: dict[str, DataFrame]) -> DataFrame:
     """Issues of all books. Tables: books (book_id, load_error, version, title, language, authors, unique_id, toc_id, encrypted), entries
     (book_id, place, name, stored, head), identifiers (book_id, id, value), manifest (book_id, item_id, path, remote, properties, media_type),
-    spine (book_id, place, idref), metas (book_id, id, refines, property, old_attributes). Rules on one table need no shuffle; those that look
+    spine (book_id, place, idref), ids (book_id, ref: every id of the package), metas (book_id, id, refines, property, old_attributes). Rules on one table need no shuffle; those that look
     something up are anti-joins. A book that did not load has that one issue."""
     books = t["books"]
     failed = books.where(text_of(F.col("load_error")) != "")
@@ -34,7 +34,6 @@ def validate(t: dict[str, DataFrame]) -> DataFrame:
     mime = t["entries"].where("name = 'mimetype'")
     items, spine, metas = t["manifest"], t["spine"], t["metas"]
     known = items.select("book_id", F.col("item_id").alias("ref"))
-    named = known.unionByName(t["identifiers"].select("book_id", F.col("id").alias("ref"))).unionByName(metas.select("book_id", F.col("id").alias("ref"))).where("ref <> ''").distinct()
     rules = [
         issue_rows(failed, "LOAD_FAILED", F.col("load_error")),
         issue_rows(ids.join(mime, "book_id", "left_anti"), "MIMETYPE_MISSING", F.lit("")),
@@ -44,7 +43,7 @@ def validate(t: dict[str, DataFrame]) -> DataFrame:
         issue_rows(fine.where(F.trim(text_of(F.col("title"))) == ""), "TITLE_MISSING", F.lit("")),
         issue_rows(fine.where(F.trim(text_of(F.col("language"))) == ""), "LANGUAGE_MISSING", F.lit("")),
         issue_rows(fine.where(F.exists(F.col("authors"), lambda a: a.contains(" & "))), "AUTHORS_AMPERSAND", F.array_join("authors", "; ")),
-        issue_rows(metas.where("refines <> ''").withColumn("ref", F.regexp_replace("refines", "^#", "")).join(named, ["book_id", "ref"], "left_anti"), "DANGLING_REFINES", F.col("ref")),
+        issue_rows(metas.where("refines <> ''").withColumn("ref", F.regexp_replace("refines", "^#", "")).join(t["ids"], ["book_id", "ref"], "left_anti"), "DANGLING_REFINES", F.col("ref")),
         issue_rows(metas.where("old_attributes").select("book_id", "property").join(fine.where("version >= '3'").select("book_id"), "book_id"), "EPUB2_ATTRIBUTES_IN_EPUB3", F.col("property")),
         issue_rows(items.where("not remote").join(t["entries"].select("book_id", F.col("name").alias("path")), ["book_id", "path"], "left_anti"), "MANIFEST_FILE_MISSING", F.col("path")),
         issue_rows(items.groupBy("book_id", "item_id").count().where("count > 1"), "DUPLICATE_MANIFEST_ID", F.col("item_id")),
