@@ -674,3 +674,117 @@ def pipeline_threshold(spark, sf_dir):
     steps = default_steps()
     found = Recipe([steps["missing_space_title"], steps["language"]]).results(books)
     return found.groupBy("step", "outcome").agg(F.count("*").alias("rows"), F.count_distinct("value").alias("distinct_values"))
+
+
+# --- more of single operators ----------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, lpad(CAST(p_size AS VARCHAR), CAST(greatest(3, length(CAST(p_size AS VARCHAR))) AS INTEGER), '0') || '.5' AS padded, CASE WHEN p_size <= 20 THEN p_size ELSE NULL END AS volume, CAST(1 - least(abs(p_size - 25), 10) / 10 AS DOUBLE) AS closeness FROM part")
+def number_forms(spark, sf_dir):
+    """Padded series numbers, volumes from number words, and closeness of years."""
+    words = F.array(*[F.lit(w) for w in dates.NUMBER_WORDS])
+    token = F.coalesce(F.get(words, F.col("p_size") - 1), F.lit("many"))
+    return load(spark, sf_dir, "part").select("p_partkey", dates.zero_pad(F.concat(F.col("p_size").cast("string"), F.lit(".5")), 3).alias("padded"), dates.volume_number(token).alias("volume"), dates.year_closeness(F.col("p_size") + 1975, F.lit(2000)).alias("closeness"))
+
+
+@query("SELECT doc_id, lang AS code, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr' WHEN 'es' THEN 'es' ELSE '' END AS again FROM documents")
+def language_codes(spark, sf_dir):
+    """Three-letter codes mapped back to two letters."""
+    three = F.create_map(*[F.lit(x) for p in {"en": "eng", "de": "ger", "fr": "fre", "es": "spa"}.items() for x in p])
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", languages.language_code(F.try_element_at(three, F.col("lang"))).alias("code"), languages.language_code(F.col("lang")).alias("again"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Saga' ELSE 'Saga (Legends)' END AS series FROM part")
+def series_cleanup(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    return p.select("p_partkey", names.clean_series(F.when(F.col("p_partkey") % 2 == 0, "Saga (Ben Bova)").otherwise("Saga (Legends)"), F.lit("Bova, Ben")).alias("series"))
+
+
+@query("SELECT l_orderkey AS book_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(k)) AS ordinal, 'p' || l_suppkey || '.xhtml' AS path FROM (SELECT *, l_linenumber * 100000 + l_partkey AS k FROM lineitem) WHERE l_suppkey % 3 <> 0 GROUP BY l_orderkey, l_suppkey")
+def reading_order(spark, sf_dir):
+    """Lines as spine entries, suppliers as documents; those divisible by 3 are missing in the archive."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("place"), F.col("l_suppkey").cast("string").alias("idref"), "l_suppkey")
+    path = F.concat(F.lit("p"), F.col("l_suppkey").cast("string"), F.lit(".xhtml"))
+    items = lines.select("book_id", F.col("idref").alias("item_id"), path.alias("path"), F.lit("application/xhtml+xml").alias("media_type"), F.lit("").alias("properties"), "l_suppkey").distinct()
+    return validation.reading_order(lines.drop("l_suppkey"), items.drop("l_suppkey"), items.where("l_suppkey % 3 <> 0").select("book_id", F.col("path").alias("name")))
+
+
+@query("SELECT book_id, arg_min(path, r) AS path FROM (SELECT l_orderkey AS book_id, 'i' || l_partkey || '.jpg' AS path, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END * 1000000000 + l_linenumber * 1000000 + l_partkey AS r FROM lineitem WHERE l_returnflag IN ('R', 'A')) GROUP BY 1")
+def cover_locate(spark, sf_dir):
+    """Lines as manifest items; R ones have the cover property, A ones are named by a meta."""
+    l = load(spark, sf_dir, "lineitem")  # noqa: E741
+    items = l.select(F.col("l_orderkey").alias("book_id"), F.concat_ws("-", "l_partkey", "l_linenumber", "l_suppkey", "l_returnflag").alias("item_id"), F.concat(F.lit("i"), F.col("l_partkey").cast("string"), F.lit(".jpg")).alias("path"), F.when(F.col("l_returnflag") == "R", "cover-image").otherwise("").alias("properties"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("place"), "l_returnflag")
+    return validation.cover_path(items, items.where("l_returnflag = 'A'").select("book_id", "item_id").distinct())
+
+
+@query("SELECT page_id, host || '/' || CASE WHEN n = 1 THEN stem ELSE stem || ' (' || n || ')' END || '.html' AS new_path, 'move' AS action FROM (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host, 'page' AS stem, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]*)', 1) ORDER BY page_id) AS n FROM pages)")
+def move_plan(spark, sf_dir):
+    """Pages as files that all want the same name in their host's folder."""
+    p = load(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), F.lit("html").alias("extension"), F.regexp_extract("url", "://([^/]*)", 1).alias("folder"))
+    return edits.file_plan(p, F.lit("page"), "page_id").select(F.col("path").cast("bigint").alias("page_id"), "new_path", "action")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_type NOT LIKE '%STEEL%' THEN 'skip: format' WHEN p_size % 7 = 0 THEN 'skip: exists' WHEN row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_type, lpad(CAST(p_partkey AS VARCHAR), 12, '0')) > 1 THEN 'skip: claimed' ELSE 'convert, then keep' END AS action FROM part"""
+)
+def conversion_plan(spark, sf_dir):
+    """Parts as source files named by brand and size; those of steel have a known format."""
+    stem = F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string"))
+    ext = F.concat_ws("~", "p_type", F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
+    p = load(spark, sf_dir, "part").select("p_partkey", F.concat(stem, F.lit("."), ext).alias("path"), F.when(F.col("p_type").contains("STEEL"), "mobi").otherwise("xyz").alias("extension"), F.to_timestamp(F.lit("2020-01-01")).alias("modified"), stem.alias("stem"), "p_size")
+    there = p.where("p_size % 7 = 0").select(F.concat("stem", F.lit(".epub")).alias("output")).distinct()
+    plan = edits.conversion_plan(p.drop("stem"), ["mobi"], there, "keep", F.to_timestamp(F.lit("2021-01-01")))
+    return plan.join(p.select("path", "p_partkey"), "path").select("p_partkey", "action")
+
+
+@query("SELECT DISTINCT word FROM (SELECT c_mktsegment AS word FROM customer WHERE c_mktsegment <> 'BUILDING' UNION SELECT 'OWN ' || r_name FROM region)")
+def vocabulary(spark, sf_dir):
+    """Default words without a hidden one, and a user's own."""
+    c, r = load(spark, sf_dir, "customer"), load(spark, sf_dir, "region")
+    return edits.vocabulary(c.select(F.col("c_mktsegment").alias("word")).distinct(), spark.createDataFrame([("BUILDING",)], "word string"), r.select(F.concat(F.lit("OWN "), F.col("r_name")).alias("word")), "word")
+
+
+@query("SELECT c_custkey, ['Jane Doe', replace(c_name, '#', ' ')] AS a, ['Doe, Jane', regexp_replace(replace(c_name, '#', ' '), '^(.*) ([^ ]*)$', '\\2, \\1')] AS s FROM customer")
+def author_cleanup(spark, sf_dir):
+    """Names with spare spaces, an inverted form and a repeated name."""
+    from quire.operators.authors import clean_authors
+
+    raw = F.array(F.concat(F.lit(" Doe,  Jane & "), F.replace("c_name", F.lit("#"), F.lit(" "))), F.lit("Jane Doe"))
+    books = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), raw.alias("authors"), F.array(F.lit("")).alias("author_sort"))
+    return clean_authors(books).select(F.col("book_id").alias("c_custkey"), F.array_join("authors", "; ").alias("a"), F.array_join("author_sort", "; ").alias("s"))
+
+
+ORACLE_SQL["author_cleanup"] = "SELECT c_custkey, 'Jane Doe; ' || replace(c_name, '#', ' ') AS a, 'Doe, Jane; ' || regexp_replace(replace(c_name, '#', ' '), '^(.*) ([^ ]*)$', '\\2, \\1') AS s FROM customer"
+
+
+@query("SELECT o_custkey, count(*) AS removed, 0.85 AS confidence FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) BETWEEN 6 AND 19) GROUP BY 1")
+def page_furniture(spark, sf_dir):
+    """Customers as books, their orders as pages: a numbered running header before each page's text."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), n.alias("n"))
+    text_of_page = F.concat(F.lit("On this page. There is much to say and it is said at some length, number "), F.col("n").cast("string"), F.lit(" of them, so that it cannot be a heading at all."))
+    rows = o.select("book_id", F.explode(F.array(F.struct((F.col("n") * 2).alias("place"), F.concat(F.col("n").cast("string"), F.lit(" THE LONG ROAD")).alias("text")), F.struct((F.col("n") * 2 + 1).alias("place"), text_of_page.alias("text")))).alias("p")).select("book_id", "p.place", "p.text")
+    found = mining.page_furniture(rows).groupBy("book_id").agg(F.count("*").alias("removed"), F.max("confidence").alias("confidence"))
+    return found.where("confidence < 0.9").select(F.col("book_id").alias("o_custkey"), "removed", "confidence")
+
+
+@query("SELECT s_nationkey, count(*) AS n_works, count(DISTINCT s_name) AS titles FROM supplier GROUP BY 1")
+def catalogue_build(spark, sf_dir):
+    """Suppliers as edition records of catalogue A, all kept; counted by nation as work."""
+    s = load(spark, sf_dir, "supplier")
+    body = F.concat(F.lit("978"), F.lpad((F.col("s_suppkey") * 104729 % 1000000000).cast("string"), 9, "0"))
+    total = F.lit(0)
+    for i in range(1, 13):
+        total = total + F.substring(body, i, 1).cast("int") * (1 if i % 2 else 3)
+    none = F.array().cast("array<string>")
+    work = F.concat(F.lit("W"), F.col("s_nationkey").cast("string"))
+    e = s.select(
+        F.col("s_suppkey").alias("ordinal"), F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("title"), F.lit("").alias("subtitle"), F.array(F.concat(body, ((10 - total % 10) % 10).cast("string"))).alias("isbn_13"), none.alias("isbn_10"), none.alias("author_keys"), F.array(F.lit("en")).alias("languages"),
+        none.alias("publishers"), F.lit("1998").alias("publish_date"), F.lit(10).alias("pages"), F.array(F.lit(1)).alias("cover_ids"), none.alias("subjects"), work.alias("work_key"),
+    )
+    n = load(spark, sf_dir, "nation")
+    works = n.select(F.concat(F.lit("W"), F.col("n_nationkey").cast("string")).alias("work_key"), F.array(F.concat(F.lit("A"), F.col("n_regionkey").cast("string"))).alias("author_keys"))
+    people = load(spark, sf_dir, "region").select(F.concat(F.lit("A"), F.col("r_regionkey").cast("string")).alias("author_key"), F.col("r_name").alias("name"))
+    t = catalog.catalogue_a(e, works, people, ["en"])["editions"].where("authors_text <> ''")
+    return t.groupBy(F.substring("work_key", 2, 9).cast("int").alias("s_nationkey")).agg(F.count("*").alias("n_works"), F.count_distinct("title").alias("titles"))
