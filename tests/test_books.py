@@ -231,3 +231,16 @@ def test_stream(spark, tmp_path):
     journal.append_to(journal.read_changes(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     done = spark.read.parquet(f"{tmp_path}/out")
     assert done.count() == 2 and journal.hourly(done).count() == 2
+
+
+def test_paths(spark):
+    from quire.operators import paths
+
+    files = spark.createDataFrame([("/r/Ann Lee/Saga/1 - One.epub",), ("/r/Ann Lee/Other/2 - Two.epub",), ("/r/Bo/3 - Three.epub",)], "path string")
+    found = paths.parse_paths(files, "%authors%/%series%/%series_index% - %title%", "/r")
+    saved = spark.createDataFrame([("/r/Ann Lee/Other/2 - Two.epub", "series", "Saga")], "path string, field string, value string")
+    sure = {(r.path[-9:-5].strip(" -"), r.field): (r.value, r.sure) for r in paths.corroborate(found, saved).collect()}
+    assert sure["One", "authors"] == ("Ann Lee", True) and sure["One", "series"] == ("Saga", True) and sure["Two", "series"] == ("Other", False)
+    conf = {r.path: (r.confidence, r.missing) for r in paths.path_confidence(paths.corroborate(found, saved)).collect()}
+    assert conf["/r/Ann Lee/Saga/1 - One.epub"] == (0.975, 0) and conf["/r/Ann Lee/Other/2 - Two.epub"] == (0.925, 0) and conf["/r/Bo/3 - Three.epub"][1] == 1
+    assert {r.siblings for r in paths.sibling_stems(files).collect()} == {0}
