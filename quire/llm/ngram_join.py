@@ -17,15 +17,22 @@ from quire.llm.components import components
 from quire.llm.shared import Scratch
 from quire.llm.words import shingle_sets
 
+#: Sets that share a shingle: up to so many, all their possible pairs are listed; more of them meet in a tile, which gives no
+#: more links than it has sets.
+FEW = 128
 #: Sets a tile compares with each other; a tile of more is split into blocks that meet two at a time.
-TILE = 1024
+TILE = 2048
+#: Text bytes that a task turns into shingles at a time.
+BATCH = 1 << 20
 #: Bits of a signature; sets of more shingles put every 2nd, 4th, 8th ... of their shingles in it.
 BITS = 512
 #: Common shingles that may be sent to all executors, 8 bytes each.
 MOST_COMMON = 1_000_000
-#: Bits of the filter that tells which sets are to be compared exactly (2 MB).
-FILTER_BITS = 24
-SET_SCHEMA = "doc_id long, sid long, n int, sig binary, prefix array<long>"
+#: Bits of the filters that tell which shingles may be shared (16 MB) and which sets are to be compared exactly (2 MB).
+SHARED_BITS, WANTED_BITS = 27, 24
+#: Bits of a wide signature at least and most: about two to four for each shingle.
+LEAST_WIDE, MOST_WIDE = 9, 20
+SET_SCHEMA = "doc_id long, sid long, n int, sig binary, wide binary, prefix array<long>"
 
 
 class JaccardSpec:
@@ -56,6 +63,23 @@ def signature(hashes: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def wide_signature(hashes: np.ndarray) -> bytes:
+    size = 1 << min(MOST_WIDE, max(LEAST_WIDE, (2 * len(hashes) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes >> np.uint64(20)).astype(np.int64) & (size - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _missing(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Bits of two wide signatures that only the first, and only the second, has; the longer one is folded to the size of the
+    other, which keeps that a bit stands for at least one shingle."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+
+
 def set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_128_digest(hashes.tobytes())[:8], "little", signed=True)
 
@@ -79,183 +103,223 @@ def _bounds(spec: JaccardSpec, n_a, sig_a, n_b, sig_b) -> np.ndarray:
     return np.where(most >= spec.needed(n_a, n_b), most / np.maximum(1, n_a + n_b - most), 0)
 
 
-def _forest(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The edges of a spanning forest of the highest scores; score is symmetric, 0 where there is no edge."""
-    m = len(score)
-    best, source = np.full(m, -1.0), np.zeros(m, np.int64)
-    out, fresh = [], np.ones(m, bool)
-    for _ in range(m):
-        x = int(np.argmax(np.where(fresh, best, -2)))
-        if best[x] > 0:
-            out.append((source[x], x))
-        fresh[x] = False
-        better = score[x] > best
-        best[better], source[better] = score[x][better], x
-    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
-
-
-def _tile_edges(spec: JaccardSpec, sid, n, sig, side, comp):
-    """Pairs of a tile that may be linked. Without ``comp`` a spanning forest of them, so never more than sets; with it,
-    all pairs of different components. side: 0, or 1 and 2 where only pairs of different sides are asked for."""
-    order = np.argsort(n, kind="stable")
-    sid, n, sig, side = sid[order], n[order], sig[order], side[order]
-    m = len(n)
-    score = np.zeros((m, m), np.float32)
-    last = np.searchsorted(n, n * spec.den // spec.num, "right")  # n_b <= n_a / t
-    for at in range(0, m, 128):
-        to = min(m, at + 128)
-        end = int(last[to - 1])
-        score[at:to, at:end] = _bounds(spec, n[at:to, None], sig[at:to, None], n[None, at:end], sig[None, at:end])
-    score = np.triu(score, 1)
-    if side.any():
-        score[side[:, None] == side[None, :]] = 0
-    if comp is not None:
-        comp = comp[order]
-        score[comp[:, None] == comp[None, :]] = 0
-        a, b = np.nonzero(score)
-    else:
-        a, b = _forest(score + score.T)
-    return sid[a], sid[b]
-
-
-def _pairs_of_tiles(spec: JaccardSpec, by_component: bool):
-    """An Arrow function over rows sorted by tile: (token, part, sid, n, sig, side[, comp]) to (a, b)."""
-
-    def emit(a: list, b: list) -> pa.RecordBatch:
-        x, y = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def _pairs_of_few(spec: JaccardSpec):
+    """An Arrow function over rows sorted by token: (token, sid, n, sig) to the pairs (a, b) that may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "part", "sid", "n", "side"] + ["comp"] * by_component
         held = None
 
-        def cut(cols, whole):
-            """Edges of all tiles but the last one, which is held; with ``whole`` of that too."""
-            new = np.flatnonzero((np.diff(cols["token"]) != 0) | (np.diff(cols["part"]) != 0)) + 1
-            starts = np.concatenate(([0], new))
-            sizes = np.diff(np.concatenate((starts, [len(cols["token"])])))
-            if not whole:
-                starts, sizes = starts[:-1], sizes[:-1]
-            a, b = [], []
-            two = starts[sizes == 2]  # most tiles: all at once
-            if len(two):
-                x, y = two, two + 1
+        def pairs(cols) -> pa.RecordBatch:
+            out = []
+            for step in range(1, FEW):  # each row with the one ``step`` further on, in all tiles at once
+                if step >= len(cols["token"]):
+                    break
+                x = np.flatnonzero(cols["token"][step:] == cols["token"][:-step])
+                if not len(x):
+                    break
+                y = x + step
                 ok = _bounds(spec, cols["n"][x], cols["sig"][x], cols["n"][y], cols["sig"][y]) > 0
-                ok &= (cols["side"][x] == 0) | (cols["side"][x] != cols["side"][y])
-                if by_component:
-                    ok &= cols["comp"][x] != cols["comp"][y]
-                a.append(cols["sid"][x[ok]])
-                b.append(cols["sid"][y[ok]])
-            for s, k in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                x, y = _tile_edges(spec, *(cols[c][s : s + k] for c in ("sid", "n", "sig", "side")), cols["comp"][s : s + k] if by_component else None)
-                a.append(x)
-                b.append(y)
-            return a, b
+                a, b = cols["sid"][x[ok]], cols["sid"][y[ok]]
+                out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
+            both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "sid", "n")}
             cols["n"] = cols["n"].astype(np.int64)
             cols["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(-1, BITS // 64)
             if held is not None:
                 cols = {c: np.concatenate((held[c], cols[c])) for c in cols}
-            a, b = cut(cols, False)
-            last = len(cols["token"]) - 1
-            same = (cols["token"] == cols["token"][last]) & (cols["part"] == cols["part"][last])
-            held = {c: v[same].copy() for c, v in cols.items()}
-            if a and sum(map(len, a)):
-                yield emit(a, b)
+            last = cols["token"] == cols["token"][-1]
+            yield pairs({c: v[~last] for c, v in cols.items()})
+            held = {c: v[last].copy() for c, v in cols.items()}
         if held is not None:
-            a, b = cut(held, True)
-            if a and sum(map(len, a)):
-                yield emit(a, b)
+            yield pairs(held)
+
+    return run
+
+
+def _links_of_tile(spec: JaccardSpec, sid, n, sig, side, hashes) -> list[tuple[int, int]]:
+    """Links that connect all sets of a tile that links connect: a set is compared with those of other components only, the most
+    similar first, by the bounds of the signatures and then exactly. side: 0, or 1 and 2 where only pairs of different sides
+    are asked for."""
+    order = np.argsort(n, kind="stable")
+    sid, n, sig, side = sid[order], n[order], sig[order], side[order]
+    component = np.arange(len(n))
+    out = []
+    for i in range(1, len(n)):
+        first = int(np.searchsorted(n, -(-n[i] * spec.num // spec.den)))
+        if first >= i:
+            continue
+        score = _bounds(spec, n[i], sig[i], n[first:i], sig[first:i])
+        if side[i]:
+            score[side[first:i] == side[i]] = 0
+        found = np.flatnonzero(score)
+        found = first + found[np.argsort(-score[found], kind="stable")]
+        found = found[component[found] != component[i]]
+        x = hashes[order[i]]
+        while len(found):
+            j, found = found[0], found[1:]
+            y = hashes[order[j]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if spec.den * both >= spec.num * (len(x) + len(y) - both):
+                out.append((int(sid[i]), int(sid[j])))
+                component[component == component[i]] = component[j]
+                found = found[component[found] != component[j]]
+    return out
+
+
+def _links_of_tiles(spec: JaccardSpec):
+    """An Arrow function over rows sorted by tile and part: (tile, part, sid, n, sig, side, hashes) to links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, now = [], None
+
+        def done() -> pa.RecordBatch:
+            sid, n, side = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3))
+            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, BITS // 64)
+            links = _links_of_tile(spec, sid, n, sig, side, [np.frombuffer(r[4], np.uint64) for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for tile, part, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "part", "sid", "n", "sig", "side", "hashes"))):
+                if (tile, part) != now:
+                    if len(rows) > 1:
+                        yield done()
+                    rows, now = [], (tile, part)
+                rows.append(row)
+        if len(rows) > 1:
+            yield done()
 
     return run
 
 
-def _tiles(sets: DataFrame) -> DataFrame:
-    """(token, c, sid, n, sig): the sets that share a prefix shingle, and how many share it. Lone shingles go."""
-    posting = sets.select("sid", "n", F.explode("prefix").alias("token"))
-    many = posting.withColumn("c", F.count("*").over(Window.partitionBy("token")).cast("int")).where("c > 1")
-    return many.join(sets.select("sid", "sig"), "sid").select("token", "c", "sid", "n", "sig")
+def _postings(sets: DataFrame) -> DataFrame:
+    """(token, c, sid): the sets that share a prefix shingle, and how many share it. Lone shingles go."""
+    posting = sets.select("sid", F.explode("prefix").alias("token"))
+    return posting.withColumn("c", F.count("*").over(Window.partitionBy("token")).cast("int")).where("c > 1")
 
 
-def _parts(tiles: DataFrame, spec: JaccardSpec, extra: list[str]) -> DataFrame:
-    """(token, part, sid, n, sig, side, *extra): a tile of more than TILE sets is split by size band, where a set goes to
-    its own band and the next one, and a band of more into blocks, each pair of which is a part."""
-    cols = ["token", "sid", "n", "sig", *extra]
-    small = tiles.where(F.col("c") <= TILE).select(*cols, F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"))
+def _tiles(members: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """(tile, part, sid, side) for members (tile, sid, n): a tile of more than TILE sets is split by size band, where a set goes to
+    its own band and the next one; a band of more is split into blocks, each pair of which is a part."""
+    members = members.withColumn("c", F.count("*").over(Window.partitionBy("tile")))
+    whole = members.where(F.col("c") <= TILE).select("tile", F.lit(0).cast("long").alias("part"), "sid", F.lit(0).alias("side"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(spec.den / spec.num))).cast("int")
-    large = tiles.where(F.col("c") > TILE).select(*cols, F.explode(F.array(band, band + 1)).alias("band"))
-    large = large.withColumn("k", F.ceil(2 * F.count("*").over(Window.partitionBy("token", "band")) / TILE).cast("int"))
+    large = members.where(F.col("c") > TILE).select("tile", "sid", F.explode(F.array(band, band + 1)).alias("band"))
+    c = F.count("*").over(Window.partitionBy("tile", "band"))
+    large = large.withColumn("k", F.when(c <= TILE, 1).otherwise(F.ceil(2 * c / TILE)).cast("int"))
     large = large.withColumn("i", F.pmod("sid", "k").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
-    large = large.select(*cols, F.xxhash64("band", F.least("i", "j"), F.greatest("i", "j")).alias("part"), side.alias("side"))
-    return small.unionByName(large)
+    return whole.unionByName(large.select("tile", F.xxhash64("band", F.least("i", "j"), F.greatest("i", "j")).alias("part"), "sid", side.alias("side")))
+
+
+def _bits(rows: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2^bits bits with those in ``rows`` (column h) set. Its size is fixed, whatever the number of rows."""
+    found = rows.groupBy(F.expr("h div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in found.toLocalIterator():
+        out[row.k * 4096 : row.k * 4096 + 4096] = np.frombuffer(row.bits, np.uint8)
+    return out
 
 
-def _sets(docs: DataFrame, spec: JaccardSpec, common: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _prefixes(docs: DataFrame, spec: JaccardSpec, common) -> DataFrame:
+    """The prefix shingles of all documents, one a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", BATCH):
+            sets = [_prefix(s, spec.prefix(len(s)), common.value) for s in shingle_sets(texts_of(batch), spec.k) if len(s)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["token"])
+
+    return docs.mapInArrow(run, "token long")
+
+
+def _common(docs: DataFrame, spec: JaccardSpec) -> np.ndarray:
+    """Shingles that stand in the hash-ordered prefixes of so many documents that they are to come last in the order. They
+    are counted over all documents. Any one order gives the same links; this one keeps tiles small. The least count
+    rises with the input, so that there can never be more than MOST_COMMON of them."""
+    size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    most = (size[0] or 0) // 2 * (spec.den - spec.num) // spec.den + 2 * size[1]
+    least = max(64, most // MOST_COMMON + 1)
+    tokens = _prefixes(docs, spec, docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64)))
+    found = tokens.groupBy("token").count().where(F.col("count") >= least).select("token").toPandas()["token"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def _sets(docs: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """Every document's set: id of the set, size, signatures, and those prefix shingles that another set may have too."""
+    context = docs.sparkSession.sparkContext
+    common = context.broadcast(_common(docs, spec))
+    twice = _prefixes(docs, spec, common).groupBy("token").count().where("count > 1")
+    shared = context.broadcast(_bits(twice.select(F.pmod("token", F.lit(1 << SHARED_BITS)).alias("h")), SHARED_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in by_bytes(batches, "text", BATCH):
             sets = shingle_sets(texts_of(batch), spec.k)
+            prefixes = []
+            for s in sets:
+                tokens = _prefix(s, spec.prefix(len(s)), common.value) if len(s) else np.zeros(0, np.int64)
+                h = tokens & ((1 << SHARED_BITS) - 1)
+                prefixes.append(tokens[bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([signature(s) for s in sets], pa.binary()),
-                    pa.array([_prefix(s, spec.prefix(len(s)), common) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([wide_signature(s) if len(p) else b"" for s, p in zip(sets, prefixes)], pa.binary()),
+                    pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "sid", "n", "sig", "prefix"],
+                ["doc_id", "sid", "n", "sig", "wide", "prefix"],
             )
 
     return docs.mapInArrow(run, SET_SCHEMA)
 
 
-def _common(docs: DataFrame, spec: JaccardSpec) -> np.ndarray:
-    """Shingles that stand in the hash-ordered prefixes of so many documents that they are to come last in the order. They
-    are counted over all documents. Any one order gives the same links; this one keeps tiles small. The least count
-    rises with the input, so that there can never be more than MOST_COMMON of them."""
+def _near(pairs: DataFrame, sets: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """Those of the pairs whose wide signatures leave a link possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            sets = [s[: spec.prefix(len(s))] for s in shingle_sets(texts_of(batch), spec.k) if len(s)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
-
-    size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    most = (size[0] or 0) // 2 * (spec.den - spec.num) // spec.den + 2 * size[1]
-    least = max(64, most // MOST_COMMON + 1)
-    found = docs.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= least).select("token").toPandas()["token"]
-    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+        for batch in batches:
+            ok = []
+            for na, nb, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("x"), batch.column("y")):
+                only_x, only_y = _missing(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                ok.append((spec.num + spec.den) * min(na - only_x, nb - only_y) >= spec.num * (na + nb))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """A filter of fixed size: bit h is set where a set id that ends in h is in a pair."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).select(F.pmod("sid", F.lit(1 << FILTER_BITS)).alias("h"))
-    rows = ends.groupBy(F.expr("h div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits")).collect()
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in rows:
-        out[row.k * 4096 : row.k * 4096 + 4096] = np.frombuffer(row.bits, np.uint8)
-    return out
+    side = lambda s, n, w: sets.select(F.col("sid").alias(s), F.col("n").alias(n), F.col("wide").alias(w))
+    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, spec: JaccardSpec, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (a, b) of set ids whose similarity reaches the threshold, by exact intersection. The texts are read
-    again, so that only sets in a pair are ever moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
+def _hashes(docs: DataFrame, ids: DataFrame, sets: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """(sid, hashes) of the sets in ``ids``. The texts are read again, and a set is sent by one of its documents only: a filter
+    tells which, so now and then another one comes too, but none is missing."""
+    ends = ids.join(sets.select("sid", "first_id"), "sid")
+    mask = (1 << WANTED_BITS) - 1
+    low = lambda c: F.coalesce(F.pmod(c, F.lit(mask + 1)), F.lit(0))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(ends.select(low("sid").bitwiseXOR(low("first_id")).alias("h")), WANTED_BITS))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in by_bytes(batches, "text"):
-            sets = {set_id(s): s for s in shingle_sets(texts_of(batch), spec.k) if len(s)}
-            sets = {i: s for i, s in sets.items() if bits[(h := i % (1 << FILTER_BITS)) >> 3] >> (h & 7) & 1}
-            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["sid", "hashes"])
+        for batch in by_bytes(batches, "text", BATCH):
+            found = {}
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts_of(batch), spec.k)):
+                if len(s):
+                    h = ((sid := set_id(s)) ^ (doc_id or 0)) & mask
+                    if bits[h >> 3] >> (h & 7) & 1:
+                        found[sid] = s
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["sid", "hashes"])
+
+    return docs.mapInArrow(load, "sid long, hashes binary")
+
+
+def _linked(pairs: DataFrame, hashes: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """Those of the pairs (a, b) whose similarity reaches the threshold, by exact intersection."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,14 +330,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, spec: JaccardSpec, scratch: Scrat
                 ok.append(spec.den * both >= spec.num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = scratch.write(docs.mapInArrow(load, "sid long, hashes binary").dropDuplicates(["sid"]), f"hashes-{name}")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
-    return scratch.write(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), f"links-{name}")
-
-
-def _pairs(parts: DataFrame, spec: JaccardSpec, by_component: bool) -> DataFrame:
-    spread = parts.repartition("token", "part").sortWithinPartitions("token", "part")
-    return spread.mapInArrow(_pairs_of_tiles(spec, by_component), "a long, b long").distinct()
+    both = pairs.join(hashes.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a").join(hashes.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,30 +342,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     wordless text has 0 shingles and no links, its component is its own id. Repeated rows are rows of their own that link.
 
     How: equal sets are one set (copies are never paired). Sets that share one of their first n - ceil(t n) + 1 shingles, in
-    an order with common shingles last, meet in a tile; there the bits of their signatures bound the overlap from above.
-    First each tile gives a spanning forest of its possible links, the most similar ones, so a group of m near copies gives
-    at most m pairs. The pairs are decided by intersecting the sorted hashes, and components found. Then the tiles are gone
-    through again for all possible links between different components that are left. No pair is left out, so the components
-    are exact, up to equal 64-bit hashes of different shingles and equal ids of different sets.
+    an order with common shingles last, are compared, so no pair is left out. Where few sets share a shingle, their pairs are
+    listed, unless the bits of their signatures bound the overlap below the threshold; wide signatures sort out more, and
+    the rest is decided by intersecting sorted hashes. Sets that share a shingle with many, such as groups of near copies,
+    are gathered into tiles (connected by such shingles, split by size band and into blocks), whose sets come with
+    their hashes: there a set is compared only with sets that it isn't connected with yet, so a tile of m sets gives less
+    than m links. Exact up to equal 64-bit hashes of different shingles and equal ids of different sets.
     """
     spec, scratch = JaccardSpec(k, percent), Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = scratch.write(_sets(docs, spec, _common(docs, spec)), "sets")
-    sets = every.where("sid is not null").dropDuplicates(["sid"])
-    tiles = scratch.write(_tiles(sets), "tiles")
-
-    pairs = scratch.write(_pairs(_parts(tiles, spec, []), spec, False), "pairs-1")
-    links = _linked(pairs, docs, spec, scratch, "1")
-    found = components(links, scratch, "star-1")
-    # a tile of two has given its pair; of the others, sets that are not yet in one component
-    named = tiles.where("c > 2").join(found, tiles.sid == found.node, "left").withColumn("comp", F.coalesce("root", "sid"))
-    rest = _pairs(_parts(named.select("token", "c", "sid", "n", "sig", "comp"), spec, ["comp"]), spec, True)
-    rest = scratch.write(rest.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
-    links = links.unionByName(_linked(rest, docs, spec, scratch, "2"))
-    found = components(links, scratch, "star-2")
-
-    first = every.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"))
-    first = first.join(found, first.sid == found.node, "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
+    every = scratch.write(_sets(docs, spec), "documents")
+    first = lambda c: F.first(c).alias(c)
+    sets = every.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), first("n"), first("sig"), first("wide"), first("prefix"))
+    sets = scratch.write(sets, "sets")
+    postings = scratch.write(_postings(sets), "postings")
+
+    few = postings.where(F.col("c") <= FEW).select("token", "sid").join(sets.where(F.size("prefix") > 0).select("sid", "n", "sig"), "sid")
+    few = few.select("token", "sid", "n", "sig").repartition("token").sortWithinPartitions("token")
+    pairs = scratch.write(_near(few.mapInArrow(_pairs_of_few(spec), "a long, b long").distinct(), sets, spec), "pairs")
+    tiled = components(postings.where(F.col("c") > FEW).select(F.col("sid").alias("a"), F.col("token").alias("b")), scratch, "tiles")
+    tiled = scratch.write(tiled.select(F.col("node").alias("sid"), F.col("root").alias("tile")).join(sets.select("sid", "n", "sig"), "sid"), "tiled")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(tiled.select("sid")).distinct()
+    hashes = scratch.write(_hashes(docs, wanted, sets, spec), "hashes")
+    tiles = _tiles(tiled, spec).join(tiled.select("sid", "n", "sig"), "sid").join(hashes, "sid").select("tile", "part", "sid", "n", "sig", "side", "hashes")
+    tiles = tiles.repartition("tile", "part").sortWithinPartitions("tile", "part").mapInArrow(_links_of_tiles(spec), "a long, b long")
+    links = scratch.write(_linked(pairs, hashes, spec).unionByName(tiles), "links")
+    scratch.drop("hashes")
+    found = components(links, scratch, "groups")
+
+    first = sets.select("sid", "first_id").join(found, sets.sid == found.node, "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
     least = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = first.join(least, "root").select("sid", "component_id")
     return every.select("doc_id", "n", "sid").join(named, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
