@@ -25,8 +25,8 @@ def directory(entries: DataFrame) -> DataFrame:
 
     Doubling: a directory of g bits has a bucket for each value of the first g bits of a key. While a bucket holds more than
     BUCKET_BYTES, it splits by the next bit, and the directory doubles where it has no bit left for that. The state
-    is one row per slot, so a round is a sum over at most 2^MAX_DEPTH rows; the fixed number of rounds is one query."""
-    slots = entries.groupBy("slot").agg(F.sum("n_bytes").alias("bytes"))
+    is one row per slot, so a round is a sum over at most 2^MAX_DEPTH rows, and these few rows are brought into one partition."""
+    slots = entries.groupBy("slot").agg(F.sum("n_bytes").alias("bytes")).repartition(1)
     depth = F.lit(MAX_DEPTH)
     for bits in range(MAX_DEPTH - 1, -1, -1):
         prefix = F.shiftright("slot", MAX_DEPTH - bits)
