@@ -142,13 +142,12 @@ def _pairs_of_few(spec: JaccardSpec):
 
 
 def _links_of_tile(spec: JaccardSpec, sid, n, sig, side, hashes) -> list[tuple[int, int]]:
-    """Links that connect all sets of a tile that links connect: a set is compared with those of other components only, the most
-    similar first, by the bounds of the signatures and then exactly. side: 0, or 1 and 2 where only pairs of different sides
-    are asked for."""
+    """(set, least set of its component) for the components that links form in a tile. A set is compared with those of other
+    components only, the most similar first, by the bounds of the signatures and then exactly. side: 0, or 1 and 2 where
+    only pairs of different sides are asked for."""
     order = np.argsort(n, kind="stable")
     sid, n, sig, side = sid[order], n[order], sig[order], side[order]
     component = np.arange(len(n))
-    out = []
     for i in range(1, len(n)):
         first = int(np.searchsorted(n, -(-n[i] * spec.num // spec.den)))
         if first >= i:
@@ -165,14 +164,16 @@ def _links_of_tile(spec: JaccardSpec, sid, n, sig, side, hashes) -> list[tuple[i
             y = hashes[order[j]]
             both = len(np.intersect1d(x, y, assume_unique=True))
             if spec.den * both >= spec.num * (len(x) + len(y) - both):
-                out.append((int(sid[i]), int(sid[j])))
                 component[component == component[i]] = component[j]
                 found = found[component[found] != component[j]]
-    return out
+    least: dict[int, int] = {}
+    for c, s in zip(component.tolist(), sid.tolist()):
+        least[c] = min(s, least.get(c, s))
+    return [(s, least[c]) for c, s in zip(component.tolist(), sid.tolist()) if s != least[c]]
 
 
 def _links_of_tiles(spec: JaccardSpec):
-    """An Arrow function over rows sorted by tile and part: (tile, part, sid, n, sig, side, hashes) to links (a, b)."""
+    """An Arrow function over rows sorted by tile and part: (tile, part, sid, n, sig, side, hashes) to connections (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, now = [], None
@@ -205,12 +206,12 @@ def _postings(sets: DataFrame) -> DataFrame:
 def _tiles(members: DataFrame, spec: JaccardSpec) -> DataFrame:
     """(tile, part, sid, side) for members (tile, sid, n): a tile of more than TILE sets is split by size band, where a set goes to
     its own band and the next one; a band of more is split into blocks, each pair of which is a part."""
-    members = members.withColumn("c", F.count("*").over(Window.partitionBy("tile")))
+    members = members.join(members.groupBy("tile").agg(F.count("*").alias("c")), "tile")
     whole = members.where(F.col("c") <= TILE).select("tile", F.lit(0).cast("long").alias("part"), "sid", F.lit(0).alias("side"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(spec.den / spec.num))).cast("int")
     large = members.where(F.col("c") > TILE).select("tile", "sid", F.explode(F.array(band, band + 1)).alias("band"))
-    c = F.count("*").over(Window.partitionBy("tile", "band"))
-    large = large.withColumn("k", F.when(c <= TILE, 1).otherwise(F.ceil(2 * c / TILE)).cast("int"))
+    sizes = large.groupBy("tile", "band").agg(F.count("*").alias("c"))
+    large = large.join(sizes.select("tile", "band", F.when(F.col("c") <= TILE, 1).otherwise(F.ceil(2 * F.col("c") / TILE)).cast("int").alias("k")), ["tile", "band"])
     large = large.withColumn("i", F.pmod("sid", "k").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
     return whole.unionByName(large.select("tile", F.xxhash64("band", F.least("i", "j"), F.greatest("i", "j")).alias("part"), "sid", side.alias("side")))
