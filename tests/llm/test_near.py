@@ -36,7 +36,12 @@ def near_rows():
     return list(enumerate(rows))
 
 
-def test_components_of_large_groups(spark):
+@pytest.mark.parametrize("few, tile", [(128, 2048), (8, 40)])
+def test_components_of_large_groups(spark, monkeypatch, few, tile):
+    from quire.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(jaccard_components(df, 4, 85)) == brute.components(rows, 4, 85)
@@ -62,6 +67,17 @@ def test_repeats_are_those_of_brute_force(spark, odd, odd_rows):
     assert spans(repeated_spans(df, 50)) == brute.repeats(rows, 50)
 
 
+def test_repeats_of_periodic_texts(spark):
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for i in range(40):
+        loop = r.choice(["ab", "one two", "x y z", "la la"])
+        rows.append((i, prose(r.randrange(0, 40), 50 + i % 7) + " " + " ".join([loop] * r.randrange(20, 90)) + " " + prose(r.randrange(10, 60), 70 + i % 5)))
+    assert spans(repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50)) == brute.repeats(rows, 50)
+
+
 def test_repeats_of_nothing(none):
     assert repeated_spans(none).collect() == []
 
