@@ -67,6 +67,21 @@ def test_repeats_are_those_of_brute_force(spark, odd, odd_rows):
     assert spans(repeated_spans(df, 50)) == brute.repeats(rows, 50)
 
 
+def test_repeats_of_overlapping_passages(spark):
+    """Documents take cuts of few long texts with some words changed: who shares most to the left shares little to the right."""
+    r, rows = random.Random(5), []
+    bases = [prose(160, 500 + i).split(" ") for i in range(3)]
+    for i in range(120):
+        base = r.choice(bases)
+        a = r.randrange(0, 80)
+        words = base[a : a + r.randrange(45, 80)]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            words[r.randrange(len(words))] = f"w{r.randrange(9999)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert spans(repeated_spans(df, 50)) == brute.repeats(rows, 50)
+
+
 def test_repeats_of_periodic_texts(spark):
     import random
 
