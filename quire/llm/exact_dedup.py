@@ -88,4 +88,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.withColumn("_key", F.xxhash64(norm)).withColumn("_sha", F.sha2(norm, 256))
     lone = rows.join(index, ["_key", "_sha"], "left")
     stay = lone.where(F.col("_keep").isNull() | F.col(id_col).eqNullSafe(F.col("_keep")))
-    return stay.select(*docs.columns)
+    return stay.dropDuplicates(["_key", "_sha"]).select(*docs.columns)

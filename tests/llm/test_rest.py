@@ -32,6 +32,8 @@ def test_exact_duplicates_of_repeated_and_null_ids(spark, none):
     assert {r.doc_id for r in found if r.kept} == {1, 2, None, 4}
     assert exact_duplicates(none).collect() == []
     assert sorted(r.doc_id for r in drop_exact_duplicates(df.where("doc_id > 1")).collect()) == [2, 4]
+    repeated = spark.createDataFrame([(3, "b"), (3, "B"), (3, "b"), (1, "b"), (None, None), (None, ""), (5, "c"), (5, "d")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in drop_exact_duplicates(repeated).collect()) == [(0, ""), (3, "b"), (5, "c"), (5, "d")]
 
 
 def test_directory_splits_full_buckets(spark):
