@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.batches import by_bytes, texts_of
+from quire.llm.shared import Scratch
 from quire.llm.words import mix, powers, runs, word_hashes
 
 #: Words of a minimiser's k-gram, and k-grams of a window of which the least is retained.
@@ -20,6 +21,8 @@ GRAM, WINDOW = 5, 20
 FILTER_BITS = 27
 #: Rows of sorted suffixes that are compared at a time.
 BLOCK = 1 << 16
+#: Suffixes of one key up to which one task compares them (below BLOCK); of a more frequent key, Spark groups the windows.
+HOT = 1 << 13
 ROW = "key long, doc_id long, pos int, last int, before binary, after binary"
 
 
@@ -33,12 +36,12 @@ class Lengths:
         self.least, self.head, self.side = least, least - WINDOW + 1, WINDOW - 1
 
 
-def minimisers(words: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
-    """Places whose k-gram is the least (the first of equal ones) of some WINDOW k-grams of one text in a row."""
+def minimisers(words: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place from which WINDOW k-grams of one text stand in a row, the place of the least of them (the first of equal ones)."""
     grams = runs(words, GRAM)
     n = len(grams) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank = (grams & ~np.uint64(0xFFFFFFF)) | (np.arange(len(grams), dtype=np.uint64) & np.uint64(0xFFFFFFF))
     low, width = rank, 1
     while width * 2 <= WINDOW:
@@ -52,19 +55,46 @@ def minimisers(words: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     at, low = at[inside], low[inside]
     place = (at & ~0xFFFFFFF) | (low & np.uint64(0xFFFFFFF)).astype(np.int64)
     place[place < at] += 0x10000000
-    return np.unique(place)
+    return at, place
 
 
 def _suffixes(words: np.ndarray, starts: np.ndarray, lengths: Lengths):
-    """(text, place, key) of the retained suffixes; key: a hash of their first words."""
-    place = minimisers(words, starts, lengths.least)
+    """(text, place, key) of the retained suffixes; key: a hash of their first words. Then (start, suffix) of all windows of
+    ``least`` words; suffix: the number of the retained suffix that is the least in it, so equal windows have it in the same place."""
+    at, chosen = minimisers(words, starts, lengths.least)
+    place = np.unique(chosen)
     text = np.searchsorted(starts[1:], place, "right")
     fits = place + lengths.head <= starts[1:][text] if len(place) else np.zeros(0, bool)
     place, text = place[fits], text[fits]
     key, p = np.zeros(len(place), np.uint64), powers(lengths.head + 1)
     for i in range(lengths.head):
         key += words[place + i] * p[i + 1]
-    return text, place, mix(key)
+    whole = at + lengths.least <= starts[1:][np.searchsorted(starts[1:], at, "right")] if len(at) else np.zeros(0, bool)
+    return text, place, mix(key), at[whole], np.searchsorted(place, chosen[whole])
+
+
+def _among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the rising ones."""
+    if not len(rising):
+        return np.zeros(len(values), bool)
+    return rising[np.minimum(np.searchsorted(rising, values), len(rising) - 1)] == values
+
+
+def _windows(words: np.ndarray, at: np.ndarray, text: np.ndarray, least: int):
+    """(text, first, last, hash) of the windows from ``at`` on. Equal windows of one text that touch or overlap, as in a phrase that
+    is repeated over and over, are one row with their first and last places."""
+    window, p = np.zeros(len(at), np.uint64), powers(least + 1)
+    for i in range(least):
+        window += words[at + i] * p[i + 1]
+    window = mix(window)
+    order = np.lexsort((at, window, text))
+    at, text, window = at[order], text[order], window[order]
+    alike = (text[1:] == text[:-1]) & (window[1:] == window[:-1]) & (at[1:] - at[:-1] <= least)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), ~alike)))
+    last = np.append(first[1:] - 1, len(at) - 1) if len(at) else first
+    order = np.lexsort((at[first], text[first]))
+    first, last = first[order], last[order]
+    return text[first], at[first], at[last], window[first]
 
 
 def _context(short: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, step: int, n: int) -> np.ndarray:
@@ -120,6 +150,36 @@ def _matches(key, doc, pos, last, before, after, lengths: Lengths):
     return start, end, other
 
 
+def _shared_windows(rows: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, s, e, other) of the windows (rows of key, doc_id, pos, last) that stand in more than one document; other: the least other one.
+    Spark counts them by partial sums. Windows that are very frequent again (at most some 1,000,000) are looked up by broadcast,
+    so no task holds all rows of a window."""
+    windows = rows.select(F.col("key").alias("w"), "doc_id", F.col("pos").cast("long").alias("s"), (F.col("last").cast("long") + least).alias("e"))
+    groups = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
+    groups = scratch.write(groups.where("a < z").drop("z"), "groups")
+    many = max(HOT, (groups.agg(F.sum("n")).first()[0] or 0) >> 20)
+
+    def joined(groups: DataFrame) -> DataFrame:
+        large = groups.where(F.col("n") > many)
+        rest = windows.join(F.broadcast(large.select("w")), "w", "left_anti").join(groups.where(F.col("n") <= many), "w")
+        return windows.join(F.broadcast(large), "w").unionByName(rest)
+
+    second = joined(groups).where("doc_id <> a").groupBy("w").agg(F.min("doc_id").alias("b"))
+    groups = scratch.write(groups.join(second, "w"), "pairs")
+
+    def joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that overlap or touch the one before and have the same other document go into one."""
+        for batch in batches:
+            doc, s, e, other = (c.to_numpy() for c in batch.columns)
+            on = (doc[1:] == doc[:-1]) & (other[1:] == other[:-1]) & (s[1:] >= s[:-1]) & (s[1:] <= e[:-1])
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), ~on)))
+            most = np.maximum.reduceat(e, first) if len(first) else e
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(s[first]), pa.array(most), pa.array(other[first])], ["doc_id", "s", "e", "other"])
+
+    other = F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other")
+    return joined(groups).select("doc_id", "s", "e", other).mapInArrow(joint, "doc_id long, s long, e long, other long")
+
+
 def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The passages of ``least`` words and more that stand in more than one document: one row per document and passage, with
     doc_id, start_word, end_word (exclusive; words are what ASCII white space parts, A-Z counts as a-z), n_words, other_id
@@ -128,8 +188,8 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
 
     Every text of any length is read whole, twice. First only keys of the retained suffixes are counted, one for about ten
     words; keys that occur twice set bits in a filter of fixed size. Then the suffixes that pass are sent, by key, with the
-    words around them. A key that is very frequent is sorted by Spark and passes through its task in blocks of 4 * BLOCK rows
-    with the same or similar words after them; of such a key, a match is missed if all who share it stand in different blocks.
+    words around them. Of a key with more than HOT suffixes, the windows of ``least`` words are sent instead, each by a hash of its
+    own, so that no task owns the key and every match is found at any count.
     Null, empty and shorter texts have no rows. Rows of the same id are one document; rows with a null id are left out, as
     nothing could refer to them.
     """
@@ -138,24 +198,33 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            _, _, key = _suffixes(*word_hashes(texts_of(batch)), lengths)
+            key = _suffixes(*word_hashes(texts_of(batch)), lengths)[2]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
 
-    twice = docs.mapInArrow(count, "key long").groupBy("key").count().where("count > 1").select(F.pmod("key", F.lit(1 << FILTER_BITS)).alias("h"))
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in twice.groupBy(F.expr("h div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits")).toLocalIterator():
+    twice = docs.mapInArrow(count, "key long").groupBy("key").count().where("count > 1").select(F.pmod("key", F.lit(1 << FILTER_BITS)).alias("h"), F.when(F.col("count") > HOT, F.col("key")).alias("hot"))
+    bits, hot = np.zeros((1 << FILTER_BITS) // 8, np.uint8), []
+    for row in twice.groupBy(F.expr("h div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits"), F.collect_list("hot").alias("hot")).toLocalIterator():
         bits[row.k * 4096 : row.k * 4096 + 4096] = np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
+        hot += row.hot
+    shared = spark.sparkContext.broadcast((bits, np.sort(np.array(hot, np.int64).view(np.uint64))))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, frequent = shared.value
         for batch in by_bytes(batches, "text"):
             words, starts = word_hashes(texts_of(batch))
-            text, place, key = _suffixes(words, starts, lengths)
+            text, place, key, at, least_suffix = _suffixes(words, starts, lengths)
+            every = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            often = _among(key, frequent)
+            if often.any():
+                at, owner = at[often[least_suffix]], text[least_suffix[often[least_suffix]]]
+                owner, first, last, window = _windows(words, at, owner, lengths.least)
+                none, low = pa.nulls(len(window), pa.binary()), starts[:-1][owner]
+                yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(every[owner]), pa.array((first - low).astype(np.int32)), pa.array((last - low).astype(np.int32)), none, none], ["key", "doc_id", "pos", "last", "before", "after"])
             h = (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
             ok = bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1
+            ok &= ~often
             text, place, key = text[ok], place[ok], key[ok]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[text]
+            ids = every[text]
             short = (words >> np.uint64(32)).astype(np.uint32)
             low, high = starts[:-1][text], starts[1:][text]
             size = 4 * lengths.side
@@ -185,15 +254,19 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
                 cut = len(key) - int((key == key[-1]).sum())
                 if cut:
                     yield done(rows.slice(0, cut))
-                elif len(key) >= 4 * BLOCK:  # one key fills the block: its last row goes on, to meet the next ones
-                    yield done(rows)
-                    cut = len(key) - 1
                 held = rows.slice(cut).to_batches()
         if held:
             yield done(pa.Table.from_batches(held))
 
-    rows = docs.mapInArrow(collect, ROW).repartition("key").sortWithinPartitions("key", "after", "before")
-    found = rows.mapInArrow(compare, "doc_id long, s long, e long, other long")
+    rows, wide = docs.mapInArrow(collect, ROW), None
+    if hot:
+        scratch = Scratch(spark, "repeats")
+        rows = scratch.write(rows, "suffixes")
+        wide = _shared_windows(rows.where("before is null"), lengths.least, scratch)
+        rows = rows.where("before is not null")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc_id long, s long, e long, other long")
+    if wide is not None:
+        found = found.unionByName(wide)
     order = Window.partitionBy("doc_id").orderBy("s", "e")
     found = found.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     found = found.withColumn("span", F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))

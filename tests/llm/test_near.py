@@ -93,6 +93,45 @@ def test_repeats_of_periodic_texts(spark):
     assert spans(repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50)) == brute.repeats(rows, 50)
 
 
+@pytest.mark.parametrize("hot", [2, 15])
+def test_repeats_of_frequent_keys(spark, monkeypatch, hot):
+    """The same with windows in place of suffixes for all but rare keys: other ids too are the least ones."""
+    from quire.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT", hot)
+    r, rows = random.Random(5), []
+    bases = [prose(160, 500 + i).split(" ") for i in range(3)] + [prose(9, 9).split(" ") * 18]
+    for i in range(160):
+        base = r.choice(bases)
+        a = r.randrange(0, 80)
+        words = base[a : a + r.randrange(45, 80)]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            words[r.randrange(len(words))] = f"w{r.randrange(9999)}"
+        rows.append((i, " ".join(words)))
+    found = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50).cache()
+    assert spans(found) == brute.repeats(rows, 50)
+    words, where = dict((i, t.lower().split()) for i, t in rows), {}
+    for i, w in words.items():
+        for x in range(len(w) - 49):
+            where.setdefault(tuple(w[x : x + 50]), set()).add(i)
+    for s in found.collect():
+        w = words[s.doc_id]
+        assert s.other_id == min(d for x in range(s.start_word, s.end_word - 49) for d in where[tuple(w[x : x + 50])] if d != s.doc_id)
+
+
+def test_repeats_of_a_passage_in_very_many_documents(spark):
+    """45 words, with the least 5-gram among them, stand in all of 300,000 documents; two each share the 8 words before them as
+    well, and none what follows."""
+    from pyspark.sql import functions as F
+
+    common = F.lit(" ".join(f"c{i}v2955" for i in range(45)))
+    pair = F.concat_ws(" ", *[F.concat(F.lit("p"), F.expr(f"xxhash64(id div 2, {i})").cast("string")) for i in range(8)])
+    docs = spark.range(0, 300_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", pair, common, F.expr("'a' || xxhash64(id, 9)")).alias("text"))
+    found = repeated_spans(docs, 50)
+    right = F.expr("start_word = 0 and end_word = 53 and other_id = doc_id ^ 1")
+    assert found.select(F.count(F.lit(1)), F.count_if(right)).first() == (300_000, 300_000)
+
+
 def test_repeats_of_nothing(none):
     assert repeated_spans(none).collect() == []
 
