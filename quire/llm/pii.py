@@ -17,6 +17,11 @@ from quire.llm.batches import by_bytes
 
 ROUNDS = 6
 KINDS = ("email", "secret", "ip", "iban", "date", "ssn", "card", "phone")
+#: Characters of an IBAN by country (the registry of ISO 13616).
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24
+    FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22
+    MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29
+    VA22 VG24 XK20 YE30""".split()}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 # The written forms that are looked at. What one matches must still pass its check.
@@ -75,6 +80,17 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def iban_end(text: str) -> int | None:
+    """Where the valid IBAN ends with which ``text``, a match of the form, begins: words of capitals behind the number match too.
+    At the end of a group: where the country's length is reached, else the longest that passes the check."""
+    ends = []
+    for end in [*(i for i, c in enumerate(text) if c == " "), len(text)]:
+        plain = text[:end].replace(" ", "")
+        if 15 <= len(plain) <= 34 and mod97(plain) == 1:
+            ends.append((len(plain) == IBAN_LENGTHS.get(plain[:2]), end))
+    return max(ends)[1] if ends else None
+
+
 def _refill(shape: str, new: str, taken=str.isdigit) -> str:
     """``new``'s characters in the places of ``shape`` that are taken."""
     chars = iter(new)
@@ -188,14 +204,26 @@ class Pseudonyms:
 
 
 def pseudonymise(text: str, names: Pseudonyms, counts: dict[str, int], back: bool = False) -> str:
-    def swap(found: re.Match) -> str:
-        new = names.of(found.lastgroup, found[0], back)
+    out, done, at = [], 0, 0
+    while found := FORMS.search(text, at):
+        kind, value, start = found.lastgroup, found[0], found.start()
+        at = found.end()
+        if kind == "iban":
+            end = iban_end(value)
+            if end is None:  # other values may stand in the groups behind the first one
+                at = start + value.find(" ") if " " in value else at
+                continue
+            at, value, behind = start + end, value[:end], value[end:]
+        new = names.of(kind, value, back)
         if new is None:
-            return found[0]
-        counts[found.lastgroup] = counts.get(found.lastgroup, 0) + 1
-        return new
-
-    return FORMS.sub(swap, text)
+            continue
+        # an IBAN of no registered length: its pseudonym must end at the same place, so that the way back is known
+        while kind == "iban" and iban_end(new + behind) != end:
+            new = names.of(kind, new, back)
+        counts[kind] = counts.get(kind, 0) + 1
+        out += text[done:start], new
+        done = at
+    return "".join(out) + text[done:] if out else text
 
 
 def _rewritten(texts: pa.Array, names: Pseudonyms, back: bool) -> tuple[pa.Array, list[dict[str, int]]]:
@@ -215,7 +243,8 @@ def mask_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col
 
     A value must be valid: octets below 256, check digits of cards and IBANs, days of the calendar. Its pseudonym has the same form and is
     valid again; it depends on the key and the value only, so equal values stay equal everywhere. With ``back`` and the same
-    key the values return. Rows stay where they are. A null text stays null with no finds; a null id stays null; repeated
+    key the values return, unless what changes behind the first group of a number that is no IBAN happens to make it one
+    (1 in 97). Rows stay where they are. A null text stays null with no finds; a null id stays null; repeated
     rows are masked alike; other columns are never read."""
     names = docs.sparkSession.sparkContext.broadcast(Pseudonyms(key))
 

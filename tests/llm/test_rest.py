@@ -8,7 +8,7 @@ from conftest import prose
 from quire.llm import queries
 from quire.llm.exact_dedup import directory, drop_exact_duplicates, exact_duplicates
 from quire.llm.language_id import identify
-from quire.llm.pii import FORMS, Feistel, Pseudonyms, luhn, mask_documents, mod97
+from quire.llm.pii import FORMS, Feistel, Pseudonyms, luhn, mask_documents, mod97, pseudonymise
 from quire.llm.url_filter import UrlTrie, judge_urls
 
 
@@ -109,6 +109,37 @@ def test_values_go_back(kind, value):
     assert [int(x) for x in re.findall(r"\d+", back)] == [int(x) for x in re.findall(r"\d+", value)]
 
 
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+@pytest.mark.parametrize("behind", ["", " BIC", " I", " BIC CAIXESBB", " IBAN", " SWIFT", " BERLIN1", " AND DE89 3704 0044 0532 0130 00", " HAVE 4111 1111 1111 1111", ", X"])
+def test_ibans_before_words_of_capitals(iban, behind):
+    for key in (b"a", b"b", b"c"):
+        names, counts, text = Pseudonyms(key), {}, f"IBAN {iban}{behind} end"
+        new = pseudonymise(text, names, counts)
+        assert counts["iban"] == 1 + ("DE89" in behind) and counts.get("card", 0) == ("4111" in behind)
+        shown = new[5 : 5 + len(iban)]
+        assert shown != iban and shown[:2] == iban[:2] and mod97(shown.replace(" ", "")) == 1 and "3704 0044" not in new and "4111 1111" not in new
+        assert "DE89" in behind or "4111" in behind or new == f"IBAN {shown}{behind} end"
+        assert pseudonymise(new, names, {}, back=True) == text
+
+
+def test_values_behind_what_is_no_iban():
+    names, counts = Pseudonyms(b"a"), {}
+    new = pseudonymise("AB12 CDEF GHIJ DE89 3704 0044 0532 0130 00 and ID42 CODE 4111 1111 1111 1111", names, counts)
+    assert counts == {"iban": 1, "card": 1} and "3704" not in new and "4111" not in new and new.startswith("AB12 CDEF GHIJ DE")
+
+
+def test_ibans_of_other_lengths_go_back():
+    """Countries and lengths that no registry has, before a word: the end is found again in the pseudonym."""
+    names = Pseudonyms(b"a")
+    for country in ("ZZ", "DE"):
+        for i in range(200):
+            body = f"{i * 7919 % 10**8:08d}{i:08d}5678"
+            plain = f"{country}{98 - mod97(country + '00' + body):02d}{body}"
+            text = " ".join(plain[j : j + 4] for j in range(0, len(plain), 4)) + " WORD"
+            new = pseudonymise(text, names, {})
+            assert new != text and pseudonymise(new, names, {}, back=True) == text
+
+
 def test_languages(spark, odd, none):
     words = {"en": "the of and is that with have from this they", "fr": "le la des et les dans pour que avec sont", "de": "der die und nicht ist mit sich auf ein werden"}
     import random
