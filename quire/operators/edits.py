@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import collapse, text_of
+from quire.llm.shared import Scratch
 
 # Limits of the journal and of undo.
 MOST_CHARS, UNDO_DEPTH = 20_000, 50
@@ -43,13 +44,24 @@ def undo_stack(actions: DataFrame, key: str, order: str, depth: int = UNDO_DEPTH
     return actions.withColumn("steps_back", back.cast("long")).where(F.col("steps_back") <= depth)
 
 
-def follow_renames(moves: DataFrame, rounds: int = 6) -> DataFrame:
-    """(first_path, last_path) at the ends of each chain of moves (old_path, new_path). Each round doubles the length of the
-    chains that are joined, so 6 rounds follow 64 moves."""
-    links = moves.select(F.col("old_path").alias("a"), F.col("new_path").alias("b"))
-    for _ in range(rounds):
-        further = links.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        links = links.join(further, "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+def follow_renames(moves: DataFrame) -> DataFrame:
+    """(first_path, last_path) at the ends of each chain of moves (old_path, new_path), of any length. Each round doubles the length of
+    the chains that are joined and is written to the shared folder; rounds end when no link changes. Moves in a cycle have no
+    last path: a ValueError."""
+    scratch, turn = Scratch(moves.sparkSession, "renames"), 0
+    moves = scratch.write(moves.select("old_path", "new_path"), "moves")
+    links, most = moves.select(F.col("old_path").alias("a"), F.col("new_path").alias("b")), moves.count()
+    while True:
+        further, seen = links.select(F.col("a").alias("b"), F.col("b").alias("c")), Observation()  # counted while it is written
+        joined = links.join(further, "b", "left").observe(seen, F.count("c").alias("n"))
+        links = scratch.write(joined.select("a", F.coalesce("c", "b").alias("b")), f"links-{turn}")
+        if turn:
+            scratch.drop(f"links-{turn - 1}")
+        if not seen.get["n"]:
+            break
+        turn += 1
+        if 1 << turn > 2 * most:  # longer than all moves in a row
+            raise ValueError("the moves go round in a cycle")
     return links.join(moves.select(F.col("new_path").alias("a")), "a", "left_anti").select(F.col("a").alias("first_path"), F.col("b").alias("last_path"))
 
 

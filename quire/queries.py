@@ -642,7 +642,7 @@ def journal_undo_depth(spark, sf_dir):
 def rename_chain(spark, sf_dir):
     e = load(spark, sf_dir, "events").where("event_id % 10 <> 9")
     path = lambda c: F.concat(F.lit("p"), c.cast("string"))
-    return edits.follow_renames(e.select(path(F.col("event_id")).alias("old_path"), path(F.col("event_id") + 1).alias("new_path")), 4)
+    return edits.follow_renames(e.select(path(F.col("event_id")).alias("old_path"), path(F.col("event_id") + 1).alias("new_path")))
 
 
 ORACLE_SQL["rename_chain"] = """WITH RECURSIVE m AS (SELECT event_id AS a, event_id + 1 AS b FROM events WHERE event_id % 10 <> 9),

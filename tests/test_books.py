@@ -201,6 +201,18 @@ def test_authors(spark):
     assert got[5].authors == ["Ann Lee"] and got[6].authors == ["John Smith Jr."] and got[6].author_sort == ["Smith, John, Jr."] and got[7].author_sort == ["van Beethoven, Ludwig"]
 
 
+@pytest.mark.parametrize("n", [1, 64, 65, 300])
+def test_renames_of_any_length(spark, n):
+    moves = spark.range(n).selectExpr("'p' || id as old_path", "'p' || (id + 1) as new_path").unionByName(spark.sql("select 'x' old_path, 'y' new_path"))
+    assert {tuple(r) for r in edits.follow_renames(moves).collect()} == {("p0", f"p{n}"), ("x", "y")}
+
+
+def test_renames_in_a_cycle(spark):
+    moves = spark.range(3).selectExpr("'p' || id as old_path", "'p' || (id + 1) % 3 as new_path").unionByName(spark.sql("select 'x' old_path, 'p0' new_path"))
+    with pytest.raises(ValueError):
+        edits.follow_renames(moves)
+
+
 def test_edits(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, title string, lang string")
     new, log = edits.bulk_edit(old, {"lang": "x"}, "id")
