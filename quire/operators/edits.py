@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import collapse, text_of
-from quire.llm.shared import Scratch
+from quire.shared import Scratch
 
 # Limits of the journal and of undo.
 MOST_CHARS, UNDO_DEPTH = 20_000, 50
