@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -72,11 +73,13 @@ class PerfectHash:
 
 
 class BytePairCoder:
-    """Encodes by merge ranks and decodes. Texts are split by ``pattern``; no string is special."""
+    """Encodes by merge ranks and decodes. Texts are split by ``pattern``; no string is special. units: whether no match of the
+    pattern crosses the places where units.py cuts, as with the usual patterns, where a space, line feed or mark begins a
+    match; if not, every text is encoded whole."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, units: bool = False):
         self.table = PerfectHash(ranks)
-        self.pattern = pattern
+        self.pattern, self.by_units = pattern, units
         self.token_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.token_of[rank] = token
@@ -95,27 +98,31 @@ class BytePairCoder:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word that is no token: its bytes are a linked list, and a heap yields the pair of lowest rank, the
-        leftmost of equal ones. A pair whose ends have changed since it was pushed is passed over."""
-        ids = [self.single[b] for b in word]
-        if None in ids:
-            raise ValueError(f"the vocabulary lacks the byte {word[ids.index(None)]}")
-        n = len(ids)
-        after, before, merged = [*range(1, n), -1], [*range(-1, n - 1)], self.merged
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := merged.get((ids[i], ids[i + 1]))) is not None]
+        leftmost of equal ones. An entry is one number, rank and place; it is passed over where the pair there has another
+        rank by now. Numbers in arrays keep a word of n bytes at about 70 n bytes of memory."""
+        try:
+            ids = array("q", [self.single[b] for b in word])
+        except TypeError:
+            raise ValueError(f"the vocabulary lacks the byte {next(b for b in word if self.single[b] is None)}") from None
+        n, merged = len(ids), self.merged
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        after[n - 1] = -1
+        heap = [r << 40 | i for i in range(n - 1) if (r := merged.get((ids[i], ids[i + 1]))) is not None]
         heapify(heap)
         while heap:
-            rank, i, a, b = heappop(heap)
+            entry = heappop(heap)
+            rank, i = entry >> 40, entry & 0xFFFFFFFFFF
             j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            if ids[i] < 0 or j < 0 or merged.get((ids[i], ids[j])) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
                 if (r := merged.get((rank, ids[k]))) is not None:
-                    heappush(heap, (r, i, rank, ids[k]))
+                    heappush(heap, r << 40 | i)
             if (h := before[i]) >= 0 and (r := merged.get((ids[h], rank))) is not None:
-                heappush(heap, (r, h, ids[h], rank))
+                heappush(heap, r << 40 | h)
         return [x for x in ids if x >= 0]
 
     def encode_text(self, text: str) -> list[int]:
@@ -133,8 +140,11 @@ class BytePairCoder:
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in turn, and where each text's begin (one more at the end). Texts are cut into units that no pre-token
-        of the usual patterns crosses; a unit met before is not encoded again."""
+        """All ids in turn, and where each text's begin (one more at the end). With ``units``, texts are cut into units that no
+        pre-token crosses, and a unit met before is not encoded again."""
+        if not self.by_units:
+            each = [np.array(self.encode_text(t), "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
         if self._units is None:
             self._units = UnitCoder(lambda units: [np.array(self.encode_text(u), "<u4").tobytes() for u in units])
         ids, starts, _, _ = self._units.ids(texts)

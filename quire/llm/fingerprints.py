@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,17 +12,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.batches import texts_of
-from quire.llm.words import PUNCTUATION, mix, powers, word_hashes
+from quire.llm.ngram_join import JaccardSpec, linked_documents
+from quire.llm.words import PUNCTUATION, mix, then, word_hashes
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long"
 #: Content words in a chain.
 CHAIN = 2
-#: Likeness that cannot reach this by the sizes of the two sets is reported as 0 without comparing them.
-FLOOR = 0.01
-#: Rows of a run of neighbours, on average, and runs at most.
-RUN_ROWS, MOST_RUNS = 2000, 4096
+#: Rows of a run of neighbours, on average; runs at most, as their edges (8 bytes each) are part of every task. Beyond that, runs
+#: grow, and Spark sorts a longer run on disk.
+RUN_ROWS, MOST_RUNS = 2000, 1 << 17
 BLOCK = 2 << 20
 
 # Common words of English, French, German and Spanish.
@@ -37,13 +39,13 @@ def _anchor_hashes() -> np.ndarray:
     return np.unique(word_hashes(pa.array([ANCHORS], pa.large_string()), PUNCTUATION)[0])
 
 
-def signatures(texts: list[str]) -> list[np.ndarray]:
-    """Each text's set of signatures, as rising 32-bit numbers.
+def signature_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Each text's set of signatures, as rising 64-bit numbers.
 
     A word is a run of letters and digits (any character beyond ASCII counts as a letter). Each common word starts a
     chain with the next CHAIN words of the text that are not common. A text without any chain has one signature, of all
     its words; without words, of its characters; an empty one has none."""
-    words, starts = word_hashes(pa.array(texts, pa.large_string()), PUNCTUATION)
+    words, starts = word_hashes(texts, PUNCTUATION)
     anchors = _anchor_hashes()
     common = anchors[np.minimum(np.searchsorted(anchors, words), len(anchors) - 1)] == words
     content = np.flatnonzero(~common)
@@ -55,36 +57,38 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
     if len(heads):
         inside = content[at + CHAIN - 1] < starts[1:][text_of]
         heads, at, text_of = heads[inside], at[inside], text_of[inside]
-    p = powers(CHAIN + 2)
-    value = words[heads] * p[CHAIN + 1]
+    value = words[heads]
     for i in range(CHAIN):
-        value = value + words[content[at + i]] * p[i + 1]
-    value = (mix(value) >> np.uint64(32)).astype(np.uint32)
+        value = then(value, words[content[at + i]])
+    value = mix(value)
     cuts = np.searchsorted(text_of, np.arange(len(texts) + 1), "left")
     out = []
-    for i, text in enumerate(texts):
+    for i in range(len(texts)):
         a, b = cuts[i], cuts[i + 1]
         if b > a:
             out.append(np.unique(value[a:b]))
-        elif starts[i + 1] > starts[i]:
-            out.append(np.array([xxhash.xxh3_64_intdigest(words[starts[i] : starts[i + 1]].tobytes()) >> 32], np.uint32))
         else:
-            out.append(np.array([xxhash.xxh3_64_intdigest(text) >> 32] if text else [], np.uint32))
+            rest = words[starts[i] : starts[i + 1]].tobytes() or texts[i].as_buffer().to_pybytes()
+            out.append(np.array([xxhash.xxh3_64_intdigest(rest)] if rest else [], np.uint64))
     return out
 
 
+def signatures(texts: list[str]) -> list[np.ndarray]:
+    return signature_sets(pa.array(texts, pa.large_string()))
+
+
 def fingerprint(sigs: np.ndarray) -> str:
-    """The set as text: its size, which is its partition in a search, and the numbers in base64."""
-    return f"{len(sigs)}:{base64.b64encode(sigs.astype('<u4').tobytes()).decode()}"
+    """The set as text: its size, by which a search is partitioned, and the numbers in base64."""
+    return f"{len(sigs)}:{base64.b64encode(sigs.astype('<u8').tobytes()).decode()}"
 
 
 def read_fingerprint(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text.partition(":")[2]), "<u4")
+    return np.frombuffer(base64.b64decode(text.partition(":")[2]), "<u8")
 
 
-def likeness(a: np.ndarray, b: np.ndarray, floor: float = FLOOR) -> float:
-    """Jaccard similarity, 1 for two empty sets. The smaller size over the larger bounds it from above, and so do their
-    ranges; where a bound is below ``floor`` the sets are not compared."""
+def likeness(a: np.ndarray, b: np.ndarray, floor: float = 0.0) -> float:
+    """Jaccard similarity, 1 for two empty sets. The smaller size over the larger bounds it from above: sets of sizes that leave
+    less than ``floor`` are not compared, nor those whose ranges don't meet; they give 0."""
     small, large = sorted((len(a), len(b)))
     if not large:
         return 1.0
@@ -94,6 +98,17 @@ def likeness(a: np.ndarray, b: np.ndarray, floor: float = FLOOR) -> float:
     return both / (small + large - both)
 
 
+def similar_fingerprints(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_signatures, component_id (the smallest id that links reach, its own included). Two documents
+    link when the Jaccard similarity of their signature sets is ``percent`` or more; a null or empty text links with nothing.
+
+    The search of SpotSigs: signatures in order of frequency, those at the front of a set as the keys under which documents
+    meet; only sets whose sizes lie in the same or the next partition of lengths can be that similar, which prunes before
+    bitmaps bound the overlap and sorted sets decide (see ngram_join, which does the same for shingles)."""
+    found = linked_documents(docs, JaccardSpec(CHAIN, percent), signature_sets, id_col, text_col)
+    return found.select("doc_id", F.col("n_shingles").alias("n_signatures"), "component_id")
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, and for the text and its edited text the fingerprint, with the likeness of
     the text's to the edited text's and to the next document's.
@@ -103,27 +118,26 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of the next document, or all. A null text counts as empty. A table of one row has itself as next. Empty: no rows.
 
     Neighbours are found without one global sort: quantiles of the ids cut the documents into runs, each run is
-    sorted within a task, and the first document of a run is also sent to the end of the run before it, so every text
-    is shuffled once and no task sees more than some runs.
+    sorted within a task (on disk where it is long), and the first document of a run is also sent to the end of the run before it, so
+    every text is shuffled once. Ids are meant to differ: all rows of one id are in one run.
     """
-    spark = docs.sparkSession
     least = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("place", F.coalesce("doc_id", least))
     n = rows.count()
     wanted = int(min(MOST_RUNS, max(1, n // RUN_ROWS)))
-    edges = sorted(set(rows.approxQuantile("place", [i / wanted for i in range(1, wanted)], 0.1 / wanted))) if wanted > 1 and n else []
-    # run 0 has the largest ids
-    run = F.lit(len(edges)) - (F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("place"))) if edges else F.lit(0))
-    rows = rows.withColumn("run", run.cast("int"))
-    heads = {r.run: r.head for r in rows.groupBy("run").agg(F.max("place").alias("head")).collect()}  # one row per run
-    order = sorted(heads)
-    before = [(heads[r], order[i - 1]) for i, r in enumerate(order)]  # the first one's before is the last: all in a ring
-    sent = F.create_map(*[F.lit(x) for pair in before for x in pair])[F.col("place")] if before else F.lit(None).cast("int")
-    target = F.struct(F.col("run").alias("run"), F.lit(0).alias("guest"))
-    guest = F.struct(sent.alias("run"), F.lit(1).alias("guest"))
-    both = rows.select("doc_id", "place", "text", F.explode(F.when(sent.isNull(), F.array(target)).otherwise(F.array(target, guest))).alias("to"))
-    spread = both.select("doc_id", "place", "text", "to.run", "to.guest").repartition(max(1, len(order)), "run")
+    edges = sorted({int(e) for e in rows.approxQuantile("place", [i / wanted for i in range(1, wanted)], 0.1 / wanted)}) if wanted > 1 and n else []
+    # how many edges are at or below the place, by halving; run 0 has the largest ids
+    listed, steps = F.from_json(F.lit(json.dumps(edges)), "array<bigint>"), F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(listed, at + step - 1) <= F.col("place"), F.lit(False)), at + step).otherwise(at)) if edges else F.lit(0)
+    rows = rows.withColumn("run", F.lit(len(edges)) - below)
+    heads = rows.groupBy("run").agg(F.max("place").alias("place"))  # one row per run
+    # the first one's before is the last: all in a ring
+    order = Window.partitionBy(F.lit(0)).orderBy("run")
+    heads = heads.select("place", F.coalesce(F.lag("run").over(order), F.max("run").over(Window.partitionBy(F.lit(0)))).alias("sent"))
+    target, guest = F.struct("run", F.lit(0).alias("guest")), F.struct(F.col("sent").alias("run"), F.lit(1).alias("guest"))
+    both = rows.join(F.broadcast(heads), "place", "left").select("doc_id", "place", "text", F.explode(F.when(F.col("sent").isNull(), F.array(target)).otherwise(F.array(target, guest))).alias("to"))
+    spread = both.select("doc_id", "place", "text", "to.run", "to.guest").repartition(len(edges) + 1, "run")
     spread = spread.sortWithinPartitions("run", "guest", F.desc("place"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,36 +3,36 @@ shingle hashes decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.llm.batches import by_bytes, texts_of
 from quire.llm.components import components
+from quire.llm.hot_keys import join_hot
 from quire.shared import Scratch
 from quire.llm.words import shingle_sets
 
 #: Sets that share a shingle: up to so many, all their possible pairs are listed; more of them meet in a tile, which gives no
 #: more links than it has sets.
 FEW = 128
-#: Sets a tile compares with each other; a tile of more is split into blocks that meet two at a time.
-TILE = 2048
+#: Sets a tile compares with each other; a tile of more first becomes components in so many rounds, each of which joins up to
+#: TILE of them.
+TILE, ROUNDS = 2048, 3
 #: Text bytes that a task turns into shingles at a time.
 BATCH = 1 << 20
 #: Bits of a signature; sets of more shingles put every 2nd, 4th, 8th ... of their shingles in it.
 BITS = 512
 #: Common shingles that may be sent to all executors, 8 bytes each.
 MOST_COMMON = 1_000_000
-#: Bits of the filters that tell which shingles may be shared (16 MB) and which sets are to be compared exactly (2 MB).
-SHARED_BITS, WANTED_BITS = 27, 24
 #: Bits of a wide signature at least and most: about two to four for each shingle.
 LEAST_WIDE, MOST_WIDE = 9, 20
-SET_SCHEMA = "doc_id long, sid long, n int, sig binary, wide binary, prefix array<long>"
+SET_SCHEMA = "doc_id long, text_hash long, sid long, n int, sig binary, wide binary, prefix array<long>"
 
 
 class JaccardSpec:
@@ -80,6 +80,10 @@ def _missing(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     return int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
 
 
+#: Texts to sets of 64-bit hashes, each rising.
+SetsOf = Callable[[pa.Array], list[np.ndarray]]
+
+
 def set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_128_digest(hashes.tobytes())[:8], "little", signed=True)
 
@@ -141,51 +145,50 @@ def _pairs_of_few(spec: JaccardSpec):
     return run
 
 
-def _links_of_tile(spec: JaccardSpec, sid, n, sig, side, hashes) -> list[tuple[int, int]]:
-    """(set, least set of its component) for the components that links form in a tile. A set is compared with those of other
-    components only, the most similar first, by the bounds of the signatures and then exactly. side: 0, or 1 and 2 where
-    only pairs of different sides are asked for."""
+def _links_of_tile(spec: JaccardSpec, sid, n, sig, side, group, hashes) -> list[tuple[int, int]]:
+    """Linked pairs, as few as connect what links connect in a tile. A set is compared with those of other groups only, the
+    most similar first, by the bounds of the signatures and then exactly. group: sets of one number are connected already.
+    side: 0, or 1 and 2 where only pairs of different sides are asked for."""
     order = np.argsort(n, kind="stable")
     sid, n, sig, side = sid[order], n[order], sig[order], side[order]
-    component = np.arange(len(n))
+    component = np.unique(group[order], return_inverse=True)[1]
+    links = []
     for i in range(1, len(n)):
         first = int(np.searchsorted(n, -(-n[i] * spec.num // spec.den)))
-        if first >= i:
-            continue
-        score = _bounds(spec, n[i], sig[i], n[first:i], sig[first:i])
+        apart = first + np.flatnonzero(component[first:i] != component[i])
         if side[i]:
-            score[side[first:i] == side[i]] = 0
+            apart = apart[side[apart] != side[i]]
+        if not len(apart):
+            continue
+        score = _bounds(spec, n[i], sig[i], n[apart], sig[apart])
         found = np.flatnonzero(score)
-        found = first + found[np.argsort(-score[found], kind="stable")]
-        found = found[component[found] != component[i]]
+        found = apart[found[np.argsort(-score[found], kind="stable")]]
         x = hashes[order[i]]
         while len(found):
             j, found = found[0], found[1:]
             y = hashes[order[j]]
             both = len(np.intersect1d(x, y, assume_unique=True))
             if spec.den * both >= spec.num * (len(x) + len(y) - both):
+                links.append((int(sid[i]), int(sid[j])))
                 component[component == component[i]] = component[j]
                 found = found[component[found] != component[j]]
-    least: dict[int, int] = {}
-    for c, s in zip(component.tolist(), sid.tolist()):
-        least[c] = min(s, least.get(c, s))
-    return [(s, least[c]) for c, s in zip(component.tolist(), sid.tolist()) if s != least[c]]
+    return links
 
 
 def _links_of_tiles(spec: JaccardSpec):
-    """An Arrow function over rows sorted by tile and part: (tile, part, sid, n, sig, side, hashes) to connections (a, b)."""
+    """An Arrow function over rows sorted by tile and part: (tile, part, sid, n, sig, side, grp, hashes) to links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, now = [], None
 
         def done() -> pa.RecordBatch:
-            sid, n, side = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3))
+            sid, n, side, group = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3, 4))
             sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, BITS // 64)
-            links = _links_of_tile(spec, sid, n, sig, side, [np.frombuffer(r[4], np.uint64) for r in rows])
+            links = _links_of_tile(spec, sid, n, sig, side, group, [np.frombuffer(r[5], np.uint64) for r in rows])
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for tile, part, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "part", "sid", "n", "sig", "side", "hashes"))):
+            for tile, part, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "part", "sid", "n", "sig", "side", "grp", "hashes"))):
                 if (tile, part) != now:
                     if len(rows) > 1:
                         yield done()
@@ -200,25 +203,61 @@ def _links_of_tiles(spec: JaccardSpec):
 def _postings(sets: DataFrame) -> DataFrame:
     """(token, c, sid): the sets that share a prefix shingle, and how many share it. Lone shingles go."""
     posting = sets.select("sid", F.explode("prefix").alias("token"))
-    return posting.withColumn("c", F.count("*").over(Window.partitionBy("token")).cast("int")).where("c > 1")
-
-
-def _tiles(members: DataFrame, spec: JaccardSpec) -> DataFrame:
-    """(tile, part, sid, side) for members (tile, sid, n): a tile of more than TILE sets is split by size band, where a set goes to
-    its own band and the next one; a band of more is split into blocks, each pair of which is a part."""
-    members = members.join(members.groupBy("tile").agg(F.count("*").alias("c")), "tile")
-    whole = members.where(F.col("c") <= TILE).select("tile", F.lit(0).cast("long").alias("part"), "sid", F.lit(0).alias("side"))
+    counts = posting.groupBy("token").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    return join_hot(posting, counts, "token", total, "c")
+
+
+def _tile_links(members: DataFrame, hashes: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """Links (a, b) within the parts of members (tile, part, sid, n, sig, side, grp)."""
+    rows = members.join(hashes, "sid").select("tile", "part", "sid", "n", "sig", "side", "grp", "hashes")
+    return rows.repartition("tile", "part").sortWithinPartitions("tile", "part").mapInArrow(_links_of_tiles(spec), "a long, b long")
+
+
+def _large_links(large: DataFrame, hashes: DataFrame, spec: JaccardSpec, scratch: Scratch) -> list[DataFrame]:
+    """Links of tiles of more than TILE sets, large: (tile, sid, n, sig, prefix).
+
+    First in ROUNDS rounds, each about linear: sets that share the least of their prefix shingles by a hash of the round meet in parts
+    of at most TILE; of what is connected, one set goes on to the next round. A group of near copies so becomes one
+    component. Then, so that no link is lost, the sets outside of the largest component of their tile and size band (and the next
+    band) are compared with all others there: they go to each block of the others, which stay in one."""
+    found: list[DataFrame] = []
+    groups = large.withColumn("grp", F.col("sid"))
+    for turn in range(ROUNDS):
+        one = groups.where("sid = grp").withColumn("key", F.array_min(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(turn)))))
+        sizes = one.groupBy("tile", "key").agg(F.ceil(F.count("*") / TILE).alias("k"))
+        parts = one.join(sizes, ["tile", "key"]).withColumn("part", F.xxhash64("key", F.pmod(F.xxhash64("sid", F.lit(turn)), "k"))).withColumn("side", F.lit(0))
+        found.append(scratch.write(_tile_links(parts.select("tile", "part", "sid", "n", "sig", "side", "grp"), hashes, spec), f"large-{turn}"))
+        joined = components(reduce(DataFrame.unionByName, found), scratch, f"joined-{turn}")
+        groups = large.join(joined.select(F.col("node").alias("sid"), F.col("root").alias("grp")), "sid", "left").withColumn("grp", F.coalesce("grp", "sid"))
+        groups = scratch.write(groups, f"grouped-{turn}")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(spec.den / spec.num))).cast("int")
-    large = members.where(F.col("c") > TILE).select("tile", "sid", F.explode(F.array(band, band + 1)).alias("band"))
-    sizes = large.groupBy("tile", "band").agg(F.count("*").alias("c"))
-    large = large.join(sizes.select("tile", "band", F.when(F.col("c") <= TILE, 1).otherwise(F.ceil(2 * F.col("c") / TILE)).cast("int").alias("k")), ["tile", "band"])
-    large = large.withColumn("i", F.pmod("sid", "k").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
-    return whole.unionByName(large.select("tile", F.xxhash64("band", F.least("i", "j"), F.greatest("i", "j")).alias("part"), "sid", side.alias("side")))
-
-
-def _bits(rows: DataFrame, bits: int) -> np.ndarray:
-    """A filter of 2^bits bits with those in ``rows`` (column h) set. Its size is fixed, whatever the number of rows."""
+    rows = groups.withColumn("band", F.explode(F.array(band, band + 1)))
+    counts = rows.groupBy("tile", "band", "grp").agg(F.count("*").alias("c"))
+    counts = counts.groupBy("tile", "band").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("c"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(2 * n / TILE)).cast("int")
+    counts = counts.where("c > most").select("tile", "band", "main", blocks(F.col("c") - F.col("most")).alias("ks"), blocks(F.col("most")).alias("km"))
+    rows = rows.join(counts, ["tile", "band"])
+    aside = F.col("grp") != F.col("main")
+    own = F.pmod(F.xxhash64("sid"), F.when(aside, F.col("ks")).otherwise(F.col("km"))).cast("int")
+    rows = rows.withColumn("own", own)
+    part = lambda kind, i, j, side: F.struct(F.xxhash64("band", F.lit(kind), i, j).alias("part"), side.alias("side"))
+    each = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    among = F.transform(each("ks"), lambda i: part(0, F.least(i, "own"), F.greatest(i, "own"), F.when(i == F.col("own"), 0).when(i > F.col("own"), 1).otherwise(2)))
+    across = F.transform(each("km"), lambda j: part(1, F.col("own"), j, F.lit(1)))
+    within = F.transform(each("ks"), lambda i: part(1, i, F.col("own"), F.lit(2)))
+    rows = rows.select("tile", "sid", "n", "sig", "grp", F.explode(F.when(aside, F.concat(among, across)).otherwise(within)).alias("p"))
+    found.append(_tile_links(rows.select("tile", "p.part", "sid", "n", "sig", "p.side", "grp"), hashes, spec))
+    return found
+
+
+def filter_bits(keys: int) -> int:
+    """Of a filter for so many keys: about four to eight bits for each, between 128 KB and 128 MB."""
+    return min(30, max(20, (4 * keys).bit_length()))
+
+
+def key_filter(rows: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2^bits bits with those in ``rows`` (column h) set."""
     found = rows.groupBy(F.expr("h div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits"))
     out = np.zeros((1 << bits) // 8, np.uint8)
     for row in found.toLocalIterator():
@@ -226,56 +265,61 @@ def _bits(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, spec: JaccardSpec, common) -> DataFrame:
+def _prefixes(docs: DataFrame, spec: JaccardSpec, sets_of: SetsOf, common) -> DataFrame:
     """The prefix shingles of all documents, one a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH):
-            sets = [_prefix(s, spec.prefix(len(s)), common.value) for s in shingle_sets(texts_of(batch), spec.k) if len(s)]
+            sets = [_prefix(s, spec.prefix(len(s)), common.value) for s in sets_of(texts_of(batch)) if len(s)]
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["token"])
 
-    return docs.mapInArrow(run, "token long")
+    return docs.select("text").mapInArrow(run, "token long")
 
 
-def _common(docs: DataFrame, spec: JaccardSpec) -> np.ndarray:
+def _common(docs: DataFrame, spec: JaccardSpec, sets_of: SetsOf) -> np.ndarray:
     """Shingles that stand in the hash-ordered prefixes of so many documents that they are to come last in the order. They
     are counted over all documents. Any one order gives the same links; this one keeps tiles small. The least count
     rises with the input, so that there can never be more than MOST_COMMON of them."""
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     most = (size[0] or 0) // 2 * (spec.den - spec.num) // spec.den + 2 * size[1]
     least = max(64, most // MOST_COMMON + 1)
-    tokens = _prefixes(docs, spec, docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64)))
+    tokens = _prefixes(docs, spec, sets_of, docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64)))
     found = tokens.groupBy("token").count().where(F.col("count") >= least).select("token").toPandas()["token"]
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def _sets(docs: DataFrame, spec: JaccardSpec) -> DataFrame:
+def _sets(docs: DataFrame, spec: JaccardSpec, sets_of: SetsOf, scratch: Scratch) -> DataFrame:
     """Every document's set: id of the set, size, signatures, and those prefix shingles that another set may have too."""
     context = docs.sparkSession.sparkContext
-    common = context.broadcast(_common(docs, spec))
-    twice = _prefixes(docs, spec, common).groupBy("token").count().where("count > 1")
-    shared = context.broadcast(_bits(twice.select(F.pmod("token", F.lit(1 << SHARED_BITS)).alias("h")), SHARED_BITS))
+    common = context.broadcast(_common(docs, spec, sets_of))
+    seen = Observation()
+    twice = _prefixes(docs, spec, sets_of, common).groupBy("token").count().where("count > 1").select("token")
+    twice = scratch.write(twice.observe(seen, F.count("*").alias("n")), "shared")
+    size = filter_bits(seen.get["n"])
+    shared = context.broadcast(key_filter(twice.select(F.pmod("token", F.lit(1 << size)).alias("h")), size))
+    scratch.drop("shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in by_bytes(batches, "text", BATCH):
-            sets = shingle_sets(texts_of(batch), spec.k)
+            sets = sets_of(texts_of(batch))
             prefixes = []
             for s in sets:
                 tokens = _prefix(s, spec.prefix(len(s)), common.value) if len(s) else np.zeros(0, np.int64)
-                h = tokens & ((1 << SHARED_BITS) - 1)
+                h = tokens & ((1 << size) - 1)
                 prefixes.append(tokens[bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([signature(s) for s in sets], pa.binary()),
                     pa.array([wide_signature(s) if len(p) else b"" for s, p in zip(sets, prefixes)], pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "sid", "n", "sig", "wide", "prefix"],
+                ["doc_id", "text_hash", "sid", "n", "sig", "wide", "prefix"],
             )
 
     return docs.mapInArrow(run, SET_SCHEMA)
@@ -297,26 +341,27 @@ def _near(pairs: DataFrame, sets: DataFrame, spec: JaccardSpec) -> DataFrame:
     return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _hashes(docs: DataFrame, ids: DataFrame, sets: DataFrame, spec: JaccardSpec) -> DataFrame:
+def _hashes(docs: DataFrame, ids: DataFrame, sets: DataFrame, sets_of: SetsOf, scratch: Scratch) -> DataFrame:
     """(sid, hashes) of the sets in ``ids``. The texts are read again, and a set is sent by one of its documents only: a filter
     tells which, so now and then another one comes too, but none is missing."""
-    ends = ids.join(sets.select("sid", "first_id"), "sid")
-    mask = (1 << WANTED_BITS) - 1
-    low = lambda c: F.coalesce(F.pmod(c, F.lit(mask + 1)), F.lit(0))
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(ends.select(low("sid").bitwiseXOR(low("first_id")).alias("h")), WANTED_BITS))
+    seen = Observation()
+    ends = scratch.write(ids.join(sets.select("sid", "first_id"), "sid").observe(seen, F.count("*").alias("n")), "ends")
+    size = filter_bits(seen.get["n"])
+    low = lambda c: F.coalesce(F.pmod(c, F.lit(1 << size)), F.lit(0))
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(ends.select(low("sid").bitwiseXOR(low("first_id")).alias("h")), size))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in by_bytes(batches, "text", BATCH):
             found = {}
-            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts_of(batch), spec.k)):
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), sets_of(texts_of(batch))):
                 if len(s):
-                    h = ((sid := set_id(s)) ^ (doc_id or 0)) & mask
+                    h = ((sid := set_id(s)) ^ (doc_id or 0)) & ((1 << size) - 1)
                     if bits[h >> 3] >> (h & 7) & 1:
                         found[sid] = s
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["sid", "hashes"])
 
-    return docs.mapInArrow(load, "sid long, hashes binary")
+    return docs.select("doc_id", "text").mapInArrow(load, "sid long, hashes binary")
 
 
 def _linked(pairs: DataFrame, hashes: DataFrame, spec: JaccardSpec) -> DataFrame:
@@ -335,44 +380,75 @@ def _linked(pairs: DataFrame, hashes: DataFrame, spec: JaccardSpec) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def linked_documents(docs: DataFrame, spec: JaccardSpec, sets_of: SetsOf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, and first: whether the row is the one of its component with the
+    smallest id (and, of rows of that id, the least hash of the text). Rows without a set are components of their own."""
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    every = scratch.write(_sets(docs, spec, sets_of, scratch), "documents")
+    first = lambda c: F.first(c).alias(c)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    sets = every.where("sid is not null").groupBy("sid").agg(least.alias("least"), first("n"), first("sig"), first("wide"), first("prefix"))
+    sets = scratch.write(sets.select("sid", F.col("least.doc_id").alias("first_id"), "least", "n", "sig", "wide", "prefix"), "sets")
+    postings = scratch.write(_postings(sets), "postings")
+
+    few = postings.where(F.col("c") <= FEW).select("token", "sid").join(sets.where(F.size("prefix") > 0).select("sid", "n", "sig"), "sid")
+    few = few.select("token", "sid", "n", "sig").repartition("token").sortWithinPartitions("token")
+    pairs = scratch.write(_near(few.mapInArrow(_pairs_of_few(spec), "a long, b long").distinct(), sets, spec), "pairs")
+    tiled = components(postings.where(F.col("c") > FEW).select(F.col("sid").alias("a"), F.col("token").alias("b")), scratch, "tiles")
+    tiled = scratch.write(tiled.select(F.col("node").alias("sid"), F.col("root").alias("tile")).join(sets.select("sid", "n", "sig", "prefix"), "sid"), "tiled")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(tiled.select("sid")).distinct()
+    hashes = scratch.write(_hashes(docs, wanted, sets, sets_of, scratch), "hashes")
+    sizes = scratch.write(tiled.groupBy("tile").agg(F.count("*").alias("c")), "sizes")
+    big = sizes.where(F.col("c") > TILE).select("tile")
+    small = tiled.join(big, "tile", "left_anti").select("tile", F.lit(0).cast("long").alias("part"), "sid", "n", "sig", F.lit(0).alias("side"), F.col("sid").alias("grp"))
+    links = [_linked(pairs, hashes, spec), _tile_links(small, hashes, spec)]
+    if not big.isEmpty():
+        links += _large_links(scratch.write(tiled.join(big, "tile"), "large"), hashes, spec, scratch)
+    links = scratch.write(reduce(DataFrame.unionByName, links), "links")
+    found = components(links, scratch, "groups")
+    scratch.drop("hashes", "ends", "links", "pairs", "postings", "tiled", "sizes", "large", *(f"{t}-{i}" for t in ("large", "grouped") for i in range(ROUNDS)))
+
+    named = sets.select("sid", "least").join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    roots = named.groupBy("root").agg(F.min("least").alias("f"), F.count("*").alias("n"))
+    named = scratch.write(join_hot(named.select("sid", "root"), roots, "root", named.count()).select("sid", "f"), "named")
+    copies = every.groupBy("sid").agg(F.count("*").alias("n")).where("sid is not null")
+    rows = every.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "sid")
+    lone = rows.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"), "text_hash")
+    tied = join_hot(rows, named.join(copies, "sid"), "sid", every.count())
+    is_first = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash"))
+    return tied.select("doc_id", "n_shingles", F.col("f.doc_id").alias("component_id"), is_first.alias("first"), "text_hash").unionByName(lone)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     A text is lower-cased for A-Z and cut into words at ASCII white space; its set holds its different k-word shingles, or its
     whole sequence if it has fewer words. Two documents link when 100 * intersection >= percent * union. A null, empty or
-    wordless text has 0 shingles and no links, its component is its own id. Repeated rows are rows of their own that link.
+    wordless text has 0 shingles and no links, its component is its own id. Repeated rows are rows of their own that link;
+    null ids come after all others, and a component of null ids only has null.
 
     How: equal sets are one set (copies are never paired). Sets that share one of their first n - ceil(t n) + 1 shingles, in
     an order with common shingles last, are compared, so no pair is left out. Where few sets share a shingle, their pairs are
     listed, unless the bits of their signatures bound the overlap below the threshold; wide signatures sort out more, and
     the rest is decided by intersecting sorted hashes. Sets that share a shingle with many, such as groups of near copies,
-    are gathered into tiles (connected by such shingles, split by size band and into blocks), whose sets come with
+    are gathered into tiles (connected by such shingles, and split by size band where large), whose sets come with
     their hashes: there a set is compared only with sets that it isn't connected with yet, so a tile of m sets gives less
     than m links. Exact up to equal 64-bit hashes of different shingles and equal ids of different sets.
     """
-    spec, scratch = JaccardSpec(k, percent), Scratch(docs.sparkSession, "ngram-join")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = scratch.write(_sets(docs, spec), "documents")
-    first = lambda c: F.first(c).alias(c)
-    sets = every.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), first("n"), first("sig"), first("wide"), first("prefix"))
-    sets = scratch.write(sets, "sets")
-    postings = scratch.write(_postings(sets), "postings")
-
-    few = postings.where(F.col("c") <= FEW).select("token", "sid").join(sets.where(F.size("prefix") > 0).select("sid", "n", "sig"), "sid")
-    few = few.select("token", "sid", "n", "sig").repartition("token").sortWithinPartitions("token")
-    pairs = scratch.write(_near(few.mapInArrow(_pairs_of_few(spec), "a long, b long").distinct(), sets, spec), "pairs")
-    tiled = components(postings.where(F.col("c") > FEW).select(F.col("sid").alias("a"), F.col("token").alias("b")), scratch, "tiles")
-    tiled = scratch.write(tiled.select(F.col("node").alias("sid"), F.col("root").alias("tile")).join(sets.select("sid", "n", "sig"), "sid"), "tiled")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(tiled.select("sid")).distinct()
-    hashes = scratch.write(_hashes(docs, wanted, sets, spec), "hashes")
-    tiles = _tiles(tiled, spec).join(tiled.select("sid", "n", "sig"), "sid").join(hashes, "sid").select("tile", "part", "sid", "n", "sig", "side", "hashes")
-    tiles = tiles.repartition("tile", "part").sortWithinPartitions("tile", "part").mapInArrow(_links_of_tiles(spec), "a long, b long")
-    links = scratch.write(_linked(pairs, hashes, spec).unionByName(tiles), "links")
-    scratch.drop("hashes")
-    found = components(links, scratch, "groups")
-
-    first = sets.select("sid", "first_id").join(found, sets.sid == found.node, "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
-    least = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = first.join(least, "root").select("sid", "component_id")
-    return every.select("doc_id", "n", "sid").join(named, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = linked_documents(docs, JaccardSpec(k, percent), partial(shingle_sets, k=k), id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each component of jaccard_components: that of the smallest id, of rows of one
+    id that of the least hash of the text. Rows that repeat both id and text stay or go together; rows without words stay;
+    rows with a null id stay, and no row goes because of them. An empty table stays empty. Only rows to go are joined back, by id and hash of the
+    text, so other texts of the same id are not touched."""
+    found = linked_documents(docs.where(F.col(id_col).isNotNull()), JaccardSpec(k, percent), partial(shingle_sets, k=k), id_col, text_col)
+    gone = found.where("not first").select(F.struct("doc_id", "text_hash").alias("gone")).distinct()
+    mark = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"))
+    rows = docs.select(F.struct("*").alias("row"), mark.alias("mark"))
+    return rows.join(gone, F.col("mark") == F.col("gone"), "left_anti").select("row.*")

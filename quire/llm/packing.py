@@ -62,7 +62,7 @@ def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def cut_plan(places: np.ndarray, prices: np.ndarray, total: int, window: int) -> list[int]:
     """The cheapest ends of windows over tokens 0 to ``total``; the last end is ``total``. places (rising) and prices: where
-    a cut may be and what it costs. A window of L tokens costs window - L, but 0 if L is a power of two.
+    a cut may be and what it costs. A window of L tokens costs window - L.
 
     best(j) = price(j) + window - place(j) + min over i of best(i) + place(i), with place(j) - place(i) <= window: the
     minimum of a sliding range, kept in a queue whose values rise."""

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from quire.llm.batches import by_bytes, texts_of
 from quire.shared import Scratch
-from quire.llm.words import mix, powers, runs, word_hashes
+from quire.llm.words import mix, runs, runs_at, then, word_hashes
 
 #: Words of a minimiser's k-gram, and k-grams of a window of which the least is retained.
 GRAM, WINDOW = 5, 20
@@ -22,7 +22,7 @@ FILTER_BITS = 27
 #: Rows of sorted suffixes that are compared at a time.
 BLOCK = 1 << 16
 #: Suffixes of one key up to which one task compares them (below BLOCK); of a more frequent key, Spark groups the windows.
-HOT = 1 << 13
+HOT = 1 << 11
 ROW = "key long, doc_id long, pos int, last int, before binary, after binary"
 
 
@@ -66,11 +66,9 @@ def _suffixes(words: np.ndarray, starts: np.ndarray, lengths: Lengths):
     text = np.searchsorted(starts[1:], place, "right")
     fits = place + lengths.head <= starts[1:][text] if len(place) else np.zeros(0, bool)
     place, text = place[fits], text[fits]
-    key, p = np.zeros(len(place), np.uint64), powers(lengths.head + 1)
-    for i in range(lengths.head):
-        key += words[place + i] * p[i + 1]
+    key = runs_at(words, place, lengths.head)
     whole = at + lengths.least <= starts[1:][np.searchsorted(starts[1:], at, "right")] if len(at) else np.zeros(0, bool)
-    return text, place, mix(key), at[whole], np.searchsorted(place, chosen[whole])
+    return text, place, key, at[whole], np.searchsorted(place, chosen[whole])
 
 
 def _among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
@@ -83,10 +81,7 @@ def _among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
 def _windows(words: np.ndarray, at: np.ndarray, text: np.ndarray, least: int):
     """(text, first, last, hash) of the windows from ``at`` on. Equal windows of one text that touch or overlap, as in a phrase that
     is repeated over and over, are one row with their first and last places."""
-    window, p = np.zeros(len(at), np.uint64), powers(least + 1)
-    for i in range(least):
-        window += words[at + i] * p[i + 1]
-    window = mix(window)
+    window = runs_at(words, at, least)
     order = np.lexsort((at, window, text))
     at, text, window = at[order], text[order], window[order]
     alike = (text[1:] == text[:-1]) & (window[1:] == window[:-1]) & (at[1:] - at[:-1] <= least)
@@ -123,15 +118,14 @@ def _matches(key, doc, pos, last, before, after, lengths: Lengths):
     n, side = len(key), lengths.side
     start, end = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
     other = np.full(n, np.iinfo(np.int64).max)
-    p = powers(side + 1)
     right = [np.zeros(n, np.uint64)]
     for i in range(side):
-        right.append(right[-1] + after[:, i].astype(np.uint64) * p[i + 1])
-    left = np.zeros(n, np.uint64)
+        right.append(then(right[-1], after[:, i].astype(np.uint64)))
+    left = key.view(np.uint64)
     for l in range(side + 1):
         if l:
-            left = left + before[:, l - 1].astype(np.uint64) * p[l]
-        window = mix(mix(key.view(np.uint64) ^ left) + right[side - l])
+            left = then(left, before[:, l - 1].astype(np.uint64))
+        window = then(mix(left), right[side - l])
         order = np.lexsort((doc, window))
         w, d = window[order], doc[order]
         new = np.concatenate((np.ones(min(1, n), bool), w[1:] != w[:-1]))

@@ -56,9 +56,8 @@ def lengths(texts: pa.Array, path: str) -> np.ndarray:
     count, coder = _counter(path)
     if coder is None:
         return np.array(count(texts.to_pylist()), np.int64)
-    unit, starts, _ = coder.code(texts)
-    flat = np.frombuffer(coder.parts[0], "<u4") if coder.parts else np.zeros(0, "<u4")
-    return per_text(flat[coder.starts[unit]].astype(np.int64), starts)
+    coded, starts, _ = coder.code(texts)
+    return per_text(np.frombuffer(b"".join(coded), "<u4").astype(np.int64), starts)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +65,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
 
     ``tokenizer`` is a file of the tokenizers (.json) or sentencepiece (.model) library, at a path that every executor
     has. No shuffle: rows stay where they were read, and each Python batch holds about 2 MB of text whatever the row
-    count. A null text counts as empty (0 bytes, 0 tokens); a null id stays null; repeated rows are counted each; an
+    count; a longer text stands alone and is cut into units at safe places. A null text counts as empty (0 bytes, 0 tokens); a null id stays null; repeated rows are counted each; an
     empty table gives an empty result; other columns are never read.
     """
 

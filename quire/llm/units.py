@@ -1,8 +1,9 @@
 """Texts cut into units that a word tokenizer encodes apart, each different unit encoded once.
 
 A unit ends where no token can cross, whatever stands on either side: before a space or line feed that follows something
-else than white space, and before a punctuation mark of ASCII that follows a letter. Texts of any length are so split at safe
-places, found by numpy over the UTF-8 bytes.
+else than white space, before a punctuation mark of ASCII that follows a letter, and before a full stop, comma or such of
+Chinese and Japanese that follows an ideograph. Texts of any length are so split at safe places, found by numpy over the
+UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -12,8 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from quire.llm.batches import ragged
-from quire.llm.words import BYTE, SLICE, mix, powers, raw
+from quire.llm.words import SLICE, raw
 
 #: By byte: ASCII letters; ASCII punctuation; bytes after which a space or line feed never begins a unit.
 LETTER = np.zeros(256, bool)
@@ -22,9 +22,8 @@ MARK = np.zeros(256, bool)
 MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 BLANK = np.zeros(256, bool)
 BLANK[[*range(0, 33), 127]] = True
-#: As words.BYTE, but with capitals of their own.
-EXACT = BYTE.copy()
-EXACT[65:91] = np.random.default_rng(7).integers(0, 1 << 63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes before a cut at which a slice must look.
+BACK = 3
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -38,101 +37,86 @@ def cuts(data: np.ndarray) -> np.ndarray:
     after_text = ~BLANK[prev] & ~odd
     # letters of two bytes: C3 80 to C5 BF but the signs of times and division
     after_letter = LETTER[prev] | (wide & (prev2 >= 0xC3) & (prev2 <= 0xC5) & ~((prev2 == 0xC3) & ((prev == 0x97) | (prev == 0xB7))))
-    return ((b == 32) | (b == 10)) & after_text | MARK[b] & after_letter
+    out = ((b == 32) | (b == 10)) & after_text | MARK[b] & after_letter
+    if len(data) > 5 and (some := np.flatnonzero((b == 0xE3) | (b == 0xEF))).size:
+        some = some[(some >= 2) & (some + 3 < len(data))]
+        x, y, z = data[some + 1], data[some + 2], data[some + 3]
+        mark = (x == 0xE3) & (y == 0x80) & ((z == 0x81) | (z == 0x82)) | (x == 0xEF) & (y == 0xBC) & np.isin(z, (0x81, 0x8C, 0x9A, 0x9B, 0x9F))
+        # ideographs: E4 B8 80 to E9 BE BF
+        lead, second = prev3[some], prev2[some]
+        out[some] |= mark & ((lead == 0xE4) & (second >= 0xB8) | (lead >= 0xE5) & (lead <= 0xE8) | (lead == 0xE9) & (second <= 0xBE))
+    return out
 
 
 class UnitCoder:
-    """Codes units by ``encode`` (texts to bytes, 4 for each code) and remembers what it coded by a 64-bit hash of the
-    unit. fold: units that differ in A-Z only, or in one space or line feed before them, have the same codes. special: strings
-    that ``encode`` takes as one token; they are never cut."""
+    """Codes units by ``encode`` (texts to bytes, 4 for each code). What it coded it remembers by the units' own bytes, so equal
+    codes are those of equal units. fold: units that differ in A-Z only, or in one space or line feed before them, have the same
+    codes. special: strings that ``encode`` takes as one token; they are never cut. Units of more than ``longest`` bytes
+    are not remembered, and all is forgotten when what is held exceeds about ``most`` bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], fold: bool = False, special: tuple[str, ...] = (), most: int = 1_500_000):
-        self.encode, self.fold, self.special, self.most = encode, fold, [s.encode() for s in special], most
-        self.forget()
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], fold: bool = False, special: tuple[str, ...] = (), most: int = 256 << 20, longest: int = 512):
+        self.encode, self.fold, self.special, self.most, self.longest = encode, fold, [s.encode() for s in special], most, longest
+        self.memo: dict[bytes, bytes] = {}
+        self.held = 0
 
-    def forget(self) -> None:
-        """hashes rise; unit k has sizes[k] codes from starts[k] on in the joined parts."""
-        self.hashes = np.zeros(0, np.uint64)
-        self.starts, self.sizes, self.parts, self.total = np.zeros(0, np.int64), np.zeros(0, np.int32), [], 0
+    def _begins(self, data: np.ndarray, blob: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where every unit begins (every text begins one), and where special strings do."""
+        first, whole = np.zeros(len(data), bool), []
+        for lo in range(0, len(data), SLICE):
+            hi = min(len(data), lo + SLICE)
+            back = max(0, lo - BACK)
+            found = cuts(data[back : min(len(data), hi + BACK)])
+            first[max(lo, 1) : hi] = found[max(lo, 1) - back - 1 : hi - back - 1]
+        for string in self.special:
+            at = blob.find(string)
+            while at >= 0:
+                first[at + 1 : at + len(string)] = False
+                whole.append(at)
+                at = blob.find(string, at + len(string))
+        first[ends[:-1][ends[:-1] < len(data)]] = True
+        return np.flatnonzero(first), np.array(whole, np.int64)
 
-    def _units(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where every unit begins, where what counts of it begins, where it ends, and its hash. Every text begins a unit."""
-        table = BYTE if self.fold else EXACT
-        first = np.zeros(len(data), bool)
-        if len(data):
-            for lo in range(0, len(data), SLICE):
-                hi = min(len(data), lo + SLICE)
-                back = max(0, lo - 3)
-                found = cuts(data[back:hi])
-                first[max(lo, 1) : hi] = found[max(lo, 1) - back - 1 :]
-            whole = []
-            for string in self.special:
-                at = (blob := data.tobytes()).find(string)
-                while at >= 0:
-                    first[at + 1 : at + len(string)] = False
-                    whole.append(at)
-                    at = blob.find(string, at + len(string))
-            first[ends[:-1][ends[:-1] < len(data)]] = True
-        begin = np.flatnonzero(first)
-        stop = np.append(begin[1:], len(data))
-        start = begin
-        if self.fold:
-            start = begin + ((data[begin] == 32) | (data[begin] == 10))
-        size = stop - start
-        hashes = np.zeros(len(begin), np.uint64)
-        # a slice of units at a time
-        bounds = np.searchsorted(begin, np.arange(0, len(data) + SLICE, SLICE)) if len(begin) else np.zeros(1, np.int64)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if a == b:
-                continue
-            lo, hi = int(begin[a]), int(stop[b - 1])
-            within = np.arange(lo, hi)
-            shift = np.zeros(hi - lo, np.int64)
-            shift[begin[a:b] - lo] = start[a:b]
-            within -= np.maximum.accumulate(shift)
-            value = table[data[lo:hi]]
-            gap = within < 0
-            np.maximum(within, 0, out=within)
-            value *= powers(int(within.max()) + 1)[within]
-            value[gap] = 0
-            hashes[a:b] = mix(np.add.reduceat(value, begin[a:b] - lo) + size[a:b].astype(np.uint64))
-        if len(data) and whole:  # a special string isn't the same in other letters
-            np.add.at(hashes, np.searchsorted(begin, whole, "right") - 1, np.uint64(0x9E3779B97F4A7C15))
-        return begin, start, stop, hashes
-
-    def code(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The known unit of every unit in turn, where each text's units begin (one more at the end), each unit's last byte."""
+    def code(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The codes of every unit in turn, where each text's units begin (one more at the end), each unit's last byte."""
         data, ends = raw(texts)
-        begin, start, stop, hashes = self._units(data, ends)
-        different, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, different)
-        known = np.zeros(len(different), bool)
-        if len(self.hashes):
-            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == different
-        if len(self.hashes) + int((~known).sum()) > self.most:
-            self.forget()
-            at, known = np.zeros(len(different), np.int64), np.zeros(len(different), bool)
-        new = np.flatnonzero(~known)
-        if len(new):
-            blob = data.tobytes()
-            coded: list[bytes] = []
-            for lo in range(0, len(new), 4096):
-                units = first[new[lo : lo + 4096]]
-                coded += self.encode([blob[a:b].decode() for a, b in zip(start[units].tolist(), stop[units].tolist())])
-            size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-            self.parts = [b"".join(self.parts + coded)]
-            self.hashes = np.insert(self.hashes, at[new], different[new])
-            self.starts = np.insert(self.starts, at[new], self.total + np.cumsum(size) - size)
-            self.sizes = np.insert(self.sizes, at[new], size.astype(np.int32))
-            self.total += int(size.sum())
-            at = np.searchsorted(self.hashes, different)
-        return at[place], np.searchsorted(begin, ends, "left"), data[stop - 1]
+        blob = data.tobytes()
+        begin, whole = self._begins(data, blob, ends)
+        stop = np.append(begin[1:], len(data))
+        start = begin + ((data[begin] == 32) | (data[begin] == 10)) if self.fold and len(begin) else begin
+        spans = list(zip(start.tolist(), stop.tolist()))
+        lower = blob.lower() if self.fold else blob
+        keys = [lower[a:b] for a, b in spans]
+        if self.fold:  # a special string isn't the same in other letters; FF is in no text
+            for i in np.searchsorted(begin, whole, "right") - 1:
+                keys[i] = b"\xff" + blob[slice(*spans[i])]
+        coded = list(map(self.memo.get, keys))
+        new: dict[bytes, tuple[int, int]] = {}
+        for i in [i for i, c in enumerate(coded) if c is None]:
+            new.setdefault(keys[i], spans[i])
+        if new:
+            found, fresh = {}, list(new.items())
+            at = 0
+            while at < len(fresh):
+                upto, size = at, 0
+                while upto < len(fresh) and upto - at < 4096 and size < SLICE:
+                    size += fresh[upto][1][1] - fresh[upto][1][0]
+                    upto += 1
+                for (key, _), c in zip(fresh[at:upto], self.encode([blob[a:b].decode() for _, (a, b) in fresh[at:upto]])):
+                    found[key] = c
+                at = upto
+            coded = [found[key] if c is None else c for key, c in zip(keys, coded)]
+            for key, c in found.items():
+                if len(key) <= self.longest:
+                    self.held += len(key) + len(c) + 180
+                    if self.held > self.most:
+                        self.memo.clear()
+                        self.held = len(key) + len(c) + 180
+                    self.memo[key] = c
+        return coded, np.searchsorted(begin, ends, "left"), data[stop - 1] if len(begin) else data[:0]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All codes in turn, where each text's begin (one more at the end), the place after each unit's codes, and each
         unit's last byte."""
-        unit, begin, last = self.code(texts)
-        flat = np.frombuffer(self.parts[0], "<u4") if self.parts else np.zeros(0, "<u4")
-        size = self.sizes[unit].astype(np.int64)
-        after = np.cumsum(size)
-        return flat[ragged(self.starts[unit], size)], np.concatenate((np.zeros(1, np.int64), after))[begin], after, last
+        coded, begin, last = self.code(texts)
+        after = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)
+        return np.frombuffer(b"".join(coded), "<u4"), np.concatenate((np.zeros(1, np.int64), after))[begin], after, last

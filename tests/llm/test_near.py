@@ -149,7 +149,7 @@ def test_fingerprints(odd, odd_rows):
         own, other, following = (set(signatures([t])[0].tolist()) for t in (texts[i], text, texts[after]))
         assert set(read_fingerprint(r.fingerprint).tolist()) == own
         jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-        assert r.near_edited == pytest.approx(jaccard(own, other), abs=0.01) and r.near_next == pytest.approx(jaccard(own, following), abs=0.01)
+        assert r.near_edited == pytest.approx(jaccard(own, other), abs=1e-12) and r.near_next == pytest.approx(jaccard(own, following), abs=1e-12)
     assert rows[21].fingerprint == rows[22].fingerprint
 
 

@@ -6,7 +6,7 @@ import pytest
 from conftest import prose
 
 from quire.llm import queries
-from quire.llm.exact_dedup import directory, drop_exact_duplicates, exact_duplicates
+from quire.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from quire.llm.language_id import identify
 from quire.llm.pii import FORMS, Feistel, Pseudonyms, luhn, mask_documents, mod97, pseudonymise
 from quire.llm.url_filter import UrlTrie, judge_urls
@@ -37,10 +37,49 @@ def test_exact_duplicates_of_repeated_and_null_ids(spark, none):
 
 
 def test_directory_splits_full_buckets(spark):
-    entries = spark.range(4096).selectExpr("cast(id as int) slot", "case when id < 2048 then 8000L else 10L end n_bytes")
-    rows = directory(entries).collect()
-    assert all(r.depth <= 1 for r in rows if r.slot >= 2048) and {r.depth for r in rows if r.slot < 2048} == {2}
-    assert len({r.bucket for r in rows}) == 3
+    """Half of the keys lie in one 4096th of the range, so the directory has to double beyond its first level there."""
+    from quire.llm.exact_dedup import KEY_BITS, build_directory
+    from quire.shared import Scratch
+
+    near, far = f"id * {1 << 20}L", f"id * {1 << (KEY_BITS - 11)}L"
+    keys = spark.range(2048).selectExpr(f"{near} key", "100L bytes").union(spark.range(2048).selectExpr(f"{far} key", "10L bytes")).dropDuplicates(["key"])
+    directory = build_directory(keys, 1500, Scratch(spark, "test"))
+    assert len(directory.levels) > 1
+    rows = directory.place(keys).collect()
+    held = Counter()
+    for r in rows:
+        depth = r.bucket.bit_length() - 1
+        assert r.key >> (KEY_BITS - depth) == r.bucket - (1 << depth)
+        held[r.bucket] += r.bytes
+    assert len(rows) == keys.count() and max(held.values()) <= 1500 and len(held) > 200
+    one = spark.createDataFrame([(7, 10**9), (9, 1)], "key long, bytes long")  # a key alone can't split
+    assert {r.bucket > 0 for r in build_directory(one, 10, Scratch(spark, "test")).place(one).collect()} == {True}
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_exact_duplicates_of_frequent_texts(spark, monkeypatch, few):
+    from quire.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "FEW_ROWS", few)
+    rows = [(i, ["Hot", "hOT", "b", "c", None, ""][i % 6] if i < 60 else f"t{i // 2}", i) for i in range(100)] + [(None, "hot", 100), (57, "B", 101), (57, "b", 102)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long").repartition(5)
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(fold(t), []).append(i)
+    found = exact_duplicates(df).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        g = next(g for t, g in groups.items() if __import__("hashlib").sha256(t.encode()).hexdigest() == r.text_sha256)
+        assert r.doc_id in g and r.keep_id == max(x for x in g if x is not None) and r.group_size == len(g) and (not r.kept or r.doc_id == r.keep_id)
+    assert Counter(r.text_sha256 for r in found if r.kept) == Counter({r.text_sha256: 1 for r in found})
+    stay = drop_exact_duplicates(df).collect()
+    assert len(stay) == len(groups) and all(r.doc_id == max(x for x in groups[fold(r.text)] if x is not None) and rows[r.key][0] == r.doc_id for r in stay)
+
+
+def test_exact_dedup_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "mine", "x", 5), (2, "A", "yours", "y", 6)], "doc_id long, text string, _key string, _sha string, _keep int").selectExpr("*", "1 as key", "2 as bucket", "3 as row", "4 as norm", "5 as place")
+    assert [tuple(r) for r in drop_exact_duplicates(df).collect()] == [(2, "A", "yours", "y", 6, 1, 2, 3, 4, 5)]
+    assert drop_exact_duplicates(df).columns == df.columns and len(exact_duplicates(df).collect()) == 2
 
 
 RULES = queries.URL_RULES
