@@ -60,13 +60,14 @@ def build_directory(keys: DataFrame, capacity: int, scratch: Scratch) -> Directo
     levels, parents = [], None
     for i in range(KEY_BITS // STEP):
         bits = (i + 1) * STEP
-        rows = keys.select(prefix("key", bits).alias("slot"), "bytes")
+        rows = keys.select(prefix("key", bits).alias("slot"), "bytes").withColumn("up", F.shiftright("slot", STEP))
         if parents is not None:
-            rows = rows.withColumn("up", F.shiftright("slot", STEP)).join(F.broadcast(parents), "up", "left_semi")
-        slots = rows.groupBy("slot").agg(F.sum("bytes").alias("bytes"))
+            rows = rows.join(F.broadcast(parents), "up", "left_semi")
+        # the slots of one overfull slot are at most 2^STEP, and are brought into one partition
+        slots = rows.groupBy("up", "slot").agg(F.sum("bytes").alias("bytes")).repartition("up")
         depth = F.lit(bits)
         for d in range(bits - 1, bits - STEP - 1, -1):
-            slots = slots.withColumn(f"full_{d}", F.sum("bytes").over(Window.partitionBy(F.shiftright("slot", bits - d))))
+            slots = slots.withColumn(f"full_{d}", F.sum("bytes").over(Window.partitionBy("up", F.shiftright("slot", bits - d))))
             depth = F.when(F.col(f"full_{d}") <= capacity, d).otherwise(depth)
         bucket = F.expr(f"shiftright(slot, {bits} - depth) + shiftleft(1L, depth)")
         whole = (F.col("bytes") <= capacity) | F.lit(bits == KEY_BITS)
