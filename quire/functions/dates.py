@@ -138,5 +138,5 @@ def year_closeness(a: Column, b: Column) -> Column:
 
 def page_count(value: Column) -> Column:
     """The digits a page statement ends with, if 1 to 19999."""
-    n = F.regexp_extract(_text(value), r"([0-9]{1,9})[^0-9]*$", 1).try_cast("int")
+    n = F.regexp_extract(_text(value), r"([0-9]{1,9})\s*$", 1).try_cast("int")
     return F.when(n.between(1, 19999), n)

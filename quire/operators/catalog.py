@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from quire.functions.dates import catalogue_date, first_year, page_count, series_number, year_closeness
+from quire.functions.dates import catalogue_date, first_year, page_count, publish_date, series_number, year_closeness
 from quire.functions.identifiers import edition_isbns, isbn10_to_13, isbn13_to_10, is_isbn10, is_isbn13, strip_isbn
-from quire.functions.names import split_names, surname
+from quire.functions.names import clean_series, space_initials, split_names, surname
 from quire.functions.text import collapse, plain_key, text_of, title_stem, words_key
+from quire.operators.languages import language_code
+from quire.shared import Scratch
 
 # Types of titles and publications that are books.
 BOOK_TYPES = ("NOVEL", "COLLECTION", "ANTHOLOGY", "OMNIBUS", "CHAPBOOK", "NONFICTION")
@@ -50,6 +53,21 @@ def borrow_authors(editions: DataFrame, works: DataFrame) -> DataFrame:
     return editions.join(own, "work_key", "left").withColumn("author_keys", F.when(none, F.coalesce("work_authors", F.array().cast("array<string>"))).otherwise(F.col("author_keys"))).drop("work_authors")
 
 
+def why_left_out(has_isbn: Column, wanted: Column) -> Column:
+    """kept, or the first reason why an edition is not."""
+    return F.when(~has_isbn, "no_isbn").when(~wanted, "language").otherwise("kept")
+
+
+def import_summary(rows: DataFrame, why: str, author: Column) -> DataFrame:
+    """(why, rows, authors): how many rows were kept or left out, and how many first authors these have."""
+    return rows.groupBy(F.col(why).alias("why")).agg(F.count("*").alias("rows"), F.count_distinct(author).alias("authors"))
+
+
+def used_rows(names: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """The names that are referred to."""
+    return names.join(used.select(key), key, "left_semi")
+
+
 def catalogue_a(editions: DataFrame, works: DataFrame, authors: DataFrame, languages: list[str], keep_unknown: bool = True) -> dict[str, DataFrame]:
     """The tables of catalogue A: editions, extra_isbns, authors and a summary.
 
@@ -59,8 +77,8 @@ def catalogue_a(editions: DataFrame, works: DataFrame, authors: DataFrame, langu
     isbn = edition_isbns(F.col("isbn_13"), F.col("isbn_10"))
     codes = F.coalesce("languages", F.array().cast("array<string>"))
     wanted = F.arrays_overlap(codes, F.array(*map(F.lit, languages))) | (F.size(codes) == 0) & F.lit(keep_unknown) if languages else F.lit(True)
-    rows = editions.withColumn("isbn", isbn).withColumn("why", F.when(F.col("isbn.isbn13") == "", "no_isbn").when(~wanted, "language").otherwise("kept"))
-    summary = rows.groupBy("why").agg(F.count("*").alias("rows"))
+    rows = editions.withColumn("isbn", isbn).withColumn("why", why_left_out(F.col("isbn.isbn13") != "", wanted))
+    summary = import_summary(rows, "why", F.get("author_keys", F.lit(0)))
     kept = borrow_authors(rows.where("why = 'kept'"), works)
     named = kept.join(joined_names(kept, authors, "key", "author_keys", "author_key", "name"), "key", "left")
     table = with_ids(named, "ordinal").select(
@@ -86,54 +104,80 @@ def catalogue_a(editions: DataFrame, works: DataFrame, authors: DataFrame, langu
     return {
         "editions": table.drop("extras"),
         "extra_isbns": table.select(F.explode("extras").alias("isbn13"), F.col("id").alias("edition_id")),
-        "authors": authors.join(used, "author_key", "left_semi"),
+        "authors": used_rows(authors, used, "author_key"),
         "summary": summary,
     }
 
 
 def with_ids(rows: DataFrame, order: str) -> DataFrame:
-    """A column id: 1, 2, ... in the order of ``order``. Rows are counted by bands of the order's value, the few bands are
-    summed up, and each band is numbered on its own."""
-    band = F.floor(F.col(order) / F.lit(100_000)).cast("long")
-    counts = rows.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    numbered = rows.withColumn("band", band).withColumn("within", F.row_number().over(Window.partitionBy("band").orderBy(order)))
-    return numbered.join(before, "band").withColumn("id", F.col("before") + F.col("within")).drop("band", "within", "before")
-
-
-def catalogue_b(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """works and editions of catalogue B from its nine tables: languages, authors, series, titles, canonical_author, publishers,
-    pubs, pub_content, pub_authors."""
-    listed = lambda df, key: df.groupBy(key).agg(F.array_join(F.slice(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("author_id", "author_canonical"))), lambda x: x["author_canonical"])), 1, MOST_AUTHORS), "; ").alias("names"))
-    authors = t["authors"].where(F.coalesce("author_canonical", F.lit("")) != "")
-    title_names = listed(t["canonical_author"].where("ca_status = 1").join(authors, "author_id"), "title_id")
-    pub_names = listed(t["pub_authors"].join(authors, "author_id"), "pub_id")
-    series = t["series"].select("series_id", "series_title", "series_parent")
-    parents = t["series"].select(F.col("series_id").alias("series_parent"), F.col("series_title").alias("parent_title"))
-    titles = t["titles"].where(F.col("title_ttype").isin(*BOOK_TYPES)).join(t["languages"].select(F.col("lang_id").alias("title_language"), "lang_code"), "title_language", "left").join(title_names, "title_id", "left")
+    """A column id: 1, 2, ... in the order of ``order``, nulls last. Ranges of the order's values, as many as there are shuffle partitions,
+    are written to the shared folder and counted; each is then numbered on its own, shifted by the counts before it."""
+    scratch, kept = Scratch(rows.sparkSession, "ids"), F.struct("*").alias("row")
+    ranged = rows.select(kept, F.col(order).alias("o")).repartitionByRange(F.col("o").asc_nulls_last()).withColumn("band", F.spark_partition_id())
+    ranged = scratch.write(ranged, "ranges")
+    counts = ranged.groupBy("band").agg(F.count("*").alias("n"))  # one row per range
+    before = counts.select("band", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("band")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("band").orderBy(F.col("o").asc_nulls_last()))
+    return ranged.withColumn("within", within).join(F.broadcast(before), "band").select("row.*", (F.col("before") + F.col("within")).alias("id"))
+
+
+def names_in_order(links: DataFrame, authors: DataFrame, key: str) -> DataFrame:
+    """(key, names): the names of each key's authors in the order of ``ordinal``, each once, at most MOST_AUTHORS. links: key, author_id, ordinal."""
+    named = links.join(authors.where(F.coalesce("author_canonical", F.lit("")) != "").select("author_id", "author_canonical"), "author_id")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "author_canonical"))), lambda x: x["author_canonical"])
+    return named.groupBy(key).agg(F.array_join(F.slice(F.array_distinct(listed), 1, MOST_AUTHORS), "; ").alias("names"))
+
+
+def inherited(titles: DataFrame) -> DataFrame:
+    """Titles with what they take from the title they are a variant of: series and its number where they have no series, authors
+    where they have none, and always the parent's year. titles: title_id, title_parent, series_id, title_seriesnum,
+    title_seriesnum_2, title_copyright, names and others. Adds series_num, year, authors_text."""
     up = titles.select(*[F.col(c).alias(f"p_{c}") for c in ("title_id", "series_id", "title_seriesnum", "title_seriesnum_2", "title_copyright", "names")])
     both = titles.join(up, F.col("title_parent") == F.col("p_title_id"), "left")
     own = F.coalesce("series_id", F.lit(0)) != 0
-    both = both.select(
-        "title_id", "title_title", "title_ttype", "title_parent", "lang_code",
+    others = [c for c in titles.columns if c not in ("series_id", "title_seriesnum", "title_seriesnum_2", "title_copyright", "names")]
+    return both.select(
+        *others,
         F.when(own, F.col("series_id")).otherwise(F.col("p_series_id")).alias("series_id"),
         F.when(own, series_number(F.col("title_seriesnum"), F.col("title_seriesnum_2"))).otherwise(series_number(F.col("p_title_seriesnum"), F.col("p_title_seriesnum_2"))).alias("series_num"),
         F.coalesce(catalogue_date(F.col("p_title_copyright"))["year"], catalogue_date(F.col("title_copyright"))["year"]).alias("year"),
         F.coalesce(F.when(F.coalesce("names", F.lit("")) != "", F.col("names")), F.col("p_names"), F.lit("")).alias("authors_text"),
-    )
-    works = both.join(series, "series_id", "left").join(parents, "series_parent", "left").select(
-        F.col("title_id").alias("id"), collapse(F.col("title_title")).alias("title"), "authors_text", "year", F.coalesce("series_title", F.lit("")).alias("series"),
-        F.when(F.col("series_title").isNull(), "").otherwise(F.col("series_num")).alias("series_num"), F.coalesce("parent_title", F.lit("")).alias("series_parent"),
+    )
+
+
+def with_series(titles: DataFrame, series: DataFrame) -> DataFrame:
+    """Titles with the names of their series and of the series above it, blank where there is none."""
+    one = series.select("series_id", "series_title", "series_parent")
+    above = series.select(F.col("series_id").alias("series_parent"), F.col("series_title").alias("parent_title"))
+    found = titles.join(one, "series_id", "left").join(above, "series_parent", "left")
+    return found.withColumns({"series": F.coalesce("series_title", F.lit("")), "series_num": F.when(F.col("series_title").isNull(), "").otherwise(F.col("series_num")), "parent_title": F.coalesce("parent_title", F.lit(""))})
+
+
+def printed_title(pubs: DataFrame, content: DataFrame, titles: DataFrame) -> DataFrame:
+    """(pub_id, work_id): of the titles that a publication prints and that are of its own kind, the one named like it, then the lowest."""
+    link = content.join(pubs.select("pub_id", "pub_title", "pub_ctype"), "pub_id").join(titles.select("title_id", "title_title", "title_ttype"), "title_id").where("pub_ctype = title_ttype")
+    other = F.when(plain_key(F.col("pub_title")) == plain_key(F.col("title_title")), 0).otherwise(1)
+    return link.groupBy("pub_id").agg(F.min(F.struct(other.alias("other"), "title_id")).alias("b")).select("pub_id", F.col("b.title_id").alias("work_id"))
+
+
+def catalogue_b(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """works and editions of catalogue B from its nine tables: languages, authors, series, titles, canonical_author, publishers,
+    pubs, pub_content, pub_authors. Names stand in the order of the dump's rows. An edition without a known work keeps a null work_id."""
+    title_names = names_in_order(t["canonical_author"].where("ca_status = 1"), t["authors"], "title_id")
+    pub_names = names_in_order(t["pub_authors"], t["authors"], "pub_id")
+    codes = t["languages"].select(F.col("lang_id").alias("title_language"), language_code(F.col("lang_code")).alias("lang_code"))
+    titles = t["titles"].where(F.col("title_ttype").isin(*BOOK_TYPES)).drop("ordinal").join(codes, "title_language", "left").join(title_names, "title_id", "left")
+    works = with_series(inherited(titles), t["series"]).select(
+        F.col("title_id").alias("id"), collapse(F.col("title_title")).alias("title"), "authors_text", "year", "series", "series_num", F.col("parent_title").alias("series_parent"),
         F.coalesce("lang_code", F.lit("")).alias("language"), F.col("title_ttype").alias("ttype"), F.when(F.col("title_parent") != 0, F.col("title_parent")).alias("variant_of"),
     )
     pubs = t["pubs"].where(F.col("pub_ctype").isin(*BOOK_TYPES))
-    link = t["pub_content"].join(pubs.select("pub_id", "pub_title", "pub_ctype"), "pub_id").join(titles.select("title_id", "title_title", "title_ttype"), "title_id").where("pub_ctype = title_ttype")
-    best = Window.partitionBy("pub_id").orderBy((plain_key(F.col("pub_title")) == plain_key(F.col("title_title"))).desc(), "title_id")
-    link = link.withColumn("place", F.row_number().over(best)).where("place = 1").select("pub_id", F.col("title_id").alias("work_id"))
+    link = printed_title(pubs, t["pub_content"], titles)
     raw = strip_isbn(F.col("pub_isbn"))
     isbn13 = F.when(is_isbn13(raw), raw).when(is_isbn10(raw), isbn10_to_13(raw)).otherwise("")
     date = catalogue_date(F.col("pub_year"))
-    editions = pubs.withColumn("isbn13", isbn13).where("isbn13 <> ''").join(link, "pub_id").join(pub_names, "pub_id", "left").join(t["publishers"], "publisher_id", "left").select(
+    publishers = t["publishers"].select("publisher_id", "publisher_name")
+    editions = pubs.withColumn("isbn13", isbn13).where("isbn13 <> ''").join(link, "pub_id", "left").join(pub_names, "pub_id", "left").join(publishers, "publisher_id", "left").select(
         F.col("pub_id").alias("id"), "work_id", "isbn13", F.when(is_isbn10(raw), raw).otherwise(isbn13_to_10(F.col("isbn13"))).alias("isbn10"), collapse(F.col("pub_title")).alias("title"),
         F.coalesce("names", F.lit("")).alias("authors_text"), F.coalesce("publisher_name", F.lit("")).alias("publisher"), date["year"].alias("year"), date["month"].alias("month"), date["day"].alias("day"),
         F.coalesce("pub_ptype", F.lit("")).alias("binding"), F.col("pub_ctype").alias("ctype"), page_count(F.col("pub_pages")).alias("pages"),
@@ -151,20 +195,95 @@ def completeness() -> Column:
     return total
 
 
-def lookup_by_isbn(probes: DataFrame, editions: DataFrame, extra: DataFrame | None = None, most: int = MOST_BY_ISBN) -> DataFrame:
-    """probe_id, id and place (1 for the fullest) of at most ``most`` editions with a probe's number. probes: probe_id, isbn.
-    Three equi-joins instead of one join by OR."""
+def _asked(probes: DataFrame) -> DataFrame:
+    """probe_id and both forms of a probe's valid number."""
     raw = strip_isbn(F.col("isbn"))
-    asked = probes.select("probe_id", F.when(is_isbn13(raw), raw).otherwise(isbn10_to_13(raw)).alias("isbn13"), F.when(is_isbn10(raw), raw).otherwise(isbn13_to_10(raw)).alias("isbn10")).where("isbn13 <> ''")
+    return probes.select("probe_id", F.when(is_isbn13(raw), raw).otherwise(isbn10_to_13(raw)).alias("isbn13"), F.when(is_isbn10(raw), raw).otherwise(isbn13_to_10(raw)).alias("isbn10")).where("isbn13 <> ''")
+
+
+def _hits(asked: DataFrame, editions: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """(probe_id, id) by equi-joins instead of one join by OR."""
     hits = asked.join(editions.select("id", "isbn13"), "isbn13").select("probe_id", "id")
     hits = hits.unionByName(asked.where("isbn10 <> ''").join(editions.select("id", "isbn10"), "isbn10").select("probe_id", "id"))
     if extra is not None:
         hits = hits.unionByName(asked.join(extra.select("isbn13", F.col("edition_id").alias("id")), "isbn13").select("probe_id", "id"))
-    ranked = hits.distinct().join(editions.select("id", completeness().alias("full")), "id")
+    return hits.distinct()
+
+
+def lookup_by_isbn(probes: DataFrame, editions: DataFrame, extra: DataFrame | None = None, most: int = MOST_BY_ISBN) -> DataFrame:
+    """probe_id, id and place (1 for the fullest) of at most ``most`` editions with a probe's number. probes: probe_id, isbn."""
+    ranked = _hits(_asked(probes), editions, extra).join(editions.select("id", completeness().alias("full")), "id")
     place = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("full"), "id"))
     return ranked.withColumn("place", place).where(F.col("place") <= most).select("probe_id", "id", "place")
 
 
+def lookup_by_isbn_b(probes: DataFrame, editions: DataFrame, works: DataFrame, most: int = MOST_BY_ISBN) -> DataFrame:
+    """probe_id, id, work_id and place in catalogue B: editions whose work has a series first, then by id."""
+    found = _hits(_asked(probes), editions).join(editions.select("id", "work_id"), "id").join(works.select(F.col("id").alias("work_id"), "series"), "work_id", "left")
+    order = Window.partitionBy("probe_id").orderBy(text_of(F.col("series")) == "", "id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("probe_id", "id", "work_id", "place")
+
+
+def candidates_a(editions: DataFrame) -> DataFrame:
+    """Editions of catalogue A as what a look-up offers: title, authors, publisher (the first), year, month and day (those written out,
+    else the year), isbn, language, subtitle, pages, cover_id."""
+    rows = editions.withColumn("d", publish_date(F.col("publish_date_raw")))
+    return rows.select(
+        "id", text_of(F.col("title")).alias("title"), space_initials(F.col("authors_text")).alias("authors"), F.split_part(text_of(F.col("publishers")), F.lit("; "), F.lit(1)).alias("publisher"),
+        F.when(F.col("d.year") != "", F.col("d.year")).otherwise(text_of(F.col("year"))).alias("year"), F.col("d.month").alias("month"), F.col("d.day").alias("day"), text_of(F.col("isbn13")).alias("isbn"),
+        language_code(F.col("language")).alias("language"), text_of(F.col("subtitle")).alias("subtitle"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("cover_id", F.lit(0)).alias("cover_id"),
+    )
+
+
+def candidates_b(links: DataFrame, works: DataFrame, editions: DataFrame) -> DataFrame:
+    """Candidates of catalogue B. links: work_id, edition_id, of which one may be null, and what else is to be kept. The work's title and authors
+    come before the edition's; the year is the edition's, or without an edition the work's; a month needs a year, a day a month."""
+    w = works.select(F.col("id").alias("work_id"), *[F.col(c).alias(f"w_{c}") for c in ("title", "authors_text", "year", "series", "series_num", "series_parent", "language")])
+    e = editions.select(F.col("id").alias("edition_id"), *[F.col(c).alias(f"e_{c}") for c in ("title", "authors_text", "publisher", "year", "month", "day", "binding", "isbn13", "pages")])
+    first = lambda a, b: F.when(text_of(F.col(a)) != "", F.col(a)).otherwise(text_of(F.col(b)))
+    number = lambda c: F.when(F.coalesce(c, F.lit(0)) != 0, c.cast("string")).otherwise("")
+    rows = links.join(w, "work_id", "left").join(e, "edition_id", "left").withColumn("authors", space_initials(first("w_authors_text", "e_authors_text")))
+    rows = rows.withColumn("series", clean_series(F.col("w_series"), F.col("authors")))
+    year, month = number(F.col("e_year")), number(F.col("e_month"))
+    kept = [c for c in links.columns if c not in ("work_id", "edition_id")]
+    return rows.select(
+        *kept, "work_id", "edition_id", first("w_title", "e_title").alias("title"), "authors", text_of(F.col("e_publisher")).alias("publisher"),
+        F.when(F.col("edition_id").isNull(), number(F.col("w_year"))).otherwise(year).alias("year"), F.when(year != "", month).otherwise("").alias("month"), F.when((year != "") & (month != ""), number(F.col("e_day"))).otherwise("").alias("day"),
+        text_of(F.col("e_isbn13")).alias("isbn"), text_of(F.col("w_language")).alias("language"), "series", F.when(F.col("series") != "", text_of(F.col("w_series_num"))).otherwise("").alias("series_index"),
+        clean_series(F.col("w_series_parent"), F.col("authors")).alias("series_parent"), number(F.col("w_year")).alias("first_year"), text_of(F.col("e_binding")).alias("binding"), F.coalesce("e_pages", F.lit(0)).alias("pages"),
+    )
+
+
+def candidate_fields(candidates: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, fields): a candidate's fields that came back with a value, as a map; a series number only with a series."""
+    value = {f: text_of(F.col(f)) if f != "series_index" else F.when(text_of(F.col("series")) != "", text_of(F.col(f))).otherwise("") for f in fields}
+    every = F.create_map(*[x for f in fields for x in (F.lit(f), value[f])])
+    return candidates.select(key, F.map_filter(every, lambda _, v: v != "").alias("fields"))
+
+
+def work_by_id(probes: DataFrame, works: DataFrame) -> DataFrame:
+    """Works asked for by id (work_id); unknown, null and zero ids give nothing."""
+    return probes.where("work_id <> 0").join(works.withColumnRenamed("id", "work_id"), "work_id")
+
+
+def not_ready(spark: SparkSession, path: str | None, tables: dict[str, tuple[str, ...]]) -> str:
+    """Why the catalogue at ``path`` (a folder with a Parquet table for each name) can't be asked, or an empty text. tables: columns that are needed."""
+    if not path:
+        return "no catalogue is set up"
+    for name, columns in tables.items():
+        try:
+            found = spark.read.parquet(f"{path}/{name}").columns
+        except AnalysisException:
+            return f"the catalogue at {path} has no table {name}; build it again"
+        if lacks := [c for c in columns if c not in found]:
+            return f"the catalogue's table {name} lacks {', '.join(lacks)}; build it again"
+    return ""
+
+
+#: Letters of a word by which prefixes of it are looked up.
+STEM = 4
+
+
 def token_table(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(token, id): the different words of each text, the index that title look-ups join on."""
     return rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.split(words_key(F.col(text_col)), " "))).alias("token")).where("token <> ''")
@@ -180,30 +299,49 @@ def similarity(a, b):
 
 def lookup_by_title(probes: DataFrame, works: DataFrame, most: int = MOST_BY_TITLE, pool: int = POOL) -> DataFrame:
     """probe_id, id, attempt, score and place of the best works for a title and authors. probes: probe_id, title, authors, year;
-    works: id, title, authors_text, year, known (whether 0.05 is added in full).
-
-    The whole title is tried first, then its stem; with authors, a work needs a surname of theirs. A work must hold every
-    word of the title. Of a probe's works those of the lowest attempt that has any stay, at most ``pool`` before scoring: the ones
-    whose titles are closest in length. score = 0.6 title + 0.25 authors + 0.1 year + 0.05 known."""
-    tokens = token_table(works, "id", "title")
-    tries = probes.select("probe_id", F.posexplode(F.array_distinct(F.array(words_key(F.col("title")), words_key(title_stem(F.col("title")))))).alias("attempt", "asked")).where("asked <> ''")
-    words = tries.select("probe_id", "attempt", "asked", F.explode(F.array_distinct(F.split("asked", " "))).alias("token"), F.size(F.array_distinct(F.split("asked", " "))).alias("need"))
-    # a work is met at one word, the longest of the title; the others are looked for in its own text
-    rare = Window.partitionBy("probe_id", "attempt").orderBy(F.desc(F.length("token")), "token")
-    first = words.withColumn("at", F.row_number().over(rare)).where("at = 1")
-    met = first.join(tokens, "token").join(works.select("id", F.col("title").alias("w_title"), F.col("authors_text").alias("w_authors"), F.col("year").alias("w_year"), "known"), "id")
+    works: id, title, authors_text, year, known (what share of 0.05 is added: for catalogue A how full an edition is, for B whether
+    it has a series).
+
+    Attempts in turn: the whole title, then its stem; for each, with an author, works with all words of the first author's name, then
+    with the surname; never without. A work must have a word that begins with each word of the title. Of a probe's works those of
+    the first attempt that finds any stay, at most ``pool`` before scoring: the ones whose titles are closest in length. score = 0.6 title +
+    0.25 authors + 0.1 year + 0.05 known.
+
+    A work is met at one word of the title: the one whose first letters the fewest works have, so that frequent words
+    bring no rows together. Works are counted by these letters first."""
+    keyed = works.select("id", F.split(words_key(F.col("title")), " ").alias("has"), F.split(words_key(F.col("authors_text")), " ").alias("by_words"), F.col("title").alias("w_title"), F.col("authors_text").alias("w_authors"), F.col("year").alias("w_year"), "known")
+    stems = keyed.select("id", F.explode(F.array_distinct(F.transform("has", lambda w: F.substring(w, 1, STEM)))).alias("s")).where("s <> ''")
+    # a short word is the beginning of many, so it is looked up by each of its lengths
+    stems = stems.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda n: F.substring("s", 1, n))).alias("token")).distinct()
+    often = stems.groupBy("token").agg(F.count("*").alias("works"))
+    first_author = F.coalesce(F.get(split_names(F.col("authors")), F.lit(0)), F.lit(""))
+    titles = F.array_distinct(F.array(words_key(F.col("title")), words_key(title_stem(F.col("title")))))
+    author_words = F.when(first_author == "", F.array(F.lit(""))).otherwise(F.filter(F.array_distinct(F.array(words_key(first_author), surname(first_author))), lambda x: x != ""))
+    tries = probes.select("probe_id", F.posexplode(titles).alias("attempt", "asked"), author_words.alias("by")).where("asked <> ''")
+    # a title that many probes ask for is looked up once
+    need = F.array_distinct(F.transform(F.split("asked", " "), lambda w: F.substring(w, 1, STEM)))
+    words = tries.select("asked").distinct().select("asked", F.explode(need).alias("token"), F.size(need).alias("need")).join(often, "token")
+    # one with a word that no work has finds nothing, and meets nothing
+    rare = words.groupBy("asked", "need").agg(F.min(F.struct("works", "token")).alias("m"), F.count("*").alias("n")).where("n = need").select("asked", F.col("m.token").alias("token"))
+    hits = rare.join(stems, "token").join(keyed, "id").where(F.forall(F.split("asked", " "), lambda w: F.exists("has", lambda h: h.startswith(w))))
+    met = tries.join(hits.drop("token", "has"), "asked")
+    met = met.select("*", F.posexplode("by").alias("author_attempt", "wanted")).where((F.col("wanted") == "") | (F.size(F.array_except(F.split("wanted", " "), "by_words")) == 0))
+    met = met.select("probe_id", "id", (F.col("attempt") * 2 + F.col("author_attempt")).alias("turn"), "attempt", "w_title", "w_authors", "w_year", "known")
     met = met.join(probes.select("probe_id", "title", "authors", "year"), "probe_id")
-    want, have = F.transform(split_names(F.col("authors")), surname), F.transform(split_names(F.col("w_authors")), surname)
-    fits = (F.size(F.array_except(F.split("asked", " "), F.split(words_key(F.col("w_title")), " "))) == 0) & ((F.size(want) == 0) | F.arrays_overlap(want, have))
-    met = met.where(fits).withColumn("low", F.min("attempt").over(Window.partitionBy("probe_id"))).where("attempt = low")
+    met = met.withColumn("low", F.min("turn").over(Window.partitionBy("probe_id"))).where("turn = low")
     near = Window.partitionBy("probe_id").orderBy(F.abs(F.length("w_title") - F.length("title")), "id")
     met = met.withColumn("p", F.row_number().over(near)).where(F.col("p") <= pool)
-    author = F.when(F.size(want) == 0, 0.5).otherwise(F.size(F.array_intersect(want, have)) / F.size(F.array_distinct(want)))
-    score = 0.6 * similarity(words_key(F.col("title")), words_key(F.col("w_title"))) + 0.25 * author + 0.1 * year_closeness(F.col("year"), F.col("w_year")) + 0.05 * F.col("known")
+    want, have = F.array_distinct(F.transform(split_names(F.col("authors")), surname)), F.transform(split_names(F.col("w_authors")), surname)
+    author = F.when(F.size(want) == 0, 0.5).otherwise(F.size(F.array_intersect(want, have)) / F.size(want))
+    # a pair of titles is compared once, however many works and probes have it
+    pairs = met.select(words_key(F.col("title")).alias("x"), words_key(F.col("w_title")).alias("y")).distinct()
+    pairs = pairs.select("x", "y", similarity("x", "y").alias("alike"))
+    met = met.join(pairs, (words_key(F.col("title")) == F.col("x")) & (words_key(F.col("w_title")) == F.col("y")))
+    score = 0.6 * F.col("alike") + 0.25 * author + 0.1 * year_closeness(F.col("year"), F.col("w_year")) + 0.05 * F.col("known")
     met = met.withColumn("score", F.round(score, 6))
-    one = Window.partitionBy("probe_id", words_key(F.col("w_title")), words_key(F.col("w_authors"))).orderBy(F.desc("score"), "id")
+    one = Window.partitionBy("probe_id", words_key(F.col("w_title")), words_key(F.col("w_authors"))).orderBy(F.desc("score"), F.desc("known"), "id")
     met = met.withColumn("o", F.row_number().over(one)).where("o = 1")
-    met = met.withColumn("place", F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("score"), "id"))).where(F.col("place") <= most)
+    met = met.withColumn("place", F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("score"), F.desc("known"), "id"))).where(F.col("place") <= most)
     return met.select("probe_id", "id", "attempt", "score", "place")
 
 

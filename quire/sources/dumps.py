@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import collapse
@@ -17,12 +18,15 @@ SHAPES = {"edition": EDITION, "author": AUTHOR, "work": WORK}
 #: A dump is refused if more than this share of the first lines looked at is no JSON.
 MOST_BAD, LOOKED_AT = 0.2, 1000
 
-# Tables and columns of dump B that are read, in the order in which the dump has them.
+# Tables and columns of dump B that are read.
 DUMP_B = {
     "languages": ("lang_id", "lang_code"), "authors": ("author_id", "author_canonical"), "series": ("series_id", "series_title", "series_parent"),
     "titles": ("title_id", "title_title", "series_id", "title_seriesnum", "title_seriesnum_2", "title_copyright", "title_ttype", "title_parent", "title_language"), "canonical_author": ("title_id", "author_id", "ca_status"),
     "publishers": ("publisher_id", "publisher_name"), "pubs": ("pub_id", "pub_title", "pub_year", "publisher_id", "pub_pages", "pub_ptype", "pub_ctype", "pub_isbn"), "pub_content": ("pub_id", "title_id"), "pub_authors": ("pub_id", "author_id"),
 }
+NUMBERS_B = ("series_parent", "title_parent", "title_language", "ca_status")
+#: Lines of table definitions that a dump may have.
+MOST_DEFINITIONS = 100_000
 
 
 def read_dump_a(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -42,6 +46,7 @@ def refuse_bad_dump(rows: DataFrame) -> None:
 
 
 def _keys(column, get):
+    """The last parts of a key list's paths, each once. An entry may be an object or, as old records have it, a bare string."""
     last = lambda x: F.regexp_extract(get(x), "([^/]*)$", 1)
     return F.array_distinct(F.filter(F.transform(F.coalesce(column, F.array().cast(f"array<{'struct<author:struct<key:string>>' if get is _nested else 'struct<key:string>'}>")), last), lambda x: x != ""))
 
@@ -74,57 +79,84 @@ def works_a(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by(_keys(F.col("r.authors"), _nested), "ordinal").alias("author_keys")).select(F.col("key").alias("work_key"), "author_keys")
 
 
+#: A row of an INSERT line, and a value of a row: a string, or anything else up to the next comma.
+_ROW = re.compile(r"\(((?:'(?:[^'\\]|\\.|'')*'|[^'()])*)\)", re.S)
+_VALUE = re.compile(r"\s*(?:'((?:[^'\\]|\\.|'')*)'|([^,']*))\s*(?:,|$)", re.S)
+_ESCAPED = re.compile(r"\\(.)|''", re.S)
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "Z": "\x1a"}
+
+
 def insert_rows(line: str) -> Iterator[list[str | None]]:
-    """The value lists of a MySQL INSERT line, NULL as None, strings without quotes and escapes."""
+    """The value lists of a MySQL INSERT line, NULL as None, strings without quotes and escapes. A row that a cut line does not
+    end is left out."""
     at = line.find("VALUES")
-    escapes = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "Z": "\x1a"}
-    row: list[str | None] = []
-    value, quoted, inside, i = [], False, False, at + 6
-    while 0 <= at and i < len(line):
-        c = line[i]
-        if inside and c == "'":
-            j = i + 1
-            while line[j] != "'" or line[j : j + 2] == "''":
-                if line[j] == "\\":
-                    value.append(escapes.get(line[j + 1], line[j + 1]))
-                    j += 2
-                else:
-                    value.append(line[j])
-                    j += 2 if line[j] == "'" else 1
-            quoted, i = True, j
-        elif c == "(" and not inside:
-            inside, row, value, quoted = True, [], [], False
-        elif inside and c in ",)":
-            text = "".join(value)
-            row.append(None if not quoted and text.strip().upper() == "NULL" else text if quoted else text.strip())
-            value, quoted = [], False
-            if c == ")":
-                inside = False
-                yield row
-        elif inside and not (quoted and c.isspace()):
-            value.append(c)
-        i += 1
+    if at < 0:
+        return
+    plain = lambda text: _ESCAPED.sub(lambda m: "'" if m[1] is None else _ESCAPES.get(m[1], m[1]), text) if "\\" in text or "''" in text else text
+    for row in _ROW.finditer(line, at + 6):
+        values, place = [], 0
+        while place <= len(row[1]):
+            found = _VALUE.match(row[1], place)
+            if found is None:
+                break
+            string, other = found.groups()
+            values.append(plain(string) if string is not None else None if other.strip().upper() == "NULL" else other.strip())
+            if found.end() == place or not found[0].endswith(","):
+                break
+            place = found.end()
+        yield values
+
+
+def definitions(lines: DataFrame) -> dict[str, list[str]]:
+    """The columns of each table of a dump, in order, by its CREATE TABLE lines. They are few, whatever the dump's size."""
+    wanted = lines.where(F.col("value").rlike(r"^(CREATE TABLE|\s+`|\))")).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = wanted.limit(MOST_DEFINITIONS).orderBy("f", "b", "i").collect()
+    out: dict[str, list[str]] = {}
+    now: list[str] | None = None
+    for row in rows:
+        if begin := re.match(r"CREATE TABLE (?:IF NOT EXISTS )?`([^`]+)`", row.value):
+            now = out.setdefault(begin[1], [])
+        elif row.value.startswith(")"):
+            now = None
+        elif now is not None and (column := re.match(r"\s+`([^`]+)`", row.value)):
+            now.append(column[1])
+    return out
 
 
 def read_dump_b(spark: SparkSession, path: str, tables: tuple[str, ...] = tuple(DUMP_B)) -> dict[str, DataFrame]:
-    """The named columns of the wanted tables, all text but the ids. Values are taken
-    in the order of DUMP_B; lines of other tables are dropped before any is taken apart. A dump is a text of one INSERT per line."""
+    """The named columns of the wanted tables, and ``ordinal``, which rises with a row's place in the dump. Columns are found by name in
+    the table's definition; a table or column that is missing raises. Lines of other tables are dropped before any is taken
+    apart; ids are numbers, all else is text. A dump has one INSERT a line."""
     lines = spark.read.text(path)
-    return {t: _table_b(lines, t) for t in tables}
+    found = definitions(lines)
+    for table in tables:
+        found.setdefault(table, list(DUMP_B[table]))
+        lacks = set(DUMP_B[table]) - set(found[table])
+        if lacks:
+            raise ValueError(f"the dump's table {table} lacks {', '.join(sorted(lacks))}")
+    return {t: _table_b(lines, t, found[t]) for t in tables}
 
 
-def _table_b(lines: DataFrame, table: str) -> DataFrame:
+def _table_b(lines: DataFrame, table: str, columns: list[str]) -> DataFrame:
     names = DUMP_B[table]
+    at = [columns.index(n) for n in names]
     insert = lines.where(F.col("value").startswith(f"INSERT INTO `{table}`"))
-    ids = [n for n in names if n.endswith("_id") or n in ("series_parent", "title_parent", "title_language", "ca_status")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for line in batch.column(0).to_pylist() for r in insert_rows(line) if len(r) >= len(names)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], list(names))
+            for line in batch.column(0).to_pylist():
+                rows = [r for r in insert_rows(line) if len(r) == len(columns)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in at], list(names))
+
+    rows = insert.mapInArrow(read, ", ".join(f"{n} string" for n in names)).withColumn("ordinal", F.monotonically_increasing_id())
+    return rows.select(*[F.col(n).try_cast("bigint").alias(n) if n.endswith("_id") or n in NUMBERS_B else F.col(n) for n in names], "ordinal")
+
 
-    found = insert.mapInArrow(read, ", ".join(f"{n} string" for n in names))
-    return found.select(*[F.col(n).try_cast("bigint").alias(n) if n in ids else F.col(n) for n in names])
+def dump_date(path: Column, modified: Column | None = None) -> Column:
+    """The day in a dump's file name (2025-12-27, 2025_12_27 or 20251227), else that of its time."""
+    found = F.regexp_extract_all(F.element_at(F.split(path, "/"), -1), F.lit(r"(?<!\d)((?:19|20)\d{2}[-_]?(?:0[1-9]|1[0-2])[-_]?(?:0[1-9]|[12]\d|3[01]))(?!\d)"), 1)
+    day = F.regexp_replace(F.get(found, F.lit(0)), r"^(\d{4})[-_]?(\d{2})[-_]?(\d{2})$", "$1-$2-$3")
+    return F.coalesce(day, F.date_format(modified, "yyyy-MM-dd") if modified is not None else F.lit(""))
 
 
 def refuse_small_dump(tables: dict[str, DataFrame], least: int = 100_000) -> None:

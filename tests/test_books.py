@@ -197,7 +197,7 @@ def test_authors(spark):
     rows = [(1, [" Herbert,  Frank "], [""]), (2, ["J.R.R.TOLKIEN & CHRISTOPHER TOLKIEN"], []), (3, ["Unknown"], []), (4, ["Dr. Who"], []), (5, ["Ann Lee", "Lee, Ann"], []), (6, ["John Smith, jr"], []), (7, ["Ludwig van Beethoven"], [])]
     got = {r.book_id: r for r in authors.clean_authors(spark.createDataFrame(rows, "book_id int, authors array<string>, author_sort array<string>")).collect()}
     assert got[1].authors == ["Frank Herbert"] and got[1].author_sort == ["Herbert, Frank"] and {"whitespace", "flip"} <= {c.rule for c in got[1].changes}
-    assert got[2].authors == ["J. R. R. Tolkien", "Christopher Tolkien"] and got[3].authors == [] and got[4].needs_review and got[4].authors == ["Dr. Who"]
+    assert got[2].authors == ["J. R. R. Tolkien", "Christopher Tolkien"] and got[3].authors == ["Unknown"] and got[4].needs_review and got[4].authors == ["Dr. Who"]
     assert got[5].authors == ["Ann Lee"] and got[6].authors == ["John Smith Jr."] and got[6].author_sort == ["Smith, John, Jr."] and got[7].author_sort == ["van Beethoven, Ludwig"]
 
 
