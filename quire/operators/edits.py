@@ -72,14 +72,21 @@ def review(old: Column, new: Column) -> Column:
 
 
 def number_collisions(plan: DataFrame, target: str, order: str, taken: DataFrame | None = None) -> DataFrame:
-    """The plan with ``name``: the target, or "target (2)", "target (3)" where earlier rows have it. taken: targets that exist
-    already (column of the same name); they count as the first."""
-    n = F.row_number().over(Window.partitionBy(F.lower(target)).orderBy(order))
-    plan = plan.withColumn("_n", n)
-    if taken is not None:
-        exist = taken.select(F.lower(target).alias("_t")).distinct().withColumn("_e", F.lit(1))
-        plan = plan.join(exist, F.lower(F.col(target)) == F.col("_t"), "left").withColumn("_n", F.col("_n") + F.coalesce("_e", F.lit(0))).drop("_t", "_e")
-    return plan.withColumn("name", F.when(F.col("_n") == 1, F.col(target)).otherwise(F.concat(F.col(target), F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))).drop("_n")
+    """The plan with ``name``: the target, or "target (2)", "target (3)" where an earlier row or ``taken`` (targets that exist already, column
+    of the same name) has it. Numbers that would give another row's target or a taken name are passed over; capitals make no
+    difference."""
+    base, number = F.regexp_extract("_t", r"^(.*) \((\d{1,9})\)$", 1), F.regexp_extract("_t", r"^(.*) \((\d{1,9})\)$", 2)
+    names = plan.select(F.lower(target).alias("_t"))
+    exist = taken.select(F.lower(target).alias("_t")).distinct().withColumn("_e", F.lit(1)) if taken is not None else names.limit(0).withColumn("_e", F.lit(1))
+    used = names.unionByName(exist.select("_t")).distinct().where(number != "").select(base.alias("_t"), number.cast("int").alias("_u"))
+    groups = names.groupBy("_t").agg(F.count("*").cast("int").alias("_c")).join(exist, "_t", "left").where((F.col("_c") > 1) | F.col("_e").isNotNull())
+    groups = groups.join(used.groupBy("_t").agg(F.collect_set("_u").alias("_us")), "_t", "left").withColumn("_us", F.coalesce("_us", F.array().cast("array<int>")))
+    first = F.when(F.col("_e").isNull(), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    free = F.concat(first, F.filter(F.sequence(F.lit(2), F.col("_c") + F.size("_us") + 1), lambda n: ~F.array_contains("_us", n)))
+    numbers = groups.select("_t", "_c", F.posexplode(free).alias("_n", "_number")).where("_n < _c").drop("_c")
+    rows = plan.withColumn("_t", F.lower(target)).withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy(order)) - 1).join(numbers, ["_t", "_n"], "left")
+    numbered = F.concat(F.col(target), F.lit(" ("), F.col("_number").cast("string"), F.lit(")"))
+    return rows.withColumn("name", F.when(F.coalesce("_number", F.lit(1)) == 1, F.col(target)).otherwise(numbered)).select(*plan.columns, "name")
 
 
 def file_plan(files: DataFrame, target: Column, order: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import text_of
+from quire.functions.text import let, text_of
 
 LEAST_WORDS, LEAST_COVERAGE, LEAST_MARGIN, MOST_CONFIDENCE = 40, 0.18, 0.25, 0.95
 
@@ -34,40 +34,47 @@ def language_code(value):
     return F.coalesce(F.try_element_at(table, code), F.when(code.isin(*sorted({v for v in LANGUAGE_CODES.values()})), code), F.lit(""))
 
 
-def detect_language(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, lang_code (empty where nothing is certain), confidence (two places) and words for each row.
+def language_of(text: Column) -> Column:
+    """struct(lang_code, confidence, words) of a text; the code is empty where nothing is certain.
 
     A word is a run of letters. The share of each language's common words decides: the first needs a share of 0.18 and a lead of
     a quarter over the second; Danish, Swedish and Norwegian stand as one block, within which the words that only one of them
-    has decide, and only Norwegian is reported. Counting is a projection over the row's own words: nothing is shuffled, whatever
-    the number of words."""
-    words = F.regexp_extract_all(F.lower(text_of(F.col(text_col))), F.lit(r"(?U)[^\W\d_]+"), 0)
-    out = docs.select(F.col(id_col), words.alias("w"))
-    own = {x: sorted(set(STOP_WORDS[x].split()) - {w for o in NORDIC if o != x for w in STOP_WORDS[o].split()}) for x in NORDIC}
-    count = lambda vocabulary: F.size(F.filter("w", lambda x: x.isin(*vocabulary)))
-    out = out.select(
-        id_col, F.size("w").alias("words"), *[count(sorted(set(s.split()))).alias(f"hits_{k}") for k, s in STOP_WORDS.items()], *[count(v).alias(f"own_{k}") for k, v in own.items()]
-    )
-    total = F.greatest(F.col("words"), F.lit(1))
-    rank = F.sort_array(
-        F.array(
-            *[F.struct((F.col(f"hits_{k}") / total).alias("share"), F.lit(-i).alias("place"), F.lit(k).alias("code")) for i, k in enumerate(REPORTED)],
-            F.struct((F.greatest(*[F.col(f"hits_{k}") for k in NORDIC]) / total).alias("share"), F.lit(-9).alias("place"), F.lit("no").alias("code")),
-        ),
-        asc=False,
-    )
-    out = out.withColumn("rank", rank)
-    top, second = F.col("rank")[0], F.col("rank")[1]
-    margin = (top["share"] - second["share"]) / top["share"]
-    runner = F.greatest("own_da", "own_sv")
-    nordic_ok = (F.col("own_no") >= 3) & (F.col("own_no") >= runner) & (runner * 2 <= F.col("own_no"))
-    sure = (F.col("words") >= LEAST_WORDS) & (top["share"] >= LEAST_COVERAGE)
-    confidence = margin * F.least(F.lit(1.0), top["share"] / 0.30)
-    confidence = F.when(top["code"] == "no", confidence * (1 - runner / F.greatest(F.col("own_no"), F.lit(1)))).otherwise(confidence)
-    out = out.withColumn("ok", F.when(sure, (margin >= LEAST_MARGIN) & ((top["code"] != "no") | nordic_ok)).otherwise(False))
-    return out.select(
-        id_col,
-        F.when(F.col("ok"), top["code"]).otherwise("").alias("lang_code"),
-        F.when(F.col("ok"), F.round(F.least(F.lit(MOST_CONFIDENCE), confidence), 2)).otherwise(0.0).alias("confidence"),
-        F.col("words").cast("long").alias("words"),
-    )
+    has decide, and only Norwegian is reported. The words are taken from the text once; those that are common somewhere are
+    sorted out first, and each language counts among these."""
+    sets = {k: sorted(set(v.split())) for k, v in STOP_WORDS.items()}
+    own = {x: sorted(set(sets[x]) - {w for o in NORDIC if o != x for w in sets[o]}) for x in NORDIC}
+    every = sorted({w for v in sets.values() for w in v})
+    count = lambda words, vocabulary: F.size(F.filter(words, lambda x: x.isin(*vocabulary)))
+
+    def counted(w: Column) -> Column:
+        common = F.filter(w, lambda x: x.isin(*every))
+        return let(common, lambda h: F.struct(F.size(w).alias("words"), *[count(h, v).alias(f"hits_{k}") for k, v in sets.items()], *[count(h, v).alias(f"own_{k}") for k, v in own.items()]))
+
+    def ranked(c: Column) -> Column:
+        total = F.greatest(c["words"], F.lit(1))
+        nordic = F.greatest(*[c[f"hits_{k}"] for k in NORDIC])
+        shares = [F.struct((c[f"hits_{k}"] / total).alias("share"), F.lit(-i).alias("place"), F.lit(k).alias("code")) for i, k in enumerate(REPORTED)]
+        rank = F.sort_array(F.array(*shares, F.struct((nordic / total).alias("share"), F.lit(-9).alias("place"), F.lit("no").alias("code"))), asc=False)
+        return let(rank, lambda r: judged(c, r[0], r[1]))
+
+    def judged(c: Column, top: Column, second: Column) -> Column:
+        margin = (top["share"] - second["share"]) / top["share"]
+        runner = F.greatest(c["own_da"], c["own_sv"])
+        nordic_ok = (c["own_no"] >= 3) & (c["own_no"] >= runner) & (runner * 2 <= c["own_no"])
+        sure = (c["words"] >= LEAST_WORDS) & (top["share"] >= LEAST_COVERAGE)
+        confidence = margin * F.least(F.lit(1.0), top["share"] / 0.30)
+        confidence = F.when(top["code"] == "no", confidence * (1 - runner / F.greatest(c["own_no"], F.lit(1)))).otherwise(confidence)
+        ok = F.when(sure, (margin >= LEAST_MARGIN) & ((top["code"] != "no") | nordic_ok)).otherwise(False)
+        return F.struct(
+            F.when(ok, top["code"]).otherwise("").alias("lang_code"),
+            F.when(ok, F.round(F.least(F.lit(MOST_CONFIDENCE), confidence), 2)).otherwise(0.0).alias("confidence"),
+            c["words"].cast("long").alias("words"),
+        )
+
+    words = F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"(?U)[^\W\d_]+"), 0)
+    return let(words, lambda w: let(counted(w), ranked))
+
+
+def detect_language(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, lang_code (empty where nothing is certain), confidence (two places) and words for each row. A projection: nothing is shuffled."""
+    return docs.select(id_col, language_of(F.col(text_col)).alias("g")).select(id_col, "g.lang_code", "g.confidence", "g.words")

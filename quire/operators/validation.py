@@ -22,6 +22,26 @@ def issue_rows(df: DataFrame, code: str, detail: Column) -> DataFrame:
     return df.select("book_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"), F.lit(fixable).alias("fixable"))
 
 
+def missing_files(manifest: DataFrame, entries: DataFrame) -> DataFrame:
+    """Manifest items whose file the archive lacks; remote ones need none."""
+    return manifest.where("not remote").join(entries.select("book_id", F.col("name").alias("path")), ["book_id", "path"], "left_anti")
+
+
+def repeated_ids(manifest: DataFrame) -> DataFrame:
+    """(book_id, item_id, n): ids that more than one item of a book has."""
+    return manifest.groupBy("book_id", "item_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def dangling_guide(guide: DataFrame, entries: DataFrame) -> DataFrame:
+    """Guide references to files that the archive lacks."""
+    return guide.join(entries.select("book_id", F.col("name").alias("path")), ["book_id", "path"], "left_anti")
+
+
+def repaired_guide(guide: DataFrame, entries: DataFrame) -> DataFrame:
+    """The guide without references that lead nowhere, each kind and target once."""
+    return guide.join(entries.select("book_id", F.col("name").alias("path")), ["book_id", "path"], "left_semi").dropDuplicates(["book_id", "type", "path"])
+
+
 def validate(t: dict[str, DataFrame]) -> DataFrame:
     """Issues of all books. Tables: books (book_id, load_error, version, title, language, authors, unique_id, toc_id, encrypted), entries
     (book_id, place, name, stored, head), identifiers (book_id, id, value), manifest (book_id, item_id, path, remote, properties, media_type),
@@ -45,8 +65,8 @@ def validate(t: dict[str, DataFrame]) -> DataFrame:
         issue_rows(fine.where(F.exists(F.col("authors"), lambda a: a.contains(" & "))), "AUTHORS_AMPERSAND", F.array_join("authors", "; ")),
         issue_rows(metas.where("refines <> ''").withColumn("ref", F.regexp_replace("refines", "^#", "")).join(t["ids"], ["book_id", "ref"], "left_anti"), "DANGLING_REFINES", F.col("ref")),
         issue_rows(metas.where("old_attributes").select("book_id", "property").join(fine.where("version >= '3'").select("book_id"), "book_id"), "EPUB2_ATTRIBUTES_IN_EPUB3", F.col("property")),
-        issue_rows(items.where("not remote").join(t["entries"].select("book_id", F.col("name").alias("path")), ["book_id", "path"], "left_anti"), "MANIFEST_FILE_MISSING", F.col("path")),
-        issue_rows(items.groupBy("book_id", "item_id").count().where("count > 1"), "DUPLICATE_MANIFEST_ID", F.col("item_id")),
+        issue_rows(missing_files(items, t["entries"]), "MANIFEST_FILE_MISSING", F.col("path")),
+        issue_rows(repeated_ids(items), "DUPLICATE_MANIFEST_ID", F.col("item_id")),
         issue_rows(spine.withColumn("ref", F.col("idref")).join(known, ["book_id", "ref"], "left_anti"), "DANGLING_SPINE_ITEMREF", F.col("idref")),
         issue_rows(fine.join(items.where("media_type = 'application/x-dtbncx+xml' or array_contains(split(properties, ' '), 'nav')"), "book_id", "left_anti"), "NO_TOC", F.lit("")),
         issue_rows(fine.where("encrypted"), "DRM_DETECTED", F.lit("")),
@@ -107,12 +127,12 @@ def stamp_state(books: DataFrame) -> DataFrame:
 
 
 def reading_order(spine: DataFrame, manifest: DataFrame, entries: DataFrame) -> DataFrame:
-    """(book_id, ordinal, path): the documents of the spine that exist, each once, in order, without the contents list."""
+    """(book_id, ordinal, path): the documents of the spine that exist, each once, in order (of one place by path), without the contents list."""
     docs = manifest.where("media_type in ('application/xhtml+xml', 'text/html') and not array_contains(split(properties, ' '), 'nav')")
     rows = spine.join(docs.select("book_id", F.col("item_id").alias("idref"), "path"), ["book_id", "idref"]).where(~unsafe_path(F.col("path")))
     rows = rows.join(entries.select("book_id", F.col("name").alias("path")), ["book_id", "path"], "left_semi")
     rows = rows.groupBy("book_id", "path").agg(F.min("place").alias("place"))
-    return rows.select("book_id", F.row_number().over(Window.partitionBy("book_id").orderBy("place")).cast("long").alias("ordinal"), "path")
+    return rows.select("book_id", F.row_number().over(Window.partitionBy("book_id").orderBy("place", "path")).cast("long").alias("ordinal"), "path")
 
 
 def cover_path(manifest: DataFrame, cover_meta: DataFrame) -> DataFrame:

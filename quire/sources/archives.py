@@ -6,13 +6,15 @@ import io
 import os
 import posixpath
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +22,8 @@ from quire.functions.text import collapse
 
 #: Bytes of a member that are read at most; larger ones are listed only.
 MEMBER_LIMIT = 8 << 20
+#: Bytes of a list of members up to which it is broadcast.
+BROADCAST_LIMIT = 64 << 20
 FRONT_DOCS, BACK_DOCS, MOST_TEXT, TAIL_SHARE = 4, 3, 20_000, 0.25
 NS = {"opf": "http://www.idpf.org/2007/opf", "dc": "http://purl.org/dc/elements/1.1/", "c": "urn:oasis:names:tc:opendocument:xmlns:container", "enc": "http://www.w3.org/2001/04/xmlenc#"}
 FONT_OBFUSCATION = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
@@ -157,44 +161,57 @@ def metadata(raw: DataFrame) -> DataFrame:
 
 
 def read_members(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """(book_id, path, content) of the wanted members (book_id, path) of at most MEMBER_LIMIT bytes, with safe names only."""
+    """(book_id, path, content) of the wanted members (book_id, path) of at most MEMBER_LIMIT bytes, with safe names only. The lists of names
+    go to where the archives are read; archives are not shuffled unless the lists are too large to broadcast."""
     lists = wanted.groupBy("book_id").agg(F.collect_list("path").alias("paths"))  # a book's own members
+    size = wanted.agg(F.coalesce(F.sum(F.length("book_id") + F.length("path")), F.lit(0))).first()[0]
+    lists = F.broadcast(lists) if size <= BROADCAST_LIMIT else lists
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("book_id"), "content")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for book, content, paths in zip(batch["book_id"], batch["content"], batch["paths"]):
+            for book, content, paths in zip(*batch.columns):
                 rows = []
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
                         sizes = {i.filename: i.file_size for i in z.infolist()}
-                        rows = [(book, p, z.read(p)) for p in paths if _safe(p) and sizes.get(p, MEMBER_LIMIT + 1) <= MEMBER_LIMIT]
-                except Exception:  # noqa: BLE001, S110 - an unreadable archive has no members
-                    pass
-                yield pd.DataFrame(rows, columns=["book_id", "path", "content"])
+                        rows = [(p, z.read(p)) for p in paths.as_py() if _safe(p) and sizes.get(p, MEMBER_LIMIT + 1) <= MEMBER_LIMIT]
+                except Exception:  # noqa: BLE001 - an unreadable archive has no members
+                    rows = []
+                yield pa.RecordBatch.from_arrays([pa.array([book.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["book_id", "path", "content"])
 
-    return files.join(lists, "book_id").mapInPandas(read, "book_id string, path string, content binary")
+    return files.join(lists, "book_id").select("book_id", "content", "paths").mapInArrow(read, "book_id string, path string, content binary")
 
 
 def front_and_back(order: DataFrame, members: DataFrame) -> DataFrame:
     """(book_id, front, back): text of the first four and last three documents of the reading order (book_id, ordinal, path), no
-    document twice, 20,000 characters in all, of which the back may have a quarter."""
+    document twice, 20,000 characters in all. Where there are last documents a quarter is kept for them, and they also get what the
+    front leaves; else the front may have all."""
     text = F.decode("content", "UTF-8")
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?is)<(script|style|head)\b.*?</\1\s*>", " "), r"(?i)</?(p|div|br|h[1-6]|li|tr)\b[^>]*>", "\n"), "<[^>]*>", "")
     n = F.count("*").over(Window.partitionBy("book_id"))
     rows = order.withColumn("n", n).where((F.col("ordinal") <= FRONT_DOCS) | (F.col("ordinal") > F.col("n") - BACK_DOCS)).join(members.select("book_id", "path", text.alias("t")), ["book_id", "path"])
     part = F.when(F.col("ordinal") <= FRONT_DOCS, "front").otherwise("back")
-    whole = rows.withColumn("part", part).groupBy("book_id", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "t"))), lambda x: x["t"]), "\n").alias("t"))
+    whole = rows.withColumn("part", part).groupBy("book_id", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "t"))), lambda x: x["t"]), "\n").alias("t"))  # seven documents at most
     sides = whole.groupBy("book_id").pivot("part", ["front", "back"]).agg(F.first("t"))
+    return sides.select("book_id", *(c.alias(a) for c, a in zip(budget(F.coalesce("front", F.lit("")), F.col("back")), ("front", "back"))))
+
+
+def budget(front: Column, back: Column) -> tuple[Column, Column]:
+    """Both texts cut to MOST_TEXT characters in all; back is null where there are no last documents."""
     tail = int(MOST_TEXT * TAIL_SHARE)
-    back = F.substring(F.coalesce("back", F.lit("")), 1, tail)
-    return sides.select("book_id", F.substring(F.coalesce("front", F.lit("")), 1, MOST_TEXT - tail).alias("front"), back.alias("back"))
+    head = F.substring(front, F.lit(1), F.when(back.isNull(), MOST_TEXT).otherwise(MOST_TEXT - tail))
+    return head, F.substring(F.coalesce(back, F.lit("")), F.lit(1), F.lit(MOST_TEXT) - F.length(head))
 
 
 def write_books(plan: DataFrame) -> DataFrame:
     """Write new archives: plan has path, content, new_path, opf_path, opf (the new package document, or null), staged
     (map of names to bytes, null to remove). The first entry is the uncompressed mimetype; what isn't changed is copied;
-    a file appears under its name only when whole. Returns (new_path, error). An existing file is never overwritten."""
+    a file appears under its name only when whole. Returns (new_path, error). An existing file is never overwritten; one that an
+    earlier try of the same task wrote, told by this call's mark in the archive's comment, counts as written. new_path lies in a folder that every
+    executor sees under that name (a mounted share); other stores are not written to."""
+
+    own = uuid.uuid4().hex.encode()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -203,11 +220,16 @@ def write_books(plan: DataFrame) -> DataFrame:
                 try:
                     target = re.sub("^file:(//)?", "", row.new_path)
                     if os.path.exists(target):
-                        raise FileExistsError(target)
+                        with zipfile.ZipFile(target) as there:
+                            if there.comment != own:
+                                raise FileExistsError(target)
+                        out.append((row.new_path, ""))  # this very row, written by an earlier try
+                        continue
                     staged = dict(row.staged or {})
                     if row.opf is not None:
                         staged[row.opf_path] = row.opf
-                    with zipfile.ZipFile(io.BytesIO(row.content)) as old, zipfile.ZipFile(part := f"{target}.part", "w", zipfile.ZIP_DEFLATED) as new:
+                    with zipfile.ZipFile(io.BytesIO(row.content)) as old, zipfile.ZipFile(part := f"{target}.{uuid.uuid4().hex}.part", "w", zipfile.ZIP_DEFLATED) as new:
+                        new.comment = own
                         new.writestr(zipfile.ZipInfo("mimetype"), b"application/epub+zip", zipfile.ZIP_STORED)
                         for info in old.infolist():
                             if info.filename != "mimetype" and info.filename not in staged:
