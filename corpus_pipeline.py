@@ -9,48 +9,45 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import drop_exact_duplicates
 from quire.llm.language_id import fold, keep_known_languages, learn
-from quire.llm.ngram_join import jaccard_components
+from quire.llm.ngram_join import drop_near_duplicates
 from quire.llm.packing import pack
 from quire.llm.pii import mask_in_place
+from quire.llm.queries import pii_key
 from quire.shared import Scratch
 
 #: Near duplicates: words of a shingle, and the least similarity in percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-#: The key of the pseudonyms; a run on real data sets a secret one.
-PII_KEY = b"quire sample key"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are in one of the languages learned from labelled rows. What goes has no letter, or is
-    like no language at all."""
+    """Keeps the documents that are in one of the languages learned from labelled rows. What goes has no letter (so null and empty
+    texts go), or is like no language at all. Where no row has a language, nothing is known and all go."""
     langs, prototypes = learn(docs.where(fold() != 0))
     return keep_known_languages(docs, langs, prototypes)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for A-Z and a-z, the document of the largest id stays."""
+    """Of texts that are equal but for A-Z and a-z, the document of the largest id stays; null counts as empty and as the smallest id;
+    repeated rows stay once."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are connected by links of similarity, the one of the smallest id stays. A document with a null id is
-    its own group."""
-    found = jaccard_components(docs.where("doc_id is not null"), SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that are connected by links of similarity, the one of the smallest id stays; of different texts of one id, only
+    those that are no copies. A document with a null id or without words stays."""
+    return drop_near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts get pseudonyms; no document goes."""
-    return mask_in_place(docs, PII_KEY)
+    """Personal data in the texts get pseudonyms under the session's key (spark.quire.piiKey); no document goes, null texts stay null."""
+    return mask_in_place(docs, pii_key(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of all documents in sequences of at most 4096."""
+    """The token ids of all documents in sequences of at most 4096; a null text is its end token."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
