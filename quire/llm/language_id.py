@@ -13,23 +13,21 @@ from quire.llm.batches import by_bytes, texts_of
 
 #: Dimensions of the vectors, letters in an n-gram.
 DIM, N = 512, 3
-#: Codes of letters: 0 stands for anything that is no letter, 63 for letters without a code of their own.
-CODES = 64
+#: Codes of letters: 0 stands for anything that is no letter. Letters below it are their own code, which holds those of all alphabets;
+#: the others, such as ideographs, share these codes by a hash.
+CODES = 1 << 12
 #: Languages at most, as their prototypes are gathered and broadcast (DIM numbers each).
 MOST_LANGUAGES = 2000
 UNKNOWN = "und"
 
-# Letters with codes of their own, capitals and small ones alike.
-LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿßšžčłő"
-
 
 def _code_table() -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
+    """The code of each character: that of its small letter; 0 for what is no letter."""
+    table = np.zeros(0x110000, np.int16)
     for c in range(0x110000):
-        ch = chr(c)
-        if ch.isalpha():
-            at = LETTERS.find(ch.lower()[0])
-            table[c] = at + 1 if at >= 0 else CODES - 1
+        if (ch := chr(c)).isalpha():
+            small = ord(ch.lower()[0])
+            table[c] = small if small < CODES else 1 + small * 40503 % (CODES - 1)
     return table
 
 
@@ -65,8 +63,8 @@ class Space:
         keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
         keep[ends[:-1]] = True
         kept = np.concatenate(([0], np.cumsum(keep)))
-        code, ends = code[keep].astype(np.int32), kept[ends]
-        gram = np.zeros(len(code), np.int32)
+        code, ends = code[keep].astype(np.int64), kept[ends]
+        gram = np.zeros(len(code), np.int64)
         for i in range(N):
             gram[N - 1 :] += code[N - 1 - i : len(code) - i] * CODES**i
         own = np.ones(len(code), bool)  # an n-gram lies within its text
@@ -152,14 +150,20 @@ def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray,
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from the rows outside fold 0 that have a language, then predict all rows."""
+    """Learn from the rows outside fold 0 that have a language, then predict all rows: doc_id, held_out, lang_pred, score.
+
+    Letters of every script count, each by its own vector (those beyond the alphabets share some). A null, empty or letterless text is
+    ``und`` with score 0; a row with a null text, language or no letter teaches nothing; a null id is in the fold of the empty text;
+    repeated rows each count and are each predicted; very long texts stand alone in a batch; an empty table gives no rows;
+    other columns are never read."""
     langs, prototypes = learn(docs.where(fold(id_col) != 0), text_col, lang_col)
     return predict_languages(docs, langs, prototypes, id_col, text_col)
 
 
 def keep_known_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray, least: float = 0.05, text_col: str = "text") -> DataFrame:
     """The rows whose text is in one of the languages: those without letters (und) go, and those whose cosine with every
-    prototype is below ``least``, which even two words of a learned language reach. All columns stay as they are."""
+    prototype is below ``least``, which even two words of a learned language reach. All columns stay as they are, whatever their names.
+    Null and empty texts go; repeated rows are each judged; where nothing was learned, all rows go; an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(Model(langs, prototypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

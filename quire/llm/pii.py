@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from math import isqrt
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from quire.llm.batches import by_bytes
 
 ROUNDS = 6
-KINDS = ("email", "secret", "ip", "iban", "date", "ssn", "card", "phone")
+KINDS = ("email", "secret", "ip6", "ip", "iban", "date", "ssn", "card", "phone")
+# Country codes of telephone numbers that have one and two digits; all others have three.
+SHORT_CODES = ("1", "7")
+CODES_OF_TWO = """20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98""".split()
 #: Characters of an IBAN by country (the registry of ISO 13616).
 IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24
     FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22
@@ -27,13 +31,16 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 # The written forms that are looked at. What one matches must still pass its check.
 FORMS = re.compile(
     r"""(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-]))
-    |(?P<secret>(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z]))
+    |(?P<secret>(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])|(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])
+        |(?<![0-9A-Za-z])(?:gh[pousr]_|sk_live_|sk-|xox[abp]-)[0-9A-Za-z]{16,64}(?![0-9A-Za-z]))
+    |(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4})(?![\w:]|\.\d))
     |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))
     |(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))
     |(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d]|[./-]\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d))
     |(?P<card>(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d]|-\d))
-    |(?P<phone>(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\d)|(?<![\w+(])\+\d{8,15}(?!\d))""",
+    |(?P<phone>(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\d)|(?<![\w+(])\+\d{8,15}(?!\d)
+        |(?<![\w+(])\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?){0,3}[ .-]\d{5,8}(?!\d))""",
     re.X | re.A,
 )
 
@@ -80,6 +87,15 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def ip6_like(text: str) -> bool:
+    """An IPv6 address that can't be taken for names joined by ::, as in code."""
+    try:
+        short = str(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+    return "." not in short and any(c.isdigit() for c in short) and max(map(len, short.split(":"))) >= 3
+
+
 def iban_end(text: str) -> int | None:
     """Where the valid IBAN ends with which ``text``, a match of the form, begins: words of capitals behind the number match too.
     At the end of a group: where the country's length is reached, else the longest that passes the check."""
@@ -134,11 +150,25 @@ class Pseudonyms:
         return f"{self._classes('email ' + host, name, back)}@{host}"
 
     def secret(self, value: str, back: bool) -> str | None:
+        """Hexadecimal digests and keys; of keys with a known beginning, letters become letters and digits digits behind it."""
+        if start := re.match("AKIA|gh[pousr]_|sk_live_|sk-|xox[abp]-", value):
+            shape = "".join("A" if c.isupper() else "a" if c.islower() else "0" for c in value[start.end() :])
+            return start[0] + self._classes(f"secret {start[0]} {shape}", value[start.end() :], back)
         if not (re.search("[0-9]", value) and re.search("[A-Fa-f]", value)):
             return None
         new = format(self.feistel.permute("secret", int(value, 16), 16 ** len(value), back), f"0{len(value)}x")
         return new.upper() if value.upper() == value else new
 
+    def ip6(self, value: str, back: bool) -> str | None:
+        """All ways to write an address are one value; the pseudonym is written the short way."""
+        if not ip6_like(value):
+            return None
+        new = value
+        while True:
+            new = str(ipaddress.IPv6Address(self.feistel.permute("ip6", int(ipaddress.IPv6Address(new)), 1 << 128, back)))
+            if ip6_like(new):
+                return new
+
     def ip(self, value: str, back: bool) -> str | None:
         parts = [int(p) for p in value.split(".")]
         if max(parts) > 255:
@@ -155,21 +185,21 @@ class Pseudonyms:
         return _refill(value, f"{plain[:2]}{check:02d}{body}", str.isalnum)
 
     def date(self, value: str, back: bool) -> str | None:
-        """Within the years 1900 to 2099. d/m/y and m/d/y look alike: the day comes first unless that is no date."""
+        """Within the years 1900 to 2099. The day itself is permuted, so all ways to write a date stay linked. d/m/y and m/d/y look
+        alike: the day comes first unless that is no date. A day up to the 12th stays one, any other too, so that the pseudonym is
+        read in the same order and the way back is known."""
         numbers = [int(x) for x in re.findall(r"\d+", value)]
         for y, m, d in ((0, 1, 2),) if len(value) > 4 and value[4] in "-/" and value[:4].isdigit() else ((2, 1, 0), (2, 0, 1)):
             try:
-                x = datetime.date(numbers[y], numbers[m], numbers[d]).toordinal()
+                day = datetime.date(numbers[y], numbers[m], numbers[d])
             except ValueError:
                 continue
-            if not FIRST_DAY <= x <= LAST_DAY:
+            if not FIRST_DAY <= (x := day.toordinal()) <= LAST_DAY:
                 return None
-            # a date that both orders allow stays one that both allow, others stay others, so that the way back is known
-            swaps = y == 2 and max(numbers[0], numbers[1]) <= 12
             while True:
-                x = FIRST_DAY + self.feistel.permute(f"date {y}{m}{d}", x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, back)
+                x = FIRST_DAY + self.feistel.permute("date", x - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, back)
                 new = datetime.date.fromordinal(x)
-                if y == 0 or (new.day <= 12) == swaps:
+                if (new.day <= 12) == (day.day <= 12):
                     break
             parts = {y: f"{new.year:04d}", m: f"{new.month:02d}", d: f"{new.day:02d}"}
             return re.sub(r"\d+", lambda _, n=iter(range(3)): parts[next(n)], value)
@@ -194,13 +224,12 @@ class Pseudonyms:
         return _refill(value, body + check)
 
     def phone(self, value: str, back: bool) -> str | None:
-        """A country code after + stays, up to where the next separator stands, or one digit."""
+        """A country code after + stays. Only the digits count, so a number stays linked however it is spaced."""
         plain = re.sub(r"\D", "", value)
         if not 9 <= len(plain) <= 15:
             return None
-        code = re.match(r"\+(\d{1,3})[ .(-]", value)
-        fixed = len(code[1]) if code else 1 if value[0] == "+" else 0
-        return _refill(value, plain[:fixed] + self._digits("phone " + plain[:fixed], plain[fixed:], back))
+        fixed = 0 if value[0] != "+" else 1 if plain[0] in SHORT_CODES else 2 if plain[:2] in CODES_OF_TWO else 3
+        return _refill(value, plain[:fixed] + self._digits(f"phone {value[0] == '+'} {plain[:fixed]}", plain[fixed:], back))
 
 
 def pseudonymise(text: str, names: Pseudonyms, counts: dict[str, int], back: bool = False) -> str:
@@ -239,11 +268,12 @@ def _rewritten(texts: pa.Array, names: Pseudonyms, back: bool) -> tuple[pa.Array
 
 def mask_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, the text with pseudonyms in place of personal data, n_found, and how many of each
-    kind: e-mail addresses, secrets (hexadecimal), IPv4 addresses, IBANs, dates, social security and card numbers, phones.
+    kind: e-mail addresses, secrets (hexadecimal, or keys with a usual beginning), IPv6 and IPv4 addresses, IBANs, dates, social security and card numbers, phones.
 
     A value must be valid: octets below 256, check digits of cards and IBANs, days of the calendar. Its pseudonym has the same form and is
-    valid again; it depends on the key and the value only, so equal values stay equal everywhere. With ``back`` and the same
-    key the values return, unless what changes behind the first group of a number that is no IBAN happens to make it one
+    valid again; it depends on the key and the value only, so equal values stay equal everywhere: dates however they are written, phone
+    numbers, cards and IBANs however they are spaced. (A phone number with its country code isn't known to be the one without.) With ``back``
+    and the same key the values return, unless what changes behind the first group of a number that is no IBAN happens to make it one
     (1 in 97). Rows stay where they are. A null text stays null with no finds; a null id stays null; repeated
     rows are masked alike; other columns are never read."""
     names = docs.sparkSession.sparkContext.broadcast(Pseudonyms(key))
@@ -260,7 +290,8 @@ def mask_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col
 
 
 def mask_in_place(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, with the text masked."""
+    """All rows and columns of ``docs``, whatever their names, with the text masked as by mask_documents. Null texts and null ids stay null,
+    repeated rows are masked alike, very long texts stand alone in a batch, an empty table stays empty."""
     names = docs.sparkSession.sparkContext.broadcast(Pseudonyms(key))
     at = docs.columns.index(text_col)
 

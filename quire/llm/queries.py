@@ -21,8 +21,11 @@ from quire.llm.url_filter import judge_urls
 #: The rules of op2: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-#: The key of op8's pseudonyms; who runs it on real data passes a secret one.
-PII_KEY = b"quire sample key"
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: the session's setting spark.quire.piiKey, which a run on real data must make a secret one; a
+    sample key where it is unset."""
+    return spark.conf.get("spark.quire.piiKey", "quire sample key").encode()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask_documents(documents(spark, sf_dir), PII_KEY)
+    return mask_documents(documents(spark, sf_dir), pii_key(spark))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

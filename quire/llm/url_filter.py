@@ -18,7 +18,8 @@ PATH = r"^[\s\S]*?://[^/?#]*([^?#]*)"
 
 class UrlTrie:
     """Nodes are dicts: labels of the host from the right, then whole path segments, then under ``None`` the beginnings
-    of the last segment, longest first. Of entries for the same host and path the last one given stays."""
+    of the last segment, and under ``0`` how long these are, longest first. Of entries for the same host and path the last one
+    given stays."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         """rules: (verdict, host, path), the path with its leading slash or empty for any path."""
@@ -36,12 +37,17 @@ class UrlTrie:
             *whole, last = path[1:].split("/") if path else [None]
             for segment in whole:
                 node = node.setdefault(("p", segment), {})
-            ends = node.setdefault(None, {})
-            ends[last] = (f"{host}{path}", verdict)
-            node[None] = dict(sorted(ends.items(), key=lambda x: -1 if x[0] is None else len(x[0]), reverse=True))
+            node.setdefault(None, {})[last] = (f"{host}{path}", verdict)
+        nodes = [self.root]
+        while nodes:
+            node = nodes.pop()
+            if ends := node.get(None):
+                node[0] = sorted({len(x) for x in ends if x is not None}, reverse=True)
+            nodes += [child for key, child in node.items() if isinstance(key, tuple)]
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) of the longest entry that fits: most host labels first, then the longest path."""
+        """(rule, verdict) of the longest entry that fits: most host labels first, then the longest path. A segment is looked up
+        once for each length that beginnings have there."""
         node, nodes = self.root, []
         for label in reversed(host.split(".")):
             node = node.get(("h", label))
@@ -51,11 +57,9 @@ class UrlTrie:
         segments = path[1:].split("/") if path[:1] == "/" else []
         for node in reversed(nodes):
             best = node.get(None, {}).get(None)
-            for k, segment in enumerate(segments):
-                for start, found in node.get(None, {}).items():
-                    if start is not None and segment.startswith(start):
-                        best = found
-                        break
+            for segment in segments:
+                ends = node.get(None, {})
+                best = next((found for n in node.get(0, ()) if n <= len(segment) and (found := ends.get(segment[:n]))), best)
                 node = node.get(("p", segment))
                 if node is None:
                     break
