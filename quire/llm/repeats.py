@@ -22,7 +22,7 @@ FILTER_BITS = 27
 #: Rows of sorted suffixes that are compared at a time.
 BLOCK = 1 << 16
 #: Suffixes of one key up to which one task compares them (below BLOCK); of a more frequent key, Spark groups the windows.
-HOT = 1 << 11
+HOT = 1 << 13
 ROW = "key long, doc_id long, pos int, last int, before binary, after binary"
 
 
