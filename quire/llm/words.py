@@ -2,50 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 HALF = np.uint64(32)
 
 
-def _parting(between: bytes) -> bytes:
-    """A table for bytes.translate: A-Z become a-z, the bytes of ``between`` a space."""
-    table = bytearray(bytes(range(256)).lower())
-    for b in between:
-        table[b] = 32
-    return bytes(table)
-
-
+_R = np.random.default_rng(20240607)
+#: A random number for each byte value; A-Z have those of a-z.
+BYTE = _R.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE[65:91] = BYTE[97:123]
 #: What stands between words: white space of ASCII; or all of ASCII but letters and digits.
-SPACES = _parting(bytes([32, *range(9, 14)]))
-PUNCTUATION = _parting(bytes(b for b in range(128) if not chr(b).isalnum()))
+SPACES = np.zeros(256, bool)
+SPACES[[32, *range(9, 14)]] = True
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 SLICE = 1 << 20
 
 
-class WordHashes(dict):
-    """xxh3 of a word, remembered for short words. The memo is emptied when it holds about ``most`` bytes."""
-
-    def __init__(self, most: int = 64 << 20, longest: int = 64):
-        self.most, self.longest, self.held = most, longest, 0
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= self.longest:
-            self.held += len(word) + 200
-            if self.held > self.most:
-                self.clear()
-                self.held = 0
-            self[word] = found
-        return found
-
-
-_known = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (one to one)."""
     x = x ^ (x >> np.uint64(30))
@@ -70,35 +45,55 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def _stretches(blob: bytes) -> Iterator[bytes]:
-    """A text with spaces between its words, in parts of about SLICE bytes that end at a space."""
-    at = 0
-    while len(blob) - at > SLICE:
-        stop = blob.find(b" ", at + SLICE)
-        if stop < 0:
-            break
-        yield blob[at:stop]
-        at = stop
-    yield blob[at:] if at else blob
+_places = np.zeros(0, np.uint64)
+
 
+def place_numbers(n: int) -> np.ndarray:
+    """A random number for each of n places of a word."""
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(1, 2 * n + 65, dtype=np.uint64) * ODD)
+    return _places
 
-def word_hashes(texts: pa.Array, between: bytes = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, A-Z taken as a-z, and where each text's words begin (one more at the end)."""
+
+def word_hashes(texts: pa.Array, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, A-Z taken as a-z, and where each text's words begin (one more at the end).
+
+    Each byte at each place of a word has a random number of its own (a product of what byte and place stand for, with its halves
+    mixed), and these are summed up: no two words are alike by their build, as under a polynomial, only by chance."""
     data, ends = raw(texts)
-    blob = data.tobytes().translate(between)
-    starts, hashes, words = np.zeros(len(texts) + 1, np.int64), [], []
-    hashed = lambda: np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-        n = 0
-        for part in _stretches(blob[a:b]):
-            words += (found := part.split())
-            n += len(found)
-            if len(words) >= 1 << 17:
-                hashes.append(hashed())
-                words = []
-        starts[i + 1] = n
-    hashes.append(hashed())
-    return np.concatenate(hashes), np.cumsum(starts)
+    hashes, begins, at = [], [], 0
+    while at < len(data):
+        stop = min(len(data), at + SLICE)
+        if stop < len(data):  # not within a word
+            after = np.flatnonzero(between[data[stop : stop + SLICE]])
+            while not len(after) and stop < len(data):
+                stop = min(len(data), stop + SLICE)
+                after = np.flatnonzero(between[data[stop : stop + SLICE]])
+            stop = min(len(data), stop + (int(after[0]) if len(after) else 0))
+        part = data[at:stop]
+        alive = ~between[part]
+        first = alive.copy()
+        first[1:] &= ~alive[:-1]
+        cuts = ends[np.searchsorted(ends, at, "left") : np.searchsorted(ends, stop, "left")] - at
+        first[cuts] = alive[cuts]
+        begin = np.flatnonzero(first)
+        if len(begin):
+            start = np.zeros(len(part), np.int64)
+            start[begin] = begin
+            within = np.arange(len(part)) - np.maximum.accumulate(start)
+            within[~alive] = 0
+            value = BYTE[part]
+            value ^= place_numbers(int(within.max()) + 1)[within]
+            value *= ODD
+            value ^= value >> HALF
+            value[~alive] = 0
+            hashes.append(mix(np.add.reduceat(value, begin)))
+            begins.append(begin + at)
+        at = stop
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    b = np.concatenate(begins) if begins else np.zeros(0, np.int64)
+    return h, np.searchsorted(b, ends, "left")
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:
