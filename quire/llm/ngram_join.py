@@ -146,13 +146,13 @@ def _pairs_of_few(spec: JaccardSpec):
 
 
 def _links_of_tile(spec: JaccardSpec, sid, n, sig, side, group, hashes) -> list[tuple[int, int]]:
-    """Linked pairs, as few as connect what links connect in a tile. A set is compared with those of other groups only, the
+    """(set, least set of its group) for what links connect in a tile. A set is compared with those of other groups only, the
     most similar first, by the bounds of the signatures and then exactly. group: sets of one number are connected already.
     side: 0, or 1 and 2 where only pairs of different sides are asked for."""
     order = np.argsort(n, kind="stable")
     sid, n, sig, side = sid[order], n[order], sig[order], side[order]
     component = np.unique(group[order], return_inverse=True)[1]
-    links = []
+    touched = np.zeros(len(n), bool)
     for i in range(1, len(n)):
         first = int(np.searchsorted(n, -(-n[i] * spec.num // spec.den)))
         apart = first + np.flatnonzero(component[first:i] != component[i])
@@ -169,10 +169,13 @@ def _links_of_tile(spec: JaccardSpec, sid, n, sig, side, group, hashes) -> list[
             y = hashes[order[j]]
             both = len(np.intersect1d(x, y, assume_unique=True))
             if spec.den * both >= spec.num * (len(x) + len(y) - both):
-                links.append((int(sid[i]), int(sid[j])))
                 component[component == component[i]] = component[j]
+                touched[component == component[j]] = True
                 found = found[component[found] != component[j]]
-    return links
+    least: dict[int, int] = {}
+    for c, s in zip(component.tolist(), sid.tolist()):
+        least[c] = min(s, least.get(c, s))
+    return [(s, least[c]) for c, s, t in zip(component.tolist(), sid.tolist(), touched.tolist()) if t and s != least[c]]
 
 
 def _links_of_tiles(spec: JaccardSpec):
@@ -227,9 +230,10 @@ def _large_links(large: DataFrame, hashes: DataFrame, spec: JaccardSpec, scratch
         one = groups.where("sid = grp").withColumn("key", F.array_min(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(turn)))))
         sizes = one.groupBy("tile", "key").agg(F.ceil(F.count("*") / TILE).alias("k"))
         parts = one.join(sizes, ["tile", "key"]).withColumn("part", F.xxhash64("key", F.pmod(F.xxhash64("sid", F.lit(turn)), "k"))).withColumn("side", F.lit(0))
-        found.append(scratch.write(_tile_links(parts.select("tile", "part", "sid", "n", "sig", "side", "grp"), hashes, spec), f"large-{turn}"))
-        joined = components(reduce(DataFrame.unionByName, found), scratch, f"joined-{turn}")
-        groups = large.join(joined.select(F.col("node").alias("sid"), F.col("root").alias("grp")), "sid", "left").withColumn("grp", F.coalesce("grp", "sid"))
+        joined = scratch.write(_tile_links(parts.select("tile", "part", "sid", "n", "sig", "side", "grp"), hashes, spec), f"large-{turn}")
+        found.append(joined)
+        # each set is in one part, so it goes to one group: the least set that it is connected with there
+        groups = groups.join(joined.select(F.col("a").alias("grp"), F.col("b").alias("to")), "grp", "left").withColumn("grp", F.coalesce("to", "grp")).drop("to")
         groups = scratch.write(groups, f"grouped-{turn}")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(spec.den / spec.num))).cast("int")
     rows = groups.withColumn("band", F.explode(F.array(band, band + 1)))
@@ -237,6 +241,9 @@ def _large_links(large: DataFrame, hashes: DataFrame, spec: JaccardSpec, scratch
     counts = counts.groupBy("tile", "band").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("c"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(2 * n / TILE)).cast("int")
     counts = counts.where("c > most").select("tile", "band", "main", blocks(F.col("c") - F.col("most")).alias("ks"), blocks(F.col("most")).alias("km"))
+    counts = scratch.write(counts, "strays")
+    if counts.isEmpty():
+        return found
     rows = rows.join(counts, ["tile", "band"])
     aside = F.col("grp") != F.col("main")
     own = F.pmod(F.xxhash64("sid"), F.when(aside, F.col("ks")).otherwise(F.col("km"))).cast("int")
@@ -409,7 +416,7 @@ def linked_documents(docs: DataFrame, spec: JaccardSpec, sets_of: SetsOf, id_col
         links += _large_links(scratch.write(tiled.join(big, "tile"), "large"), hashes, spec, scratch)
     links = scratch.write(reduce(DataFrame.unionByName, links), "links")
     found = components(links, scratch, "groups")
-    scratch.drop("hashes", "ends", "links", "pairs", "postings", "tiled", "sizes", "large", *(f"{t}-{i}" for t in ("large", "grouped") for i in range(ROUNDS)))
+    scratch.drop("hashes", "ends", "links", "pairs", "postings", "tiled", "sizes", "large", "strays", *(f"{t}-{i}" for t in ("large", "grouped") for i in range(ROUNDS)))
 
     named = sets.select("sid", "least").join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("f"), F.count("*").alias("n"))
