@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import dates, identifiers, names, patterns, text
-from quire.operators import catalog, duplicates, edits, languages, mining, validation
+from quire.operators import authors, catalog, duplicates, edits, languages, mining, shelf, validation
 from quire.plans.recipe import Recipe, default_steps
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from quire.registry import ORACLE_SQL, QUERIES, load, query  # noqa: F401
 
 
 def _list(words) -> str:
@@ -73,8 +55,8 @@ def blank_language(spark, sf_dir):
 
 # --- duplicates ------------------------------------------------------------------------------------------------------
 
-_BOOKS_SQL = """books AS (SELECT doc_id AS book_id, sha256(text) AS fingerprint, trim(regexp_replace(lower(substr(text, 1, 40)), '[^\\pL\\pN]+', ' ', 'g')) AS title_key, source AS author_key,
-    CASE WHEN n_chars % 5 = 0 THEN CAST(n_chars AS VARCHAR) ELSE '' END AS isbn13 FROM documents),
+_BOOKS_SQL = """books AS (SELECT doc_id AS book_id, sha256(text) AS fingerprint, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS title_key, source AS author_key,
+    CAST(n_chars AS VARCHAR) AS isbn13 FROM documents),
     parts AS (SELECT 'content' AS kind, fingerprint AS key, 'identical' AS tier, book_id FROM books UNION ALL
               SELECT 'title', title_key || chr(0) || author_key, 'possible', book_id FROM books WHERE title_key <> '' AND author_key <> '' UNION ALL
               SELECT 'isbn', isbn13, 'weak', book_id FROM books WHERE isbn13 <> ''),
@@ -82,10 +64,10 @@ _BOOKS_SQL = """books AS (SELECT doc_id AS book_id, sha256(text) AS fingerprint,
 
 
 def _books(spark, sf_dir) -> DataFrame:
-    """Documents as books: the text's hash as fingerprint, its beginning as title, the source as author, some lengths as number."""
+    """Documents as books: the text's hash as fingerprint, its words as title, the source as author, its length as number."""
     d = load(spark, sf_dir, "documents")
-    isbn = F.when(F.col("n_chars") % 5 == 0, F.col("n_chars").cast("string")).otherwise("")
-    return d.select(F.col("doc_id").alias("book_id"), F.sha2("text", 256).alias("fingerprint"), text.plain_key(F.substring("text", 1, 40)).alias("title_key"), F.col("source").alias("author_key"), isbn.alias("isbn13"))
+    isbn = F.col("n_chars").cast("string")
+    return d.select(F.col("doc_id").alias("book_id"), F.sha2("text", 256).alias("fingerprint"), text.plain_key(F.col("text")).alias("title_key"), F.col("source").alias("author_key"), isbn.alias("isbn13"))
 
 
 @query("SELECT sha256(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -140,9 +122,9 @@ _WORDS = "trim(regexp_replace(" + _FOLD + ", '[^\\pL\\pN]+', ' ', 'g'))"
 _TITLE = "CASE WHEN split_part(k, ' ', 1) IN (" + _list(text.ARTICLES) + ") AND contains(k, ' ') THEN regexp_replace(k, '^[^ ]+ ', '') ELSE k END"
 
 
-@query(f"SELECT doc_id, {_TITLE} AS title_key FROM (SELECT doc_id, {_WORDS % 'substr(text, 1, 60)'} AS k FROM documents)")
+@query(f"SELECT doc_id, {_TITLE} AS title_key FROM (SELECT doc_id, {_WORDS % 'text'} AS k FROM documents)")
 def title_key(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", text.title_key(F.substring("text", 1, 60)).alias("title_key"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.title_key(F.col("text")).alias("title_key"))
 
 
 @query("SELECT page_id, trim(regexp_replace(lower(regexp_extract(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]', 1)), '[^\\pL\\pN]+', ' ', 'g')) AS heading_key FROM pages")
@@ -181,14 +163,13 @@ def file_names(spark, sf_dir):
 
 @query("SELECT c_mktsegment, c_custkey, c_name FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), '00012')")
 def quick_filter(spark, sf_dir):
-    c = load(spark, sf_dir, "customer")
-    return c.where(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")).contains("00012")).select("c_mktsegment", "c_custkey", "c_name")
+    return shelf.quick_filter(load(spark, sf_dir, "customer"), "00012", "c_name", "c_mktsegment").select("c_mktsegment", "c_custkey", "c_name")
 
 
 @query("SELECT p_partkey, p_size, p_name FROM part ORDER BY CAST(p_size AS BIGINT) DESC, p_partkey LIMIT 50")
 def numeric_sort_topk(spark, sf_dir):
     """A column sort whose text counts as a number; a top-k report."""
-    return load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name").orderBy(F.col("p_size").cast("string").try_cast("bigint").desc(), "p_partkey").limit(50)
+    return shelf.numeric_top(load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_size", "p_partkey", 50)
 
 
 # --- identifiers and dates -------------------------------------------------------------------------------------------
@@ -285,24 +266,30 @@ def distinct_cap(spark, sf_dir):
     """SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN n_name ELSE r_name END AS series, CASE WHEN s_nationkey % 2 = 0 THEN r_name ELSE '' END AS series_parent FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey"""
 )
 def parent_inherit(spark, sf_dir):
-    """A supplier's own nation is its series, or, where it has none (odd keys), its parent's."""
+    """A supplier's own nation is its series, or, where it has none (odd keys), its parent's: suppliers as variants of a title for each
+    nation, whose series is the region; nations of even keys are series within their regions."""
     s, n, r = (load(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    own = n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("own"))
-    up = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
-    return s.join(own, "s_nationkey", "left").join(up, "s_nationkey").select("s_suppkey", F.coalesce("own", "r_name").alias("series"), F.when(F.col("own").isNotNull(), F.col("r_name")).otherwise("").alias("series_parent"))
+    none = {c: F.lit(None).cast("string").alias(c) for c in ("title_seriesnum", "title_seriesnum_2", "title_copyright", "names")}
+    own = F.when(F.col("s_nationkey") % 2 == 0, F.col("s_nationkey") + 1000).cast("bigint")
+    variants = s.select(F.col("s_suppkey").cast("bigint").alias("title_id"), (F.col("s_nationkey") + 1_000_000_000).cast("bigint").alias("title_parent"), own.alias("series_id"), *none.values())
+    originals = n.select((F.col("n_nationkey") + 1_000_000_000).cast("bigint").alias("title_id"), F.lit(0).cast("bigint").alias("title_parent"), (F.col("n_regionkey") + 1).cast("bigint").alias("series_id"), *none.values())
+    series = n.select((F.col("n_nationkey") + 1000).cast("bigint").alias("series_id"), F.col("n_name").alias("series_title"), (F.col("n_regionkey") + 1).cast("bigint").alias("series_parent"))
+    series = series.unionByName(r.select((F.col("r_regionkey") + 1).cast("bigint").alias("series_id"), F.col("r_name").alias("series_title"), F.lit(None).cast("bigint").alias("series_parent")))
+    works = catalog.with_series(catalog.inherited(variants.unionByName(originals)), series)
+    return works.where("title_parent <> 0").select(F.col("title_id").alias("s_suppkey"), "series", F.col("parent_title").alias("series_parent"))
 
 
 @query(
-    """SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN p_brand = substr(o_orderpriority, 1, 1) OR p_size = l_linenumber * 7 THEN 0 ELSE 1 END, l_partkey) AS n
-    FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey) WHERE n = 1"""
+    """SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN p_brand = 'Brand#' || (o_custkey % 25 + 1) THEN 0 ELSE 1 END, l_partkey) AS n
+    FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size > 5) WHERE n = 1"""
 )
 def best_title_link(spark, sf_dir):
-    """Of an order's parts the one that matches best, then the lowest key."""
-    lines = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey")
-    lines = lines.join(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
-    same = (F.col("p_brand") == F.substring("o_orderpriority", 1, 1)) | (F.col("p_size") == F.col("l_linenumber") * 7)
-    best = lines.groupBy("l_orderkey").agg(F.min(F.struct(F.when(same, 0).otherwise(1).alias("rank"), "l_partkey")).alias("b"))
-    return best.select("l_orderkey", "b.l_partkey")
+    """Orders as publications, parts as the titles that they print: of an order's parts the one that is named like it, then the lowest key."""
+    lines, p, o = (load(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
+    pubs = o.select(F.col("o_orderkey").alias("pub_id"), F.concat(F.lit("Brand "), F.col("o_custkey") % 25 + 1).alias("pub_title"), F.lit("NOVEL").alias("pub_ctype"))
+    titles = p.select(F.col("p_partkey").alias("title_id"), F.replace("p_brand", F.lit("#"), F.lit(" ")).alias("title_title"), F.when(F.col("p_size") > 5, "NOVEL").otherwise("CHAPBOOK").alias("title_ttype"))
+    content = lines.select(F.col("l_orderkey").alias("pub_id"), F.col("l_partkey").alias("title_id"))
+    return catalog.printed_title(pubs, content, titles).select(F.col("pub_id").alias("l_orderkey"), F.col("work_id").alias("l_partkey"))
 
 
 _ISBN_OF = "'978' || lpad(CAST({k} * 104729 % 1000000000 AS VARCHAR), 9, '0')"
@@ -374,31 +361,28 @@ def lookup_acceptance(spark, sf_dir):
 @query("SELECT DISTINCT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
 def used_authors(spark, sf_dir):
     used = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"))
-    return load(spark, sf_dir, "supplier").join(used, "s_suppkey", "left_semi").select("s_suppkey", "s_name")
+    return catalog.used_rows(load(spark, sf_dir, "supplier"), used, "s_suppkey").select("s_suppkey", "s_name")
 
 
 @query("SELECT CASE WHEN l_quantity < 5 THEN 'no_isbn' WHEN l_returnflag = 'N' THEN 'language' ELSE 'kept' END AS why, count(*) AS rows, count(DISTINCT l_suppkey) AS authors FROM lineitem GROUP BY 1")
 def import_summary(spark, sf_dir):
-    why = F.when(F.col("l_quantity") < 5, "no_isbn").when(F.col("l_returnflag") == "N", "language").otherwise("kept")
-    return load(spark, sf_dir, "lineitem").groupBy(why.alias("why")).agg(F.count("*").alias("rows"), F.count_distinct("l_suppkey").alias("authors"))
+    rows = load(spark, sf_dir, "lineitem").withColumn("reason", catalog.why_left_out(F.col("l_quantity") >= 5, F.col("l_returnflag") != "N"))
+    return catalog.import_summary(rows, "reason", F.col("l_suppkey"))
 
 
 @query("SELECT lower(regexp_replace(trim(c_mktsegment), '\\s+', ' ', 'g')) AS value, count(*) AS n FROM customer GROUP BY 1")
 def field_value_counts(spark, sf_dir):
-    return load(spark, sf_dir, "customer").groupBy(F.lower(text.collapse(F.col("c_mktsegment"))).alias("value")).agg(F.count("*").alias("n"))
+    return shelf.value_counts(load(spark, sf_dir, "customer"), "c_mktsegment")
 
 
 @query("SELECT c_nationkey, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN min(c_mktsegment) ELSE '<multiple>' END AS shown, string_agg(DISTINCT c_mktsegment, '; ' ORDER BY c_mktsegment) AS choices FROM customer GROUP BY 1")
 def selection_summary(spark, sf_dir):
-    values = F.sort_array(F.collect_set("c_mktsegment"))  # a few segments
-    c = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(values.alias("v"))
-    return c.select("c_nationkey", F.when(F.size("v") == 1, F.get("v", F.lit(0))).otherwise("<multiple>").alias("shown"), F.array_join("v", "; ").alias("choices"))
+    return shelf.selection_summary(load(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
 
 
 @query("SELECT event_type, sum(value) AS total, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1")
 def timing_totals(spark, sf_dir):
-    e = load(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.col("value").cast("decimal(30,12)")).alias("t"), F.count("*").alias("n"))
-    return e.select("event_type", F.col("t").cast("double").alias("total"), "n", (F.col("t").cast("double") / F.col("n")).alias("mean"))
+    return shelf.timing_totals(load(spark, sf_dir, "events"), "event_type", "value")
 
 
 ORACLE_SQL["timing_totals"] = "SELECT event_type, CAST(sum(CAST(value AS DECIMAL(30, 12))) AS DOUBLE) AS total, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(30, 12))) AS DOUBLE) / count(*) AS mean FROM events GROUP BY 1"
@@ -442,9 +426,7 @@ def page_number_sequence(spark, sf_dir):
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE (i - 1) % CAST(ceil(n / 4) AS BIGINT) = 0")
 def even_sampling(spark, sf_dir):
     """Every ceil(n/4)-th order of a customer."""
-    w = Window.partitionBy("o_custkey")
-    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w.orderBy("o_orderkey")).alias("i"), F.count("*").over(w).alias("n"))
-    return o.where((F.col("i") - 1) % F.ceil(F.col("n") / 4) == 0).select("o_custkey", "o_orderkey")
+    return mining.evenly(load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 4)
 
 
 # --- validation ------------------------------------------------------------------------------------------------------
@@ -452,19 +434,23 @@ def even_sampling(spark, sf_dir):
 
 @query("SELECT l_orderkey AS book_id, CAST(l_partkey AS VARCHAR) AS path FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10)")
 def manifest_missing(spark, sf_dir):
-    files = load(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))
-    return load(spark, sf_dir, "lineitem").join(files, "l_partkey", "left_anti").select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").cast("string").alias("path"))
+    items = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.col("l_partkey").cast("string").alias("path"), F.lit(False).alias("remote"))
+    sizes = load(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").cast("string").alias("path"))
+    entries = items.select("book_id", "path").distinct().join(sizes, "path", "left_semi").select("book_id", F.col("path").alias("name"))
+    return validation.missing_files(items, entries).select("book_id", "path")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def manifest_orphans(spark, sf_dir):
-    named = load(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
-    return load(spark, sf_dir, "part").join(named, "p_partkey", "left_anti").select("p_partkey", "p_name")
+    named = load(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.lit(1).alias("book_id"), F.col("l_partkey").cast("string").alias("path"))
+    entries = load(spark, sf_dir, "part").select(F.lit(1).alias("book_id"), F.col("p_partkey").cast("string").alias("name"))
+    found = validation.orphans(entries, named).select(F.col("path").cast("bigint").alias("p_partkey"))
+    return load(spark, sf_dir, "part").join(found, "p_partkey").select("p_partkey", "p_name")
 
 
 @query("SELECT l_orderkey AS book_id, l_suppkey % 20 AS item_id, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("book_id"), (F.col("l_suppkey") % 20).alias("item_id")).agg(F.count("*").alias("n")).where("n > 1")
+    return validation.repeated_ids(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), (F.col("l_suppkey") % 20).alias("item_id")))
 
 
 @query(
@@ -530,11 +516,17 @@ def genre_ddc(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", mining.ddc_genre(F.lpad((F.col("p_partkey") * 37 % 1000).cast("string"), 3, "0")).alias("genre"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT p_partkey, word AS genre, 1 AS src FROM part, unnest(['Steel', 'Polished Steel', 'Brass', 'Copper', 'Economy', 'Promo', 'Small', 'Large', 'Widget', 'Small Widget', 'Gear']) AS t(word) WHERE regexp_matches(p_type, '(?i)\\b' || replace(word, ' ', '[\\s/_-]*') || '(?:s|es)?\\b')
+               UNION ALL SELECT p_partkey, word, 3 FROM part, unnest(['Steel', 'Polished Steel', 'Brass', 'Copper', 'Economy', 'Promo', 'Small', 'Large', 'Widget', 'Small Widget', 'Gear']) AS t(word) WHERE regexp_matches(p_name, '(?i)\\b' || replace(word, ' ', '[\\s/_-]*') || '(?:s|es)?\\b')),
+    k AS (SELECT * FROM h WHERE NOT (genre IN ('Small', 'Widget') AND src = 3 AND EXISTS (SELECT 1 FROM h o WHERE o.p_partkey = h.p_partkey AND o.src = 3 AND o.genre = 'Small Widget'))),
+    g AS (SELECT p_partkey, genre, count(DISTINCT src) AS sources, min(src) AS best FROM k GROUP BY 1, 2)
+    SELECT p_partkey, genre, sources, row_number() OVER (PARTITION BY p_partkey ORDER BY sources DESC, best, lower(genre)) AS place FROM g"""
+)
 def genre_terms(spark, sf_dir):
     """Genres named in parts' types and names, ranked."""
     p = load(spark, sf_dir, "part")
-    words = ["Steel", "Polished Steel", "Brass", "Copper", "Economy", "Promo", "Small", "Large"]
+    words = ["Steel", "Polished Steel", "Brass", "Copper", "Economy", "Promo", "Small", "Large", "Widget", "Small Widget", "Gear"]
     hits = mining.genre_hits(p, "p_partkey", "p_type", words, "folder").unionByName(mining.genre_hits(p, "p_partkey", "p_name", words, "description"))
     return mining.rank_genres(hits, "p_partkey")
 
@@ -579,35 +571,34 @@ def toc_headings(spark, sf_dir):
     return mining.headings(load(spark, sf_dir, "pages"), "html", "page_id").select("page_id", "place", "level", F.col("text").alias("heading"))
 
 
-_HEADS = """heads AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-3]\\b[^>]*>.*?</h[1-3]\\s*>')) AS h, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages),
-    keyed AS (SELECT page_id, host, lower(trim(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) AS key FROM heads)"""
-
-
 @query(
-    f"""WITH {_HEADS}, sizes AS (SELECT regexp_extract(url, '://(?:[^/]*\\.)?(example\\.[a-z]+)', 1) AS site, count(*) AS docs FROM pages GROUP BY 1),
-    k AS (SELECT regexp_extract(host, '(example\\.[a-z]+)', 1) AS site, key, count(DISTINCT page_id) AS in_docs FROM keyed WHERE key <> '' GROUP BY 1, 2)
-    SELECT site, key, in_docs FROM k JOIN sizes USING (site) WHERE docs >= 6 AND in_docs >= greatest(3, ceil(docs * 0.30))"""
+    """SELECT o_custkey, lower(o_orderpriority) AS key, count(*) AS in_docs FROM orders JOIN (SELECT o_custkey, count(*) AS docs FROM orders GROUP BY 1) USING (o_custkey)
+    GROUP BY o_custkey, docs, 2 HAVING docs >= 6 AND count(*) >= greatest(3, ceil(docs * 0.30))"""
 )
 def toc_running_headers(spark, sf_dir):
-    site = F.regexp_extract("url", r"://(?:[^/]*\.)?(example\.[a-z]+)", 1)
-    p = load(spark, sf_dir, "pages").withColumn("site", site)
-    found = mining.headings(p, "html", "site", "page_id")
-    return mining.running_headings(found, "site", "page_id", p.groupBy("site").agg(F.count("*").alias("docs"))).select("site", "key", "in_docs")
+    """Customers as books, orders as documents whose heading is their priority."""
+    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("text"))
+    return mining.running_headings(o, "o_custkey", "o_orderkey", o.groupBy("o_custkey").agg(F.count("*").alias("docs")))
 
 
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h[1-3]\\b[^>]*>.*?</h[1-3]\\s*>'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM pages WHERE regexp_matches(html, '(?is)<h[1-3]\\b[^>]*>.*?</h[1-3]\\s*>')")
 def toc_first_per_doc(spark, sf_dir):
-    found = mining.headings(load(spark, sf_dir, "pages"), "html", "page_id")
-    return found.groupBy("page_id").agg(F.min_by("text", "place").alias("heading"))
+    return mining.first_headings(mining.headings(load(spark, sf_dir, "pages"), "html", "page_id"), "page_id")
+
+
+def _hosts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Hosts as books, and the headings of their pages. What is short is taken from the html first, so that no page is shuffled."""
+    p = load(spark, sf_dir, "pages").withColumn("book_id", F.regexp_extract("url", "://([^/]*)", 1))
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy("page_id")).cast("long")
+    docs = p.select("page_id", "book_id", F.col("url").alias("path"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1).alias("title"), F.lit("").alias("book_title")).withColumn("ordinal", n)
+    found = mining.headings(p, "html", "page_id").join(docs.select("page_id", "book_id", "ordinal", "path"), "page_id").drop("page_id")
+    return docs.drop("page_id"), found
 
 
 @query()
 def toc_contents(spark, sf_dir):
     """Each host as a book whose documents are its pages."""
-    p = load(spark, sf_dir, "pages").withColumn("book_id", F.regexp_extract("url", "://([^/]*)", 1))
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy("page_id")).cast("long")
-    docs = p.select("book_id", n.alias("ordinal"), F.col("url").alias("path"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1).alias("title"), "html", F.lit("").alias("book_title"))
-    return mining.contents(docs)
+    return mining.contents(*_hosts(spark, sf_dir))
 
 
 # --- edits, journal, recipe ------------------------------------------------------------------------------------------
@@ -664,13 +655,13 @@ def missing_fields(spark, sf_dir):
 @query(
     f"""WITH d AS (SELECT doc_id, text, source FROM documents), g AS ({_language_sql()}),
     r AS (SELECT g.doc_id AS book_id, 'language' AS field, lang_code AS value, confidence, 'language' AS step, CASE WHEN source = 'src1' THEN 'skipped' WHEN confidence >= 0.9 THEN 'applied' ELSE 'review' END AS outcome FROM g JOIN d USING (doc_id) WHERE lang_code <> ''
-          UNION ALL SELECT doc_id, 'title', regexp_replace(substr(text, 1, 200), '([.,;:!?])([A-Za-z])', '\\1 \\2', 'g'), 1.0, 'missing_space_title', CASE WHEN source = 'src1' THEN 'skipped' ELSE 'applied' END FROM d WHERE regexp_matches(substr(text, 1, 200), '[.,;:!?][A-Za-z]'))
+          UNION ALL SELECT doc_id, 'title', regexp_replace(text, '([.,;:!?])([A-Za-z])', '\\1 \\2', 'g'), 1.0, 'missing_space_title', CASE WHEN source = 'src1' THEN 'skipped' ELSE 'applied' END FROM d WHERE regexp_matches(text, '[.,;:!?][A-Za-z]'))
     SELECT step, outcome, count(*) AS rows, count(DISTINCT value) AS distinct_values FROM r GROUP BY 1, 2"""
 )
 def pipeline_threshold(spark, sf_dir):
     """A recipe of two steps over documents as books: what is applied, left for review, skipped."""
     d = load(spark, sf_dir, "documents")
-    books = d.select(F.col("doc_id").alias("book_id"), F.substring("text", 1, 200).alias("title"), F.col("text").alias("description"), F.lit("").alias("language"), (F.col("source") == "src1").alias("locked"))
+    books = d.select(F.col("doc_id").alias("book_id"), F.col("text").alias("title"), F.col("text").alias("description"), F.lit("").alias("language"), (F.col("source") == "src1").alias("locked"))
     steps = default_steps()
     found = Recipe([steps["missing_space_title"], steps["language"]]).results(books)
     return found.groupBy("step", "outcome").agg(F.count("*").alias("rows"), F.count_distinct("value").alias("distinct_values"))
@@ -701,7 +692,7 @@ def series_cleanup(spark, sf_dir):
     return p.select("p_partkey", names.clean_series(F.when(F.col("p_partkey") % 2 == 0, "Saga (Ben Bova)").otherwise("Saga (Legends)"), F.lit("Bova, Ben")).alias("series"))
 
 
-@query("SELECT l_orderkey AS book_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(k)) AS ordinal, 'p' || l_suppkey || '.xhtml' AS path FROM (SELECT *, l_linenumber * 100000 + l_partkey AS k FROM lineitem) WHERE l_suppkey % 3 <> 0 GROUP BY l_orderkey, l_suppkey")
+@query("SELECT l_orderkey AS book_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(k), 'p' || l_suppkey || '.xhtml') AS ordinal, 'p' || l_suppkey || '.xhtml' AS path FROM (SELECT *, l_linenumber * 100000 + l_partkey AS k FROM lineitem) WHERE l_suppkey % 3 <> 0 GROUP BY l_orderkey, l_suppkey")
 def reading_order(spark, sf_dir):
     """Lines as spine entries, suppliers as documents; those divisible by 3 are missing in the archive."""
     lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book_id"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("place"), F.col("l_suppkey").cast("string").alias("idref"), "l_suppkey")
@@ -748,11 +739,9 @@ def vocabulary(spark, sf_dir):
 @query("SELECT c_custkey, ['Jane Doe', replace(c_name, '#', ' ')] AS a, ['Doe, Jane', regexp_replace(replace(c_name, '#', ' '), '^(.*) ([^ ]*)$', '\\2, \\1')] AS s FROM customer")
 def author_cleanup(spark, sf_dir):
     """Names with spare spaces, an inverted form and a repeated name."""
-    from quire.operators.authors import clean_authors
-
     raw = F.array(F.concat(F.lit(" Doe,  Jane & "), F.replace("c_name", F.lit("#"), F.lit(" "))), F.lit("Jane Doe"))
     books = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), raw.alias("authors"), F.array(F.lit("")).alias("author_sort"))
-    return clean_authors(books).select(F.col("book_id").alias("c_custkey"), F.array_join("authors", "; ").alias("a"), F.array_join("author_sort", "; ").alias("s"))
+    return authors.clean_authors(books).select(F.col("book_id").alias("c_custkey"), F.array_join("authors", "; ").alias("a"), F.array_join("author_sort", "; ").alias("s"))
 
 
 ORACLE_SQL["author_cleanup"] = "SELECT c_custkey, 'Jane Doe; ' || replace(c_name, '#', ' ') AS a, 'Doe, Jane; ' || regexp_replace(replace(c_name, '#', ' '), '^(.*) ([^ ]*)$', '\\2, \\1') AS s FROM customer"
@@ -788,3 +777,6 @@ def catalogue_build(spark, sf_dir):
     people = load(spark, sf_dir, "region").select(F.concat(F.lit("A"), F.col("r_regionkey").cast("string")).alias("author_key"), F.col("r_name").alias("name"))
     t = catalog.catalogue_a(e, works, people, ["en"])["editions"].where("authors_text <> ''")
     return t.groupBy(F.substring("work_key", 2, 9).cast("int").alias("s_nationkey")).agg(F.count("*").alias("n_works"), F.count_distinct("title").alias("titles"))
+
+
+from quire import shelf_queries  # noqa: E402, F401 - registers the rest
