@@ -23,7 +23,7 @@ from quire.llm.words import shingle_sets
 FEW = 128
 #: Sets a tile compares with each other; a tile of more first becomes components in so many rounds, each of which joins up to
 #: TILE of them.
-TILE, ROUNDS = 2048, 3
+TILE, ROUNDS = 1024, 3
 #: Text bytes that a task turns into shingles at a time.
 BATCH = 1 << 20
 #: Bits of a signature; sets of more shingles put every 2nd, 4th, 8th ... of their shingles in it.
@@ -204,9 +204,9 @@ def _links_of_tiles(spec: JaccardSpec):
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """(token, c, sid): the sets that share a prefix shingle, and how many share it. Lone shingles go."""
+    """(token, c, sid, least): the sets that share a prefix shingle, how many share it, and the least of them. Lone shingles go."""
     posting = sets.select("sid", F.explode("prefix").alias("token"))
-    counts = posting.groupBy("token").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+    counts = posting.groupBy("token").agg(F.count("*").cast("int").alias("c"), F.min("sid").alias("least")).where("c > 1")
     total = counts.agg(F.sum("c")).first()[0] or 0
     return join_hot(posting, counts, "token", total, "c")
 
@@ -403,7 +403,7 @@ def linked_documents(docs: DataFrame, spec: JaccardSpec, sets_of: SetsOf, id_col
     few = postings.where(F.col("c") <= FEW).select("token", "sid").join(sets.where(F.size("prefix") > 0).select("sid", "n", "sig"), "sid")
     few = few.select("token", "sid", "n", "sig").repartition("token").sortWithinPartitions("token")
     pairs = scratch.write(_near(few.mapInArrow(_pairs_of_few(spec), "a long, b long").distinct(), sets, spec), "pairs")
-    tiled = components(postings.where(F.col("c") > FEW).select(F.col("sid").alias("a"), F.col("token").alias("b")), scratch, "tiles")
+    tiled = components(postings.where(F.col("c") > FEW).select(F.col("sid").alias("a"), F.col("least").alias("b")), scratch, "tiles")
     tiled = scratch.write(tiled.select(F.col("node").alias("sid"), F.col("root").alias("tile")).join(sets.select("sid", "n", "sig", "prefix"), "sid"), "tiled")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(tiled.select("sid")).distinct()
