@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import collapse, text_of
@@ -124,3 +124,10 @@ def tidy(field: str, value: Column) -> Column:
     if field == "isbn":
         return F.upper(F.regexp_replace(value, "[^0-9Xx]", ""))
     return value
+
+
+def best_pattern(names: DataFrame, column: str, tried: list[str]) -> DataFrame:
+    """(pattern, matches): the pattern that most names match, the earliest of equal ones. All are counted in one reading."""
+    counts = names.agg(*[F.count_if(F.col(column).rlike(to_regex(p)[0])).alias(f"n{i}") for i, p in enumerate(tried)])
+    each = F.array(*[F.struct(F.col(f"n{i}").alias("matches"), F.lit(-i).alias("place"), F.lit(p).alias("pattern")) for i, p in enumerate(tried)])
+    return counts.select(F.array_max(each).alias("b")).select("b.pattern", "b.matches")

@@ -65,6 +65,12 @@ def follow_renames(moves: DataFrame) -> DataFrame:
     return links.join(moves.select(F.col("new_path").alias("a")), "a", "left_anti").select(F.col("a").alias("first_path"), F.col("b").alias("last_path"))
 
 
+def series_numbers(books: DataFrame, series: str, *order: str, first: float = 1, step: float = 1) -> DataFrame:
+    """The books with series_index: first, first + step, ... in each series by the order given."""
+    n = F.row_number().over(Window.partitionBy(series).orderBy(*order))
+    return books.withColumn("series_index", F.lit(first) + F.lit(step) * (n - 1))
+
+
 def review(old: Column, new: Column) -> Column:
     """What a look-up's value does to a field: fill a blank (ticked), overwrite (unticked), or nothing."""
     o, n = collapse(old), collapse(new)

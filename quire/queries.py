@@ -393,8 +393,7 @@ ORACLE_SQL["timing_totals"] = "SELECT event_type, CAST(sum(CAST(value AS DECIMAL
 
 @query("SELECT o_orderkey, o_custkey, 1 + 0.5 * (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) AS series_index FROM orders")
 def series_numbering(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (1 + 0.5 * (n - 1)).alias("series_index"))
+    return edits.series_numbers(load(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey", step=0.5).select("o_orderkey", "o_custkey", "series_index")
 
 
 ORACLE_SQL["series_numbering"] = "SELECT o_orderkey, o_custkey, CAST(1 + 0.5 * (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) AS DOUBLE) AS series_index FROM orders"
@@ -490,10 +489,7 @@ def pattern_parse(spark, sf_dir):
 @query("SELECT pattern, count(*) AS matches FROM (SELECT '%series%#%number%' AS pattern FROM customer WHERE regexp_matches(c_name, '^.+?#\\d+$') UNION ALL SELECT '%title% - %year%' FROM customer WHERE regexp_matches(c_name, '^.+?\\s+-\\s+\\d{4}$')) GROUP BY 1 ORDER BY 2 DESC LIMIT 1")
 def best_pattern(spark, sf_dir):
     """The pattern that most names match; the earliest of equal ones."""
-    c, tried = load(spark, sf_dir, "customer"), ["%series%#%number%", "%title% - %year%"]
-    counts = c.agg(*[F.count_if(F.col("c_name").rlike(patterns.to_regex(p)[0])).alias(f"n{i}") for i, p in enumerate(tried)])
-    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"n{i}").alias("matches"), F.lit(-i).alias("place")) for i, p in enumerate(tried)])).alias("r")).select("r.*")
-    return rows.orderBy(F.desc("matches"), F.desc("place")).limit(1).select("pattern", "matches")
+    return patterns.best_pattern(load(spark, sf_dir, "customer"), "c_name", ["%series%#%number%", "%title% - %year%"])
 
 
 @query("SELECT p_partkey, CASE WHEN n = 1 THEN t ELSE t || ' (' || n || ')' END AS name FROM (SELECT p_partkey, p_brand || ' ' || p_size AS t, row_number() OVER (PARTITION BY lower(p_brand || ' ' || p_size) ORDER BY p_partkey) AS n FROM part)")
