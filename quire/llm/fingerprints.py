@@ -137,7 +137,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     heads = heads.select("place", F.coalesce(F.lag("run").over(order), F.max("run").over(Window.partitionBy(F.lit(0)))).alias("sent"))
     target, guest = F.struct("run", F.lit(0).alias("guest")), F.struct(F.col("sent").alias("run"), F.lit(1).alias("guest"))
     both = rows.join(F.broadcast(heads), "place", "left").select("doc_id", "place", "text", F.explode(F.when(F.col("sent").isNull(), F.array(target)).otherwise(F.array(target, guest))).alias("to"))
-    spread = both.select("doc_id", "place", "text", "to.run", "to.guest").repartition(len(edges) + 1, "run")
+    spread = both.select("doc_id", "place", "text", "to.run", "to.guest").repartition(min(4096, len(edges) + 1), "run")
     spread = spread.sortWithinPartitions("run", "guest", F.desc("place"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
