@@ -72,10 +72,23 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else None
 
 
+def unknown_letters() -> dict[int, int]:
+    """Letters and numbers that the regular expressions here know and those of tiktoken don't, each with the stand-in U+FFFF, which
+    neither takes for one. Both libraries are asked about every code point, so the table is that of the versions installed."""
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single, found = {bytes([b]): b for b in range(256)}, {}
+    for kind in (r"\p{L}", r"\p{N}"):
+        theirs = set(bytes(tiktoken.Encoding("bytes", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode())
+        found |= {ord(c): 0xFFFF for c in set(regex.findall(kind, every)) - theirs}
+    return found
+
+
 class BytePairCoder:
-    """Encodes by merge ranks and decodes. Texts are split by ``pattern``; no string is special. units: whether no match of the
-    pattern crosses the places where units.py cuts, as with the usual patterns, where a space, line feed or mark begins a
-    match; if not, every text is encoded whole."""
+    """Encodes by merge ranks and decodes. Texts are split by ``pattern``, with the letters and numbers that tiktoken knows; no string
+    is special. units: whether no match of the pattern crosses the places where units.py cuts, as with the usual patterns, where
+    a space, line feed or mark begins a match; if not, every text is encoded whole."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, units: bool = False):
         self.table = PerfectHash(ranks)
@@ -91,10 +104,20 @@ class BytePairCoder:
                 if left is not None and right is not None:
                     self.merged[left, right] = rank
         self.single = [ranks.get(bytes([b])) for b in range(256)]
-        self._units = self._find = None
+        self.stand_in = unknown_letters()
+        self._units = self._find = self._odd = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_units": None, "_find": None}
+        return self.__dict__ | {"_units": None, "_find": None, "_odd": None}
+
+    def _words(self, text: str) -> list[str]:
+        """The text's pre-tokens. Where it has letters of the table, matches are found with the stand-in in their place."""
+        if self._find is None:
+            self._find = regex.compile(self.pattern)
+            self._odd = regex.compile(f"[{''.join(map(chr, self.stand_in))}]" if self.stand_in else "(?!)").search
+        if not text.isascii() and self._odd(text):
+            return [text[m.start() : m.end()] for m in self._find.finditer(text.translate(self.stand_in))]
+        return self._find.findall(text)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word that is no token: its bytes are a linked list, and a heap yields the pair of lowest rank, the
@@ -127,10 +150,8 @@ class BytePairCoder:
 
     def encode_text(self, text: str) -> list[int]:
         """Ids of a text, by its pre-tokens."""
-        if self._find is None:
-            self._find = regex.compile(self.pattern).findall
         out: list[int] = []
-        for word in self._find(text):
+        for word in self._words(text):
             raw = word.encode()
             whole = self.table.get(raw)
             if whole is not None:

@@ -36,8 +36,9 @@ def cuts(data: np.ndarray) -> np.ndarray:
     # a space of more than one byte may end there: C2 85, C2 A0, and all that begin with E1, E2 or E3
     odd = wide & (((prev2 == 0xC2) & ((prev == 0x85) | (prev == 0xA0))) | ((prev3 >= 0xE1) & (prev3 <= 0xE3)))
     after_text = ~BLANK[prev] & ~odd
-    # letters of two bytes: C3 80 to C5 BF but the signs of times and division
-    after_letter = LETTER[prev] | (wide & (prev2 >= 0xC3) & (prev2 <= 0xC5) & ~((prev2 == 0xC3) & ((prev == 0x97) | (prev == 0xB7))))
+    # letters of two bytes: C3 80 to C5 BF but the signs of times and division, and I with a dot, which becomes two characters in
+    # lower case, the second of them a mark
+    after_letter = LETTER[prev] | (wide & (prev2 >= 0xC3) & (prev2 <= 0xC5) & ~((prev2 == 0xC3) & ((prev == 0x97) | (prev == 0xB7)) | (prev2 == 0xC4) & (prev == 0xB0)))
     out = ((b == 32) | (b == 10)) & after_text | MARK[b] & after_letter
     if len(data) > 5 and (some := np.flatnonzero((b == 0xE3) | (b == 0xEF))).size:
         some = some[(some >= 2) & (some + 3 < len(data))]
@@ -108,16 +109,16 @@ class UnitCoder:
     def _hashes(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """A hash of every unit, worked out some megabytes at a time. Each byte at each place has its own random number."""
         table, size, out = BYTE if self.fold else EXACT, stop - start, np.zeros(len(start), np.uint64)
-        bounds = np.searchsorted(start, np.arange(0, len(data) + SLICE, SLICE)) if len(start) else np.zeros(1, np.int64)
+        bounds = np.searchsorted(start, np.arange(0, len(data) + SLICE + 1, SLICE)) if len(start) else np.zeros(1, np.int64)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if a == b:
                 continue
             lo, hi = int(start[a]), int(stop[b - 1])
-            mark = np.zeros(hi - lo, np.int64)
+            mark = np.zeros(hi - lo + 1, np.int64)  # a unit of one blank that doesn't count is empty, and may begin at the end
             mark[start[a:b] - lo] = start[a:b] - lo
-            within = np.arange(hi - lo) - np.maximum.accumulate(mark)
+            within = np.arange(hi - lo) - np.maximum.accumulate(mark)[:-1]
             value = table[data[lo:hi]]
-            value ^= place_numbers(int(within.max()) + 1)[within]
+            value ^= place_numbers(int(within.max(initial=0)) + 1)[within]
             value *= ODD
             value ^= value >> HALF
             # the space before the next unit is left out where that doesn't count

@@ -1,3 +1,5 @@
+import hashlib
+
 import brute
 import public_tokenizers
 import pytest
@@ -101,3 +103,58 @@ def test_tail_ends_in_powers_of_two_if_that_is_cheap():
     assert tail_plan(10, 10 + 2048, 4096) == [10 + 2048]
     assert tail_plan(0, 2049, 4096) == [2048, 2049]
     assert tail_plan(0, 4095, 4096) == [4095]
+
+
+#: What texts of a fuzz test are made of: all of ASCII, special strings, blanks, letters that grow in lower case or are new.
+CRUMBS = [*map(chr, range(128)), *" \n  \n. ,", "<|endoftext|>", "<|startoftext|>", *"éÉßİıŁñŉ×÷", "e\u0301", *"日本語。、「", "\u3000", "\u00a0", "\u2003", "😀", "\u1100", "\U0001e6f4", "\U00018f98", "\U0001df40", "\U00018ee4", "\u0558", "the", " of", "word ", "'s", "12"]
+
+
+@pytest.fixture(scope="module")
+def crumbled():
+    import random
+
+    r = random.Random(11)
+    texts = ["".join(r.choice(CRUMBS) for _ in range(r.randrange(12))) for _ in range(20_000)]
+    # ends that are blanks: alone, last of a batch, last of a slice of 1 MB
+    return texts + ["A line that ends with a line feed.\n", "abc ", " ", "\n", "a" * ((1 << 20) - 1) + " ", "b" * (1 << 20) + " ", "İ.", "def", "abc "]
+
+
+def arrow(texts):
+    import pyarrow as pa
+
+    return pa.array(texts, pa.large_string())
+
+
+def test_fuzzed_counts_are_the_librarys(crumbled):
+    from tokenizers import Tokenizer
+
+    from quire.llm.token_count import lengths
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    want = [len(x.ids) for x in model.encode_batch(crumbled, add_special_tokens=False)]
+    for at in range(0, len(crumbled), 997):
+        assert lengths(arrow(crumbled[at : at + 997]), path).tolist() == want[at : at + 997]
+
+
+def test_fuzzed_ids_of_packing_are_the_librarys(crumbled):
+    from tokenizers import Tokenizer
+
+    from quire.llm.packing import tokenize
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(crumbled, add_special_tokens=False)]
+    for at in range(0, len(crumbled), 997):
+        ids, starts, *_ = tokenize(arrow(crumbled[at : at + 997]), path)
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == want[at : at + 997]
+    for t in ("abc ", " ", "\n", "İ."):  # each alone in its batch
+        assert tokenize(arrow([t]), path)[0].tolist() == Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+
+
+def test_fuzzed_bpe_is_the_librarys(crumbled):
+    coder = BytePairCoder(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, units=True)
+    want = brute.bpe(enumerate(crumbled))
+    for at in range(0, len(crumbled), 997):
+        ids, starts = coder.encode(arrow(crumbled[at : at + 997]))
+        for i, (a, b) in enumerate(zip(starts[:-1], starts[1:]), at):
+            assert (b - a, hashlib.sha256(ids[a:b].tobytes()).hexdigest()) == want[i][:2], crumbled[i]
