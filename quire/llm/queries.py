@@ -1,4 +1,4 @@
-"""The queries op1 to op10, each over its whole table, and the SQL that gives the same rows where SQL can."""
+"""The queries op1 to op13, each over its whole table, and the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from quire.llm.byte_bpe import BytePairCoder, encode_documents, read_ranks
 from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.fingerprints import fingerprint_documents
 from quire.llm.language_id import identify
+from quire.llm.licences import licence_digest, scan_licences
 from quire.llm.ngram_join import jaccard_components
 from quire.llm.packing import pack
 from quire.llm.pii import mask_documents
@@ -21,6 +22,9 @@ from quire.llm.url_filter import judge_urls
 #: The rules of op2: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
+#: The phrases of op13 and their labels.
+LICENCES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
 
 def pii_key(spark: SparkSession) -> bytes:
     """The key of the pseudonyms: the session's setting spark.quire.piiKey, which a run on real data must make a secret one; a
@@ -73,7 +77,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_packing, op6_fingerprints, op7_suffix_array, op8_pii, op9_language_id, op10_exact_dedup)}
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_digest(scan_licences(documents(spark, sf_dir), LICENCES))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_packing, op6_fingerprints, op7_suffix_array, op8_pii, op9_language_id, op10_exact_dedup, op13_licences)}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""
