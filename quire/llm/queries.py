@@ -11,6 +11,7 @@ from quire.llm.byte_bpe import BytePairCoder, encode_documents, read_ranks
 from quire.llm.exact_dedup import exact_duplicates
 from quire.llm.fingerprints import fingerprint_documents
 from quire.llm.language_id import identify
+from quire.llm.lexical_search import rank_documents
 from quire.llm.licences import licence_digest, scan_licences
 from quire.llm.ngram_join import jaccard_components
 from quire.llm.packing import pack
@@ -77,11 +78,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
 def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest(scan_licences(documents(spark, sf_dir), LICENCES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_packing, op6_fingerprints, op7_suffix_array, op8_pii, op9_language_id, op10_exact_dedup, op13_licences)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_packing, op6_fingerprints, op7_suffix_array, op8_pii, op9_language_id, op10_exact_dedup, op12_lexical_search, op13_licences)}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""
@@ -101,5 +106,18 @@ ORACLE_SQL = {
         WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM texts""",
+    "op12_lexical_search": r"""
+        WITH lower_docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        words AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM lower_docs),
+        sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+        whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes),
+        postings AS (SELECT term, doc_id, count(*) AS tf FROM words GROUP BY term, doc_id),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY term, big_n),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        scores AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score
+            FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 50""",
 }
 ORACLE_SQL = {name: sql for name, sql in ORACLE_SQL.items() if sql}
