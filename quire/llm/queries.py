@@ -15,6 +15,7 @@ from quire.llm.lexical_search import rank_documents
 from quire.llm.licences import licence_digest, scan_licences
 from quire.llm.ngram_join import jaccard_components
 from quire.llm.packing import pack
+from quire.llm.phrases import collocations
 from quire.llm.pii import mask_documents
 from quire.llm.repeats import repeated_spans
 from quire.llm.token_count import count_tokens
@@ -78,6 +79,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), max_words=3, least=10, share=50, top=2000)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
 
@@ -86,7 +91,7 @@ def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest(scan_licences(documents(spark, sf_dir), LICENCES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_packing, op6_fingerprints, op7_suffix_array, op8_pii, op9_language_id, op10_exact_dedup, op12_lexical_search, op13_licences)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_count, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_packing, op6_fingerprints, op7_suffix_array, op8_pii, op9_language_id, op10_exact_dedup, op11_collocations, op12_lexical_search, op13_licences)}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""
@@ -106,6 +111,27 @@ ORACLE_SQL = {
         WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM texts""",
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+        grams AS (
+            SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS gram, m, any_value(ws[i:i + m - 1]) AS ws, count(*) AS f
+            FROM places, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(ws) GROUP BY lang, gram, m),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE m = 1 GROUP BY lang),
+        candidates AS (SELECT * FROM grams WHERE m > 1 AND f >= 10),
+        cuts AS (SELECT c.*, k, array_to_string(c.ws[1:k], ' ') AS head, array_to_string(c.ws[k + 1:m], ' ') AS tail FROM candidates c, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+        scored AS (
+            SELECT u.lang, u.gram, u.f, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * u.f * u.f // (x.f::HUGEINT * y.f) AS BIGINT) AS score, k
+            FROM cuts u JOIN grams x ON x.lang = u.lang AND x.gram = u.head AND x.m = k JOIN grams y ON y.lang = u.lang AND y.gram = u.tail AND y.m = u.m - k),
+        lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) AS place FROM scored),
+        held AS (
+            SELECT lang, gram, max(f) AS most FROM (
+                SELECT lang, array_to_string(ws[1:2], ' ') AS gram, f FROM candidates WHERE m = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), f FROM candidates WHERE m = 3) GROUP BY lang, gram),
+        left_over AS (SELECT w.* FROM lowest w LEFT JOIN held h ON h.lang = w.lang AND h.gram = w.gram WHERE place = 1 AND (h.most IS NULL OR 100 * h.most < 50 * w.f)),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, gram) AS rank, gram AS phrase, f AS a, l, r, score FROM left_over)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     "op12_lexical_search": r"""
         WITH lower_docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         words AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM lower_docs),
