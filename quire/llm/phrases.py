@@ -18,8 +18,8 @@ from quire.llm.ngram_join import filter_bits, key_filter
 from quire.llm.words import BYTE, HALF, ODD, mix, place_numbers, raw, then
 from quire.shared import Scratch
 
-#: Text bytes that are worked on at a time.
-SLICE = 4 << 20
+#: Text bytes that are taken apart at a time, and of a batch whose counts are summed before they are sent.
+SLICE, BATCH = 1 << 20, 4 << 20
 #: A unary path goes on beyond a node with the chance of all but one in so many, so paths have some hundred nodes at most; rounds
 #: after which what is left are rings.
 STEPS, ROUNDS = 32, 14
@@ -112,9 +112,9 @@ def _words(part: np.ndarray, cuts: np.ndarray, text: int, seeds: np.ndarray, own
     of = np.searchsorted(cuts, begin, "right")
     if len(cuts) and cuts[0] == 0:  # its first byte begins a text
         of = of - 1
-    start = np.zeros(len(form), np.int64)
+    start = np.zeros(len(form), np.int32)
     start[begin] = begin
-    within = np.arange(len(form)) - np.maximum.accumulate(start)
+    within = np.arange(len(form), dtype=np.int32) - np.maximum.accumulate(start)
     within[~alive] = 0
     value = BYTE[form]
     value ^= place_numbers(int(within.max()) + 1)[within]
@@ -144,12 +144,11 @@ def _gram_hashes(rows: DataFrame, n: int) -> DataFrame:
     """(h, n) of the grams of 1 to n - 1 words in all texts, by hash; counted by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", SLICE):
+        for batch in by_bytes(batches, "text", BATCH):
             _, _, seeds = _langs(batch)
-            for words in slices(texts_of(batch), seeds, n - 1, SLICE):
-                found = [words.grams(m)[: words.own][words.follow[: words.own] >= m] for m in range(1, n)]
-                h, count = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))], ["h", "n"])
+            found = [words.grams(m)[: words.own][words.follow[: words.own] >= m] for words in slices(texts_of(batch), seeds, n - 1, SLICE) for m in range(1, n)]
+            h, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))], ["h", "n"])
 
     return rows.mapInArrow(run, "h long, n long")
 
@@ -172,7 +171,7 @@ def _grams(rows: DataFrame, n: int, often) -> DataFrame:
             h = (hashes & low).astype(np.int64)
             return (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
 
-        for batch in by_bytes(batches, "text", SLICE):
+        for batch in by_bytes(batches, "text", BATCH):
             names, codes, seeds = _langs(batch)
             for words in slices(texts_of(batch), seeds, n - 1, SLICE):
                 if not len(words.begin):
