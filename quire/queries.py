@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import dates, identifiers, names, patterns, text
-from quire.operators import authors, catalog, duplicates, edits, languages, mining, shelf, validation
+from quire.operators import authors, catalog, duplicates, edits, languages, mining, shelf, title_pages, validation
 from quire.plans.recipe import Recipe, default_steps
 from quire.registry import ORACLE_SQL, QUERIES, load, query  # noqa: F401
 
@@ -549,14 +549,14 @@ def content_scan(spark, sf_dir):
     isbn = F.concat(body, ((10 - total % 10) % 10).cast("string"))
     front = F.concat(F.lit("A Story (Long Road, Book "), F.col("p_size").cast("string"), F.lit(")\nCopyright © "), (F.col("p_size") + 1950).cast("string"), F.lit(" by Anna Berg\nTranslated by Per Lund\nISBN 978-0-00-000000-1\nISBN "), isbn, F.lit("\nSecond edition\n"))
     books = load(spark, sf_dir, "part").select("p_partkey", front.alias("front"), F.lit("Published by Harbor Books.\nFirst edition").alias("back"))
-    return mining.scan_books(books, "p_partkey", "front", "back")
+    return title_pages.scan_books(books, "p_partkey", "front", "back")
 
 
 @query()
 def content_scan_documents(spark, sf_dir):
     """The same over the documents: the first 5,000 characters are the front matter, the rest the back."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 5000).alias("front"), F.expr("substr(text, 5001)").alias("back"))
-    return mining.scan_books(d, "doc_id", "front", "back")
+    return title_pages.scan_books(d, "doc_id", "front", "back")
 
 
 @query(

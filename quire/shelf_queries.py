@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import text
 from quire.operators import authors, catalog, edits, mining, shelf, validation
+from quire.operators import title_pages as scan
 from quire.registry import ORACLE_SQL, load, query
 from quire.sources import archives, dumps
 
@@ -141,7 +142,9 @@ def keyword_spellings(spark, sf_dir):
     """A translator is found however the keyword is written: with accents, without, with two letters, in capitals; an unlike word is none."""
     forms = F.array(*map(F.lit, ("Übersetzt von", "Ubersetzt von", "Uebersetzt  von", "ÜBERSETZT VON", "traduit de l’anglais par", "Ubersicht von")))
     page = F.concat(F.lit("A Story\n"), F.get(forms, (F.col("p_partkey") % 6).cast("int")), F.lit(" Per Lund\n"))
-    return load(spark, sf_dir, "part").select("p_partkey", mining.scan_text(page)["translator"]["value"].alias("translator"))
+    parts = load(spark, sf_dir, "part").select("p_partkey", page.alias("t"))
+    found = scan.scan_texts(parts, ["p_partkey"], "t").where("field = 'translator'").select("p_partkey", "value")
+    return parts.select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.coalesce("value", F.lit("")).alias("translator"))
 
 
 _PAGES = [  # front, back; field, value, confidence
@@ -164,7 +167,31 @@ def title_pages(spark, sf_dir):
     """Title pages of several shapes, in several languages, with facts in front or at the back, or none."""
     k = (F.col("p_partkey") % len(_PAGES)).cast("int")
     pick = lambda n: F.get(F.array(*[F.lit(p[n]) for p in _PAGES]), k)
-    return mining.scan_books(load(spark, sf_dir, "part").select("p_partkey", pick(0).alias("front"), pick(1).alias("back")), "p_partkey", "front", "back")
+    return scan.scan_books(load(spark, sf_dir, "part").select("p_partkey", pick(0).alias("front"), pick(1).alias("back")), "p_partkey", "front", "back")
+
+
+_IMPRINTS = [  # what stands behind a document's text; field, value (SQL over doc_id), confidence, all in front
+    ("'Copyright © ' || (1900 + doc_id % 100) || ' by Anna de la Cruz. All Rights Reserved'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.65), ("holder", "'Anna de la Cruz'", 0.6)]),
+    ("'© ' || (1900 + doc_id % 100) || ', J. R. Berg\nÜbersetzt von Per-Olof Lund und andere'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.55), ("holder", "'J. R. Berg'", 0.45), ("translator", "'Per-Olof Lund'", 0.6)]),
+    ("'The Long Road, Vol. ' || (1 + doc_id % 90) || '\nHarbor Light Press'", [("series", "'The Long Road'", 0.55), ("series_index", "CAST(1 + doc_id % 90 AS VARCHAR)", 0.55), ("publisher", "'Harbor Light Press'", 0.4)]),
+    ("'Tome ' || (1 + doc_id % 90) || '\nDépôt légal : mars ' || (1900 + doc_id % 100) || '\nPublisher - North & Sons, Oslo. More'", [("series_index", "CAST(1 + doc_id % 90 AS VARCHAR)", 0.4), ("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.5), ("publisher", "'North & Sons, Oslo'", 0.7)]),
+    ("'Copyright Anna Berg, ' || (1900 + doc_id % 100) || '\n2nd revised edition\nWinter Saga #' || (1 + doc_id % 90)", [("holder", "'Anna Berg'", 0.5), ("edition", "'2nd revised edition'", 0.6), ("series", "'Winter'", 0.6), ("series_index", "CAST(1 + doc_id % 90 AS VARCHAR)", 0.6)]),
+    ("'Copyright 1990 by Harbor Books\nfirst PUBLISHED  in ' || (1900 + doc_id % 100) || ' by others'", [("year", "'1990'", 0.65), ("publisher", "'Harbor Books'", 0.4)]),
+    ("'A line that tells nothing of a book'", []),
+]
+
+
+def _imprint_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, {v} AS value, CAST({c} AS DOUBLE) AS confidence FROM documents WHERE doc_id % {len(_IMPRINTS)} = {i}" for i, (_, found) in enumerate(_IMPRINTS) for f, v, c in found)
+    return rows
+
+
+@query(_imprint_sql())
+def document_imprints(spark, sf_dir):
+    """Whole documents with an imprint behind their text, of seven kinds."""
+    line = F.expr("CASE " + " ".join(f"WHEN doc_id % {len(_IMPRINTS)} = {i} THEN {text}" for i, (text, _) in enumerate(_IMPRINTS)) + " END")
+    pages = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("t"))
+    return scan.scan_texts(pages, ["doc_id"], "t")
 
 
 # --- fields ----------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import authors, catalog, duplicates, edits, mining, validation
+from quire.operators import authors, catalog, duplicates, edits, mining, title_pages, validation
 from quire.plans.recipe import Recipe, Step, default_steps
 from quire.sources import archives, dumps
 from quire.streaming import journal
@@ -185,7 +185,7 @@ def test_contents(spark):
 
 def test_scan_and_genres(spark):
     df = spark.createDataFrame([(1, "Copyright © 1998 by Ann Lee\nPublished by Harbor Books.\nISBN 0-8044-2957-X\n", "Third edition")], "id int, front string, back string")
-    found = {r.field: (r.value, r.confidence) for r in mining.scan_books(df, "id", "front", "back").collect()}
+    found = {r.field: (r.value, r.confidence) for r in title_pages.scan_books(df, "id", "front", "back").collect()}
     assert found == {"isbn": ("9780804429573", 1.0), "year": ("1998", 0.65), "holder": ("Ann Lee", 0.6), "publisher": ("Harbor Books", 0.7), "edition": ("Third edition", 0.54)}
     text = spark.createDataFrame([(1, "a psychological thriller about science-fiction")], "id int, t string")
     hits = mining.genre_hits(text, "id", "t", ["Thriller", "Psychological Thriller", "Science Fiction", "Fiction"], "description")

@@ -33,7 +33,7 @@ CASES = [
     (dates.volume_number, ("IV",), 4),
     (dates.volume_number, ("twelve",), 12),
     (dates.volume_number, ("1000",), None),
-    (dates.page_count, ("xii, 320 p.",), 320),
+    (dates.page_count, ("xii, 320 p.",), None), (dates.page_count, ("xii+320",), 320), (dates.page_count, ("viii+304",), 304),
     (lambda c: dates.zero_pad(c, 2), ("5.5",), "05.5"),
     (dates.series_number, ("5", "1"), "5.1"),
     (text.title_key, ("The Hobbit",), "hobbit"),
