@@ -130,8 +130,9 @@ def test_dump_a(spark, tmp_path):
 
 
 def test_dump_b(spark, tmp_path):
+    defined = "".join(f"CREATE TABLE `{t}` (\n" + "".join(f"  `{c}` text,\n" for c in columns) + ") ENGINE=x;\n" for t, columns in dumps.DUMP_B.items())
     (tmp_path / "b.sql").write_text(
-        "INSERT INTO `languages` VALUES (17,'en'),(22,'de');\nINSERT INTO `authors` VALUES (1,'Ann O\\'Neil'),(2,'');\nINSERT INTO `series` VALUES (5,'Saga',6),(6,'Universe',NULL);\n"
+        defined + "INSERT INTO `languages` VALUES (17,'en'),(22,'de');\nINSERT INTO `authors` VALUES (1,'Ann O\\'Neil'),(2,'');\nINSERT INTO `series` VALUES (5,'Saga',6),(6,'Universe',NULL);\n"
         "INSERT INTO `titles` VALUES (10,'First Book',5,'2','5','1990-00-00','NOVEL',0,17),(11,'Erstes Buch',NULL,NULL,NULL,'1995-01-01','NOVEL',10,22),(12,'Mag',NULL,NULL,NULL,'1990-00-00','MAGAZINE',0,17);\n"
         "INSERT INTO `canonical_author` VALUES (10,1,1),(10,2,1);\nINSERT INTO `publishers` VALUES (3,'Harbor');\nINSERT INTO `pubs` VALUES (100,'First Book','1991-05-00',3,'x+320','ebook','NOVEL','0-8044-2957-X'),(101,'Odd','8888-00-00',3,'9','tp','NOVEL','123');\n"
         "INSERT INTO `pub_content` VALUES (100,10),(100,12);\nINSERT INTO `pub_authors` VALUES (100,1);\nINSERT INTO `unused` VALUES (1,'x');\n"
