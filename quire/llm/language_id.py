@@ -16,6 +16,8 @@ DIM, N = 512, 3
 #: Codes of letters: 0 stands for anything that is no letter. Letters below it are their own code, which holds those of all alphabets;
 #: the others, such as ideographs, share these codes by a hash.
 CODES = 1 << 12
+#: Different n-grams whose vectors are in memory at a time (2 KB each).
+PIECE = 1 << 14
 #: Languages at most, as their prototypes are gathered and broadcast (DIM numbers each).
 MOST_LANGUAGES = 2000
 UNKNOWN = "und"
@@ -47,6 +49,13 @@ class Space:
             out = out * self.rotated[i][grams // CODES**i % CODES]
         return out.astype(np.float32)
 
+    def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of different n-grams, each as often as it counts; in whole numbers, some thousands at a time."""
+        total = np.zeros(DIM)
+        for at in range(0, len(grams), PIECE):
+            total += counts[at : at + PIECE].astype(np.float64) @ self.vectors(grams[at : at + PIECE])
+        return total
+
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All n-grams in turn, where each text's begin (one more at the end), and whether a text has a letter. Anything
         between words is one gap; a text begins and ends with one."""
@@ -95,7 +104,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
                 at = np.repeat(np.array([x == lang for x in langs]), np.diff(starts))
                 found, counts = np.unique(grams[at], return_counts=True)
                 if len(found):
-                    total[lang] = total.get(lang, 0) + counts.astype(np.float64) @ space.vectors(found)
+                    total[lang] = total.get(lang, 0) + space.bundle(found, counts)
         for lang, vector in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vector], pa.list_(pa.float64()))], ["lang", "vector"])
 
@@ -118,16 +127,20 @@ class Model:
         """A language and a cosine (0 to 1) for each text; und and 0 where there is no letter or nothing was learned."""
         space = self.space
         grams, starts, has = space.grams(texts)
+        # a batch of few different n-grams, as is usual, shares their vectors
         different, place = np.unique(grams, return_inverse=True)
-        vectors = space.vectors(different)
+        vectors = space.vectors(different) if len(different) <= PIECE else None
         names, scores = [], np.zeros(len(texts))
         for i in range(len(texts)):
             if not has[i] or not self.langs:
                 names.append(UNKNOWN)
                 continue
-            counts = np.bincount(place[starts[i] : starts[i + 1]])
-            found = np.flatnonzero(counts)
-            whole = counts[found].astype(np.float32) @ vectors[found]
+            if vectors is None:
+                whole = space.bundle(*np.unique(grams[starts[i] : starts[i + 1]], return_counts=True)).astype(np.float32)
+            else:
+                counts = np.bincount(place[starts[i] : starts[i + 1]])
+                found = np.flatnonzero(counts)
+                whole = counts[found].astype(np.float32) @ vectors[found]
             cosines = self.prototypes @ whole / max(1e-12, float(np.linalg.norm(whole)))
             best = int(np.argmax(cosines))
             names.append(self.langs[best])
@@ -154,7 +167,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Letters of every script count, each by its own vector (those beyond the alphabets share some). A null, empty or letterless text is
     ``und`` with score 0; a row with a null text, language or no letter teaches nothing; a null id is in the fold of the empty text;
-    repeated rows each count and are each predicted; very long texts stand alone in a batch; an empty table gives no rows;
+    repeated rows each count and are each predicted; a very long text stands alone in a batch (about thirty bytes of memory for each of its own); an empty table gives no rows;
     other columns are never read."""
     langs, prototypes = learn(docs.where(fold(id_col) != 0), text_col, lang_col)
     return predict_languages(docs, langs, prototypes, id_col, text_col)

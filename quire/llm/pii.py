@@ -6,12 +6,13 @@ import datetime
 import hashlib
 import ipaddress
 import re
+import secrets
 from collections.abc import Iterator
 from math import isqrt
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.batches import by_bytes
@@ -266,6 +267,16 @@ def _rewritten(texts: pa.Array, names: Pseudonyms, back: bool) -> tuple[pa.Array
     return pc.replace_with_mask(texts, some, pa.array(new, texts.type)), counts
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The secret key of the session's pseudonyms: its setting spark.quire.piiKey. Where that is unset a random one is made and set, so
+    that all runs of the session give equal values equal pseudonyms, and nobody else can undo them."""
+    found = spark.conf.get("spark.quire.piiKey", None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set("spark.quire.piiKey", found)
+    return found.encode()
+
+
 def mask_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, the text with pseudonyms in place of personal data, n_found, and how many of each
     kind: e-mail addresses, secrets (hexadecimal, or keys with a usual beginning), IPv6 and IPv4 addresses, IBANs, dates, social security and card numbers, phones.

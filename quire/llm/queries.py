@@ -28,10 +28,8 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 LICENCES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
-def pii_key(spark: SparkSession) -> bytes:
-    """The key of the pseudonyms: the session's setting spark.quire.piiKey, which a run on real data must make a secret one; a
-    sample key where it is unset."""
-    return spark.conf.get("spark.quire.piiKey", "quire sample key").encode()
+#: The key of the query op8 alone, which shows the operator on invented data; anyone who has it can undo the pseudonyms.
+SAMPLE_KEY = b"quire sample key"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +66,7 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask_documents(documents(spark, sf_dir), pii_key(spark))
+    return mask_documents(documents(spark, sf_dir), SAMPLE_KEY)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,18 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.batches import by_bytes, texts_of
-from quire.shared import Scratch
+from quire.llm.hot_keys import MOST_HOT
+from quire.llm.ngram_join import filter_bits, key_filter
 from quire.llm.words import mix, runs, runs_at, then, word_hashes
+from quire.shared import Scratch
 
 #: Words of a minimiser's k-gram, and k-grams of a window of which the least is retained.
 GRAM, WINDOW = 5, 20
-#: Bits of the filter that tells which suffixes may have a twin (16 MB).
-FILTER_BITS = 27
 #: Rows of sorted suffixes that are compared at a time.
 BLOCK = 1 << 16
 #: Suffixes of one key up to which one task compares them (below BLOCK); of a more frequent key, Spark groups the windows.
@@ -181,8 +181,8 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     not the copy to keep). Overlapping matches of a document are one passage. Documents that share nothing have no row.
 
     Every text of any length is read whole, twice. First only keys of the retained suffixes are counted, one for about ten
-    words; keys that occur twice set bits in a filter of fixed size. Then the suffixes that pass are sent, by key, with the
-    words around them. Of a key with more than HOT suffixes, the windows of ``least`` words are sent instead, each by a hash of its
+    words; keys that occur twice set bits in a filter (sized by their count, 128 MB at most). Then the suffixes that pass are sent, by key, with the
+    words around them. Of a key with very many suffixes (more than HOT, and so many that there are never more than MOST_HOT such keys), the windows of ``least`` words are sent instead, each by a hash of its
     own, so that no task owns the key and every match is found at any count.
     Null, empty and shorter texts have no rows. Rows of the same id are one document; rows with a null id are left out, as
     nothing could refer to them.
@@ -195,12 +195,15 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
             key = _suffixes(*word_hashes(texts_of(batch)), lengths)[2]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
 
-    twice = docs.mapInArrow(count, "key long").groupBy("key").count().where("count > 1").select(F.pmod("key", F.lit(1 << FILTER_BITS)).alias("h"), F.when(F.col("count") > HOT, F.col("key")).alias("hot"))
-    bits, hot = np.zeros((1 << FILTER_BITS) // 8, np.uint8), []
-    for row in twice.groupBy(F.expr("h div 32768").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits"), F.collect_list("hot").alias("hot")).toLocalIterator():
-        bits[row.k * 4096 : row.k * 4096 + 4096] = np.frombuffer(row.bits, np.uint8)
-        hot += row.hot
-    shared = spark.sparkContext.broadcast((bits, np.sort(np.array(hot, np.int64).view(np.uint64))))
+    scratch, seen = Scratch(spark, "repeats"), Observation()
+    twice = docs.mapInArrow(count, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    twice = scratch.write(twice.observe(seen, F.count("*").alias("keys"), F.sum("n").alias("n")), "keys")
+    size = min(30, filter_bits(seen.get["keys"] or 0) + 3)  # a suffix that passes by chance costs more than its bits
+    # so many suffixes that a key has a place in the list of the frequent ones: there are at most MOST_HOT of them
+    many = max(HOT, (seen.get["n"] or 0) // MOST_HOT)
+    hot = twice.where(F.col("n") > many).select("key").toPandas()["key"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast((key_filter(twice.select(F.pmod("key", F.lit(1 << size)).alias("h")), size), np.sort(hot.view(np.uint64))))
+    scratch.drop("keys")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, frequent = shared.value
@@ -214,7 +217,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
                 owner, first, last, window = _windows(words, at, owner, lengths.least)
                 none, low = pa.nulls(len(window), pa.binary()), starts[:-1][owner]
                 yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(every[owner]), pa.array((first - low).astype(np.int32)), pa.array((last - low).astype(np.int32)), none, none], ["key", "doc_id", "pos", "last", "before", "after"])
-            h = (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            h = (key & np.uint64(8 * len(bits) - 1)).astype(np.int64)
             ok = bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1
             ok &= ~often
             text, place, key = text[ok], place[ok], key[ok]
@@ -253,8 +256,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
             yield done(pa.Table.from_batches(held))
 
     rows, wide = docs.mapInArrow(collect, ROW), None
-    if hot:
-        scratch = Scratch(spark, "repeats")
+    if len(hot):
         rows = scratch.write(rows, "suffixes")
         wide = _shared_windows(rows.where("before is null"), lengths.least, scratch)
         rows = rows.where("before is not null")
