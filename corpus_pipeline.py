@@ -14,8 +14,7 @@ from quire.llm.exact_dedup import drop_exact_duplicates
 from quire.llm.language_id import fold, keep_known_languages, learn
 from quire.llm.ngram_join import drop_near_duplicates
 from quire.llm.packing import pack
-from quire.llm.pii import mask_in_place
-from quire.llm.queries import pii_key
+from quire.llm.pii import mask_in_place, session_key
 from quire.shared import Scratch
 
 #: Near duplicates: words of a shingle, and the least similarity in percent.
@@ -42,8 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts get pseudonyms under the session's key (spark.quire.piiKey); no document goes, null texts stay null."""
-    return mask_in_place(docs, pii_key(spark))
+    """Personal data in the texts get pseudonyms under the session's key (spark.quire.piiKey, a random one where that is unset); no document
+    goes, null texts stay null."""
+    return mask_in_place(docs, session_key(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
