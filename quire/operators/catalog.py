@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
@@ -297,40 +297,111 @@ def similarity(a, b):
     return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-def lookup_by_title(probes: DataFrame, works: DataFrame, most: int = MOST_BY_TITLE, pool: int = POOL) -> DataFrame:
+#: BM25: how fast more places of a word stop counting, and how much a title's length counts.
+K1, B = 1.2, 0.75
+
+
+class TitleIndex:
+    """Postings of works by the first letters of the words in their titles, in layers of titles of one length, for ranked look-ups.
+
+    postings: token (a word's first 1 to STEM letters), size (words of the title), id. layers: for each token and size, how many
+    postings there are (n), the most words of one title that begin with the token (most), and the works of all the token's
+    layers (works). A layer's titles differ in rank only by how often they have the words, so layers are in the order of
+    their impact, and what a layer can give at most is known before any of its postings is read."""
+
+    def __init__(self, works: DataFrame):
+        """works: id, title, authors_text and others."""
+        self.scratch = Scratch(works.sparkSession, "title-index")
+        words = F.filter(F.split(words_key(F.col("title")), " "), lambda w: w != "")
+        self.works = works.select("id", words.alias("has"), F.split(words_key(F.col("authors_text")), " ").alias("by_words")).where(F.size("has") > 0)
+        each = self.works.select("id", F.size("has").alias("size"), F.explode("has").alias("w"))
+        # a short word is the beginning of many, so a word is found by each of its lengths
+        each = each.select("id", "size", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w"), F.lit(STEM))), lambda n: F.substring("w", 1, n))).alias("token"))
+        counted = each.groupBy("token", "size", "id").agg(F.count("*").alias("times"))
+        seen = Observation()
+        self.postings = self.scratch.write(counted.repartition("token", "size"), "postings")
+        layers = self.postings.groupBy("token", "size").agg(F.count("*").alias("n"), F.max("times").alias("most"))
+        sizes = self.works.agg(F.count("*").alias("works"), F.avg(F.size("has")).alias("mean")).first()
+        self.n_works, self.mean = sizes.works, sizes.mean or 1.0
+        df = layers.groupBy("token").agg(F.sum("n").alias("works"))
+        self.layers = self.scratch.write(layers.join(df, "token").observe(seen, F.count("*").alias("n")), "layers")
+
+    def weight(self, works: Column) -> Column:
+        """How much a word tells that so many works have one like it."""
+        return F.greatest(F.lit(1e-6), F.log((self.n_works - works + 0.5) / (works + 0.5)))
+
+    def share(self, times: Column, size: Column) -> Column:
+        return times * (K1 + 1) / (times + K1 * (1 - B + B * size / self.mean))
+
+    def best(self, queries: DataFrame, pool: int) -> tuple[DataFrame, int]:
+        """(q, id, rank) of the ``pool`` works of each query with the highest rank (of equal ones those with the lowest id), and how many
+        postings were read for that. queries: q, words (of the title asked for, not empty), wanted (words of the authors, may be
+        empty). A work must have a word that begins with each word asked for, and all words wanted among its authors'. rank sums
+        over the words asked for the weight of its first STEM letters times a share that rises with the title's words that begin
+        with it and falls with the title's length (BM25).
+
+        Works are met at the word whose beginning the fewest have, layer by layer, the ones that can give most first. After each
+        round, queries whose ``pool`` works all rank above what their next layer can give are done; for the others
+        four times as many postings are read."""
+        words = queries.select("q", F.posexplode("words").alias("i", "w"), F.size("words").alias("m")).withColumn("token", F.substring("w", 1, STEM))
+        met = words.join(self.layers, "token")
+        gives = self.weight(F.col("works")) * self.share(F.col("most"), F.col("size"))
+        rare = F.min(F.struct("works", "token", "n")).alias("r")
+        layers = met.groupBy("q", "size", "m").agg(F.count("*").alias("have"), F.sum(gives).alias("most"), rare).where("have = m")
+        # one word for all layers of a query: the rarest of all
+        layers = layers.select("q", "size", "most", F.col("r.token").alias("token"), F.col("r.n").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("most"), "size")) - F.col("n")
+        layers = self.scratch.write(layers.withColumn("before", before), "ways")
+        asked = self.scratch.write(queries, "queries")
+        best, least, low, read, turn = None, None, 0, 0, 0
+        while True:
+            high = 4 * pool * 4**turn
+            left = layers.where(F.col("before") >= low)
+            if least is not None:
+                left = left.join(least, "q", "left").where(F.col("least").isNull() | (F.col("most") * (1 + 1e-9) >= F.col("least"))).drop("least")
+            if left.isEmpty():
+                break
+            seen = Observation()
+            chosen = left.where(F.col("before") < high).select("q", "token", "size").join(self.postings.select("token", "size", "id"), ["token", "size"])
+            chosen = chosen.observe(seen, F.count("*").alias("n")).join(self.works, "id").join(asked, "q")
+            fits = F.forall("words", lambda w: F.exists("has", lambda h: h.startswith(w))) & ((F.col("wanted") == "") | (F.size(F.array_except(F.split("wanted", " "), "by_words")) == 0))
+            hits = chosen.where(fits).select("q", "id", "size", "words", "has")
+            df = met.select("q", "i", self.weight(F.col("works")).alias("weight")).distinct().groupBy("q").agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("weights"))  # a title's words
+            times = lambda w: F.size(F.filter("has", lambda h: h.startswith(w)))
+            rank = F.aggregate(F.zip_with("words", "weights", lambda w, x: x["weight"] * self.share(times(w), F.col("size"))), F.lit(0.0), lambda a, x: a + x)
+            found = hits.join(df, "q").select("q", "id", rank.alias("rank"))
+            found = found if best is None else best.unionByName(found)
+            place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rank"), "id"))
+            best = self.scratch.write(found.withColumn("p", place).where(F.col("p") <= pool).drop("p"), f"best-{turn}")
+            read += seen.get["n"] or 0
+            least = best.groupBy("q").agg(F.count("*").alias("n"), F.min("rank").alias("least")).where(F.col("n") == pool).select("q", "least")
+            low, turn = high, turn + 1
+        if best is None:
+            best = queries.select("q", F.lit(None).cast(self.works.schema["id"].dataType).alias("id"), F.lit(0.0).alias("rank")).limit(0)
+        return best, read
+
+
+def lookup_by_title(probes: DataFrame, works: DataFrame, most: int = MOST_BY_TITLE, pool: int = POOL, index: TitleIndex | None = None) -> DataFrame:
     """probe_id, id, attempt, score and place of the best works for a title and authors. probes: probe_id, title, authors, year;
     works: id, title, authors_text, year, known (what share of 0.05 is added: for catalogue A how full an edition is, for B whether
-    it has a series).
+    it has a series). index: of these works, if it is at hand.
 
     Attempts in turn: the whole title, then its stem; for each, with an author, works with all words of the first author's name, then
     with the surname; never without. A work must have a word that begins with each word of the title. Of a probe's works those of
-    the first attempt that finds any stay, at most ``pool`` before scoring: the ones whose titles are closest in length. score = 0.6 title +
-    0.25 authors + 0.1 year + 0.05 known.
-
-    A work is met at one word of the title: the one whose first letters the fewest works have, so that frequent words
-    bring no rows together. Works are counted by these letters first."""
-    keyed = works.select("id", F.split(words_key(F.col("title")), " ").alias("has"), F.split(words_key(F.col("authors_text")), " ").alias("by_words"), F.col("title").alias("w_title"), F.col("authors_text").alias("w_authors"), F.col("year").alias("w_year"), "known")
-    stems = keyed.select("id", F.explode(F.array_distinct(F.transform("has", lambda w: F.substring(w, 1, STEM)))).alias("s")).where("s <> ''")
-    # a short word is the beginning of many, so it is looked up by each of its lengths
-    stems = stems.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda n: F.substring("s", 1, n))).alias("token")).distinct()
-    often = stems.groupBy("token").agg(F.count("*").alias("works"))
+    the first attempt that finds any stay, at most ``pool`` before scoring: the ones that rank highest (TitleIndex.best).
+    score = 0.6 title + 0.25 authors + 0.1 year + 0.05 known."""
+    index = index or TitleIndex(works)
+    keyed = works.select("id", F.col("title").alias("w_title"), F.col("authors_text").alias("w_authors"), F.col("year").alias("w_year"), "known")
     first_author = F.coalesce(F.get(split_names(F.col("authors")), F.lit(0)), F.lit(""))
     titles = F.array_distinct(F.array(words_key(F.col("title")), words_key(title_stem(F.col("title")))))
     author_words = F.when(first_author == "", F.array(F.lit(""))).otherwise(F.filter(F.array_distinct(F.array(words_key(first_author), surname(first_author))), lambda x: x != ""))
     tries = probes.select("probe_id", F.posexplode(titles).alias("attempt", "asked"), author_words.alias("by")).where("asked <> ''")
-    # a title that many probes ask for is looked up once
-    need = F.array_distinct(F.transform(F.split("asked", " "), lambda w: F.substring(w, 1, STEM)))
-    words = tries.select("asked").distinct().select("asked", F.explode(need).alias("token"), F.size(need).alias("need")).join(often, "token")
-    # one with a word that no work has finds nothing, and meets nothing
-    rare = words.groupBy("asked", "need").agg(F.min(F.struct("works", "token")).alias("m"), F.count("*").alias("n")).where("n = need").select("asked", F.col("m.token").alias("token"))
-    hits = rare.join(stems, "token").join(keyed, "id").where(F.forall(F.split("asked", " "), lambda w: F.exists("has", lambda h: h.startswith(w))))
-    met = tries.join(hits.drop("token", "has"), "asked")
-    met = met.select("*", F.posexplode("by").alias("author_attempt", "wanted")).where((F.col("wanted") == "") | (F.size(F.array_except(F.split("wanted", " "), "by_words")) == 0))
-    met = met.select("probe_id", "id", (F.col("attempt") * 2 + F.col("author_attempt")).alias("turn"), "attempt", "w_title", "w_authors", "w_year", "known")
-    met = met.join(probes.select("probe_id", "title", "authors", "year"), "probe_id")
+    tries = tries.select("probe_id", "attempt", "asked", F.posexplode("by").alias("author_attempt", "wanted")).withColumn("q", F.concat("asked", F.lit("\n"), "wanted"))
+    # what many probes ask for is looked up once
+    found, _ = index.best(tries.select("q", F.split("asked", " ").alias("words"), "wanted").dropDuplicates(["q"]), pool)
+    met = tries.join(found.select("q", "id"), "q").select("probe_id", "id", (F.col("attempt") * 2 + F.col("author_attempt")).alias("turn"), "attempt")
     met = met.withColumn("low", F.min("turn").over(Window.partitionBy("probe_id"))).where("turn = low")
-    near = Window.partitionBy("probe_id").orderBy(F.abs(F.length("w_title") - F.length("title")), "id")
-    met = met.withColumn("p", F.row_number().over(near)).where(F.col("p") <= pool)
+    met = met.join(keyed, "id").join(probes.select("probe_id", "title", "authors", "year"), "probe_id")
     want, have = F.array_distinct(F.transform(split_names(F.col("authors")), surname)), F.transform(split_names(F.col("w_authors")), surname)
     author = F.when(F.size(want) == 0, 0.5).otherwise(F.size(F.array_intersect(want, have)) / F.size(want))
     # a pair of titles is compared once, however many works and probes have it
