@@ -195,7 +195,7 @@ def completeness() -> Column:
     return total
 
 
-def _asked(probes: DataFrame) -> DataFrame:
+def asked_numbers(probes: DataFrame) -> DataFrame:
     """probe_id and both forms of a probe's valid number."""
     raw = strip_isbn(F.col("isbn"))
     return probes.select("probe_id", F.when(is_isbn13(raw), raw).otherwise(isbn10_to_13(raw)).alias("isbn13"), F.when(is_isbn10(raw), raw).otherwise(isbn13_to_10(raw)).alias("isbn10")).where("isbn13 <> ''")
@@ -212,14 +212,19 @@ def _hits(asked: DataFrame, editions: DataFrame, extra: DataFrame | None = None)
 
 def lookup_by_isbn(probes: DataFrame, editions: DataFrame, extra: DataFrame | None = None, most: int = MOST_BY_ISBN) -> DataFrame:
     """probe_id, id and place (1 for the fullest) of at most ``most`` editions with a probe's number. probes: probe_id, isbn."""
-    ranked = _hits(_asked(probes), editions, extra).join(editions.select("id", completeness().alias("full")), "id")
+    return ranked_editions(_hits(asked_numbers(probes), editions, extra), editions, most)
+
+
+def ranked_editions(hits: DataFrame, editions: DataFrame, most: int) -> DataFrame:
+    """Of each probe's hits (probe_id, id) the fullest editions, with their place."""
+    ranked = hits.join(editions.select("id", completeness().alias("full")), "id")
     place = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("full"), "id"))
     return ranked.withColumn("place", place).where(F.col("place") <= most).select("probe_id", "id", "place")
 
 
 def lookup_by_isbn_b(probes: DataFrame, editions: DataFrame, works: DataFrame, most: int = MOST_BY_ISBN) -> DataFrame:
     """probe_id, id, work_id and place in catalogue B: editions whose work has a series first, then by id."""
-    found = _hits(_asked(probes), editions).join(editions.select("id", "work_id"), "id").join(works.select(F.col("id").alias("work_id"), "series"), "work_id", "left")
+    found = _hits(asked_numbers(probes), editions).join(editions.select("id", "work_id"), "id").join(works.select(F.col("id").alias("work_id"), "series"), "work_id", "left")
     order = Window.partitionBy("probe_id").orderBy(text_of(F.col("series")) == "", "id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("probe_id", "id", "work_id", "place")
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import dates, identifiers, names, patterns, text
 from quire.operators import authors, catalog, duplicates, edits, languages, mining, shelf, title_pages, validation
+from quire.plans import catalogues
 from quire.plans.recipe import Recipe, default_steps
 from quire.registry import ORACLE_SQL, QUERIES, load, query  # noqa: F401
+from quire.shared import shared_dir
+from quire.sources.catalogue import write_catalogue
 
 
 def _list(words) -> str:
@@ -302,6 +307,12 @@ _ISBN_OF = "'978' || lpad(CAST({k} * 104729 % 1000000000 AS VARCHAR), 9, '0')"
 )
 def lookup_by_key(spark, sf_dir):
     """Parts as editions, in groups of one number; suppliers ask for numbers."""
+    probes, e = _numbered_parts(spark, sf_dir)
+    return catalog.lookup_by_isbn(probes, e).select("probe_id", "id", F.col("place").cast("long").alias("place"))
+
+
+def _numbered_parts(spark, sf_dir):
+    """Probes and editions."""
 
     def number(k):
         body = F.concat(F.lit("978"), F.lpad((k * 104729 % 1000000000).cast("string"), 9, "0"))
@@ -316,7 +327,25 @@ def lookup_by_key(spark, sf_dir):
         F.when(F.col("p_size") > 20, "x").otherwise("").alias("language"), F.when(F.col("p_retailprice") > 1000, 1).alias("pages"), none.alias("subjects"), none.alias("publish_date_raw"), F.lit(None).cast("int").alias("year"),
     )
     probes = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("probe_id"), number(F.col("s_suppkey") % 1000).alias("isbn"))
-    return catalog.lookup_by_isbn(probes, e).select("probe_id", "id", F.col("place").cast("long").alias("place"))
+    return probes, e
+
+
+@query(
+    """WITH e AS (SELECT p_partkey AS id, p_partkey % 1000 AS k, CAST(p_size > 20 AS INTEGER) + CAST(p_retailprice > 1000 AS INTEGER) + 1 AS filled FROM part),
+    probes AS (SELECT s_suppkey AS probe_id, s_suppkey % 1000 AS k FROM supplier),
+    n AS (SELECT count(*) AS rows FROM part)
+    SELECT probe_id, id, place, rows FROM (SELECT probe_id, id, row_number() OVER (PARTITION BY probe_id ORDER BY filled DESC, id) AS place FROM probes JOIN e USING (k)), n WHERE place <= 5"""
+)
+def catalogue_lookup(spark, sf_dir):
+    """The same through a catalogue on disk: written as a version, switched to, opened by its recipe, and asked; rows: what the version says
+    it holds."""
+    probes, e = _numbered_parts(spark, sf_dir)
+    none = e.select(F.col("isbn13"), F.col("id").alias("edition_id")).where("false")
+    root = f"{shared_dir(spark)}/quire/catalogue-{uuid.uuid4().hex}"
+    tables = catalogues.edition_tables({"editions": e, "extra_isbns": none, "authors": e.select(F.lit("").alias("author_key"), F.lit("").alias("name")).where("false")})
+    write_catalogue(spark, root, catalogues.EDITIONS, "part", tables, least={"editions": 1})
+    found = catalogues.opened_a(spark, root)
+    return catalogues.by_number(probes, found).select("probe_id", "id", F.col("place").cast("long").alias("place"), F.lit(int(found.info["rows.editions"])).cast("long").alias("rows"))
 
 
 @query(

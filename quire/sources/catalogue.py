@@ -113,7 +113,7 @@ def write_catalogue(spark: SparkSession, root: str, recipe: str, source: str, ta
         rows: dict[str, int] = {}
         for name, (table, column) in tables.items():
             seen = Observation()
-            table.observe(seen, F.count("*").alias("n")).repartitionByRange(column).sortWithinPartitions(column).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{files.root}/{version}/{name}")
+            table.repartitionByRange(column).sortWithinPartitions(column).observe(seen, F.count("*").alias("n")).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{files.root}/{version}/{name}")
             there = spark.read.parquet(f"{files.root}/{version}/{name}").count()
             if there != (seen.get["n"] or 0):
                 raise CatalogueError(f"{name} has {there} rows, but {seen.get['n']} were written")
