@@ -117,6 +117,52 @@ def fixes(t: dict[str, DataFrame], issues: DataFrame, language: str = "en") -> D
     return rows.unionByName(change(of("EPUB2_ATTRIBUTES_IN_EPUB3"), F.col("detail"), F.concat(F.lit("refines:"), "detail")))
 
 
+#: A fingerprint has four lanes of 32 bits, each the sum of a lane of all entries' hashes: so entries may come in any order, and one
+#: that goes or comes is taken from or added to the sums.
+LANES, LANE = 4, 1 << 32
+CANONICAL_MIMETYPE = b"application/epub+zip"
+
+
+def entry_lanes(name: Column, crc: Column, size: Column) -> Column:
+    """The lanes of an archive entry: parts of the SHA-256 of its name, CRC and size."""
+    code = F.sha2(F.concat_ws("\n", text_of(name), crc.cast("string"), size.cast("string")), 256)
+    return F.array(*[F.conv(F.substring(code, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(LANES)])
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """book_id and the sums of ``lanes``, each times ``sign``, within 32 bits."""
+    sums = rows.groupBy("book_id").agg(*[F.sum(F.col("sign") * F.get("lanes", F.lit(k))).alias(f"s{k}") for k in range(LANES)])
+    return sums.select("book_id", F.array(*[F.pmod(f"s{k}", F.lit(LANE)) for k in range(LANES)]).alias("lanes"))
+
+
+def _code(lanes: Column) -> Column:
+    return F.concat(*[F.lower(F.lpad(F.hex(F.get(lanes, F.lit(k))), 8, "0")) for k in range(LANES)])
+
+
+def _counted(entries: DataFrame) -> DataFrame:
+    """Entries that a fingerprint is about: files, but not the package document, which holds the stamp itself."""
+    return entries.where(~F.col("name").rlike(r"(/|\.opf)$"))
+
+
+def fingerprints(entries: DataFrame) -> DataFrame:
+    """(book_id, lanes, fingerprint) of archives by their entries (book_id, name, crc, size): the same for the same files, whatever their
+    order and compression. The package document is no part of it. An archive without entries has no row."""
+    rows = _counted(entries).select("book_id", F.lit(1).alias("sign"), entry_lanes(F.col("name"), F.col("crc"), F.col("size")).alias("lanes"))
+    return _summed(rows).withColumn("fingerprint", _code(F.col("lanes")))
+
+
+def predicted_fingerprints(known: DataFrame, entries: DataFrame, edits: DataFrame) -> DataFrame:
+    """(book_id, fingerprint) that archives will have once ``edits`` (book_id, name, data: bytes, null to remove; of each name one) are saved,
+    worked out from the lanes they have and their list of entries, without reading an archive. known: fingerprints(entries). Saving
+    also makes the mimetype canonical. Removing what isn't there, or replacing a file by the same bytes, changes nothing."""
+    mime = known.select("book_id", F.lit("mimetype").alias("name"), F.lit(CANONICAL_MIMETYPE).alias("data"))
+    staged = _counted(edits.select("book_id", "name", "data").where("name <> 'mimetype'").unionByName(mime))
+    old = _counted(entries).join(staged.select("book_id", "name"), ["book_id", "name"], "left_semi").select("book_id", F.lit(-1).alias("sign"), entry_lanes(F.col("name"), F.col("crc"), F.col("size")).alias("lanes"))
+    new = staged.where("data is not null").select("book_id", F.lit(1).alias("sign"), entry_lanes(F.col("name"), F.crc32("data"), F.octet_length("data")).alias("lanes"))
+    rows = known.select("book_id", F.lit(1).alias("sign"), "lanes").unionByName(old).unionByName(new)
+    return _summed(rows).select("book_id", _code(F.col("lanes")).alias("fingerprint"))
+
+
 def stamp_state(books: DataFrame) -> DataFrame:
     """book_id, stale (null where there is no stamp) and a line of text. books: book_id, stamped_status, stamped_at, stamped_fingerprint, fingerprint."""
     known = (text_of(F.col("stamped_fingerprint")) != "") & (text_of(F.col("fingerprint")) != "")

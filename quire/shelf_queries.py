@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,7 +11,8 @@ from quire.functions import text
 from quire.operators import authors, catalog, edits, mining, shelf, validation
 from quire.operators import title_pages as scan
 from quire.registry import ORACLE_SQL, load, query
-from quire.sources import archives, dumps
+from quire.shared import Scratch, shared_dir
+from quire.sources import archives, book_source, dumps
 
 
 def _isbn(k):
@@ -170,6 +173,69 @@ def title_pages(spark, sf_dir):
     return scan.scan_books(load(spark, sf_dir, "part").select("p_partkey", pick(0).alias("front"), pick(1).alias("back")), "p_partkey", "front", "back")
 
 
+# --- archives --------------------------------------------------------------------------------------------------------
+
+#: By doc_id % 6: what is wrong with a book made of a document, and the issue that is found.
+_FAULTS = ("", "LANGUAGE_MISSING", "MANIFEST_FILE_MISSING", "DANGLING_SPINE_ITEMREF", "TITLE_MISSING", "NO_TOC")
+
+
+def _book_plan(docs, name):
+    """A plan of one archive for each document, its text the only chapter, with the fault of its kind."""
+    kind, have = F.col("doc_id") % len(_FAULTS), lambda code, text: F.when(F.col("doc_id") % len(_FAULTS) == _FAULTS.index(code), "").otherwise(text)
+    opf = F.concat(
+        F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">urn:x:'), F.col("doc_id").cast("string"), F.lit("</dc:identifier>"),
+        have("TITLE_MISSING", "<dc:title>A document</dc:title>"), have("LANGUAGE_MISSING", "<dc:language>en</dc:language>"), F.lit('</metadata><manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/>'),
+        have("NO_TOC", '<item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>'), F.when(kind == 2, '<item id="m" href="missing.xhtml" media-type="application/xhtml+xml"/>').otherwise(""),
+        F.lit('</manifest><spine><itemref idref="a"/>'), F.when(kind == 3, '<itemref idref="zz"/>').otherwise(""), F.lit("</spine></package>"),
+    )
+    page = F.concat(F.lit("<html><body><p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "[&<>]", " "), F.lit("</p></body></html>"))
+    container = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="OPS/p.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
+    staged = F.create_map(F.lit("META-INF/container.xml"), F.lit(container).cast("binary"), F.lit("OPS/a.xhtml"), page.cast("binary"), F.lit("OPS/nav.xhtml"), F.lit("<html/>").cast("binary"))
+    return docs.select("doc_id", F.lit(None).cast("string").alias("path"), name.alias("name"), F.lit("OPS/p.opf").alias("opf_path"), opf.cast("binary").alias("opf"), staged.alias("staged"))
+
+
+_FAULT_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_FAULTS)) + " END"
+
+
+@query(f"SELECT doc_id, {_FAULT_SQL} AS code, CASE WHEN doc_id % 6 IN (0, 5) THEN CASE doc_id % 6 WHEN 0 THEN 'OK' ELSE 'ISSUES' END ELSE 'INVALID' END AS status FROM documents")
+def books_written_and_validated(spark, sf_dir):
+    """A book archive of every document, written to the shared folder by the data source, read again from there and validated: the fault
+    of its kind is found, and no other."""
+    folder = f"{shared_dir(spark).removeprefix('file://')}/quire/books-{uuid.uuid4().hex}"
+    name = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".epub"))
+    book_source.write_books(_book_plan(load(spark, sf_dir, "documents"), name), folder)
+    raw = Scratch(spark, "books").write(book_source.scan_books(spark, folder), "raw")
+    t = archives.tables(raw)
+    issues = validation.validate(t)
+    found = issues.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("code"))  # fifteen codes at most
+    rows = validation.statuses(t["books"], issues).join(found, "book_id", "left")
+    return rows.select(F.regexp_extract("book_id", r"(\d+)\.epub$", 1).cast("long").alias("doc_id"), F.coalesce("code", F.lit("")).alias("code"), "status")
+
+
+def _lanes_sql(name, crc, size):
+    code = f"sha256({name} || chr(10) || CAST({crc} AS VARCHAR) || chr(10) || CAST({size} AS VARCHAR))"
+    return ", ".join(f"CAST('0x' || substr({code}, {1 + 8 * k}, 8) AS BIGINT) AS l{k}" for k in range(4))
+
+
+@query(
+    f"""WITH e AS (SELECT source AS book_id, CAST(doc_id AS VARCHAR) AS name, n_chars AS crc, n_chars + 1 AS size, doc_id FROM documents),
+    kept AS (SELECT book_id, name, CASE WHEN doc_id % 7 = 0 THEN 3421780262 ELSE crc END AS crc, CASE WHEN doc_id % 7 = 0 THEN 9 ELSE size END AS size FROM e WHERE doc_id % 11 <> 0
+             UNION ALL SELECT DISTINCT book_id, 'added', 3421780262, 9 FROM e UNION ALL SELECT DISTINCT book_id, 'mimetype', 749429103, 20 FROM e),
+    lanes AS (SELECT book_id, {_lanes_sql("name", "crc", "size")} FROM kept)
+    SELECT book_id AS source, {" || ".join(f"printf('%08x', CAST(sum(l{k}) % 4294967296 AS BIGINT))" for k in range(4))} AS fingerprint FROM lanes GROUP BY 1"""
+)
+def fingerprint_prediction(spark, sf_dir):
+    """Sources as archives, their documents as entries: the fingerprint after some are replaced (7th ones), removed (11th ones) and one is added,
+    from the fingerprint before. The SQL works it out from the entries that there are then."""
+    d = load(spark, sf_dir, "documents")
+    entries = d.select(F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("crc"), (F.col("n_chars") + 1).alias("size"))
+    data = F.lit("123456789").cast("binary")
+    edits = d.where("doc_id % 7 = 0 or doc_id % 11 = 0").select(F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("name"), F.when(F.col("doc_id") % 11 != 0, data).alias("data"))
+    edits = edits.unionByName(d.select(F.col("source").alias("book_id")).distinct().select("book_id", F.lit("added").alias("name"), data.alias("data")))
+    known = Scratch(spark, "fingerprints").write(validation.fingerprints(entries), "known")
+    return validation.predicted_fingerprints(known, entries, edits).select(F.col("book_id").alias("source"), "fingerprint")
+
+
 _IMPRINTS = [  # what stands behind a document's text; field, value (SQL over doc_id), confidence, all in front
     ("'Copyright © ' || (1900 + doc_id % 100) || ' by Anna de la Cruz. All Rights Reserved'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.65), ("holder", "'Anna de la Cruz'", 0.6)]),
     ("'© ' || (1900 + doc_id % 100) || ', J. R. Berg\nÜbersetzt von Per-Olof Lund und andere'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.55), ("holder", "'J. R. Berg'", 0.45), ("translator", "'Per-Olof Lund'", 0.6)]),

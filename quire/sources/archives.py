@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import os
 import posixpath
 import re
-import uuid
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +54,11 @@ def _text(node) -> str:
     return " ".join("".join(node.itertext()).split()) if node is not None else ""
 
 
-def read_package(path: str, content: bytes) -> dict:
-    """One archive's row; what is wrong with it ends up in load_error."""
+def read_package(path: str, source: BinaryIO | None) -> dict:
+    """One archive's row, from a seekable file, of which only the directory and the members needed are read; what is wrong with it ends up in load_error."""
     row = {c: [] if c in LISTS else "" for c in COLUMNS} | {"path": path, "encrypted": False}
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
+        with zipfile.ZipFile(source) as z:
             for place, info in enumerate(z.infolist()):
                 head = z.read(info)[:64].decode("latin-1").strip() if info.filename == "mimetype" and info.file_size < 4096 else ""
                 row["entries"].append({"place": place, "name": info.filename, "crc": info.CRC, "size": info.file_size, "stored": info.compress_type == 0, "head": head})
@@ -130,17 +127,6 @@ COLUMNS = [c.strip().split(" ")[0] for c in re.sub(r"<[^<>]*>", "", re.sub(r"<[^
 LISTS = ("creators", "subjects", "encrypted_paths", "identifiers", "manifest", "spine", "guide", "metas", "entries", "ids")
 
 
-def read_books(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """One row per archive: its package as nested columns, or a load_error. Archives are opened where they are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", recursive).load(folder).select("path", "content")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([read_package(p, c) for p, c in zip(batch["path"], batch["content"])], columns=COLUMNS)
-
-    return files.mapInPandas(read, RAW_SCHEMA)
-
-
 def tables(raw: DataFrame) -> dict[str, DataFrame]:
     """The tables that validation takes; a book's id is its path."""
     book = F.col("path").alias("book_id")
@@ -204,49 +190,6 @@ def budget(front: Column, back: Column) -> tuple[Column, Column]:
     return head, F.substring(F.coalesce(back, F.lit("")), F.lit(1), F.lit(MOST_TEXT) - F.length(head))
 
 
-def write_books(plan: DataFrame) -> DataFrame:
-    """Write new archives: plan has path, content, new_path, opf_path, opf (the new package document, or null), staged
-    (map of names to bytes, null to remove). The first entry is the uncompressed mimetype; what isn't changed is copied;
-    a file appears under its name only when whole. Returns (new_path, error). An existing file is never overwritten; one that an
-    earlier try of the same task wrote, told by this call's mark in the archive's comment, counts as written. new_path lies in a folder that every
-    executor sees under that name (a mounted share); other stores are not written to."""
-
-    own = uuid.uuid4().hex.encode()
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                try:
-                    target = re.sub("^file:(//)?", "", row.new_path)
-                    if os.path.exists(target):
-                        with zipfile.ZipFile(target) as there:
-                            if there.comment != own:
-                                raise FileExistsError(target)
-                        out.append((row.new_path, ""))  # this very row, written by an earlier try
-                        continue
-                    staged = dict(row.staged or {})
-                    if row.opf is not None:
-                        staged[row.opf_path] = row.opf
-                    with zipfile.ZipFile(io.BytesIO(row.content)) as old, zipfile.ZipFile(part := f"{target}.{uuid.uuid4().hex}.part", "w", zipfile.ZIP_DEFLATED) as new:
-                        new.comment = own
-                        new.writestr(zipfile.ZipInfo("mimetype"), b"application/epub+zip", zipfile.ZIP_STORED)
-                        for info in old.infolist():
-                            if info.filename != "mimetype" and info.filename not in staged:
-                                new.writestr(info, old.read(info))
-                        for name, data in staged.items():
-                            if data is not None:
-                                new.writestr(name, bytes(data))
-                    os.replace(part, target)
-                    out.append((row.new_path, ""))
-                except Exception as e:  # noqa: BLE001
-                    out.append((row.new_path, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["new_path", "error"])
-
-    cols = plan.select("path", "content", "new_path", "opf_path", "opf", "staged")
-    return cols.mapInPandas(write, "new_path string, error string")
-
-
 def package_document(fields: dict) -> bytes:
     """A version 3 package document of a book's fields: title, language, authors (name, sort), tags, ddc, series, isbn, manifest, spine."""
     from xml.sax.saxutils import escape, quoteattr

@@ -193,7 +193,7 @@ def mend_package(document: bytes, faults: list[tuple[str, str, str | None]]) ->
 
 def mended_packages(documents: DataFrame, fixes: DataFrame) -> DataFrame:
     """(book_id, opf, error): the package documents (book_id, content) of the books that ``fixes`` (book_id, code, before, after) has rows
-    for, mended. What comes of it goes into archives.write_books."""
+    for, mended. What comes of it goes into book_source.write_books."""
     lists = fixes.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("code", "before", "after"))).alias("faults"))  # a book's own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

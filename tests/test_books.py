@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import authors, catalog, duplicates, edits, mining, title_pages, validation
 from quire.plans.recipe import Recipe, Step, default_steps
-from quire.sources import archives, dumps
+from quire.sources import archives, book_source, dumps
 from quire.streaming import journal
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/p.opf"/></rootfiles></container>'
@@ -47,7 +47,7 @@ def shelf(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def raw(spark, shelf):
-    return archives.read_books(spark, str(shelf)).cache()
+    return book_source.scan_books(spark, str(shelf)).cache()
 
 
 def name_of(path):
@@ -97,13 +97,13 @@ def test_duplicate_books(raw):
 def test_writing(spark, shelf, raw, tmp_path):
     files = spark.read.format("binaryFile").option("pathGlobFilter", "good.epub").load(str(shelf)).select("path", "content")
     opf = archives.package_document({"title": "New & old", "authors": [("A", "A")], "series": "S", "series_index": 2, "identifier": "x", "manifest": [("i0", "a.xhtml", "application/xhtml+xml")], "spine": ["i0"]})
-    plan = files.select("path", "content", F.lit(f"{tmp_path}/new.epub").alias("new_path"), F.lit("OEBPS/p.opf").alias("opf_path"), F.lit(opf).alias("opf"), F.create_map(F.lit("OEBPS/b.xhtml"), F.lit(None).cast("binary")).alias("staged"))
-    assert [r.error for r in archives.write_books(plan).collect()] == [""]
-    again = archives.read_books(spark, str(tmp_path))
+    plan = files.select("path", F.lit("new.epub").alias("name"), F.lit("OEBPS/p.opf").alias("opf_path"), F.lit(opf).alias("opf"), F.create_map(F.lit("OEBPS/b.xhtml"), F.lit(None).cast("binary")).alias("staged"))
+    assert [r.error for r in book_source.write_books(plan, str(tmp_path)).collect()] == [""]
+    again = book_source.scan_books(spark, str(tmp_path))
     row = archives.metadata(again).first()
     assert (row.title, row.series, row.series_index) == ("New & old", "S", "2")
     assert [e.name for e in again.first().entries][0] == "mimetype" and all(e.name != "OEBPS/b.xhtml" for e in again.first().entries)
-    assert "FileExistsError" in archives.write_books(plan).first().error
+    assert "FileExistsError" in book_source.write_books(plan, str(tmp_path)).first().error
 
 
 def test_dump_a(spark, tmp_path):
