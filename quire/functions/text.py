@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ MINOR_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "in", "nor", "o
 RESERVED = ("con", "prn", "aux", "nul", *(f"{d}{i}" for d in ("com", "lpt") for i in range(1, 10)))
 UNKNOWN_LANGUAGES = ("", "unknown", "und", "unk", "n/a", "na", "none", "not set", "unspecified")
 BLOCK_TAGS = "p|div|br|li|ul|ol|h[1-6]|tr|table|blockquote|hr|section|article|header|footer"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+#: Named characters of HTML (those of its fourth version, and the apostrophe); a blank that doesn't break is a blank.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 assert len(MARKED) == len(PLAIN_)
 
@@ -80,14 +82,42 @@ def has_markup(value: Column) -> Column:
     return text_of(value).rlike(r"<[A-Za-z/!][^>]*>")
 
 
-def strip_html(value: Column) -> Column:
-    """Plain text of simple markup: scripts, styles and comments go, ends of blocks become line feeds, the usual entities their
-    characters. A text without a tag stays as it is."""
+def unescaped(value: Column) -> Column:
+    """A text with the characters that its entities stand for: named ones, decimal and hexadecimal numbers. What is no entity, or stands for no
+    character (beyond Unicode, a surrogate, zero), stays as it is. Each is read once: &amp;lt; gives &lt;."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def read(piece: Column) -> Column:
+        """A piece that follows an ampersand."""
+        entity = F.regexp_extract(piece, "^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        number = F.when(entity.rlike("^#[0-9]"), F.substring(entity, 2, 8).try_cast("long")).when(entity.startswith("#"), F.conv(F.substring(entity, 3, 6), 16, 10).try_cast("long"))
+        fits = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(number == 160, " ").when(fits, F.decode(F.unhex(F.lpad(F.hex(F.when(fits, number).otherwise(65)), 8, "0")), "UTF-32"))
+        char = F.coalesce(char, F.try_element_at(names, entity))
+        return F.when(char.isNotNull(), F.concat(char, F.substring(piece, F.length(entity) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
+
+    def joined(text: Column) -> Column:
+        pieces = F.split(text, "&")
+        return F.when(text.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), read), ""))).otherwise(text)
+
+    return let(value, joined)
+
+
+#: The entities that simple texts have.
+USUAL = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+
+
+def strip_html(value: Column, usual_only: bool = False) -> Column:
+    """Plain text of simple markup: scripts, styles and comments go, ends of blocks become line feeds, entities their
+    characters (usual_only: only the seven usual ones). A text without a tag stays as it is."""
     out = F.regexp_replace(text_of(value), r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, rf"(?i)</?({BLOCK_TAGS})\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
-    for entity, plain in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(plain))
+    if usual_only:
+        for entity, plain in USUAL.items():
+            out = F.replace(out, F.lit(entity), F.lit(plain))
+    else:
+        out = unescaped(out)
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n")
     return F.when(has_markup(value), F.regexp_replace(out, r"^\s+|\s+$", "")).otherwise(text_of(value))
 

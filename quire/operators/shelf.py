@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quire.functions.identifiers import is_isbn10, is_isbn13, strip_isbn
 from quire.functions.text import collapse, is_unknown_language, text_of
@@ -103,15 +105,48 @@ def cover_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+#: Frames of a JPEG that hold its size: all kinds of coding, but not tables (C4), extensions (C8) and conditioning (CC).
+FRAMES = {0xC0 + k for k in range(16)} - {0xC4, 0xC8, 0xCC}
+#: Markers that stand alone, without a length: temporary, restarts, start.
+ALONE = {0x01, *range(0xD0, 0xD9)}
+
+
+def jpeg_frame(data: bytes) -> tuple[int, int] | None:
+    """(width, height) of a JPEG's own frame. Segments are walked by their lengths, so pictures within a segment, as thumbnails are, don't
+    count, and neither does where in the file the frame stands. None if the file ends, or its pixels begin, before a frame."""
+    at, end = 2, len(data)
+    while at + 4 <= end:
+        if data[at] != 0xFF:
+            return None
+        marker = data[at + 1]
+        if marker == 0xFF:  # a filling byte
+            at += 1
+        elif marker in ALONE:
+            at += 2
+        elif marker in (0xD9, 0xDA):
+            return None
+        elif marker in FRAMES:
+            return (int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])) if at + 9 <= end else None
+        else:
+            at += 2 + max(2, int.from_bytes(data[at + 2 : at + 4]))
+    return None
+
+
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
+def _jpeg_size(content: pd.Series) -> pd.DataFrame:
+    found = [jpeg_frame(c) if c is not None else None for c in content]
+    return pd.DataFrame({"width": pd.array([f and f[0] for f in found], "Int32"), "height": pd.array([f and f[1] for f in found], "Int32")})
+
+
 def image_size(content: Column) -> Column:
-    """struct(width, height) from the head of a PNG, GIF or JPEG; null for anything else. A JPEG's frame is looked for in its segments."""
-    code = F.hex(F.substring(content, 1, 1 << 16))
+    """struct(width, height) of a PNG, GIF or JPEG; null for anything else, and for a JPEG without a frame. PNG and GIF have it in their first
+    bytes; a JPEG's segments are walked, whatever is in them (only JPEGs are handed to Python)."""
+    code = F.hex(F.substring(content, 1, 24))
     number = lambda at, n: F.conv(F.substring(code, at * 2 + 1, n * 2), 16, 10).cast("int")
     swapped = lambda at: number(at, 1) + 256 * number(at + 1, 1)
-    frame = F.regexp_extract(code, "^(?:FFD8)(?:FF(?!C[0-35-79-BD-F])[0-9A-F]{2}(?:[0-9A-F]{2})*?)*?FFC[0-35-79-BD-F][0-9A-F]{6}([0-9A-F]{8})", 1)
-    part = lambda a: F.conv(F.substring(frame, a, 4), 16, 10).cast("int")
     size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
-    return F.when(code.startswith("89504E470D0A1A0A"), size(number(16, 4), number(20, 4))).when(code.startswith("47494638"), size(swapped(6), swapped(8))).when(code.startswith("FFD8") & (frame != ""), size(part(5), part(1)))
+    frame = _jpeg_size(F.when(code.startswith("FFD8"), content))
+    return F.when(code.startswith("89504E470D0A1A0A"), size(number(16, 4), number(20, 4))).when(code.startswith("47494638"), size(swapped(6), swapped(8))).when(code.startswith("FFD8") & frame["width"].isNotNull(), frame)
 
 
 def with_junk_covers(books: DataFrame, flagged: DataFrame) -> DataFrame:

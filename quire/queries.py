@@ -143,7 +143,28 @@ def heading_key(spark, sf_dir):
         '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS plain FROM pages"""
 )
 def strip_html_simple(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
+    return load(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html"), usual_only=True).alias("plain"))
+
+
+def _entities_sql(inner: str) -> str:
+    """All named entities by one replacement each, the ampersand last."""
+    for name, char in sorted(text.ENTITIES.items(), key=lambda x: x[0] == "amp"):
+        inner = f"replace({inner}, '&{name};', chr({ord(char)}))"
+    return inner
+
+
+def _entities_page(column: str) -> str:
+    return f"{column} || '<p>Caf&eacute; &#8364; &#x263A; &Omega;&amp;lt; &nope; &#0;</p>'"
+
+
+@query(
+    f"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_entities_page("html")}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g'), '(?i)</?({text.BLOCK_TAGS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace({_entities_sql("t")}, '&#8364;', chr(8364)), '&#x263A;', chr(9786)), '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain FROM s"""
+)
+def strip_html_entities(spark, sf_dir):
+    """Pages, and a paragraph of entities of all kinds behind each, as plain text."""
+    pages = load(spark, sf_dir, "pages")
+    return pages.select("page_id", text.strip_html(F.concat("html", F.lit("<p>Caf&eacute; &#8364; &#x263A; &Omega;&amp;lt; &nope; &#0;</p>"))).alias("plain"))
 
 
 @query("SELECT p_partkey, upper(p_name) AS large, lower(p_type) AS small, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS sentence FROM part")

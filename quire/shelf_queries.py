@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text
-from quire.operators import authors, catalog, edits, mining, shelf, validation
+from quire.operators import authors, catalog, edits, genres, mining, shelf, validation
 from quire.operators import title_pages as scan
 from quire.registry import ORACLE_SQL, load, query
 from quire.shared import Scratch, shared_dir
@@ -236,6 +236,34 @@ def fingerprint_prediction(spark, sf_dir):
     return validation.predicted_fingerprints(known, entries, edits).select(F.col("book_id").alias("source"), "fingerprint")
 
 
+_SHELVED = [  # path, description, content, ddc, tags; genres in order with the sources that name them
+    ("/lib/Science_Fiction/Thrillers/x/a.epub", "A psychological thriller.", "", "", [], [("Science Fiction", "folder"), ("Thriller", "folder"), ("Psychological Thriller", "description")]),
+    ("C:\\\\Books\\\\Short-Stories\\\\b [Fantasy] (1999).epub", "Short stories & fantasy", "", "", [], [("Fantasy", "filename,description"), ("Short Story", "folder,description")]),
+    ("/a/b/c/d/Poetry/c.epub", "", "see http://x.org/fantasy and classic love tales", "811.5", ["romance"], [("Poetry", "folder,ddc")]),
+    ("/Fantasy/1/2/3/d.epub", "Arts & Crafts, arts and crafts", "", "150", [], [("Arts and Crafts", "description")]),
+    ("e.epub", "science fiction, fiction", "a classic tale of love and war, romance", "", ["Poetry"], [("Fiction", "description"), ("Romance", "content"), ("Science Fiction", "description")]),
+    ("", "", "", "", [], []),
+]
+_VOCABULARY = ("Science Fiction", "Fiction", "Thriller", "Psychological Thriller", "Short Story", "Fantasy", "Poetry", "Arts and Crafts", "Romance")
+
+
+def _shelved_sql() -> str:
+    rows = ", ".join(f"({k}, '{g}', '{s}', {i})" for k, (*_, found) in enumerate(_SHELVED) for i, (g, s) in enumerate(sorted(found, key=lambda f: (-f[1].count(","), ("folder", "filename", "description", "content", "ddc").index(f[1].split(",")[0]), f[0].lower())), 1))
+    return f"SELECT doc_id, genre, found, CAST(place AS BIGINT) AS place FROM documents JOIN (VALUES {rows}) t(k, genre, found, place) ON k = doc_id % {len(_SHELVED)}"
+
+
+@query(_shelved_sql())
+def genre_suggestions(spark, sf_dir):
+    """Documents as books on shelves of six kinds, their whole texts behind the first page: genres by place, with where they were found."""
+    k = F.col("doc_id") % len(_SHELVED)
+    pick = lambda n: F.get(F.array(*[F.lit(b[n]) for b in _SHELVED]), k.cast("int"))
+    tags = F.get(F.array(*[F.array(*map(F.lit, b[4])).cast("array<string>") for b in _SHELVED]), k.cast("int"))
+    books = load(spark, sf_dir, "documents").select("doc_id", pick(0).alias("path"), pick(1).alias("description"), F.concat_ws(" ", pick(2), "text").alias("content"), pick(3).alias("ddc"), tags.alias("tags"))
+    words = spark.createDataFrame([(w,) for w in _VOCABULARY], "word string")
+    found = genres.suggest_genres(books, "doc_id", words, phrases={"content": [("love and war", "Romance"), ("love tale", "Romance"), ("tale of love", "Unknown")]})
+    return found.select("doc_id", "genre", F.array_join(F.transform("found", lambda x: x["source"]), ",").alias("found"), "place")
+
+
 _IMPRINTS = [  # what stands behind a document's text; field, value (SQL over doc_id), confidence, all in front
     ("'Copyright © ' || (1900 + doc_id % 100) || ' by Anna de la Cruz. All Rights Reserved'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.65), ("holder", "'Anna de la Cruz'", 0.6)]),
     ("'© ' || (1900 + doc_id % 100) || ', J. R. Berg\nÜbersetzt von Per-Olof Lund und andere'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.55), ("holder", "'J. R. Berg'", 0.45), ("translator", "'Per-Olof Lund'", 0.6)]),
@@ -347,12 +375,20 @@ def better_covers(spark, sf_dir):
 
 @query("SELECT p_partkey, 100 + p_size AS width, 200 + p_partkey % 1000 AS height FROM part")
 def image_sizes(spark, sf_dir):
-    """Heads of PNG and GIF images with sizes made of parts."""
+    """PNG, GIF and JPEG images with sizes made of parts. Some JPEGs have a thumbnail with a frame of its own within a segment, some are
+    progressive, some have their frame behind 100 KB of profiles."""
     w, h = F.col("p_size") + 100, F.col("p_partkey") % 1000 + 200
     png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(w), 8, "0"), F.lpad(F.hex(h), 8, "0"), F.lit("0802000000"))
     two = lambda x: F.concat(F.lpad(F.hex(x % 256), 2, "0"), F.lpad(F.hex(F.floor(x / 256)), 2, "0"))
     gif = F.concat(F.lit("474946383961"), two(w), two(h), F.lit("F70000"))
-    p = load(spark, sf_dir, "part").select("p_partkey", shelf.image_size(F.unhex(F.when(F.col("p_partkey") % 2 == 0, png).otherwise(gif))).alias("s"))
+    four = lambda x: F.lpad(F.hex(x), 4, "0")
+    frame = lambda marker: F.concat(F.lit(f"FF{marker}001108"), four(h), four(w), F.lit("03012200021101031101"))
+    thumbnail = "FFE1001CFFD8FFC00011080010001003012200021101031101FFD90000"  # 16 x 16, within a segment of 28 bytes
+    profile = F.concat(F.lit("FFE2C352"), F.repeat(F.lit("00"), F.lit(50_000)))
+    k = F.col("p_partkey") % 6
+    image = F.when(k == 0, png).when(k == 1, gif).when(k == 2, F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), frame("C0"))).when(k == 3, F.concat(F.lit("FFD8" + thumbnail + "FFFF"), frame("C2")))
+    image = image.when(k == 4, F.concat(F.lit("FFD8"), profile, profile, frame("C1"))).otherwise(F.concat(F.lit("FFD8FFDB000300FFC4000300FFDD00040000"), frame("CF"), F.lit("FFDA000300")))
+    p = load(spark, sf_dir, "part").select("p_partkey", shelf.image_size(F.unhex(image)).alias("s"))
     return p.select("p_partkey", "s.width", "s.height")
 
 

@@ -93,3 +93,16 @@ def test_render_then_parse(spark):
 def test_bad_regex_is_refused():
     with pytest.raises(Exception, match="."):
         text.search_replace(F.lit("x"), "(", "y", regex=True)
+
+
+def test_entities(spark):
+    from html import unescape
+
+    texts = ["&#8217;t &eacute;&#x41; &amp;lt; &nbsp;x", "no entity", "a & b && &", "&unknown; &amp", "&#0; &#xD800; &#1114112; &#x110000; &#99999999;", "&#128512;&#x1F600;&euro;", "&AMP;", "", None, "&#xe9;&hellip;&Eacute;;"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.unescaped(F.col("t")).alias("u")).collect()
+    found = {r.i: r.u for r in rows}
+    for i in (0, 1, 2, 5, 7, 9):
+        assert found[i] == unescape(texts[i]).replace("\u00a0", " ")
+    assert found[3] == "&unknown; &amp" and found[4] == texts[4] and found[6] == "&AMP;" and found[8] is None
+    html = spark.createDataFrame([("<p>It&#8217;s caf&eacute; &#x26; more&lt;b&gt;</p>",)], "h string").select(text.strip_html(F.col("h")).alias("t")).first().t
+    assert html == "It’s café & more<b>"
