@@ -158,7 +158,7 @@ def _entities_page(column: str) -> str:
 
 
 @query(
-    f"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_entities_page("html")}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g'), '(?i)</?({text.BLOCK_TAGS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
+    rf"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_entities_page("html")}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g'), '(?i)</?({text.BLOCK_TAGS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
     SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace({_entities_sql("t")}, '&#8364;', chr(8364)), '&#x263A;', chr(9786)), '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain FROM s"""
 )
 def strip_html_entities(spark, sf_dir):
