@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql.window import Window
 from quire.functions import text
 from quire.operators import authors, catalog, edits, genres, mining, shelf, validation
 from quire.operators import title_pages as scan
+from quire.plans import conversions, runs
+from quire.plans.recipe import Recipe, text_step
 from quire.registry import ORACLE_SQL, load, query
 from quire.shared import Scratch, shared_dir
 from quire.sources import archives, book_source, dumps
@@ -264,6 +267,52 @@ def genre_suggestions(spark, sf_dir):
     return found.select("doc_id", "genre", F.array_join(F.transform("found", lambda x: x["source"]), ",").alias("found"), "place")
 
 
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'conflict' WHEN c_custkey % 2 = 0 THEN 'done before' ELSE 'applied' END AS outcome,
+        CASE WHEN c_custkey % 7 = 0 THEN 'other' ELSE upper(replace(c_name, '#', ' no. ')) END AS title FROM customer"""
+)
+def run_resumed(spark, sf_dir):
+    """Customers as books, whose titles a recipe makes capital. The run died with the even ones changed; then every seventh was changed by
+    something else; then the run was resumed from its journal: what became of each change, and the titles there are now."""
+
+    class Mortal(runs.TableStore):
+        def apply(self, changes):
+            super().apply(changes.where("cast(book_id as bigint) % 2 = 0"))
+            raise InterruptedError
+
+    root = f"{shared_dir(spark)}/quire/runs-{uuid.uuid4().hex}"
+    journal, store = runs.RunJournal(spark, f"{root}/journal"), runs.TableStore(spark, f"{root}/books")
+    store.put(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), F.replace("c_name", F.lit("#"), F.lit(" no. ")).alias("title")))
+    with contextlib.suppress(InterruptedError):
+        runs.run_recipe(Recipe([text_step("capitals", "title", F.upper)]), store.books().withColumn("locked", F.lit(False)), journal, Mortal(spark, store.root), run="one")
+    store.put(store.books().withColumn("title", F.when(F.col("book_id") % 7 == 0, "other").otherwise(F.col("title"))))
+    outcomes = runs.resume(journal, store)["one"].select(F.col("book_id").cast("bigint").alias("book_id"), "outcome")
+    return outcomes.join(store.books(), "book_id").select(F.col("book_id").alias("c_custkey"), "outcome", "title")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1) THEN 'failed' WHEN doc_id % 3 = 0 THEN 'kept' ELSE 'recycled' END AS action,
+        CASE doc_id % 5 WHEN 0 THEN 'there is no such file' WHEN 1 THEN 'it is no book: META-INF/container.xml is missing' ELSE CASE WHEN doc_id % 3 = 0 THEN 'changed in the last 10 minutes' ELSE '' END END AS note,
+        CASE WHEN doc_id % 5 IN (0, 1) OR doc_id % 3 = 0 THEN '' ELSE '/in/' || source || '/recycled 2026-01-02/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' (2)' ELSE '' END || '.mobi' END AS destination FROM documents"""
+)
+def conversions_settled(spark, sf_dir):
+    """Documents as converted books, written by the data source: every fifth output is missing, every fifth has no container. All are read back and
+    checked; sources of those that pass, and that are not new, are to be moved, under names that are free (a dry run: the sources are
+    names only)."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    folder = f"{shared_dir(spark).removeprefix('file://')}/quire/converted-{uuid.uuid4().hex}"
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".epub"))
+    plan = _book_plan(docs.where("doc_id % 5 <> 0"), name)
+    plan = plan.withColumn("staged", F.when(F.col("doc_id") % 5 == 1, F.map_filter("staged", lambda k, _: ~k.startswith("META-INF"))).otherwise(F.col("staged")))
+    book_source.write_books(plan, folder)
+    source = F.concat(F.lit("/in/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".mobi"))
+    modified = F.when(F.col("doc_id") % 3 == 0, F.to_timestamp(F.lit("2026-01-02 11:55:00"))).otherwise(F.to_timestamp(F.lit("2026-01-01 00:00:00")))
+    done = docs.select(source.alias("source"), F.concat(F.lit(folder + "/"), name).alias("result"), modified.alias("modified"))
+    taken = docs.where("doc_id % 2 = 0").select(F.concat(F.lit("/in/"), F.col("source"), F.lit("/recycled 2026-01-02/"), F.col("doc_id").cast("string"), F.lit(".mobi")).alias("path"))
+    found = conversions.settle_conversions(done, "recycle", F.lit("2026-01-02"), F.to_timestamp(F.lit("2026-01-02 12:00:00")), taken, dry_run=True)
+    return found.select(F.regexp_extract("source", r"(\d+)\.mobi$", 1).cast("bigint").alias("doc_id"), "action", "note", "destination")
+
+
 _IMPRINTS = [  # what stands behind a document's text; field, value (SQL over doc_id), confidence, all in front
     ("'Copyright © ' || (1900 + doc_id % 100) || ' by Anna de la Cruz. All Rights Reserved'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.65), ("holder", "'Anna de la Cruz'", 0.6)]),
     ("'© ' || (1900 + doc_id % 100) || ', J. R. Berg\nÜbersetzt von Per-Olof Lund und andere'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.55), ("holder", "'J. R. Berg'", 0.45), ("translator", "'Per-Olof Lund'", 0.6)]),

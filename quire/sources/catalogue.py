@@ -30,7 +30,7 @@ class CatalogueError(ValueError):
     """The catalogue can't be asked or built; the message says why in one line."""
 
 
-class _Files:
+class Files:
     """The store of a path, through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -107,7 +107,7 @@ def write_catalogue(spark: SparkSession, root: str, recipe: str, source: str, ta
     switched. recipe: a name and a number (``editions/1``); look-ups refuse another recipe's version."""
     if not re.fullmatch(r"[\w-]+/\d+", recipe):
         raise CatalogueError(f"a recipe is a name and a number, not {recipe!r}")
-    files = _Files(spark, root)
+    files = Files(spark, root)
     version = f"version-{uuid.uuid4().hex}"
     try:
         rows: dict[str, int] = {}
@@ -135,7 +135,7 @@ def open_catalogue(spark: SparkSession, root: str | None, recipe: str) -> Catalo
     """The version that is switched to. Raises in one line if there is none, if it is of another recipe or number, or lacks a table."""
     if not root:
         raise CatalogueError("no catalogue is set up")
-    files = _Files(spark, root)
+    files = Files(spark, root)
     version = files.read(POINTER)
     if version is None:
         raise CatalogueError(f"there is no catalogue at {root}")
@@ -165,7 +165,7 @@ def not_ready(spark: SparkSession, root: str | None, recipe: str) -> str:
 
 def drop_old_versions(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     """Delete all versions but the current one and the ``keep`` - 1 youngest others; their names. What a failed build left goes too."""
-    files = _Files(spark, root)
+    files = Files(spark, root)
     current = files.read(POINTER)
     others = [v for v in files.versions() if v != current]
     gone = others[: len(others) - (keep - 1)] if keep > 1 else others

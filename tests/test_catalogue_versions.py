@@ -41,8 +41,8 @@ def test_versions_are_switched_whole(spark, tmp_path):
 def test_a_killed_build_leaves_the_old_version(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "c")
     first = write_catalogue(spark, root, "x/1", "one", {"t": (spark.range(3), "id")})
-    monkeypatch.setattr(catalogue._Files, "replace", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
-    monkeypatch.setattr(catalogue._Files, "delete", lambda *a: None)  # killed: nothing is cleared up
+    monkeypatch.setattr(catalogue.Files, "replace", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    monkeypatch.setattr(catalogue.Files, "delete", lambda *a: None)  # killed: nothing is cleared up
     with pytest.raises(KeyboardInterrupt):
         write_catalogue(spark, root, "x/1", "two", {"t": (spark.range(4), "id")})
     monkeypatch.undo()
