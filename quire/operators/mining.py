@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import caps_share, collapse, plain_key, text_of
+from quire.functions.text import caps_share, collapse, plain_key, text_of, unescaped
 
 # Classes of the Dewey decimal system and their genres, the first that fits counts; 800s go by the third digit.
 DDC_GENRES = [
@@ -68,6 +68,17 @@ def rank_genres(hits: DataFrame, id_col: str) -> DataFrame:
 LEAST_REPEATS, LEAST_HEADERS, RISING, MOST_STEP = 3, 6, 0.85, 60
 
 
+def paragraph_spans(documents: DataFrame, keys: list[str], html_col: str) -> DataFrame:
+    """(keys, place, start, length, text) of every paragraph element of a document, in order: where it stands in the markup (from 1), so that one that is
+    removed can be cut out there, and its text without tags, with entities read. Paragraphs within one another end with the first end tag."""
+    whole = r"(?is)(.*?)(<p\b[^>]*>(.*?)</p\s*>)"
+    parts = [F.regexp_extract_all(text_of(F.col(html_col)), F.lit(whole), k) for k in (1, 2, 3)]
+    rows = documents.select(*keys, F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("before", "element", "inner"))])).alias("place", "x"))
+    upto = F.sum(F.length("x.before") + F.length("x.element")).over(Window.partitionBy(*keys).orderBy("place"))
+    plain = collapse(F.replace(unescaped(F.regexp_replace(F.col("x.inner"), "<[^>]*>", "")), F.lit("\u00a0"), F.lit(" ")))
+    return rows.select(*keys, F.col("place").cast("long").alias("place"), (upto - F.length("x.element") + 1).alias("start"), F.length("x.element").cast("long").alias("length"), plain.alias("text"))
+
+
 def header_candidates(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs that may be page headers. paragraphs: book_id, place, text. Adds kind (number, left, right, title), number,
     heading; others go."""

@@ -55,8 +55,25 @@ def path_confidence(found: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.round(F.avg(one), 4).alias("confidence"), F.max("missing").alias("missing"))
 
 
+def folder_and_stem(path: Column) -> tuple[Column, Column]:
+    """The folder of a file, and its name without the ending."""
+    path = text_of(path)
+    return F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1), F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.[^.]*$", "")
+
+
 def sibling_stems(files: DataFrame) -> DataFrame:
-    """(path, siblings): how many other archives lie in the same folder, from counts by folder."""
-    folder = F.regexp_extract(text_of(F.col("path")), r"^(.*)[/\\][^/\\]*$", 1)
-    counts = files.groupBy(folder.alias("folder")).agg(F.count("*").alias("n"))
-    return files.select("path", folder.alias("folder")).join(counts, "folder").select("path", (F.col("n") - 1).alias("siblings"))
+    """(path, folder, stem, siblings) of every archive: the stems of a file's siblings are those of its folder but its own, one row each;
+    siblings counts them. Only names are looked at."""
+    folder, stem = folder_and_stem(F.col("path"))
+    rows = files.where(F.lower("path").endswith(".epub")).select("path", folder.alias("folder"), stem.alias("stem")).distinct()
+    counts = rows.groupBy("folder").agg(F.count("*").alias("n"))
+    return rows.join(counts, "folder").select("path", "folder", "stem", (F.col("n") - 1).alias("siblings"))
+
+
+def sibling_support(files: DataFrame, pattern: str, field: str) -> DataFrame:
+    """(path, value, support): what the pattern finds in each stem for a field, and how many other stems of the folder give the same value
+    (white space and capitals apart). A folder's values are counted and each file's own is taken off, so no pairs of files are formed."""
+    stems = sibling_stems(files)
+    found = stems.withColumn("value", parse(pattern, F.col("stem"))[field]).where("value is not null").withColumn("k", F.lower(collapse(F.col("value"))))
+    counts = found.groupBy("folder", "k").agg(F.count("*").alias("n"))
+    return found.join(counts, ["folder", "k"]).select("path", "value", (F.col("n") - 1).alias("support"))

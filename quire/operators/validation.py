@@ -186,3 +186,34 @@ def cover_path(manifest: DataFrame, cover_meta: DataFrame) -> DataFrame:
     by_property = manifest.where("array_contains(split(properties, ' '), 'cover-image')").select("book_id", "path", F.lit(0).alias("rank"), "place")
     by_meta = manifest.join(cover_meta, ["book_id", "item_id"]).select("book_id", "path", F.lit(1).alias("rank"), "place")
     return by_property.unionByName(by_meta).groupBy("book_id").agg(F.min_by("path", F.struct("rank", "place")).alias("path"))
+
+
+#: Kinds of pictures by their first bytes (as hexadecimal), with the ending of a file of that kind.
+PICTURES = (("FFD8FF", "image/jpeg", "jpg"), ("89504E470D0A1A0A", "image/png", "png"), ("47494638", "image/gif", "gif"))
+
+
+def staged_covers(covers: DataFrame, manifest: DataFrame, cover_meta: DataFrame, entries: DataFrame, packages: DataFrame) -> DataFrame:
+    """(book_id, path, data, media_type, item_id, how): what is to be staged so that a book has a new cover. covers: book_id, data; packages: book_id, opf_path.
+
+    how: ``replace``, the file of the present cover if the new one is of the same kind; else ``add``, a file cover.jpg (or by its kind) beside the package
+    document, cover-2.jpg and so on where that is taken, with an id that no item has; ``refuse`` (no path) for what is no picture."""
+    code = F.hex(F.substring("data", 1, 8))
+    kind, ending = F.lit(""), F.lit("")
+    for head, media_type, end in PICTURES:
+        kind, ending = F.when(code.startswith(head), media_type).otherwise(kind), F.when(code.startswith(head), end).otherwise(ending)
+    now = cover_path(manifest, cover_meta).join(manifest.select("book_id", "path", "item_id", F.lower("media_type").alias("now_type")), ["book_id", "path"]).dropDuplicates(["book_id"])
+    rows = covers.select("book_id", "data", kind.alias("media_type"), ending.alias("ending")).join(now.withColumnRenamed("path", "now_path"), "book_id", "left").join(packages.select("book_id", "opf_path"), "book_id", "left")
+    same = (F.col("media_type") != "") & (F.col("now_type") == F.col("media_type"))
+    how = F.when(F.col("media_type") == "", "refuse").when(F.coalesce(same, F.lit(False)), "replace").otherwise("add")
+    # names and ids that are taken: those that look like cover, cover-2, ...
+    folder = F.regexp_extract(text_of(F.col("opf_path")), "^(.*/)[^/]*$", 1)
+    names = entries.select("book_id", F.lower("name").alias("t")).unionByName(manifest.select("book_id", F.concat(F.lit("#"), F.lower("item_id")).alias("t"))).where(F.col("t").rlike(r"(^|[/#])cover(-[0-9]+)?(\.[a-z]+)?$"))
+    taken = names.groupBy("book_id").agg(F.collect_set("t").alias("taken"))  # a book's own covers
+    rows = rows.join(taken, "book_id", "left").withColumns({"how": how, "folder": folder, "taken": F.coalesce("taken", F.array().cast("array<string>"))})
+    nth = lambda k: F.when(k == 1, "").otherwise(F.concat(F.lit("-"), k.cast("string")))
+    free = lambda k: ~F.array_contains("taken", F.lower(F.concat("folder", F.lit("cover"), nth(k), F.lit("."), "ending"))) & ~F.array_contains("taken", F.concat(F.lit("#cover"), nth(k)))
+    number = nth(F.get(F.filter(F.sequence(F.lit(1), F.size("taken") + 1), free), F.lit(0)))
+    added = F.col("how") == "add"
+    path = F.when(F.col("how") == "replace", F.col("now_path")).when(added, F.concat("folder", F.lit("cover"), number, F.lit("."), "ending"))
+    item = F.when(F.col("how") == "replace", F.col("item_id")).when(added, F.concat(F.lit("cover"), number))
+    return rows.select("book_id", path.alias("path"), "data", "media_type", item.alias("item_id"), "how")

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.patterns import parse
 from quire.functions.text import fix_missing_spaces, let, strip_html, text_of
 from quire.operators.languages import language_of
 
@@ -30,6 +31,18 @@ class Step:
     options: dict = dataclasses.field(default_factory=dict)
     suggest: Callable[[DataFrame], Column] | None = None
     field: str | None = None
+    #: For options that may be left empty: what they are then, asked anew in each run.
+    fallbacks: dict[str, Callable[[], str]] = dataclasses.field(default_factory=dict)
+    #: As suggest, for a step whose suggestion depends on its options.
+    from_options: Callable[[Step, DataFrame], Column] | None = None
+
+    def option(self, name: str) -> tuple[str, str]:
+        """(value, where it is from: recipe, fallback or nothing) of an option as this run has it."""
+        own = str(self.options.get(name) or "").strip()
+        if own:
+            return own, "recipe"
+        found = self.fallbacks[name]().strip() if name in self.fallbacks else ""
+        return found, "fallback" if found else "nothing"
 
 
 @dataclass
@@ -46,6 +59,11 @@ class Recipe:
         steps = [dataclasses.replace(known[s["name"]], enabled=s.get("enabled", True), options=s.get("options", {})) for s in data["steps"] if s["name"] in known]
         return cls(steps, data.get("threshold", THRESHOLD))
 
+    def pinned(self) -> Recipe:
+        """The recipe with what its empty options stand for now written into them, so that later changes of the fallbacks leave it as it is."""
+        now = lambda s: s.options | {name: value for name in s.fallbacks if (value := s.option(name)[0])}
+        return Recipe([dataclasses.replace(s, options=now(s)) for s in self.steps], self.threshold)
+
     def results(self, books: DataFrame) -> DataFrame:
         """All steps' rows with an outcome: applied, review (below the threshold), skipped (the field has a value already, an earlier
         step was applied to it, or the book is not to be touched). books: book_id, the fields, and locked.
@@ -55,7 +73,9 @@ class Recipe:
         steps = [(i, s) for i, s in enumerate(self.steps) if s.enabled]
         columns, joined = [], books
         for i, s in steps:
-            if s.suggest is not None:
+            if s.from_options is not None:
+                columns.append((i, s, s.from_options(s, books)))
+            elif s.suggest is not None:
                 columns.append((i, s, s.suggest(books)))
             else:  # a step that needs more than the book's own row
                 found = s.find(books).select("book_id", F.struct("field", "value", "confidence").alias("x"))
@@ -119,6 +139,20 @@ def text_step(name: str, field_name: str, change) -> Step:
     return Step(name, suggest=suggest, field=field_name, fills_only=False)
 
 
+def parse_step(name: str, source_col: str, field_name: str, fallback: Callable[[], str], confidence: float = 1.0) -> Step:
+    """A step that fills a field with what its option ``pattern`` finds in a column, or where that is empty, with what the fallback's pattern finds.
+    Without either it suggests nothing."""
+
+    def suggest(step: Step, books: DataFrame) -> Column:
+        pattern, _ = step.option("pattern")
+        if not pattern:
+            return F.lit(None).cast("array<struct<field:string,value:string,confidence:double>>")
+        found = parse(pattern, F.col(source_col))[field_name]
+        return let(found, lambda v: F.when(F.coalesce(v, F.lit("")) != "", F.array(F.struct(F.lit(field_name).alias("field"), v.alias("value"), F.lit(confidence).alias("confidence")))))
+
+    return Step(name, from_options=suggest, field=field_name, fallbacks={"pattern": fallback})
+
+
 def default_steps() -> dict[str, Step]:
     steps = [text_step("strip_description_html", "description", strip_html), text_step("missing_space_title", "title", fix_missing_spaces), language_step()]
     return {s.name: s for s in steps}

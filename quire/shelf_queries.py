@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions import text
-from quire.operators import authors, catalog, edits, genres, mining, shelf, validation
+from quire.functions import patterns, text
+from quire.operators import authors, catalog, edits, genres, mining, paths, shelf, validation
 from quire.operators import title_pages as scan
 from quire.plans import conversions, runs
 from quire.plans.recipe import Recipe, text_step
@@ -313,6 +313,42 @@ def conversions_settled(spark, sf_dir):
     return found.select(F.regexp_extract("source", r"(\d+)\.mobi$", 1).cast("bigint").alias("doc_id"), "action", "note", "destination")
 
 
+@query("SELECT p_partkey, p_name AS value, count(*) OVER (PARTITION BY p_brand, lower(p_name)) - 1 AS support FROM part")
+def sibling_support(spark, sf_dir):
+    """Parts as archives in a folder for each brand, named by name and number: other archives of the folder with the same series."""
+    path = F.concat(F.lit("/lib/"), F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit(" - No "), F.col("p_partkey").cast("string"), F.lit(".epub"))
+    p = load(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return paths.sibling_support(p, "%series% - No %title%", "series").join(p, "path").select("p_partkey", "value", "support")
+
+
+_PARSED = [  # text, pattern, field, value
+    ("The Road (Jan. 1999)", "%title% (%month% %year%)", "month", "1"), ("The Road (09-1999)", "%title% (%month%-%year%)", "month", "9"), ("A Lee & B. Berg; C - Road", "%authors% - %title%", "authors", "A Lee; B. Berg; C"),
+    ("Saga 01-02 - Road", "%series% %series_index% - %title%", "series_index", "1-2"), ("Saga 007. Road", "%series% %series_index%. %title%", "series_index", "7"), ("Road 978-0-441-17271-9", "%title% %isbn%", "isbn", "9780441172719"), ("Road, 05", "%title%, %day%", "day", "5"),
+]
+
+
+@query("SELECT p_partkey, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{v}'" for i, (*_, v) in enumerate(_PARSED)) + " END AS value FROM part")
+def parse_cleanup(spark, sf_dir):
+    """Names of seven shapes: months as words and numbers, several authors, ranges, numbers with noughts and full stops, days, ISBNs."""
+    k = F.col("p_partkey") % len(_PARSED)
+    found = F.lit("")
+    for i, (text_, pattern, field, _) in enumerate(_PARSED):
+        found = F.when(k == i, patterns.parse(pattern, F.concat(F.lit(text_), F.when(F.col("p_size") % 2 == 0, "  ").otherwise("")))[field]).otherwise(found)
+    return load(spark, sf_dir, "part").select("p_partkey", found.alias("value"))
+
+
+@query(
+    r"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<p\b[^>]*>.*?</p\s*>')) AS el, generate_subscripts(regexp_extract_all(html, '(?is)<p\b[^>]*>.*?</p\s*>'), 1) AS i, html FROM pages)
+    SELECT page_id, CAST(i - 1 AS BIGINT) AS place, CAST(length(el) AS BIGINT) AS length, true AS there FROM e"""
+)
+def paragraph_spans(spark, sf_dir):
+    """The paragraphs of all pages: what is cut out at each one's place is the element itself."""
+    pages = load(spark, sf_dir, "pages")
+    found = mining.paragraph_spans(pages, ["page_id"], "html").join(pages, "page_id")
+    cut = F.col("html").substr(F.col("start").cast("int"), F.col("length").cast("int"))
+    return found.select("page_id", "place", "length", cut.rlike(r"(?is)^<p\b[^>]*>.*</p\s*>$").alias("there"))
+
+
 _IMPRINTS = [  # what stands behind a document's text; field, value (SQL over doc_id), confidence, all in front
     ("'Copyright © ' || (1900 + doc_id % 100) || ' by Anna de la Cruz. All Rights Reserved'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.65), ("holder", "'Anna de la Cruz'", 0.6)]),
     ("'© ' || (1900 + doc_id % 100) || ', J. R. Berg\nÜbersetzt von Per-Olof Lund und andere'", [("year", "CAST(1900 + doc_id % 100 AS VARCHAR)", 0.55), ("holder", "'J. R. Berg'", 0.45), ("translator", "'Per-Olof Lund'", 0.6)]),

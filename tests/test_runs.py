@@ -106,3 +106,36 @@ def test_sources_move_only_when_their_output_is_whole(spark, tmp_path):
     assert (tmp_path / "converted 2026-01-01" / "good.mobi").read_text() == "source" and (tmp_path / "converted 2026-01-01" / "good2.mobi").read_text() == "there before"
     with pytest.raises(ValueError):
         settled_policy = settle_conversions(done, "shred", F.lit(""), F.current_timestamp(), taken)  # noqa: F841
+
+
+def test_patterns_fall_back_and_are_pinned(spark):
+    from quire.plans.recipe import parse_step
+
+    current = {"pattern": "%title% - %series%"}
+    step = parse_step("name", "stem", "title", lambda: current["pattern"])
+    books = spark.createDataFrame([(1, "Road - Saga", ""), (2, "nothing", "")], "book_id int, stem string, title string").withColumn("locked", F.lit(False))
+    read = lambda recipe: {r.book_id: r.value for r in recipe.results(books).collect()}
+    recipe = Recipe([step])
+    assert step.option("pattern") == ("%title% - %series%", "fallback") and read(recipe) == {1: "Road"}
+    pinned = recipe.pinned()
+    stored = Recipe.from_json(pinned.to_json(), {"name": step})
+    current["pattern"] = "%series% - %title%"
+    assert read(recipe) == {1: "Saga"} and read(pinned) == read(stored) == {1: "Road"} and stored.steps[0].option("pattern")[1] == "recipe"
+    current["pattern"] = ""
+    assert step.option("pattern") == ("", "nothing") and read(recipe) == {} and read(recipe.pinned()) == {} and read(pinned) == {1: "Road"}
+
+
+def test_covers_are_staged(spark):
+    from quire.operators.validation import staged_covers
+
+    jpeg, png = b"\xff\xd8\xff\xe0new", b"\x89PNG\r\n\x1a\nnew"
+    covers = spark.createDataFrame([(1, jpeg), (2, png), (3, png), (4, b"text"), (5, jpeg), (6, None)], "book_id int, data binary")
+    manifest = spark.createDataFrame([(1, 0, "c", "OPS/pic.jpg", "image/jpeg", "cover-image"), (2, 0, "c", "OPS/pic.jpg", "image/jpeg", "cover-image"), (3, 0, "cover", "OPS/cover.png", "image/jpeg", ""), (5, 0, "x", "cover.jpg", "text/html", "")], "book_id int, place int, item_id string, path string, media_type string, properties string")
+    entries = spark.createDataFrame([(1, "OPS/pic.jpg"), (2, "OPS/pic.jpg"), (3, "OPS/cover.png"), (3, "OPS/Cover-2.PNG"), (5, "cover.jpg")], "book_id int, name string")
+    meta = spark.createDataFrame([(3, "cover")], "book_id int, item_id string")
+    packages = spark.createDataFrame([(i, "p.opf" if i == 5 else "OPS/p.opf") for i in range(1, 7)], "book_id int, opf_path string")
+    found = {r.book_id: (r.how, r.path, r.item_id, r.media_type) for r in staged_covers(covers, manifest, meta, entries, packages).collect()}
+    assert found == {
+        1: ("replace", "OPS/pic.jpg", "c", "image/jpeg"), 2: ("add", "OPS/cover.png", "cover", "image/png"), 3: ("add", "OPS/cover-3.png", "cover-3", "image/png"),
+        4: ("refuse", None, None, ""), 5: ("add", "cover-2.jpg", "cover-2", "image/jpeg"), 6: ("refuse", None, None, ""),
+    }
