@@ -114,8 +114,8 @@ class BytePairCoder:
         """The text's pre-tokens. Where it has letters of the table, matches are found with the stand-in in their place."""
         if self._find is None:
             self._find = regex.compile(self.pattern)
-            self._odd = regex.compile(f"[{''.join(map(chr, self.stand_in))}]" if self.stand_in else "(?!)").search
-        if not text.isascii() and self._odd(text):
+            self._odd = frozenset(map(chr, self.stand_in))
+        if not text.isascii() and not self._odd.isdisjoint(text):
             return [text[m.start() : m.end()] for m in self._find.finditer(text.translate(self.stand_in))]
         return self._find.findall(text)
 
