@@ -73,11 +73,13 @@ def catalogue_a(editions: DataFrame, works: DataFrame, authors: DataFrame, langu
 
     editions: ordinal, key, title, subtitle, isbn_13, isbn_10, author_keys, languages (codes), publishers, publish_date, pages,
     cover_ids, subjects, work_key. Kept: those with a valid number and a wanted language. An edition's id is its key's place
-    among the kept ones in the dump's order; it comes from a sort by ordinal ranges, not from one task."""
+    among the kept ones in the dump's order; it comes from a sort by ordinal ranges, not from one task. The records are taken
+    apart once and written to the shared folder, from which all tables are made."""
     isbn = edition_isbns(F.col("isbn_13"), F.col("isbn_10"))
     codes = F.coalesce("languages", F.array().cast("array<string>"))
     wanted = F.arrays_overlap(codes, F.array(*map(F.lit, languages))) | (F.size(codes) == 0) & F.lit(keep_unknown) if languages else F.lit(True)
     rows = editions.withColumn("isbn", isbn).withColumn("why", why_left_out(F.col("isbn.isbn13") != "", wanted))
+    rows = Scratch(editions.sparkSession, "catalogue-a").write(rows, "records")
     summary = import_summary(rows, "why", F.get("author_keys", F.lit(0)))
     kept = borrow_authors(rows.where("why = 'kept'"), works)
     named = kept.join(joined_names(kept, authors, "key", "author_keys", "author_key", "name"), "key", "left")
