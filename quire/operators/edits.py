@@ -77,22 +77,38 @@ def review(old: Column, new: Column) -> Column:
     return F.when((n == "") | (o == n), "same").when(o == "", "fill").otherwise("overwrite")
 
 
+def rank_within(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """The rows with ``name``: 0, 1, ... within each key by the order. Ranges of (key, order) are written to the shared folder and counted; each is then
+    numbered on its own, shifted by what the ranges before it have of the key, so a key with a third of all rows is numbered in
+    as many tasks as hold it."""
+    scratch, at = Scratch(rows.sparkSession, "ranks"), (F.col("_k").asc_nulls_last(), F.col("_o").asc_nulls_last())
+    ranged = rows.select(F.struct("*").alias("row"), F.col(key).alias("_k"), F.col(order).alias("_o")).repartitionByRange(*at).withColumn("_b", F.spark_partition_id())
+    ranged = scratch.write(ranged, "ranges")
+    counts = ranged.groupBy("_k", "_b").agg(F.count("*").alias("n"))
+    before = counts.select("_k", "_b", (F.sum("n").over(Window.partitionBy("_k").orderBy("_b")) - F.col("n")).alias("before")).where("before > 0")  # a key that lies in one range needs none
+    within = F.row_number().over(Window.partitionBy("_b", "_k").orderBy(at[1])) - 1
+    numbered = ranged.withColumn("_n", within).join(before, ["_k", "_b"], "left")
+    return numbered.select("row.*", (F.col("_n") + F.coalesce("before", F.lit(0))).alias(name))
+
+
 def number_collisions(plan: DataFrame, target: str, order: str, taken: DataFrame | None = None) -> DataFrame:
     """The plan with ``name``: the target, or "target (2)", "target (3)" where an earlier row or ``taken`` (targets that exist already, column
     of the same name) has it. Numbers that would give another row's target or a taken name are passed over; capitals make no
-    difference."""
+    difference.
+
+    The r-th free number from 2 on is 1 + r and as many more as there are numbers in use that have fewer than r free ones below
+    them; so only the numbers in use of a target are gathered, never those that are given out."""
     base, number = F.regexp_extract("_t", r"^(.*) \((\d{1,9})\)$", 1), F.regexp_extract("_t", r"^(.*) \((\d{1,9})\)$", 2)
     names = plan.select(F.lower(target).alias("_t"))
     exist = taken.select(F.lower(target).alias("_t")).distinct().withColumn("_e", F.lit(1)) if taken is not None else names.limit(0).withColumn("_e", F.lit(1))
-    used = names.unionByName(exist.select("_t")).distinct().where(number != "").select(base.alias("_t"), number.cast("int").alias("_u"))
-    groups = names.groupBy("_t").agg(F.count("*").cast("int").alias("_c")).join(exist, "_t", "left").where((F.col("_c") > 1) | F.col("_e").isNotNull())
-    groups = groups.join(used.groupBy("_t").agg(F.collect_set("_u").alias("_us")), "_t", "left").withColumn("_us", F.coalesce("_us", F.array().cast("array<int>")))
-    first = F.when(F.col("_e").isNull(), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    free = F.concat(first, F.filter(F.sequence(F.lit(2), F.col("_c") + F.size("_us") + 1), lambda n: ~F.array_contains("_us", n)))
-    numbers = groups.select("_t", "_c", F.posexplode(free).alias("_n", "_number")).where("_n < _c").drop("_c")
-    rows = plan.withColumn("_t", F.lower(target)).withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy(order)) - 1).join(numbers, ["_t", "_n"], "left")
-    numbered = F.concat(F.col(target), F.lit(" ("), F.col("_number").cast("string"), F.lit(")"))
-    return rows.withColumn("name", F.when(F.coalesce("_number", F.lit(1)) == 1, F.col(target)).otherwise(numbered)).select(*plan.columns, "name")
+    used = names.unionByName(exist.select("_t")).distinct().where(number != "").select(base.alias("_t"), number.cast("int").alias("_u")).where("_u >= 2")
+    below = F.transform(F.sort_array(F.collect_set("_u")), lambda u, i: u - 2 - i)  # free numbers below each one in use
+    facts = exist.join(used.groupBy("_t").agg(below.alias("_below")), "_t", "full")
+    rows = rank_within(plan.withColumn("_t", F.lower(target)), "_t", order, "_n").join(facts, "_t", "left")
+    r = F.col("_n") + F.when(F.col("_e").isNull(), 0).otherwise(1)
+    passed = F.size(F.filter(F.coalesce("_below", F.array().cast("array<int>")), lambda free: free < r))
+    numbered = F.concat(F.col(target), F.lit(" ("), (1 + r + passed).cast("string"), F.lit(")"))
+    return rows.withColumn("name", F.when(r == 0, F.col(target)).otherwise(numbered)).select(*plan.columns, "name")
 
 
 def file_plan(files: DataFrame, target: Column, order: str) -> DataFrame:
