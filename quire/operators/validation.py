@@ -103,6 +103,15 @@ def rebuilt_manifest(manifest: DataFrame) -> DataFrame:
     return manifest
 
 
+def renamed_ids(manifest: DataFrame) -> DataFrame:
+    """(book_id, item_id, new_id): a new id for each item but the first of those that share one: x-2, x-3 and so on, past the ids that the book has."""
+    base, number = F.regexp_extract("item_id", r"^(.*)-(\d{1,9})$", 1), F.regexp_extract("item_id", r"^(.*)-(\d{1,9})$", 2)
+    used = manifest.where(number != "").select("book_id", base.alias("item_id"), F.when(~number.startswith("0"), number.cast("int")).alias("u")).groupBy("book_id", "item_id").agg(F.collect_set("u").alias("used"))  # a book's own
+    rows = repeated_ids(manifest).join(used, ["book_id", "item_id"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
+    free = F.filter(F.sequence(F.lit(2).cast("long"), F.col("n") + F.size("used") + 1), lambda k: ~F.array_contains("used", k.cast("int")))
+    return rows.select("book_id", "item_id", F.explode(F.slice(free, F.lit(1), (F.col("n") - 1).cast("int"))).alias("k")).select("book_id", "item_id", F.concat("item_id", F.lit("-"), F.col("k").cast("string")).alias("new_id"))
+
+
 def fixes(t: dict[str, DataFrame], issues: DataFrame, language: str = "en") -> DataFrame:
     """(book_id, code, before, after): what a fix changes. An after of null removes the thing."""
     of = lambda code: issues.where(F.col("code") == code)
@@ -113,7 +122,8 @@ def fixes(t: dict[str, DataFrame], issues: DataFrame, language: str = "en") -> D
     rows = rows.unionByName(change(of("AUTHORS_AMPERSAND"), F.col("detail"), F.regexp_replace("detail", " & ", "; ")))
     for code in ("DANGLING_REFINES", "DANGLING_SPINE_ITEMREF", "MANIFEST_FILE_MISSING"):
         rows = rows.unionByName(change(of(code), F.col("detail"), none))
-    rows = rows.unionByName(change(of("DUPLICATE_MANIFEST_ID"), F.col("detail"), F.concat("detail", F.lit("-2"))))
+    repeats = of("DUPLICATE_MANIFEST_ID").join(renamed_ids(t["manifest"]).select("book_id", F.col("item_id").alias("detail"), "new_id"), ["book_id", "detail"])
+    rows = rows.unionByName(change(repeats, F.col("detail"), F.col("new_id")))
     return rows.unionByName(change(of("EPUB2_ATTRIBUTES_IN_EPUB3"), F.col("detail"), F.concat(F.lit("refines:"), "detail")))
 
 

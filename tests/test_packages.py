@@ -42,3 +42,15 @@ def test_packages_of_other_programs(spark):
     other = DOCUMENT.replace(b"Lee, Ann", b"Unknown")
     (row,) = external_packages(spark.createDataFrame([("1", other), ("2", b"<")], "id string, content binary")).collect()
     assert (row.title, row.authors, row.sort, row.isbn, row.tags, row.series) == ("Old", ["Ann Lee"], [""], "9780441172719", ["old tag"], "Saga")
+
+
+def test_the_journal_names_the_ids_that_the_package_gets(spark):
+    from quire.operators.validation import renamed_ids
+
+    ids = ["x", "x", "x-2", "x", "x-04", "y", "x-4", "z", "z", "x-2"]
+    package = "".join(f'<item id="{i}" href="{k}"/>' for k, i in enumerate(ids))
+    document = f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><manifest>{package}</manifest></package>'.encode()
+    rows = [(r.item_id, r.new_id) for r in renamed_ids(spark.createDataFrame([(1, i) for i in ids], "book_id int, item_id string")).collect()]
+    assert sorted(rows) == [("x", "x-3"), ("x", "x-5"), ("x-2", "x-2-2"), ("z", "z-2")]
+    new = ElementTree.fromstring(mend_package(document, [("DUPLICATE_MANIFEST_ID", before, after) for before, after in rows]))
+    assert sorted(i.get("id") for i in new.iter(f"{OPF}item")) == sorted({*ids, *(after for _, after in rows)})
