@@ -825,4 +825,4 @@ def catalogue_build(spark, sf_dir):
     return t.groupBy(F.substring("work_key", 2, 9).cast("int").alias("s_nationkey")).agg(F.count("*").alias("n_works"), F.count_distinct("title").alias("titles"))
 
 
-from quire import shelf_queries  # noqa: E402, F401 - registers the rest
+from quire import catalogue_queries, shelf_queries  # noqa: E402, F401 - register the rest
