@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import names, text
 from quire.functions.identifiers import isbn13_to_10
-from quire.operators import catalog, validation
+from quire.operators import catalog, paths, validation
 from quire.registry import load, query
 from quire.shared import shared_dir
 from quire.shelf_queries import _book_plan
@@ -128,3 +129,67 @@ def validation_report(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("book_id"), (F.col("l_linenumber") % 3).cast("int").alias("k"))
     each = [validation.issue_rows(lines.where(F.col("k") == k), code, F.lit("")) for k, code in enumerate(("LANGUAGE_MISSING", "MIMETYPE_POSITION", "DRM_DETECTED"))]
     return validation.report(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("book_id")), each[0].unionByName(each[1]).unionByName(each[2]))
+
+
+def _dump_a(spark, sf_dir) -> str:
+    """A dump of catalogue A: parts as editions in shapes of all kinds, suppliers as authors, nations as works."""
+    part, supplier, nation = (load(spark, sf_dir, t) for t in ("part", "supplier", "nation"))
+    key = F.col("p_partkey")
+    line = lambda kind, path, json: F.concat_ws("\t", F.lit(f"/type/{kind}"), path, F.lit("1"), F.lit("2026-01-01T00:00:00"), json).alias("value")
+    author = lambda n: F.concat(F.lit("/authors/OL"), n.cast("string"), F.lit("A"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    entry = lambda c: F.concat(F.lit('{"key":"'), c, F.lit('"}'))
+    own = F.concat(F.lit("["), quoted(author(key % 10)), F.lit(","), entry(author(key % 10 + 1)), F.lit(",7,null]"))
+    number = F.when(key % 7 == 0, '["12345","x"]').when(key % 4 == 0, F.concat(F.lit("["), quoted(isbn13_to_10(_isbn(key))), F.lit("]"))).otherwise(F.concat(F.lit('["bad",'), quoted(_isbn(key)), F.lit("]")))
+    json = F.concat(
+        F.lit('{"title":"  '), F.col("p_name"), F.lit('  ","authors":'), F.when(key % 2 == 0, own).otherwise("[]"), F.lit(',"works":['), entry(F.concat(F.lit("/works/OL"), (key % 25).cast("string"), F.lit("W"))), F.lit('],"languages":'),
+        F.when(key % 3 == 0, '["/languages/ger"]').when(key % 3 == 1, '[{"key":"/languages/eng"},{"key":"/languages/fre"}]').otherwise("7"), F.lit(',"isbn_'), F.when(key % 4 == 0, "10").otherwise("13"), F.lit('":'), number,
+        F.lit(',"publishers":["House","House","P'), F.col("p_size").cast("string"), F.lit('",5],"publish_date":"March '), (1900 + F.col("p_size")).cast("string"), F.lit('","number_of_pages":'), F.when(key % 5 == 0, '"many"').otherwise(F.col("p_size").cast("string")), F.lit(',"covers":[-1,'), key.cast("string"), F.lit("]}"),
+    )
+    lines = part.select(line("edition", F.concat(F.lit("/books/OL"), key.cast("string"), F.lit("M")), json))
+    lines = lines.unionByName(supplier.select(line("author", author(F.col("s_suppkey")), F.concat(F.lit('{"name":"'), F.col("s_name"), F.lit('"}')))))
+    lines = lines.unionByName(nation.select(line("work", F.concat(F.lit("/works/OL"), F.col("n_nationkey").cast("string"), F.lit("W")), F.concat(F.lit('{"authors":[{"author":'), entry(author(F.col("n_nationkey") % 10)), F.lit("}]}")))))
+    folder = f"{shared_dir(spark)}/quire/dump-{uuid.uuid4().hex}"
+    lines.unionByName(spark.sql("select '/type/redirect\\t/x\\t1\\t2026\\tno json' as value")).write.text(folder)
+    return folder
+
+
+@query(
+    f"""WITH b AS (SELECT *, {_ISBN} AS b FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 3 <> 0),
+    a AS (SELECT s_suppkey, s_name FROM supplier)
+    SELECT 'OL' || p_partkey || 'M' AS key, b || {_CHECK} AS isbn13, p_name AS title,
+        CASE WHEN p_partkey % 2 = 0 THEN array_to_string(list_filter([x.s_name, y.s_name], lambda n: n IS NOT NULL), '; ') ELSE coalesce(z.s_name, '') END AS authors_text,
+        CASE WHEN p_partkey % 2 = 0 THEN 'OL' || (p_partkey % 10) || 'A; OL' || (p_partkey % 10 + 1) || 'A' ELSE 'OL' || (p_partkey % 25 % 10) || 'A' END AS author_keys,
+        'House; P' || p_size AS publishers, CAST(1900 + p_size AS INTEGER) AS year, CASE WHEN p_partkey % 3 = 1 THEN 'en' ELSE '' END AS language, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS pages,
+        CASE WHEN p_partkey > 0 THEN CAST(p_partkey AS INTEGER) END AS cover_id, 'OL' || (p_partkey % 25) || 'W' AS work_key
+    FROM b LEFT JOIN a x ON x.s_suppkey = p_partkey % 10 LEFT JOIN a y ON y.s_suppkey = p_partkey % 10 + 1 LEFT JOIN a z ON z.s_suppkey = p_partkey % 25 % 10"""
+)
+def catalogue_a_editions(spark, sf_dir):
+    """Editions of catalogue A from a dump: lists of mixed shapes, languages kept and left out, authors borrowed from works, fields of wrong types."""
+    rows = dumps.split_dump_a(spark, _dump_a(spark, sf_dir))
+    t = catalog.catalogue_a(dumps.editions_a(rows["edition"]), dumps.works_a(rows["work"]), dumps.authors_a(rows["author"]), ["en"])["editions"]
+    return t.select("key", "isbn13", "title", "authors_text", "author_keys", "publishers", "year", "language", "pages", "cover_id", "work_key")
+
+
+@query(
+    """SELECT c_custkey, lower(c_mktsegment) AS last, 3 AS names, 'eclair, a; o''neil cote' AS plain, lower(c_mktsegment) || ' o' AS key_of FROM customer"""
+)
+def names_taken_apart(spark, sf_dir):
+    """Names parted by & and ; and and, their last names, the first author's key, and letters without marks."""
+    c = load(spark, sf_dir, "customer")
+    joined = F.concat(F.lit("O. "), F.col("c_mktsegment"), F.lit(" & Bo Berg and Ünal, Çelik"))
+    each = names.split_names(joined)
+    return c.select("c_custkey", names.surname(F.get(each, F.lit(0))).alias("last"), F.size(each).alias("names"), F.lower(text.ascii_name(F.lit("Éclair, À; O'Neil Côté"))).alias("plain"), names.first_author_key(F.array(F.lit(" "), F.get(each, F.lit(0))), F.array(F.lit("x"))).alias("key_of"))
+
+
+@query(
+    """SELECT p_partkey, field, value, from_file FROM (SELECT p_partkey, unnest([{'field': 'authors', 'value': p_brand, 'from_file': false}, {'field': 'series', 'value': p_type, 'from_file': false},
+        {'field': 'series_index', 'value': CAST(p_size AS VARCHAR), 'from_file': true}, {'field': 'title', 'value': p_name, 'from_file': true}], recursive := true) FROM part)"""
+)
+def paths_parsed(spark, sf_dir):
+    """Parts as files in folders by brand and type: what each segment of a pattern finds, and whether the file's own name gave it."""
+    path = F.concat(F.lit("/shelf/"), F.col("p_brand"), F.lit("/"), F.col("p_type"), F.lit("/"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(" - "), F.col("p_name"), F.lit("~"), F.col("p_partkey").cast("string"), F.lit(".epub"))
+    p = load(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    found = paths.parse_paths(p, "%authors%/%series%/%series_index% - %title%", "/shelf")
+    value = F.when(F.col("field") == "title", F.regexp_replace("value", r"~\d+$", "")).otherwise(F.col("value"))
+    return found.join(p, "path").select("p_partkey", "field", value.alias("value"), "from_file")
