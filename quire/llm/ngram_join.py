@@ -371,6 +371,20 @@ def _hashes(docs: DataFrame, ids: DataFrame, sets: DataFrame, sets_of: SetsOf, s
     return docs.select("doc_id", "text").mapInArrow(load, "sid long, hashes binary")
 
 
+def _of_sets(hashes: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``hashes`` whose set is among ids (column sid), and now and then another one: a filter of bits picks them where they are read."""
+    size = filter_bits(ids.count())
+    shared = hashes.sparkSession.sparkContext.broadcast(key_filter(ids.select(F.pmod("sid", F.lit(1 << size)).alias("h")), size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            h = batch.column("sid").to_numpy(zero_copy_only=False) & ((1 << size) - 1)
+            yield batch.filter(pa.array(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1))
+
+    return scratch.write(hashes.mapInArrow(run, "sid long, hashes binary"), "hashes-large")
+
+
 def _linked(pairs: DataFrame, hashes: DataFrame, spec: JaccardSpec) -> DataFrame:
     """Those of the pairs (a, b) whose similarity reaches the threshold, by exact intersection."""
 
@@ -413,10 +427,11 @@ def linked_documents(docs: DataFrame, spec: JaccardSpec, sets_of: SetsOf, id_col
     small = tiled.join(big, "tile", "left_anti").select("tile", F.lit(0).cast("long").alias("part"), "sid", "n", "sig", F.lit(0).alias("side"), F.col("sid").alias("grp"))
     links = [_linked(pairs, hashes, spec), _tile_links(small, hashes, spec)]
     if not big.isEmpty():
-        links += _large_links(scratch.write(tiled.join(big, "tile"), "large"), hashes, spec, scratch)
+        large = scratch.write(tiled.join(big, "tile"), "large")
+        links += _large_links(large, _of_sets(hashes, large.select("sid"), scratch), spec, scratch)
     links = scratch.write(reduce(DataFrame.unionByName, links), "links")
     found = components(links, scratch, "groups")
-    scratch.drop("hashes", "ends", "links", "pairs", "postings", "tiled", "sizes", "large", "strays", *(f"{t}-{i}" for t in ("large", "grouped") for i in range(ROUNDS)))
+    scratch.drop("hashes", "hashes-large", "ends", "links", "pairs", "postings", "tiled", "sizes", "large", "strays", *(f"{t}-{i}" for t in ("large", "grouped") for i in range(ROUNDS)))
 
     named = sets.select("sid", "least").join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("f"), F.count("*").alias("n"))
