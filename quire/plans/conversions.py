@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quire.functions.text import text_of
 from quire.operators.edits import number_collisions
 from quire.shared import Scratch
-from quire.sources.book_source import CHUNK, file_system, seekable
+from quire.sources.book_source import CHUNK
+from quire.sources.stores import file_system, seekable
 
 #: What becomes of the sources: kept, moved to a folder of the day, or to the folder of things to be deleted.
 POLICIES = ("keep", "quarantine", "recycle")

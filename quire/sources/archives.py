@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import collapse
+from quire.sources.stores import file_system, seekable
 
 #: Bytes of a member that are read at most; larger ones are listed only.
 MEMBER_LIMIT = 8 << 20
-#: Bytes of a list of members up to which it is broadcast.
-BROADCAST_LIMIT = 64 << 20
+#: Bytes of members that are handed on at a time, about.
+BATCH_BYTES = 8 << 20
 FRONT_DOCS, BACK_DOCS, MOST_TEXT, TAIL_SHARE = 4, 3, 20_000, 0.25
 NS = {"opf": "http://www.idpf.org/2007/opf", "dc": "http://purl.org/dc/elements/1.1/", "c": "urn:oasis:names:tc:opendocument:xmlns:container", "enc": "http://www.w3.org/2001/04/xmlenc#"}
 FONT_OBFUSCATION = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
@@ -147,26 +148,36 @@ def metadata(raw: DataFrame) -> DataFrame:
 
 
 def read_members(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """(book_id, path, content) of the wanted members (book_id, path) of at most MEMBER_LIMIT bytes, with safe names only. The lists of names
-    go to where the archives are read; archives are not shuffled unless the lists are too large to broadcast."""
-    lists = wanted.groupBy("book_id").agg(F.collect_list("path").alias("paths"))  # a book's own members
-    size = wanted.agg(F.coalesce(F.sum(F.length("book_id") + F.length("path")), F.lit(0))).first()[0]
-    lists = F.broadcast(lists) if size <= BROADCAST_LIMIT else lists
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("book_id"), "content")
+    """(book_id, path, content) of the wanted members (book_id, path) of at most MEMBER_LIMIT bytes, with safe names only, of archives in or
+    below a folder. Of an archive its directory and the wanted members are read, in the task that has its list; an archive that
+    can't be read, or lies elsewhere, has no members. Contents are handed on some megabytes at a time."""
+    _, root, prefix = file_system(folder)
+    lists = wanted.groupBy("book_id").agg(F.collect_set("path").alias("paths"))  # a book's own members
+    inside = lists.where(F.col("book_id").startswith(f"{prefix}{root.rstrip('/')}/") & ~F.col("book_id").contains("/../"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.binary()))], ["book_id", "path", "content"])
+
         for batch in batches:
-            for book, content, paths in zip(*batch.columns):
-                rows = []
+            rows, held = [], 0
+            for book, paths in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                    system, place, _ = file_system(book)
+                    with system.open_input_file(place) as file, zipfile.ZipFile(seekable(file)) as z:
                         sizes = {i.filename: i.file_size for i in z.infolist()}
-                        rows = [(p, z.read(p)) for p in paths.as_py() if _safe(p) and sizes.get(p, MEMBER_LIMIT + 1) <= MEMBER_LIMIT]
+                        found = [(book, p, z.read(p)) for p in sorted(paths) if _safe(p) and sizes.get(p, MEMBER_LIMIT + 1) <= MEMBER_LIMIT]
                 except Exception:  # noqa: BLE001 - an unreadable archive has no members
-                    rows = []
-                yield pa.RecordBatch.from_arrays([pa.array([book.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["book_id", "path", "content"])
-
-    return files.join(lists, "book_id").select("book_id", "content", "paths").mapInArrow(read, "book_id string, path string, content binary")
+                    continue
+                for row in found:
+                    rows.append(row)
+                    held += len(row[2])
+                    if held >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+            yield batch_of(rows)
+
+    return inside.mapInArrow(read, "book_id string, path string, content binary")
 
 
 def front_and_back(order: DataFrame, members: DataFrame) -> DataFrame:

@@ -10,14 +10,12 @@ from __future__ import annotations
 
 import contextlib
 import heapq
-import io
 import json
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quire.sources.archives import RAW_SCHEMA, read_package
+from quire.sources.stores import file_system, seekable
 
 FORMAT = "quire_books"
 #: Bytes of archives of a partition, about; what a task reads of them is less. An archive counts as so many at least.
@@ -38,48 +37,6 @@ PLAN_SCHEMA = "path string, name string, opf_path string, opf binary, staged map
 MIMETYPE = b"application/epub+zip"
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str, str]:
-    """(file system, path there, what to put before a path of it so that it is named as Spark names it)."""
-    parts = urlsplit(uri)
-    if parts.scheme in ("", "file"):
-        path = parts.path if parts.scheme else uri
-        return fs.LocalFileSystem(), path.rstrip("/") or "/", "file:"
-    system, path = fs.FileSystem.from_uri(uri)
-    return system, path.rstrip("/"), f"{parts.scheme}://" + ("" if parts.scheme in ("s3", "s3a", "gs", "abfs", "abfss") else parts.netloc)
-
-
-class _Seekable(io.RawIOBase):
-    """A file of any store as Python's zip reader wants it: a place before its begin is an OSError."""
-
-    def __init__(self, file):
-        self.file = file
-
-    def readable(self) -> bool:
-        return True
-
-    def seekable(self) -> bool:
-        return True
-
-    def tell(self) -> int:
-        return self.file.tell()
-
-    def seek(self, place: int, whence: int = 0) -> int:
-        place += 0 if whence == 0 else self.file.tell() if whence == 1 else self.file.size()
-        if place < 0:
-            raise OSError("before the begin of the file")
-        self.file.seek(place)
-        return place
-
-    def readinto(self, into) -> int:
-        data = self.file.read(len(into))
-        into[: len(data)] = data
-        return len(data)
-
-
-def seekable(file) -> io.BufferedReader:
-    return io.BufferedReader(_Seekable(file), 16 << 10)
-
-
 @dataclass
 class Archives(InputPartition):
     files: list[tuple[str, int]]
