@@ -16,8 +16,8 @@ DIM, N = 512, 3
 #: Codes of letters: 0 stands for anything that is no letter. Letters below it are their own code, which holds those of all alphabets;
 #: the others, such as ideographs, share these codes by a hash.
 CODES = 1 << 12
-#: Different n-grams whose vectors are in memory at a time (2 KB each).
-PIECE = 1 << 14
+#: Different n-grams of a batch up to which its texts share their vectors (2 KB each); n-grams that are bundled at a time; text bytes of a batch.
+PIECE, BUNDLED, BATCH = 1 << 14, 1 << 11, 1 << 20
 #: Languages at most, as their prototypes are gathered and broadcast (DIM numbers each).
 MOST_LANGUAGES = 2000
 UNKNOWN = "und"
@@ -52,8 +52,8 @@ class Space:
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the vectors of different n-grams, each as often as it counts; in whole numbers, some thousands at a time."""
         total = np.zeros(DIM)
-        for at in range(0, len(grams), PIECE):
-            total += counts[at : at + PIECE].astype(np.float64) @ self.vectors(grams[at : at + PIECE])
+        for at in range(0, len(grams), BUNDLED):
+            total += counts[at : at + BUNDLED].astype(np.float64) @ self.vectors(grams[at : at + BUNDLED])
         return total
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", BATCH):
             grams, starts, _ = space.grams(texts_of(batch).to_pylist())
             langs = batch.column("lang").to_pylist()
             for lang in set(langs):
@@ -154,7 +154,7 @@ def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray,
     model = docs.sparkSession.sparkContext.broadcast(Model(langs, prototypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 2 << 20):
+        for batch in by_bytes(batches, "text", BATCH):
             names, scores = model.value.predict(texts_of(batch).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -180,7 +180,7 @@ def keep_known_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarr
     model = docs.sparkSession.sparkContext.broadcast(Model(langs, prototypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text_col, 2 << 20):
+        for batch in by_bytes(batches, text_col, BATCH):
             names, scores = model.value.predict(texts_of(batch, text_col).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
