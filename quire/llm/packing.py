@@ -28,6 +28,8 @@ PLANNED = 1 << 19
 #: By byte: what a sentence ends with.
 CLOSING = np.zeros(256, bool)
 CLOSING[list(b".!?:\n")] = True
+#: Bytes of units that a worker remembers; they stay with it when other stages run there.
+CODER_BYTES = 48 << 20
 _loaded: dict[str, UnitCoder] = {}
 
 
@@ -44,7 +46,7 @@ def _coder(path: str) -> UnitCoder:
         model.no_padding()
         encode = lambda units: [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(units, add_special_tokens=False)]
         lower = any(x.get("type") == "Lowercase" for x in ((json.loads(model.to_str())["normalizer"] or {}).get("normalizers") or []))
-        _loaded[path] = UnitCoder(encode, fold=lower, special=tuple(x.content for x in model.get_added_tokens_decoder().values()))
+        _loaded[path] = UnitCoder(encode, fold=lower, special=tuple(x.content for x in model.get_added_tokens_decoder().values()), most=CODER_BYTES)
     return _loaded[path]
 
 
