@@ -71,11 +71,12 @@ LEAST_REPEATS, LEAST_HEADERS, RISING, MOST_STEP = 3, 6, 0.85, 60
 def paragraph_spans(documents: DataFrame, keys: list[str], html_col: str) -> DataFrame:
     """(keys, place, start, length, text) of every paragraph element of a document, in order: where it stands in the markup (from 1), so that one that is
     removed can be cut out there, and its text without tags, with entities read. Paragraphs within one another end with the first end tag."""
-    whole = r"(?is)(.*?)(<p\b[^>]*>(.*?)</p\s*>)"
-    parts = [F.regexp_extract_all(text_of(F.col(html_col)), F.lit(whole), k) for k in (1, 2, 3)]
-    rows = documents.select(*keys, F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("before", "element", "inner"))])).alias("place", "x"))
+    html, element = text_of(F.col(html_col)), r"(?is)<p\b[^>]*>.*?</p\s*>"
+    parts = F.arrays_zip(F.split(html, element).alias("before"), F.regexp_extract_all(html, F.lit(element), 0).alias("element"))
+    rows = documents.select(*keys, F.posexplode(parts).alias("place", "x")).where("x.element is not null")
     upto = F.sum(F.length("x.before") + F.length("x.element")).over(Window.partitionBy(*keys).orderBy("place"))
-    plain = collapse(F.replace(unescaped(F.regexp_replace(F.col("x.inner"), "<[^>]*>", "")), F.lit("\u00a0"), F.lit(" ")))
+    inner = F.regexp_extract("x.element", r"(?is)^<p\b[^>]*>(.*)</p\s*>$", 1)
+    plain = collapse(F.replace(unescaped(F.regexp_replace(inner, "<[^>]*>", "")), F.lit("\u00a0"), F.lit(" ")))
     return rows.select(*keys, F.col("place").cast("long").alias("place"), (upto - F.length("x.element") + 1).alias("start"), F.length("x.element").cast("long").alias("length"), plain.alias("text"))
 
 
@@ -149,15 +150,21 @@ REPEAT_SHARE, REPEAT_DOCS, REPEAT_FROM, COLLAPSE_ABOVE, MOST_SECTIONS = 0.30, 3,
 FILE_LIKE = r"(?i)\.(x?html?|xml)$|^(untitled|unknown|document|index|page\s*\d*)$"
 
 
-def headings(docs: DataFrame, html_col: str, *keys: str) -> DataFrame:
-    """(keys, place, level, text, anchor) of the h1 to h3 of each document, in order, as plain text."""
+#: What headings read of entities, in turn.
+HEADING_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def headings(docs: DataFrame, html_col: str, *keys: str, entities=HEADING_ENTITIES, most: int | None = 200, blank: bool = False) -> DataFrame:
+    """(keys, place, level, text, anchor) of the h1 to h3 of each document, in order, as plain text: of at most ``most`` letters, with
+    these entities read; blank ones only if they are asked for."""
     found = F.regexp_extract_all(text_of(F.col(html_col)), F.lit(r"(?is)(<h[1-3]\b[^>]*>.*?</h[1-3]\s*>)"), 1)
     rows = docs.select(*keys, F.posexplode(found).alias("place", "h"))
     plain = F.regexp_replace(F.col("h"), r"<[^>]*>", "")
-    for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, c in entities:
         plain = F.replace(plain, F.lit(entity), F.lit(c))
-    text = F.substring(collapse(plain), 1, 200)
-    return rows.select(*keys, F.col("place").cast("long").alias("place"), F.substring("h", 3, 1).cast("long").alias("level"), text.alias("text"), F.regexp_extract("h", r"""(?is)^<h[1-3]\b[^>]*\bid\s*=\s*["']([^"']+)["']""", 1).alias("anchor")).where("text <> ''")
+    text = collapse(plain) if most is None else F.substring(collapse(plain), 1, most)
+    rows = rows.select(*keys, F.col("place").cast("long").alias("place"), F.substring("h", 3, 1).cast("long").alias("level"), text.alias("text"), F.regexp_extract("h", r"""(?is)^<h[1-3]\b[^>]*\bid\s*=\s*["']([^"']+)["']""", 1).alias("anchor"))
+    return rows if blank else rows.where("text <> ''")
 
 
 def running_headings(found: DataFrame, book: str, doc: str, docs_per_book: DataFrame) -> DataFrame:

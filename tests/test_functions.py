@@ -106,3 +106,30 @@ def test_entities(spark):
     assert found[3] == "&unknown; &amp" and found[4] == texts[4] and found[6] == "&AMP;" and found[8] is None
     html = spark.createDataFrame([("<p>It&#8217;s caf&eacute; &#x26; more&lt;b&gt;</p>",)], "h string").select(text.strip_html(F.col("h")).alias("t")).first().t
     assert html == "It’s café & more<b>"
+
+
+def test_headings_as_their_sql_reads_them(spark):
+    """Only the entities asked for are read, long ones stay whole, and a blank first heading is the first one where blanks are asked for."""
+    from quire.operators import mining
+
+    long = "x" * 300
+    pages = spark.createDataFrame([(1, f"<h1> </h1><h2>a &quot;b&quot; &lt;</h2><h3>{long}</h3>")], "page_id long, html string")
+    read = lambda **how: [r.text for r in mining.headings(pages, "html", "page_id", **how).orderBy("place").collect()]
+    assert read() == ['a "b" <', "x" * 200]
+    plain = {"entities": (("&lt;", "<"),), "most": None}
+    assert read(**plain) == ["a &quot;b&quot; <", long]
+    assert mining.first_headings(mining.headings(pages, "html", "page_id", blank=True, **plain), "page_id").first().heading == ""
+
+
+def test_paragraphs_of_a_page_that_ends_long_after_them(spark):
+    """A page with much behind its last paragraph costs about its length; one without any gives nothing."""
+    import time
+
+    from quire.operators import mining
+
+    html = "<div><p>one</p> and <P class='a'>t&amp;<b>wo</b></P >" + "y" * 200_000
+    pages = spark.createDataFrame([(1, html), (2, "z" * 200_000), (3, None)], "page_id long, html string")
+    began = time.time()
+    found = [(r.page_id, r.place, html[r.start - 1 : r.start - 1 + r.length], r.text) for r in mining.paragraph_spans(pages, ["page_id"], "html").orderBy("place").collect()]
+    assert found == [(1, 0, "<p>one</p>", "one"), (1, 1, "<P class='a'>t&amp;<b>wo</b></P >", "t&wo")]
+    assert time.time() - began < 30
