@@ -177,3 +177,25 @@ def test_likeness_bounds():
 
     a, b = np.array([1, 2, 3], np.uint32), np.array([2, 3, 4], np.uint32)
     assert likeness(a, b) == 0.5 and likeness(a, a) == 1 and likeness(a[:0], a) == 0 and likeness(a[:0], b[:0]) == 1
+
+
+def test_lines_that_many_have_bring_no_sets_together(spark, monkeypatch):
+    """Documents of words of their own that take some of few common lines: what they share comes last, so no tile takes in most of them."""
+    from quire.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "FEW", 16)
+    met, write = {}, ngram_join.Scratch.write
+
+    def counted(self, df, name, by=None):
+        out = write(self, df, name, by)
+        met[name] = out.count() if name == "tiled" else 0
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "write", counted)
+    r, lines = random.Random(4), [prose(12, 50 + i) for i in range(6)]
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, own(i) + " " + " ".join(r.sample(lines, 3))) for i in range(200)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard_components(df, 4, 85)) == brute.components(rows, 4, 85)
+    assert met["tiled"] <= 20
