@@ -48,9 +48,10 @@ def build_b(spark: SparkSession, dump: str, root: str, least: int = LEAST_ROWS_B
 def by_number(probes: DataFrame, catalogue: Catalogue, most: int = catalog.MOST_BY_ISBN) -> DataFrame:
     """probe_id, id and place of the editions with a probe's number (probes: probe_id, isbn), as catalog.lookup_by_isbn gives them.
     Numbers are met in the table that is sorted by them."""
-    asked = catalog.asked_numbers(probes).select("probe_id", F.explode(F.array_distinct(F.array("isbn13", "isbn10"))).alias("number")).where("number <> ''")
-    hits = asked.join(catalogue["numbers"], "number").select("probe_id", "id").distinct()
-    return catalog.ranked_editions(hits, catalogue["editions"], most)
+    asked = catalog.asked_numbers(probes)
+    numbers = catalog.asked_once(asked).select("probe_id", F.explode(F.array_distinct(F.array("isbn13", "isbn10"))).alias("number")).where("number <> ''")
+    hits = numbers.join(catalogue["numbers"], "number").select("probe_id", "id").distinct()
+    return catalog.ranked_editions(asked, hits, catalogue["editions"], most)
 
 
 def by_title(probes: DataFrame, catalogue: Catalogue, most: int = catalog.MOST_BY_TITLE) -> DataFrame:
