@@ -70,8 +70,9 @@ def hits(texts: DataFrame, id_col: str, table: DataFrame) -> DataFrame:
     firsts = table.select("first").distinct()
     places = F.transform("p", lambda x, i: F.struct(x["w"].alias("first"), i.alias("at"), F.transform(F.slice("p", i + 1, MOST_WORDS), lambda y: y["w"]).alias("next"), F.array_join(F.slice("shown", F.greatest(F.lit(1), x["i"] + 1 - AROUND), 2 * AROUND + 1), " ").alias("snippet")))
     met = rows.select(id_col, "source", "nth", F.explode(places).alias("x")).select(id_col, "source", "nth", "x.*")
+    # phrases are few and their words frequent: dealt by their first words, all texts would meet in a task for each
     met = met.join(F.broadcast(firsts), "first", "left_semi") if _few(firsts) else met.join(firsts, "first", "left_semi")
-    found = met.join(table, ["source", "first"]).where(F.slice("next", 1, F.size("words")) == F.col("words"))
+    found = met.join(F.broadcast(table) if _few(table) else table, ["source", "first"]).where(F.slice("next", 1, F.size("words")) == F.col("words"))
     found = found.select(id_col, "source", "nth", "at", F.size("words").alias("n"), "genre", "snippet").distinct()
     inner = F.expr("flatten(transform(sequence(1, n - 1), m -> transform(sequence(0, n - m), s -> struct(int(at + s) as at, int(m) as n))))")
     within = found.where("n > 1").select(id_col, "source", "nth", F.col("genre").alias("other"), F.explode(inner).alias("y")).select(F.col(id_col).alias("_id"), F.col("source").alias("_s"), F.col("nth").alias("_k"), "other", F.col("y.at").alias("_at"), F.col("y.n").alias("_n")).distinct()
@@ -94,7 +95,7 @@ def suggest_genres(books: DataFrame, id_col: str, vocabulary: DataFrame, word_co
     found = hits(labels(books, id_col), id_col, table)
     own = vocabulary.select(F.trim(word_col).alias("genre"), F.lower(F.trim(word_col)).alias("g")).dropDuplicates(["g"])
     classed = books.select(id_col, ddc_genre(F.col("ddc")).alias("d"), F.trim(text_of(F.col("ddc"))).alias("snippet")).where("d <> ''")
-    classed = classed.join(own, F.lower("d") == F.col("g")).select(id_col, "genre", F.lit("ddc").alias("source"), "snippet")
+    classed = classed.join(F.broadcast(own) if _few(own) else own, F.lower("d") == F.col("g")).select(id_col, "genre", F.lit("ddc").alias("source"), "snippet")
     every = found.unionByName(classed.dropDuplicates([id_col, "genre"]))
     tagged = books.select(id_col, F.explode("tags").alias("t")).select(F.col(id_col).alias("_id"), F.lower(F.trim("t")).alias("_t")).distinct()
     every = every.join(tagged, (F.col(id_col) == F.col("_id")) & (F.lower("genre") == F.col("_t")), "left_anti")
