@@ -9,7 +9,9 @@ Files are reached through pyarrow's file systems (local and mounted paths, s3, g
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import heapq
+import io
 import json
 import uuid
 import zipfile
@@ -87,7 +89,7 @@ class BookReader(DataSourceReader):
         if system.get_file_info(root).type == fs.FileType.File:
             found = [system.get_file_info(root)]
         else:
-            found = system.get_file_info(fs.FileSelector(root, recursive=self.recursive))
+            found = _files(system, root, self.recursive)
         wanted = [(f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(f".{self.extension}") and f.base_name[0] not in ".~_" and "/_" not in f.path[len(root) :]]
         return balanced(wanted, self.most)
 
@@ -110,10 +112,20 @@ class BookReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """staged: (file in the staging folder, name it is to have); errors: (name, why)."""
+    """listed: the file of lines that tells what a task has written, in the task's own folder: [file in the staging folder or "", name it is to have, why it
+    failed]. So what a task sends to the driver does not grow with its archives."""
 
-    staged: list[tuple[str, str]]
-    errors: list[tuple[str, str]]
+    listed: str
+
+
+def _files(system: fs.FileSystem, root: str, recursive: bool) -> Iterator[fs.FileInfo]:
+    """What a folder holds, listed a folder at a time."""
+    left = [root]
+    while left:
+        for f in system.get_file_info(fs.FileSelector(left.pop())):
+            if f.type == fs.FileType.Directory and recursive:
+                left.append(f.path)
+            yield f
 
 
 class BookWriter(DataSourceWriter):
@@ -135,40 +147,44 @@ class BookWriter(DataSourceWriter):
         task = TaskContext.get()
         own = f"{self._staging(root)}/{task.partitionId()}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
         system.create_dir(own, recursive=True)
-        out, places = Written([], []), [self.columns.index(c) for c in ("path", "name", "opf_path", "opf", "staged")]
-        for k, row in enumerate(iterator):
-            path, name, opf_path, opf, staged = (row[i] for i in places)
-            try:
-                if not name or name.startswith(("/", "_", ".")) or ".." in name.split("/") or "\\" in name:
-                    raise ValueError(f"{name!r} is no safe name")
-                if not self.overwrite and system.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
-                    raise FileExistsError(name)
-                change = dict(staged or {}) | ({opf_path: opf} if opf is not None else {})
-                copy_archive(path, system, f"{own}/{k}", {n: None if d is None else bytes(d) for n, d in change.items()})
-                out.staged.append((f"{own}/{k}", name))
-            except Exception as e:  # noqa: BLE001 - a bad archive or name is reported, and the others are written
-                out.errors.append((name, f"{type(e).__name__}: {e}"[:300]))
-        return out
+        places = [self.columns.index(c) for c in ("path", "name", "opf_path", "opf", "staged")]
+        with system.open_output_stream(f"{own}/listed") as listed:
+            for k, row in enumerate(iterator):
+                path, name, opf_path, opf, staged = (row[i] for i in places)
+                part, error = f"{own}/{k}", ""
+                try:
+                    if not name or name.startswith(("/", "_", ".")) or ".." in name.split("/") or "\\" in name:
+                        raise ValueError(f"{name!r} is no safe name")
+                    if not self.overwrite and system.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
+                        raise FileExistsError(name)
+                    change = dict(staged or {}) | ({opf_path: opf} if opf is not None else {})
+                    copy_archive(path, system, part, {n: None if d is None else bytes(d) for n, d in change.items()})
+                except Exception as e:  # noqa: BLE001 - a bad archive or name is reported, and the others are written
+                    part, error = "", f"{type(e).__name__}: {e}"[:300]
+                listed.write(json.dumps([part, name, error]).encode() + b"\n")
+        return Written(f"{own}/listed")
 
     def commit(self, messages) -> None:
         system, root, _ = file_system(self.path)
-        results, seen = [], set()
-        for message in messages:
-            results += [{"name": n, "error": e} for n, e in (message.errors if message else [])]
-            for part, name in message.staged if message else []:
-                target = f"{root}/{name}"
-                there = system.get_file_info(target).type != fs.FileType.NotFound
-                if name in seen or there and not self.overwrite:
-                    results.append({"name": name, "error": f"FileExistsError: {name}"})
-                    continue
-                seen.add(name)
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                system.move(part, target)
-                results.append({"name": name, "error": ""})
         system.create_dir(f"{root}/_written", recursive=True)
+        seen, folders = set(), set()  # of names only the hashes, and these only where files may be replaced
         with system.open_output_stream(f"{root}/_written/{self.job}.jsonl") as file:
-            for row in results:
-                file.write(json.dumps(row).encode() + b"\n")
+            for message in filter(None, messages):
+                for part, name, error in _lines(system, message.listed):
+                    if part:
+                        target = f"{root}/{name}"
+                        key = hashlib.blake2b(name.encode(), digest_size=16).digest() if self.overwrite else None
+                        if key in seen or not self.overwrite and system.get_file_info(target).type != fs.FileType.NotFound:
+                            error = f"FileExistsError: {name}"
+                        else:
+                            if self.overwrite:
+                                seen.add(key)
+                            folder = target.rsplit("/", 1)[0]
+                            if folder not in folders:
+                                system.create_dir(folder, recursive=True)
+                                folders.add(folder)
+                            system.move(part, target)
+                    file.write(json.dumps({"name": name, "error": error}).encode() + b"\n")
         self._clear(system, root)
 
     def abort(self, messages) -> None:
@@ -180,6 +196,13 @@ class BookWriter(DataSourceWriter):
             system.delete_dir(self._staging(root))
 
 
+def _lines(system: fs.FileSystem, path: str) -> Iterator[list]:
+    """The lines of a task's list, read one by one."""
+    with system.open_input_stream(path, buffer_size=CHUNK) as file:
+        for line in io.TextIOWrapper(file, encoding="utf-8"):
+            yield json.loads(line)
+
+
 def copy_archive(source: str | None, system: fs.FileSystem, target: str, change: dict[str, bytes | None]) -> None:
     """Write an archive anew: the first entry is the uncompressed mimetype, entries in ``change`` have its bytes or are left out (None), all
     others are copied, some of their bytes at a time. Without a source it has the entries in ``change`` alone."""

@@ -144,3 +144,27 @@ def test_fingerprints_are_foretold(spark, shelf, tmp_path):
     assert {f"{k}.epub": told[row[0]] for k, row in enumerate(rows)} == now and len(set(now.values())) == 3
     before = {r.book_id: r.fingerprint for r in known.collect()}
     assert sum(told[b] != before[b] for b in before) >= 2
+
+
+def test_what_a_task_tells_the_driver_does_not_grow_with_its_archives(tmp_path):
+    """A task's message names a file with the list of its archives."""
+    import pickle
+    from unittest.mock import patch
+
+    from quire.sources import book_source
+
+    class Task:
+        partitionId = taskAttemptId = staticmethod(lambda: 0)
+
+    columns = ["path", "name", "opf_path", "opf", "staged"]
+    sizes = []
+    for n in (1, 50):
+        writer = book_source.BookWriter({"path": str(tmp_path / str(n))}, columns, False)
+        with patch.object(book_source.TaskContext, "get", return_value=Task):
+            message = writer.write(iter([(None, f"b{k}.epub", "p.opf", b"<x/>", {}) for k in range(n)] + [(None, "b0.epub", "p.opf", b"<x/>", {}), (None, "../b", "p.opf", b"", {})]))
+        sizes.append(len(pickle.dumps(message)))
+        writer.commit([message, None])
+        assert len(list((tmp_path / str(n)).glob("*.epub"))) == n
+        lines = (tmp_path / str(n) / "_written" / f"{writer.job}.jsonl").read_text().splitlines()
+        assert len(lines) == n + 2 and sum("Error" in x for x in lines) == 2
+    assert max(sizes) - min(sizes) < 10
