@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.dates import NUMBER_WORDS, volume_number
 from quire.functions.identifiers import best_isbn13
-from quire.functions.text import fold, text_of
+from quire.functions.text import MARKED, PLAIN_, fold, text_of
 
 # The cues of each role, in English, Norwegian, German, French and Italian.
 CUES = {
@@ -81,18 +82,42 @@ FIRST_WORDS = first_words(*CUES)
 CUTS = [*ENDS, *(w for w in FIRST_WORDS if w.isalpha() and len(w) > 4 and w not in first_words("publisher_word"))]
 
 
+def _cue_lines() -> str:
+    """A regex that finds something in each line with a cue, as it is written: a letter stands for all that are folded to it, and anything
+    but letters and digits may stand between two words. It may also fit lines without one."""
+    signs = "©#"
+    written: dict[str, str] = {}
+    for c in map(chr, (*range(0x41, 0x2C00), *range(0xA720, 0xAB70))):
+        small = c.lower().translate(str.maketrans(MARKED, PLAIN_))
+        if small[0].isalpha():
+            written[small[0]] = written.get(small[0], "") + c
+    pairs = {"ae": "æÆ", "oe": "œŒ", "ss": "ßẞ"}
+    letter = lambda c: f"[{written[c]}]" if c in written else {"'": "['’]"}.get(c, re.escape(c))
+    word = lambda w: "".join(f"(?:{letter(x[0])}{letter(x[1])}|[{pairs[x]}])" if x in pairs else letter(x) for x in re.findall("|".join(pairs) + "|.", w))
+    firsts: dict[str, list[str]] = {}
+    for form in sorted({f.replace(".", "") for phrases in CUES.values() for p in phrases for f in spellings(p)}):
+        if form[0].isalpha() and not form.startswith("isbn"):
+            firsts.setdefault(form[0], []).append(r"[^\pL\pN]+".join(map(word, form.split(" "))))
+    begins = lambda c: "".join(pairs[x] for x in pairs if x[0] == c)
+    each = "|".join(f"(?=[{written[c]}{begins(c)}])(?:{'|'.join(forms)})" for c, forms in firsts.items())
+    return rf"[{signs}]|\([cC]\)|(?<![\pL\pN])(?:{word('isbn')}|(?:{each})(?![\pL\pN]))"
+
+
+CUE_LINES = _cue_lines()
+
+
 def cue_hits(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """Every place of a cue: keys, line, at (word of the line), role, n, before and after (the words around it, some twelve and
-    eighteen), and ``cue`` as written. Cues don't go over a line's end."""
-    lines = texts.select(*keys, F.posexplode(F.split(text_of(F.col(text_col)), r"[\n\r]+")).alias("line", "t"))
+    eighteen), and ``cue`` as written. Cues don't go over a line's end. Only lines that may have one are taken apart."""
+    lines = texts.select(*keys, F.posexplode(F.split(text_of(F.col(text_col)), r"[\n\r]+")).alias("line", "t")).where(F.col("t").rlike(CUE_LINES))
     apart = F.regexp_replace(F.regexp_replace("t", r"(?i)\b(isbn(?:-1[03])?)(?=[:#\d])", "$1 "), "#", " # ")
     lines = lines.select(*keys, "line", F.filter(F.split(apart, r"\s+"), lambda w: w != "").alias("w")).withColumn("p", F.transform("w", _plain))
-    begins = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: F.element_at("p", i).isin(*FIRST_WORDS))
+    begins = F.array_compact(F.transform("p", lambda x, i: F.when(x.isin(*FIRST_WORDS), i + 1)))
     around = F.transform(begins, lambda i: F.struct(
         i.alias("at"), F.slice("w", F.greatest(F.lit(1), i - BEFORE), F.least(F.lit(BEFORE), i - 1)).alias("before"), F.slice("p", F.greatest(F.lit(1), i - BEFORE), F.least(F.lit(BEFORE), i - 1)).alias("plain_before"),
         F.slice("w", i, AFTER).alias("here"), F.slice("p", i, AFTER).alias("plain"),
     ))
-    found = lines.where(F.size("p") > 0).select(*keys, "line", F.explode(around).alias("x")).select(*keys, "line", "x.*")
+    found = lines.select(*keys, "line", F.explode(around).alias("x")).select(*keys, "line", "x.*")
     found = found.join(F.broadcast(cue_table(texts.sparkSession)), F.element_at("plain", 1) == F.col("first")).where("slice(plain, 1, n) = words")
     rest = lambda c: F.expr(f"slice({c}, n + 1, {AFTER})")
     return found.select(*keys, "line", "at", "role", "n", "before", "plain_before", rest("here").alias("after"), rest("plain").alias("plain_after"), F.expr("slice(here, 1, n)").alias("cue"), F.expr("slice(plain, 1, n)").alias("plain_cue"))
@@ -102,9 +127,10 @@ def _name(words: Column) -> Column:
     """The name that a text begins with: capitalised words, initials and particles, up to six words. It ends at a mark, and before a
     word that ends one."""
     clean = F.regexp_replace(F.array_join(words, " "), r"^[\s:–—\-]+", "")
+    clean = F.when(clean.rlike(r"^\p{Lu}"), clean)  # nothing else begins a name
     cut = F.regexp_extract(clean, rf"(?i)^(.*?)(?:\b(?:{'|'.join(CUTS)})\b.*)?$", 1)
     part = r"(?:\p{Lu}\.|\p{Lu}[\p{L}'’\-]+|\p{Lu}(?![\p{L}.]))"
-    return F.trim(F.regexp_extract(cut, rf"^({part}(?: (?:(?:{PARTICLES}) )*{part}){{0,5}})", 1))
+    return F.coalesce(F.trim(F.regexp_extract(cut, rf"^({part}(?: (?:(?:{PARTICLES}) )*{part}){{0,5}})", 1)), F.lit(""))
 
 
 def _year(words: Column, within: int) -> Column:
@@ -119,15 +145,14 @@ def _readings(hits: DataFrame, keys: list[str]) -> DataFrame:
     one = lambda field, value, sure, turn=0, extra=None: F.struct(F.lit(field).alias("field"), F.coalesce(value, F.lit("")).alias("value"), (F.lit("") if extra is None else extra).alias("number"), F.lit(SURE[sure]).alias("confidence"), F.lit(turn).alias("turn"))
     is_a = lambda *names: role.isin(*names)
 
-    # who holds the rights: a year and a name in either order
-    past_signs = F.regexp_replace(joined, r"^(?:[^\p{L}\p{N}(]*(?:©|\([cC]\))?\s*)*", "")
-    dated = F.regexp_extract(past_signs, r"^(?:1[5-9]|20)[0-9]{2}\s*,?\s*(.*)$", 1)
-    by = rf"^(?i:{'|'.join(BY)})\s+(.*)$"
-    by_name = _name(F.split(F.regexp_extract(dated, by, 1), " "))
-    after_name = _name(F.split(dated, " "))
-    undated = F.when(past_signs.rlike(by), F.regexp_extract(past_signs, by, 1)).otherwise(past_signs)
-    before_name = _name(F.split(undated, " "))
-    before_name = F.when(F.substring(undated, F.length(before_name) + 1, 12).rlike(r"^\s*,?\s*(?:1[5-9]|20)[0-9]{2}"), before_name).otherwise("")
+    # who holds the rights: a year and a name in either order; each step is a column, so that it is worked out once
+    rights, by = is_a("copyright", "sign"), rf"^(?i:{'|'.join(BY)})\s+(.*)$"
+    hits = hits.withColumn("past_signs", F.when(rights, F.regexp_replace(joined, r"^(?:[^\p{L}\p{N}(]*(?:©|\([cC]\))?\s*)*", "")))
+    hits = hits.withColumns({"dated": F.regexp_extract("past_signs", r"^(?:1[5-9]|20)[0-9]{2}\s*,?\s*(.*)$", 1), "undated": F.when(F.col("past_signs").rlike(by), F.regexp_extract("past_signs", by, 1)).otherwise(F.col("past_signs"))})
+    hits = hits.withColumn("first_name", _name(F.split("undated", " ")))
+    past_signs, dated, first_name = F.col("past_signs"), F.col("dated"), F.col("first_name")
+    by_name, after_name = _name(F.split(F.regexp_extract(dated, by, 1), " ")), _name(F.split(dated, " "))
+    before_name = F.when(F.substring("undated", F.length(first_name) + 1, 12).rlike(r"^\s*,?\s*(?:1[5-9]|20)[0-9]{2}"), first_name).otherwise("")
 
     # who published: behind a label, or in front of a publisher's word
     house = F.trim(F.regexp_extract(F.regexp_replace(joined, r"^[\s:–—\-]+", ""), r"^(\p{Lu}[\p{L}\p{N}_&,'’ \-]{2,60}?)\s*(?:[.;]|,? (?:1[5-9]|20)[0-9]{2}|$)", 1))
@@ -142,20 +167,23 @@ def _readings(hits: DataFrame, keys: list[str]) -> DataFrame:
     which = F.get(back, F.lit(0))
     edition = F.when(which.isNotNull(), F.concat_ws(" ", F.array_join(F.slice("before", -which, which), " "), F.regexp_replace(F.element_at("cue", 1), r"\W+$", "")))
 
-    # a volume: its number behind it, the series around it
-    sign = F.element_at("plain_cue", 1)
-    digits = number(F.get(plain_after, F.lit(0)))
-    digits = F.when(F.get(after, F.lit(0)).rlike(r"^[^\p{L}\p{N}]") & (sign != "#"), "").otherwise(digits)
+    # a volume: its number behind it, without which it tells nothing, the series around it
+    sign, volume = F.element_at("plain_cue", 1), is_a("volume")
+    digits = F.when(F.get(after, F.lit(0)).rlike(r"^[^\p{L}\p{N}]") & (sign != "#"), "").otherwise(number(F.get(plain_after, F.lit(0))))
+    hits = hits.withColumn("digits", F.when(volume, digits)).where("role <> 'volume' or digits <> ''")
+    digits = F.col("digits")
     series = lambda text: F.regexp_replace(F.trim(text), rf" (?:{SERIES_NOUNS})$", "")
     word = r"\p{Lu}[\p{L}\p{N}'’&\-]*"
     run = rf"({word}(?: (?:(?:{PARTICLES}) )*{word}){{0,6}})"
-    lead = F.regexp_replace(F.array_join("before", " "), r"(?i)[\s,:;–—\-]+(?:no|nr|book|vol)?\.?$", "")
-    bracket = F.when(F.get(after, F.lit(0)).rlike(r"\)$"), series(F.regexp_extract(lead, rf"\(\s*{run}$", 1))).otherwise("")
-    of = F.when(F.get(plain_after, F.lit(1)).isin(*OF), series(F.regexp_extract(F.array_join(F.slice(after, 3, AFTER), " "), rf"^((?:[Tt]he )?{word}(?: (?:(?:{PARTICLES}) )*{word}){{0,6}})", 1))).otherwise("")
-    comma = F.when(F.array_join("before", " ").rlike(r"[,:;–—\-]$"), series(F.regexp_extract(lead, rf"{run}$", 1))).otherwise("")
-    hashed = series(F.regexp_extract(lead, rf"{run}$", 1))
-    some = digits != ""
-    within = lambda ok, name, sure, turn: F.when(ok & some & (F.length(name) >= 2), one("series", name, sure, turn, digits))
+    hits = hits.withColumn("lead", F.when(volume, F.regexp_replace(F.array_join("before", " "), r"(?i)[\s,:;–—\-]+(?:no|nr|book|vol)?\.?$", "")))
+    hits = hits.withColumns({
+        "bracket": F.when(volume & F.get(after, F.lit(0)).rlike(r"\)$"), series(F.regexp_extract("lead", rf"\(\s*{run}$", 1))),
+        "of": F.when(volume & F.get(plain_after, F.lit(1)).isin(*OF), series(F.regexp_extract(F.array_join(F.slice(after, 3, AFTER), " "), rf"^((?:[Tt]he )?{word}(?: (?:(?:{PARTICLES}) )*{word}){{0,6}})", 1))),
+        "run": F.when(volume, series(F.regexp_extract("lead", rf"{run}$", 1))),
+    })
+    bracket, of, hashed = F.col("bracket"), F.col("of"), F.col("run")
+    comma = F.when(F.array_join("before", " ").rlike(r"[,:;–—\-]$"), hashed)
+    within = lambda ok, name, sure, turn: F.when(ok & (F.length(name) >= 2), one("series", name, sure, turn, digits))
     words_only = is_a("volume") & ~sign.isin("#", "no", "nr")
     readings = [
         F.when(is_a("isbn"), one("isbn", best_isbn13(F.regexp_extract(joined, r"^[^0-9\p{L}]*([0-9][0-9\- ]{8,18}[0-9Xx])", 1)), "isbn")),
@@ -170,7 +198,7 @@ def _readings(hits: DataFrame, keys: list[str]) -> DataFrame:
         F.when(is_a("publisher_word"), one("publisher", named, "publisher_word", 2)),
         F.when(is_a("edition"), one("edition", edition, "edition")),
         within(is_a("volume"), bracket, "series_brackets", 0), within(words_only, of, "series_of", 1), within(words_only, comma, "series_comma", 2), within(is_a("volume") & (sign == "#"), hashed, "series_number", 3),
-        F.when(words_only & ~sign.isin("book", "bok", "buch") & some, one("bare", digits, "bare_volume")),
+        F.when(words_only & ~sign.isin("book", "bok", "buch"), one("bare", digits, "bare_volume")),
         *[F.when(is_a(r), one(r, _name(after), r)) for r in ROLES],
     ]
     found = hits.select(*keys, "line", "at", F.explode(F.array_compact(F.array(*readings))).alias("r")).select(*keys, "line", "at", "r.*")
@@ -178,26 +206,36 @@ def _readings(hits: DataFrame, keys: list[str]) -> DataFrame:
     return found.where((F.col("value") != "") & ~((F.col("field") == "holder") & F.col("value").rlike(rf"(?i)\b(?:{houses})\b")))
 
 
+def _facts(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, facts): what each text tells, as an array of struct(field, value, confidence), each field once. One grouping has the best reading of
+    every field, so that texts are read once and a text's readings are merged where they are found."""
+    found = _readings(cue_hits(texts, keys, text_col), keys)
+    reading, turn = F.struct("value", "number", "confidence"), F.struct("turn", "line", "at")
+    fields = [f for f in FIELDS if f != "series_index"]
+    best = found.groupBy(*keys).agg(*[F.min_by(reading, F.when(F.col("field") == f, turn)).alias(f"b_{f}") for f in (*fields, "bare")])
+    fact = lambda field, b, value: F.when(b.isNotNull(), F.struct(F.lit(field).alias("field"), value.alias("value"), b["confidence"].alias("confidence")))
+    series, bare = F.col("b_series"), F.col("b_bare")
+    index = F.coalesce(fact("series_index", series, series["number"]), fact("series_index", bare, bare["value"]))
+    return best.select(*keys, F.array_compact(F.array(*[fact(f, F.col(f"b_{f}"), F.col(f"b_{f}")["value"]) for f in fields], index)).alias("facts"))
+
+
 def scan_texts(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """(keys, field, value, confidence): what a text tells, each field once: isbn (the first valid one), ddc, year, holder (no
     publisher), publisher, edition, series, series_index and three roles. The reading of the first turn counts, then the first
     place. A series brings its number; a bare volume number stands alone only without one. Null and empty texts tell nothing."""
-    found = _readings(cue_hits(texts, keys, text_col), keys)
-    best = found.groupBy(*keys, "field").agg(F.min_by(F.struct("value", "number", "confidence"), F.struct("turn", "line", "at")).alias("b")).select(*keys, "field", "b.*")
-    index = best.where("field in ('series', 'bare')").groupBy(*keys).agg(F.min_by(F.struct(F.when(F.col("field") == "series", F.col("number")).otherwise(F.col("value")).alias("value"), "confidence"), F.when(F.col("field") == "series", 0).otherwise(1)).alias("b"))
-    index = index.select(*keys, F.lit("series_index").alias("field"), "b.value", "b.confidence")
-    return best.where("field <> 'bare'").select(*keys, "field", "value", "confidence").unionByName(index)
+    return _facts(texts, keys, text_col).select(*keys, F.explode("facts").alias("f")).select(*keys, "f.*")
 
 
 def scan_books(texts: DataFrame, id_col: str, front: str, back: str) -> DataFrame:
     """(id, field, value, confidence) for all that front and back matter tell. What the front lacks the back fills at nine
     tenths of its confidence; series and number move together, and a bare number in front doesn't keep a series out."""
     parts = texts.select(id_col, F.explode(F.array(F.struct(F.lit(0).alias("part"), text_of(F.col(front)).alias("t")), F.struct(F.lit(1).alias("part"), text_of(F.col(back)).alias("t")))).alias("x")).select(id_col, "x.*")
-    found = scan_texts(parts, [id_col, "part"], "t")
-    # a series number moves with the series of its part: parts with a series come first
-    series = F.max(F.col("field") == "series")
-    sides = found.groupBy(id_col, "part").agg(series.alias("has"), F.collect_list(F.struct("field", "value", "confidence")).alias("facts"))  # a dozen fields at most
-    rows = sides.select(id_col, "part", "has", F.explode("facts").alias("f")).select(id_col, "part", "has", "f.*")
-    turn = F.struct(F.when(F.col("field") == "series_index", ~F.col("has")).otherwise(False), "part")
-    best = rows.groupBy(id_col, "field").agg(F.min_by(F.struct("value", F.when(F.col("part") == 1, F.round(F.col("confidence") * BACK_FACTOR, 4)).otherwise(F.col("confidence")).alias("confidence")), turn).alias("b"))
-    return best.select(id_col, "field", "b.value", "b.confidence")
+    side = lambda part: F.coalesce(F.max(F.when(F.col("part") == part, F.col("facts"))), F.array().cast("array<struct<field:string,value:string,confidence:double>>"))
+    sides = _facts(parts, [id_col, "part"], "t").groupBy(id_col).agg(side(0).alias("front"), side(1).alias("back"))
+    has = lambda facts, field: F.exists(facts, lambda x: x["field"] == field)
+    # a series number moves with the series of its part: a part with a series comes first
+    moves = has("back", "series") & ~has("front", "series")
+    kept = F.filter("front", lambda x: (x["field"] != "series_index") | ~moves)
+    less = F.transform("back", lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), F.round(x["confidence"] * BACK_FACTOR, 4).alias("confidence")))
+    fills = F.filter(less, lambda x: ~F.exists("front", lambda y: (y["field"] == x["field"]) & ((y["field"] != "series_index") | ~moves)))
+    return sides.select(id_col, F.explode(F.concat(kept, fills)).alias("f")).select(id_col, "f.*")

@@ -22,3 +22,9 @@ def query(sql: str | None = None):
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, dealt out by their keys over spark.sql.shuffle.partitions tasks. For few bytes with much work for each row: such tables
+    are read by one task, or a few, and groups of the same keys need no other shuffle."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
