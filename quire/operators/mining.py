@@ -83,14 +83,17 @@ def paragraph_spans(documents: DataFrame, keys: list[str], html_col: str) -> Dat
 def header_candidates(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs that may be page headers. paragraphs: book_id, place, text. Adds kind (number, left, right, title), number,
     heading; others go."""
-    text = collapse(F.col("text"))
     left, right = r"^(\d{1,4})\s+(\D.{2,70})$", r"^(\D.{2,70}?)\s+(\d{1,4})$"
-    like = lambda t: (F.length(t).between(1, 70)) & (F.size(F.split(t, " ")) <= 10) & ((caps_share(t) >= 0.8) | ~t.rlike(r"[.!?]\s+\S"))
-    lt, rt = F.regexp_extract(text, left, 2), F.regexp_extract(text, right, 1)
-    kind = F.when(text.rlike(r"^\[?\d{1,4}\]?$"), "number").when(text.rlike(left) & like(lt), "left").when(text.rlike(right) & like(rt), "right").when(like(text) & ~text.rlike("[.,;]$"), "title")
+    like = lambda t: (F.length(t).between(1, 70)) & (F.size(F.split(t, " ")) <= 10) & (~t.rlike(r"[.!?]\s+\S") | (caps_share(t) >= 0.8))
+    # step by step, so that each is worked out once; what is longer than a number and 70 letters is no header
+    rows = paragraphs.select("book_id", "place", collapse(F.col("text")).alias("text")).where(F.length("text") <= 80)
+    rows = rows.select("*", F.regexp_extract("text", left, 2).alias("lt"), F.regexp_extract("text", right, 1).alias("rt"))
+    text, lt, rt, kind = F.col("text"), F.col("lt"), F.col("rt"), F.col("kind")
+    rows = rows.withColumn("kind", F.when(text.rlike(r"^\[?\d{1,4}\]?$"), "number").when((lt != "") & like(lt), "left").when((rt != "") & like(rt), "right").when(like(text) & ~text.rlike("[.,;]$"), "title")).where("kind is not null")
     number = F.when(kind == "number", F.regexp_extract(text, r"(\d{1,4})", 1)).when(kind == "left", F.regexp_extract(text, left, 1)).when(kind == "right", F.regexp_extract(text, right, 2)).try_cast("int")
     raw = F.when(kind == "left", lt).when(kind == "right", rt).when(kind == "title", text).otherwise("")
-    return paragraphs.select("book_id", "place", text.alias("text"), kind.alias("kind"), number.alias("number"), plain_key(raw).alias("heading"), raw.alias("raw")).where("kind is not null")
+    rows = rows.select("book_id", "place", "text", "kind", number.alias("number"), raw.alias("raw"))
+    return rows.select("book_id", "place", "text", "kind", "number", plain_key(F.col("raw")).alias("heading"), "raw")
 
 
 def proved_headers(candidates: DataFrame) -> DataFrame:
@@ -109,18 +112,20 @@ def page_furniture(paragraphs: DataFrame) -> DataFrame:
     """(book_id, place, kind, confidence) of all paragraphs to remove: proved headers; numbered ones whose number lies between
     those of the proved ones before and after and that are printed in capitals; bare numbers in sequence; lone titles as
     printed in a proved header."""
-    found = header_candidates(paragraphs)
-    proved = proved_headers(found)
-    marks = found.join(proved.select("book_id", "place", F.lit(True).alias("proved"), "headers"), ["book_id", "place"], "left")
-    order = Window.partitionBy("book_id").orderBy("place")
-    known = F.when(F.col("proved"), F.col("number"))
-    marks = marks.withColumn("before", F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(known, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    marks = marks.withColumn("headers", F.max("headers").over(Window.partitionBy("book_id")))
-    printed = proved.select("book_id", F.col("raw").alias("text"), F.lit(True).alias("printed")).distinct()
-    marks = marks.join(printed, ["book_id", "text"], "left")
+    book, found = Window.partitionBy("book_id"), header_candidates(paragraphs)
+    # the rule of proved_headers by windows of one reading, which all lie within the rows of a book
+    numbered = F.col("kind").isin("left", "right") & (F.col("heading") != "")
+    often = F.when(numbered & (F.count(F.when(numbered, 1)).over(Window.partitionBy("book_id", "heading")) >= LEAST_REPEATS), F.col("number"))
+    marks = found.withColumn("often", often)
+    nearest = lambda order: F.last("often", ignorenulls=True).over(book.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    marks = marks.withColumn("before", nearest(F.asc("place"))).withColumn("after", nearest(F.desc("place")))
+    step = F.when(F.col("often").isNotNull(), F.col("number") - F.col("before"))
+    marks = marks.withColumns({"headers": F.count("often").over(book), "steps": F.count(step).over(book), "rising": F.count_if(step.between(1, MOST_STEP)).over(book)})
+    marks = marks.where((F.col("headers") >= LEAST_HEADERS) & (F.col("rising") >= RISING * F.col("steps"))).withColumn("proved", F.col("often").isNotNull())
+    marks = marks.withColumn("printed", F.max("proved").over(Window.partitionBy("book_id", "raw")))
     fits = (F.col("before") < F.col("number")) & F.when(F.col("after").isNull(), F.col("number") - F.col("before") <= MOST_STEP).otherwise(F.col("number") < F.col("after"))
     ok = (
-        F.coalesce("proved", F.lit(False))
+        F.col("proved")
         | F.coalesce(F.col("kind").isin("left", "right") & fits & (caps_share(F.col("raw")) >= 0.8), F.lit(False))
         | F.coalesce((F.col("kind") == "number") & F.col("number").between(F.col("before"), F.col("after")), F.lit(False))
         | F.coalesce((F.col("kind") == "title") & F.col("printed") & F.col("before").isNotNull(), F.lit(False))
