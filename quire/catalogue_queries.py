@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import names, text
 from quire.functions.identifiers import isbn13_to_10
 from quire.operators import catalog, paths, validation
-from quire.registry import load, query
+from quire.registry import load, query, spread
 from quire.shared import shared_dir
 from quire.shelf_queries import _book_plan
 from quire.sources import archives, book_source, dumps
@@ -189,7 +189,7 @@ def names_taken_apart(spark, sf_dir):
 def paths_parsed(spark, sf_dir):
     """Parts as files in folders by brand and type: what each segment of a pattern finds, and whether the file's own name gave it."""
     path = F.concat(F.lit("/shelf/"), F.col("p_brand"), F.lit("/"), F.col("p_type"), F.lit("/"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(" - "), F.col("p_name"), F.lit("~"), F.col("p_partkey").cast("string"), F.lit(".epub"))
-    p = load(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    p = spread(load(spark, sf_dir, "part").select("p_partkey", path.alias("path")), "path")
     found = paths.parse_paths(p, "%authors%/%series%/%series_index% - %title%", "/shelf")
     value = F.when(F.col("field") == "title", F.regexp_replace("value", r"~\d+$", "")).otherwise(F.col("value"))
     return found.join(p, "path").select("p_partkey", "field", value.alias("value"), "from_file")
