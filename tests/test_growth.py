@@ -17,7 +17,7 @@ def test_texts_are_taken_apart_once(spark, name):
     assert optimized(spark, name).count("posexplode") == 1
 
 
-@pytest.mark.parametrize("name", ["content_scan", "title_pages"])
+@pytest.mark.parametrize("name", ["content_scan", "title_pages", "image_sizes", "text_budget", "author_cleanup", "author_rules", "headers_report", "page_furniture", "toc_render", "paths_parsed"])
 def test_rows_are_dealt_out(spark, name):
     assert "RepartitionByExpression" in optimized(spark, name)
 
@@ -26,3 +26,7 @@ def test_lines_without_a_cue_are_left_alone(spark):
     lines = ["Ünderlined text of bookish pressure", "ÜBERSETZT  von X", "Dépôt - légal", "ISBN13", "a (C) b", "unpublished bypass", "droit d’auteur"]
     df = spark.createDataFrame([(x,) for x in lines], "t string")
     assert [r.t for r in df.where(df.t.rlike(title_pages.CUE_LINES)).collect()] == [lines[i] for i in (1, 2, 3, 4, 6)]
+
+
+def test_pages_are_read_once_for_furniture(spark):
+    assert optimized(spark, "page_furniture").count("Relation") == 1
