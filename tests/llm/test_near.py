@@ -199,3 +199,57 @@ def test_lines_that_many_have_bring_no_sets_together(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(jaccard_components(df, 4, 85)) == brute.components(rows, 4, 85)
     assert met["tiled"] <= 20
+
+
+def test_filters_take_few_jobs_with_many_partitions(spark):
+    """The driver fetches filters by bytes, not with a job for each shuffle partition."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quire.llm.ngram_join import key_filter
+
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, context = {k: spark.conf.get(k) for k in held}, spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("filters", "filters")
+        bits = key_filter(spark.range(5000).select(F.expr("id * 211 % (1 << 20)").alias("h")), 20)
+        jobs = len(context.statusTracker().getJobIdsForGroup("filters"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == sorted({i * 211 % (1 << 20) for i in range(5000)})
+    assert jobs <= 5
+
+
+def test_components_of_links(spark):
+    """Paths, stars, repeated and turned links, links of a node with itself; nodes in finished stars take no round."""
+    from quire.llm.components import components
+    from quire.shared import Scratch
+
+    r = random.Random(9)
+    path = list(range(100, 160))
+    r.shuffle(path)
+    links = list(zip(path, path[1:])) + [(7, i) for i in range(200, 1500)] + [(-3, 8), (8, -3), (-3, 8), (5, 5)]
+    links += [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(200)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    found = components(spark.createDataFrame(links, "a long, b long").repartition(3), Scratch(spark, "test"), "links").collect()
+    assert len(found) == len(root) - len(alone) and {x.node: x.root for x in found} == {x: find(x) for x in root if x not in alone}
+    tables, write = [], Scratch.write
+    scratch = Scratch(spark, "test")
+    scratch.write = lambda df, name: tables.append(name) or write(scratch, df, name)
+    assert components(spark.createDataFrame([(1, i) for i in range(2, 9)], "a long, b long"), scratch, "star").count() == 8
+    assert tables == ["star-0", "star-near-0"]
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), "none").collect() == []
