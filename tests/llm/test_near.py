@@ -47,6 +47,22 @@ def test_components_of_large_groups(spark, monkeypatch, few, tile):
     assert got(jaccard_components(df, 4, 85)) == brute.components(rows, 4, 85)
 
 
+def test_sets_of_unlike_sizes_do_not_meet_in_tiles(spark, monkeypatch):
+    """Documents of 2 to 40 out of 60 common passages: all share frequent shingles, few are of like size, so no tile of one band is large."""
+    from quire.llm import ngram_join
+
+    r, compared = random.Random(9), []
+    passages = [prose(20, 700 + i) for i in range(60)]
+    rows = [(i, " ".join(r.sample(passages, round(2 * 20 ** r.random())))) for i in range(160)]
+    monkeypatch.setattr(ngram_join, "FEW", 8)
+    monkeypatch.setattr(ngram_join, "TILE", 48)
+    links = ngram_join._tile_links
+    monkeypatch.setattr(ngram_join, "_tile_links", lambda members, *rest: compared.append(members.count()) or links(members, *rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard_components(df, 4, 85)) == brute.components(rows, 4, 85)
+    assert sum(compared) <= 2 * len(rows)
+
+
 def test_components_of_nothing(none):
     assert jaccard_components(none).collect() == []
 
