@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import collapse, text_of, words_key
+from quire.functions.text import collapse, fold, text_of, words_key
 from quire.operators.mining import SOURCES, ddc_genre, rank_genres
+from quire.shared import Scratch
 
 #: Folders of a path that count, from its end; words of a phrase at most; words of a snippet on either side of a hit.
 FOLDERS, MOST_WORDS, AROUND = 3, 6, 6
+#: First words of phrases that are looked for within the texts; of more, all words of texts meet them in a join. What stands between words.
+MOST_TOLD, MARK = 4096, "\u0001"
 PATHS, TEXTS = ("folder", "filename"), ("description", "content")
 
 
@@ -59,21 +63,35 @@ def hits(texts: DataFrame, id_col: str, table: DataFrame) -> DataFrame:
     """(id, genre, source, snippet): phrases of ``table`` that stand in ``texts`` (labels), each genre of a source once, by its first hit. A hit that lies
     within a longer hit of another genre in the same text is none.
 
-    Words of texts meet phrases by the phrase's first word. A longer hit tells all shorter stretches of words within it, some
+    Words of texts meet phrases by the phrase's first word; texts without any such word are left at once. A longer hit tells all shorter stretches of words within it, some
     fifteen at most, and hits of just such a stretch are taken out by an anti-join, so no text's hits are compared
     pair by pair."""
-    shown = F.split(collapse(F.regexp_replace("text", "&", " and ")), " ")
-    rows = texts.select(id_col, "source", "nth", F.filter(shown, lambda w: F.regexp_replace(w, r"[^\pL\pN]+", "") != "").alias("shown"))
+    shown = collapse(F.regexp_replace("text", "&", " and "))
+    # of each shown word its plain ones, with a mark between: one pass over the whole text, whose spaces stay
+    rows = texts.select(id_col, "source", "nth", shown.alias("shown")).select("*", F.regexp_replace(fold(F.col("shown")), r"[^\pL\pN ]+", MARK).alias("plain"))
+    firsts = table.select("source", "first").distinct()
+    told = firsts.limit(MOST_TOLD + 1).collect()
+    by_source: dict[str, list[str]] = {}
+    for r in told if len(told) <= MOST_TOLD else []:
+        by_source.setdefault(r.source, []).append(r.first)
+    met_by = lambda w: reduce(Column.__or__, [(F.col("source") == s) & w.isin(*ws) for s, ws in sorted(by_source.items())])
+    if by_source:
+        rows = rows.where(F.exists(F.split("plain", f"[ {MARK}]+"), met_by))
+    pairs = F.filter(F.arrays_zip(F.split("shown", " ").alias("shown"), F.split("plain", " ").alias("plain")), lambda z: F.replace(z["plain"], F.lit(MARK), F.lit("")) != "")
+    rows = rows.select(id_col, "source", "nth", pairs.alias("z"))
     # a shown word may hold several plain ones (science-fiction), so plain words keep the number of the shown one
-    plain = F.flatten(F.transform("shown", lambda w, i: F.transform(F.filter(F.split(words_key(w), " "), lambda x: x != ""), lambda x: F.struct(x.alias("w"), i.alias("i")))))
-    rows = rows.withColumn("p", plain)
-    firsts = table.select("first").distinct()
-    places = F.transform("p", lambda x, i: F.struct(x["w"].alias("first"), i.alias("at"), F.transform(F.slice("p", i + 1, MOST_WORDS), lambda y: y["w"]).alias("next"), F.array_join(F.slice("shown", F.greatest(F.lit(1), x["i"] + 1 - AROUND), 2 * AROUND + 1), " ").alias("snippet")))
+    plain = F.flatten(F.transform("z", lambda z, i: F.transform(F.filter(F.split(z["plain"], MARK), lambda x: x != ""), lambda x: F.struct(x.alias("w"), i.alias("i")))))
+    rows = rows.select(id_col, "source", "nth", F.transform("z", lambda z: z["shown"]).alias("shown"), plain.alias("p"))
+    starts = F.transform("p", lambda x, i: F.struct(x["w"].alias("first"), i.alias("at"), x["i"].alias("i")))
+    starts = F.filter(starts, lambda x: met_by(x["first"])) if by_source else starts
+    places = F.transform(starts, lambda x: F.struct(x["first"].alias("first"), x["at"].alias("at"), F.transform(F.slice("p", x["at"] + 1, MOST_WORDS), lambda y: y["w"]).alias("next"), F.array_join(F.slice("shown", F.greatest(F.lit(1), x["i"] + 1 - AROUND), 2 * AROUND + 1), " ").alias("snippet")))
     met = rows.select(id_col, "source", "nth", F.explode(places).alias("x")).select(id_col, "source", "nth", "x.*")
-    # phrases are few and their words frequent: dealt by their first words, all texts would meet in a task for each
-    met = met.join(F.broadcast(firsts), "first", "left_semi") if _few(firsts) else met.join(firsts, "first", "left_semi")
+    if not by_source:
+        # phrases are few and their words frequent: dealt by their first words, all texts would meet in a task for each
+        met = met.join(F.broadcast(firsts) if _few(firsts) else firsts, ["source", "first"], "left_semi")
     found = met.join(F.broadcast(table) if _few(table) else table, ["source", "first"]).where(F.slice("next", 1, F.size("words")) == F.col("words"))
     found = found.select(id_col, "source", "nth", "at", F.size("words").alias("n"), "genre", "snippet").distinct()
+    found = Scratch(texts.sparkSession, "genres").write(found, "found")  # hits are few, and several steps read them
     inner = F.expr("flatten(transform(sequence(1, n - 1), m -> transform(sequence(0, n - m), s -> struct(int(at + s) as at, int(m) as n))))")
     within = found.where("n > 1").select(id_col, "source", "nth", F.col("genre").alias("other"), F.explode(inner).alias("y")).select(F.col(id_col).alias("_id"), F.col("source").alias("_s"), F.col("nth").alias("_k"), "other", F.col("y.at").alias("_at"), F.col("y.n").alias("_n")).distinct()
     same = (F.col(id_col) == F.col("_id")) & (F.col("source") == F.col("_s")) & (F.col("nth") == F.col("_k")) & (F.col("at") == F.col("_at")) & (F.col("n") == F.col("_n")) & (F.lower("genre") != F.lower("other"))

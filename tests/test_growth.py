@@ -30,3 +30,23 @@ def test_lines_without_a_cue_are_left_alone(spark):
 
 def test_pages_are_read_once_for_furniture(spark):
     assert optimized(spark, "page_furniture").count("Relation") == 1
+
+
+def test_texts_are_read_once_for_genres(spark):
+    """Hits are written once: what is left of the documents in the plan are class numbers and tags, without texts."""
+    assert "concat_ws" not in optimized(spark, "genre_suggestions")
+
+
+@pytest.mark.parametrize("most", [4096, 0])
+def test_genres_of_odd_texts(spark, monkeypatch, most):
+    """Marks between words, words of several words, accents, & and words of no letters; with first words in the plan and in a join."""
+    from quire.operators import genres
+
+    monkeypatch.setattr(genres, "MOST_TOLD", most, raising=False)
+    texts = ["a -- Science-Fiction, \u0001 *** tale", "SCIENCE\u00a0fiction! & more", "Pöetry&Fiction ...", "fiction science", "(sciénce) ((fiction))", "", None, "* - *"]
+    books = spark.createDataFrame([(i, None, t, None, None, []) for i, t in enumerate(texts)], "id int, path string, description string, content string, ddc string, tags array<string>")
+    words = spark.createDataFrame([(w,) for w in ("Science Fiction", "Fiction", "Poetry", "Poetry and Fiction")], "word string")
+    found = {(r.id, r.genre): r.found[0].snippet for r in genres.suggest_genres(books, "id", words).collect()}
+    assert found == {
+        (0, "Science Fiction"): "a Science-Fiction, tale", (1, "Science Fiction"): "SCIENCE\u00a0fiction! and more", (2, "Poetry and Fiction"): "Pöetry and Fiction", (3, "Fiction"): "fiction science", (4, "Science Fiction"): "(sciénce) ((fiction))",
+    }
