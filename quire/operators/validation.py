@@ -17,6 +17,11 @@ CODES = {
 STATUSES = ("INVALID", "DRM", "ISSUES", "OK")
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows that grow with the books, for a join by shuffle: what many rules look up would else go through the driver for each of them."""
+    return rows.hint("merge")
+
+
 def issue_rows(df: DataFrame, code: str, detail: Column) -> DataFrame:
     severity, fixable = CODES[code]
     return df.select("book_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"), F.lit(fixable).alias("fixable"))
@@ -24,7 +29,7 @@ def issue_rows(df: DataFrame, code: str, detail: Column) -> DataFrame:
 
 def missing_files(manifest: DataFrame, entries: DataFrame) -> DataFrame:
     """Manifest items whose file the archive lacks; remote ones need none."""
-    return manifest.where("not remote").join(entries.select("book_id", F.col("name").alias("path")), ["book_id", "path"], "left_anti")
+    return manifest.where("not remote").join(_shuffled(entries.select("book_id", F.col("name").alias("path"))), ["book_id", "path"], "left_anti")
 
 
 def repeated_ids(manifest: DataFrame) -> DataFrame:
@@ -34,12 +39,12 @@ def repeated_ids(manifest: DataFrame) -> DataFrame:
 
 def dangling_guide(guide: DataFrame, entries: DataFrame) -> DataFrame:
     """Guide references to files that the archive lacks."""
-    return guide.join(entries.select("book_id", F.col("name").alias("path")), ["book_id", "path"], "left_anti")
+    return guide.join(_shuffled(entries.select("book_id", F.col("name").alias("path"))), ["book_id", "path"], "left_anti")
 
 
 def repaired_guide(guide: DataFrame, entries: DataFrame) -> DataFrame:
     """The guide without references that lead nowhere, each kind and target once."""
-    return guide.join(entries.select("book_id", F.col("name").alias("path")), ["book_id", "path"], "left_semi").dropDuplicates(["book_id", "type", "path"])
+    return guide.join(_shuffled(entries.select("book_id", F.col("name").alias("path"))), ["book_id", "path"], "left_semi").dropDuplicates(["book_id", "type", "path"])
 
 
 def validate(t: dict[str, DataFrame]) -> DataFrame:
@@ -56,19 +61,19 @@ def validate(t: dict[str, DataFrame]) -> DataFrame:
     known = items.select("book_id", F.col("item_id").alias("ref"))
     rules = [
         issue_rows(failed, "LOAD_FAILED", F.col("load_error")),
-        issue_rows(ids.join(mime, "book_id", "left_anti"), "MIMETYPE_MISSING", F.lit("")),
+        issue_rows(ids.join(_shuffled(mime), "book_id", "left_anti"), "MIMETYPE_MISSING", F.lit("")),
         issue_rows(mime.where("head <> 'application/epub+zip'"), "MIMETYPE_CONTENT", F.col("head")),
         issue_rows(mime.where("head = 'application/epub+zip' and (place <> 0 or not stored)"), "MIMETYPE_POSITION", F.col("place")),
-        issue_rows(fine.join(t["identifiers"].where("value <> ''").select("book_id", F.col("id").alias("unique_id")), ["book_id", "unique_id"], "left_anti"), "PRIMARY_ID_MISSING", F.col("unique_id")),
+        issue_rows(fine.join(_shuffled(t["identifiers"].where("value <> ''").select("book_id", F.col("id").alias("unique_id"))), ["book_id", "unique_id"], "left_anti"), "PRIMARY_ID_MISSING", F.col("unique_id")),
         issue_rows(fine.where(F.trim(text_of(F.col("title"))) == ""), "TITLE_MISSING", F.lit("")),
         issue_rows(fine.where(F.trim(text_of(F.col("language"))) == ""), "LANGUAGE_MISSING", F.lit("")),
         issue_rows(fine.where(F.exists(F.col("authors"), lambda a: a.contains(" & "))), "AUTHORS_AMPERSAND", F.array_join("authors", "; ")),
-        issue_rows(metas.where("refines <> ''").withColumn("ref", F.regexp_replace("refines", "^#", "")).join(t["ids"], ["book_id", "ref"], "left_anti"), "DANGLING_REFINES", F.col("ref")),
-        issue_rows(metas.where("old_attributes").select("book_id", "property").join(fine.where("version >= '3'").select("book_id"), "book_id"), "EPUB2_ATTRIBUTES_IN_EPUB3", F.col("property")),
+        issue_rows(metas.where("refines <> ''").withColumn("ref", F.regexp_replace("refines", "^#", "")).join(_shuffled(t["ids"]), ["book_id", "ref"], "left_anti"), "DANGLING_REFINES", F.col("ref")),
+        issue_rows(metas.where("old_attributes").select("book_id", "property").join(_shuffled(fine.where("version >= '3'").select("book_id")), "book_id"), "EPUB2_ATTRIBUTES_IN_EPUB3", F.col("property")),
         issue_rows(missing_files(items, t["entries"]), "MANIFEST_FILE_MISSING", F.col("path")),
         issue_rows(repeated_ids(items), "DUPLICATE_MANIFEST_ID", F.col("item_id")),
-        issue_rows(spine.withColumn("ref", F.col("idref")).join(known, ["book_id", "ref"], "left_anti"), "DANGLING_SPINE_ITEMREF", F.col("idref")),
-        issue_rows(fine.join(items.where("media_type = 'application/x-dtbncx+xml' or array_contains(split(properties, ' '), 'nav')"), "book_id", "left_anti"), "NO_TOC", F.lit("")),
+        issue_rows(spine.withColumn("ref", F.col("idref")).join(_shuffled(known), ["book_id", "ref"], "left_anti"), "DANGLING_SPINE_ITEMREF", F.col("idref")),
+        issue_rows(fine.join(_shuffled(items.where("media_type = 'application/x-dtbncx+xml' or array_contains(split(properties, ' '), 'nav')")), "book_id", "left_anti"), "NO_TOC", F.lit("")),
         issue_rows(fine.where("encrypted"), "DRM_DETECTED", F.lit("")),
     ]
     out = rules[0]
@@ -80,7 +85,7 @@ def validate(t: dict[str, DataFrame]) -> DataFrame:
 def statuses(books: DataFrame, issues: DataFrame) -> DataFrame:
     """book_id and the worst status: INVALID for an error, DRM, ISSUES for a warning, else OK."""
     worst = issues.groupBy("book_id").agg(F.min(F.when(F.col("severity") == "error", 0).when(F.col("severity") == "locked", 1).otherwise(2)).alias("w"))
-    return books.select("book_id").join(worst, "book_id", "left").select("book_id", F.element_at(F.array(*map(F.lit, STATUSES)), F.coalesce("w", F.lit(3)) + 1).alias("status"))
+    return books.select("book_id").join(_shuffled(worst), "book_id", "left").select("book_id", F.element_at(F.array(*map(F.lit, STATUSES)), F.coalesce("w", F.lit(3)) + 1).alias("status"))
 
 
 def report(books: DataFrame, issues: DataFrame) -> DataFrame:

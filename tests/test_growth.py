@@ -50,3 +50,16 @@ def test_genres_of_odd_texts(spark, monkeypatch, most):
     assert found == {
         (0, "Science Fiction"): "a Science-Fiction, tale", (1, "Science Fiction"): "SCIENCE\u00a0fiction! and more", (2, "Poetry and Fiction"): "Pöetry and Fiction", (3, "Fiction"): "fiction science", (4, "Science Fiction"): "(sciénce) ((fiction))",
     }
+
+
+def test_validation_sends_no_books_to_the_driver(spark, tmp_path):
+    """What rules look up grows with the books, so no rule's join is by broadcast, not even where tables are small."""
+    from quire.operators import validation
+    from quire.sources import archives
+
+    spark.createDataFrame([], " ".join(archives.RAW_SCHEMA.split())).write.parquet(f"{tmp_path}/raw")
+    t = archives.tables(spark.read.parquet(f"{tmp_path}/raw"))
+    issues = validation.validate(t)
+    for found in (issues, validation.statuses(t["books"], issues)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
